@@ -61,7 +61,7 @@ def splice_hazard(own: DataFrame, p: Params, donor: DataFrame | None = None, by:
     held flat), gaps filled forward and then backward, out to h_ext. Adds k_max."""
     key = [*by] or [F.lit(0).alias("_one")]
     groups = own.select(*key).distinct()
-    steps = groups.withColumn("step_k", F.explode(F.sequence(F.lit(1), F.lit(p.h_ext))).cast("bigint"))
+    steps = groups.withColumn("step_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(p.h_ext).cast("bigint"))))
     names = [*by] or ["_one"]
     s = steps.join(own.select(*key, "step_k", "h", "votes"), [*names, "step_k"], "left")
     if donor is not None:
