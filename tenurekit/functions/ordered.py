@@ -8,8 +8,8 @@ values forward over the slices, and the summaries are joined back. Both forms gi
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +18,29 @@ from pyspark.sql import functions as F
 from tenurekit.functions.exprs import DAY_US
 
 
+_LOCAL_DIR: str | None = None
+
+
+def shared_dir(spark) -> str:
+    """Folder for cut points: the one the cluster names, or a new local one on a local master."""
+    global _LOCAL_DIR
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="tenurekit-")
+    return _LOCAL_DIR
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows out and go on from the copy, so that later steps do not recompute them."""
+    """Write the rows as parquet and go on from the copy: later steps read only the columns they
+    need, do not recompute the rows, and survive lost executors."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tenurekit-", dir=os.environ.get("TMPDIR")))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int) -> bool:

@@ -144,7 +144,7 @@ def cells_sql(dims: list[str]) -> str:
   FROM pm1 GROUP BY {ds}),
  cl AS (SELECT *, n_base_payer / n_trial AS conversion, least(avg_age_weeks, max_week) AS anchor, greatest(0, least(avg_age_weeks - {SETTLE}, max_week)) AS fact_until FROM cl0 JOIN mw ON true),
  nw AS (SELECT {ds}, {week()} AS week, sum(coalesce(amt_net, 0) * {HC!r}) AS net, sum(CASE WHEN event_type = 'subscription_started' THEN coalesce(amt_net, 0) * {HC!r} ELSE 0 END) AS net_base
-  FROM mo JOIN (SELECT * FROM pm1 WHERE has_base) USING (session_id) GROUP BY ALL),
+  FROM (SELECT session_id, ts, amt_net, event_type FROM mo) JOIN (SELECT * FROM pm1 WHERE has_base) USING (session_id) GROUP BY ALL),
  {Q.levered('wmx', P, 'lva')},
  fc AS (SELECT {', '.join('p.' + x for x in dims)}, l.sub_id, {', '.join(f"arg_min(l.{'billday_first' if c == 'billday_bin' else c}, step_k) AS l_{c}" for c in P.levers)}
   FROM lva l JOIN pm1 p ON p.session_id = l.sub_id WHERE has_base GROUP BY ALL),
@@ -199,7 +199,7 @@ def curve_sql(dims: list[str]) -> str:
     ds = ", ".join(dims)
     return f"""{WHR}, {cells_sql(dims)},
  pb_ AS (SELECT {ds}, {week()} AS week, count(DISTINCT session_id) AS ob FROM ld JOIN (SELECT * FROM pm1 WHERE has_base) USING (session_id) GROUP BY ALL),
- pu_ AS (SELECT {ds}, {week()} AS week, count(DISTINCT session_id) AS ou FROM mo JOIN (SELECT * FROM pm1 WHERE has_base) USING (session_id) WHERE event_type = 'upsale_converted' GROUP BY ALL),
+ pu_ AS (SELECT {ds}, {week()} AS week, count(DISTINCT session_id) AS ou FROM (SELECT session_id, ts, event_type FROM mo) JOIN (SELECT * FROM pm1 WHERE has_base) USING (session_id) WHERE event_type = 'upsale_converted' GROUP BY ALL),
  sc AS (SELECT {ds}, CASE WHEN fact_until >= 1 AND n_base_payer * s > 0 AND coalesce(ob, 0) > 0 THEN ob / (n_base_payer * s) ELSE 1 END AS scale, true AS has
   FROM cl JOIN cv USING ({ds}) LEFT JOIN pb_ p USING ({ds}) WHERE k = greatest(fact_until, 1) AND (p.week IS NULL OR p.week = greatest(fact_until, 1))),
  hc AS (SELECT {ds}, true AS has FROM cv GROUP BY ALL),
