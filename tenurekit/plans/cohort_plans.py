@@ -153,14 +153,14 @@ def averaged(by: str = "") -> str:
    LEFT JOIN pa ON pa.sub_id = sa.sub_id AND greatest(floor({Q.days('st', 'ts')} / {ORDERS.period_days}), 0) <= week GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("averaged_curve", "P17 T19", f"WITH {averaged()} SELECT week, n, round(cum_avg, 8) AS cum_avg FROM ac")
+@query("averaged_curve", "P17 T19", f"WITH {averaged()} SELECT week, n, round(cum_avg, 4) AS cum_avg FROM ac")
 def averaged_curve(spark, d):
-    return K.averaged_curve(*curve_parts(spark, d), ORDERS, 24).withColumn("cum_avg", F.round("cum_avg", 8))
+    return K.averaged_curve(*curve_parts(spark, d), ORDERS, 24).withColumn("cum_avg", F.round("cum_avg", 4))
 
 
-@query("averaged_curve_by_app", "P17", f"WITH {averaged('app_id')} SELECT app_id, week, n, round(cum_avg, 8) AS cum_avg FROM ac")
+@query("averaged_curve_by_app", "P17", f"WITH {averaged('app_id')} SELECT app_id, week, n, round(cum_avg, 4) AS cum_avg FROM ac")
 def averaged_curve_by_app(spark, d):
-    return K.averaged_curve(*curve_parts(spark, d), ORDERS, 24, ["app_id"]).withColumn("cum_avg", F.round("cum_avg", 8))
+    return K.averaged_curve(*curve_parts(spark, d), ORDERS, 24, ["app_id"]).withColumn("cum_avg", F.round("cum_avg", 4))
 
 
 @query("pooled_curve", "A17", f"{GO} SELECT rebill_number, round(sum(cumr) / sum(payers), 6) AS payer_ltv, count(*) AS cohorts FROM cf GROUP BY 1")

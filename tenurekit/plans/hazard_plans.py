@@ -87,7 +87,7 @@ EMP = f"""{HB}, er AS (SELECT app_id, weeks, sum(na) AS n_seen, exp(coalesce(sum
    / sum(n) FILTER (n >= 20 AND h > 0), 0) * sum(na) / (sum(na) + 800.0)) AS hr
   FROM (SELECT app_id, step_k, count(*) AS na, count(*) FILTER (weeks_obs >= step_k) AS n, sum(died) FILTER (weeks_obs >= step_k)::DOUBLE AS dd FROM mx GROUP BY 1, 2) g
   JOIN (SELECT unnest({list(WEEKS)})::BIGINT AS weeks) w ON step_k <= weeks LEFT JOIN hb USING (step_k) GROUP BY 1, 2),
- ec AS (SELECT app_id, weeks, k, product(1 - coalesce(least(greatest(h * hr, 0.001), 0.999), 0)) OVER (PARTITION BY app_id, weeks ORDER BY k) AS s
+ ec AS (SELECT app_id, weeks, k, product(CASE WHEN h IS NULL THEN 1 ELSE 1 - least(greatest(h * hr, 0.001), 0.999) END) OVER (PARTITION BY app_id, weeks ORDER BY k) AS s
   FROM er JOIN (SELECT unnest(range(1, {P.hmax + 1}))::BIGINT AS k) g ON true LEFT JOIN hb ON hb.step_k = k)"""
 
 
@@ -111,3 +111,10 @@ def spliced_hazard(spark, d):
     mx = cut(orders_mx(spark, d))
     own = H.portfolio_hazard(mx.where(F.col("geo").isin("NATION_1", "NATION_2", "NATION_3")), P)
     return H.splice_hazard(own, P, H.portfolio_hazard(mx, P)).select("step_k", "k_max", r6("h").alias("h"))
+
+
+@query("mean_multiplier", "H20 A6", f"""{FIT}, {Q.first_levers('lv', P, 'app_id')}, {Q.personal('fl1', 'mu', P, 'pm')} SELECT app_id, round(avg(mult), 6) AS mean_mult, count(*) AS subs FROM pm GROUP BY 1""")
+def mean_multiplier(spark, d):
+    mx, st = fitted(spark, d)
+    m = H.personal_multiplier(H.combos(mx, P, ["app_id"]), st.mult, P)
+    return m.groupBy("app_id").agg(r6(F.sum(F.col("mult") * F.col("w")) / F.sum("w")).alias("mean_mult"), F.sum("w").alias("subs"))

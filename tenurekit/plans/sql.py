@@ -174,7 +174,7 @@ def personal(src: str, mu: str, p: Params, name: str, mby: str = "", levers=None
     return f" {name} AS (SELECT s.*, least(greatest({expr}, {p.clip[0]}), {p.clip[1]}) AS mult FROM {src} s{joins})"
 
 
-def ratio(lv: str, per: str, hb: str, p: Params, by: str, name: str = "hr", weeks=None) -> str:
+def ratio(lv: str, per: str, hb: str, p: Params, by: str, name: str = "hr", weeks=None, hby: str = "") -> str:
     """Member `name`: shrunk ratio by group from per-key multipliers `per`."""
     wk = f" JOIN (SELECT unnest([{', '.join(map(str, weeks))}])::BIGINT AS weeks) ww ON l.step_k <= ww.weeks" if weeks else ""
     byw = by + (", weeks" if weeks else "")
@@ -183,19 +183,19 @@ def ratio(lv: str, per: str, hb: str, p: Params, by: str, name: str = "hr", week
     return f""" {name}_s AS (SELECT {', '.join('l.' + b.strip() for b in by.split(','))}{', weeks' if weeks else ''}, l.step_k,
    count(*) AS n, avg(l.died) AS o, avg(least(greatest(h.h * q.mult, {lo}), {hi})) AS e
   FROM {lv} l JOIN {per} q ON {' AND '.join(f'q.{b.strip()} = l.{b.strip()}' for b in by.split(','))} AND q.sub_id = l.sub_id
-  LEFT JOIN {hb} h ON h.step_k = l.step_k{wk} WHERE l.weeks_obs >= l.step_k + 1 GROUP BY ALL),
+  LEFT JOIN {hb} h ON h.step_k = l.step_k{''.join(f' AND h.{b} = l.{b}' for b in hby.split())}{wk} WHERE l.weeks_obs >= l.step_k + 1 GROUP BY ALL),
  {name} AS (SELECT {byw}, sum(n) AS n_seen, exp(coalesce(sum(n * ln(least(greatest(o / e, {olo}), {ohi}))) FILTER (n >= {p.hr_min_n} AND e > 0)
    / sum(n) FILTER (n >= {p.hr_min_n} AND e > 0), 0) * sum(n) / (sum(n) + {p.k_shrink})) AS hr FROM {name}_s GROUP BY ALL)"""
 
 
-def curve(mix: str, hb: str, p: Params, by: str, name: str = "cv", length: int | None = None) -> str:
+def curve(mix: str, hb: str, p: Params, by: str, name: str = "cv", length: int | None = None, hby: str = "") -> str:
     """Member `name`: by, k, s from combos (by, w, mult, hr) by running products."""
     n = length or p.hmax
     lo, hi = p.hazard_clip
     return f""" {name}_i AS (SELECT *, row_number() OVER () AS rid FROM {mix}),
  {name}_s AS (SELECT i.*, k, product(1 - least(greatest(h.h * i.mult * i.hr, {lo}), {hi})) OVER (PARTITION BY rid ORDER BY k) AS s1,
    count(h.h) OVER (PARTITION BY rid ORDER BY k) AS nn
-  FROM {name}_i i JOIN (SELECT unnest(range(1, {n + 1}))::BIGINT AS k) g ON true LEFT JOIN {hb} h ON h.step_k = g.k),
+  FROM {name}_i i JOIN (SELECT unnest(range(1, {n + 1}))::BIGINT AS k) g ON true LEFT JOIN {hb} h ON h.step_k = g.k{''.join(f' AND h.{b} = i.{b}' for b in hby.split())}),
  {name} AS (SELECT {by}, k, CASE WHEN min(nn - k) = 0 THEN sum(w * s1) / sum(w) END AS s FROM {name}_s GROUP BY ALL)"""
 
 
