@@ -119,3 +119,80 @@ def refund_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("subscription_renewed").alias("event_name"),
         F.when(is_ref, F.col("l_extendedprice") * 0.5).otherwise(F.col("l_extendedprice")).alias("price_amount"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+
+
+# ------------------------------------------------------------------ webhook logs
+def webhooks_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider A webhooks made of the `events` table, as JSON text, with repeated deliveries."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    u, k = F.col("user_id").cast("string"), F.col("k")
+    s = F.unix_seconds("ts")
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    inv = F.concat(F.lit("in_"), u, F.lit("_"), F.dayofmonth("ts").cast("string"))
+    pi = F.concat(F.lit("pi_"), u, F.lit("_"), F.dayofmonth("ts").cast("string"))
+    sub = F.concat(F.lit("sub_"), F.lpad(u, 12, "0"))
+    t = F.col("event_type")
+    invoice, state, refund = t.isin("purchase", "error"), t.isin("view", "signup"), t == "click"
+    name = (F.when(t == "purchase", "invoice.paid").when(t == "error", "invoice.payment_failed")
+            .when(t == "view", "customer.subscription.deleted").when(t == "signup", "customer.subscription.created").otherwise("charge.refunded"))
+    gone = t == "view"
+    obj = F.struct(
+        F.when(invoice, inv).when(state, sub).otherwise(F.concat(F.lit("ch_"), F.lpad(F.col("event_id").cast("string"), 12, "0"))).alias("id"),
+        F.concat(F.lit("cus_"), u).alias("customer"),
+        F.when(state, F.struct(F.lit("week").alias("interval"), F.concat(F.lit("price_"), (k % 3).cast("string")).alias("id"),
+                               F.concat(F.lit("prod_"), (k % 4).cast("string")).alias("product"))).alias("plan"),
+        F.when(gone & (k % 3 == 0), F.struct(F.array(F.struct((s + k * 3600).alias("current_period_end"))).alias("data"))).alias("items"),
+        F.when(gone & (k % 3 == 1), s + k * 60).alias("ended_at"), F.when(gone & (k % 5 == 0), s + k).alias("cancel_at"),
+        F.when(gone, F.struct(F.when(k % 3 == 0, "cancellation_requested").when(k % 3 == 1, "payment_failed").alias("reason"))).alias("cancellation_details"),
+        F.when(invoice & (k % 11 != 0), F.struct(F.struct(sub.alias("subscription")).alias("subscription_details"))).alias("parent"),
+        F.when(invoice, F.when(k % 4 == 0, "subscription_create").otherwise("subscription_cycle")).alias("billing_reason"),
+        F.when(t == "purchase", cents).alias("amount_paid"), F.when(refund, pi).alias("payment_intent"),
+        F.when(refund, cents).alias("amount_refunded"), F.lit("usd").alias("currency"))
+    data = F.to_json(F.struct(F.struct(obj.alias("object")).alias("data"), (F.col("event_id") % 3).alias("pending_webhooks")))
+    main = e.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), name.alias("event_type"), F.col("ts").alias("created"), data.alias("data"), "k", F.col("event_id").alias("n"))
+    link = F.to_json(F.struct(F.struct(F.struct(F.struct(pi.alias("payment_intent")).alias("payment"), inv.alias("invoice")).alias("object")).alias("data")))
+    links = e.where("event_type = 'purchase'").select(F.concat(F.lit("evl_"), F.col("event_id").cast("string")).alias("event_id"),
+                                                      F.lit("invoice_payment.paid").alias("event_type"), F.col("ts").alias("created"), link.alias("data"))
+    again = main.where("k % 10 = 0").select("event_id", "event_type", (F.col("created") + F.expr("interval 60 seconds")).alias("created"),
+                                            F.regexp_replace("data", '"pending_webhooks":[0-9]+', '"pending_webhooks":9').alias("data"))
+    return main.drop("k", "n").unionByName(links).unionByName(again)
+
+
+def webhooks_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider B webhooks made of orders and their lines: two cumulative snapshots per order."""
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+               "l_tax", "l_extendedprice", "l_shipdate")
+    o = table(spark, sf_dir, "orders")
+    final = F.when(F.col("l_returnflag") == "A", "auth_failed").when(F.col("l_returnflag") == "N", "settle_ok").otherwise("refunded")
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+    def order(status):
+        return F.struct(name.alias("k"), F.struct(
+            status.alias("status"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
+            F.when(F.col("l_tax") >= 0.01, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("processed_at"),
+            F.col("l_linenumber").alias("retry_attempt")).alias("v"))
+
+    # a payload holds the lines of one order, a handful by the nature of an order
+    g = li.groupBy("l_orderkey").agg(F.collect_list(order(F.lit("processing"))).alias("m0"), F.collect_list(order(final)).alias("m1"))
+    j = o.join(g, o.o_orderkey == g.l_orderkey)
+    c = F.col("o_custkey")
+    msg = (F.when(c % 4 == 0, "Cancellation by support").when(c % 4 == 1, "Card Token has expired").when(c % 4 == 2, "Fraud Alert received")
+           .otherwise("Something else"))
+    product = F.element_at(F.array(*[F.lit(x) for x in ("Weekly plan", "Monthly plan", "Annual plan", "Daily plan", "Plan")]), (c % 5 + 1).cast("int"))
+    kind = (F.when(F.col("o_orderpriority") == "1-URGENT", "create").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "expire")
+            .when(F.col("o_orderpriority") == "5-LOW", "cancel").otherwise("renew"))
+    j = j.withColumn("second", F.explode(F.array(F.lit(False), F.lit(True))))
+    orders = F.map_from_entries(F.when(F.col("second"), F.col("m1")).otherwise(F.col("m0")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    body = F.struct(
+        F.struct(F.concat(F.lit("sb_"), c.cast("string")).alias("id"), F.when(F.col("o_orderstatus") == "P", "redemption").otherwise("active").alias("status"),
+                 F.when(c % 3 != 0, day).alias("started_at"),
+                 F.when(F.col("o_orderstatus") == "F", F.date_format(F.col("o_orderdate") + F.expr("interval 30 days"), "yyyy-MM-dd HH:mm:ss")).alias("expired_at"),
+                 msg.alias("cancel_message")).alias("subscription"),
+        F.struct(F.concat(F.lit("U"), c.cast("string"), F.lit("@X")).alias("customer_email"), F.concat(F.lit("acc_"), c.cast("string")).alias("customer_account_id")).alias("customer"),
+        F.struct(product.alias("name"), F.concat(F.lit("p"), (c % 7).cast("string")).alias("product_id")).alias("product"),
+        F.create_map(F.concat(F.lit("inv_"), F.col("o_orderkey").cast("string")), F.struct(orders.alias("orders"))).alias("invoices"))
+    return j.select((F.col("o_orderkey") * 2 + F.col("second").cast("int")).alias("event_id"),
+                    F.when(F.col("second"), kind).otherwise("update").alias("event_type"),
+                    F.when(F.col("second"), F.col("o_orderdate") + F.expr("interval 1 day")).otherwise(F.col("o_orderdate")).alias("created"),
+                    F.to_json(body).alias("data"))
