@@ -103,7 +103,7 @@ def paid_invoices(spark, d):
 # ------------------------------------------------------------------ provider B
 EB = """WITH sb AS (SELECT o_orderkey AS ok, 'sb_' || o_custkey AS sub, o_custkey AS c, o_orderdate AS od, o_orderstatus AS os, CASE o_orderpriority WHEN '1-URGENT' THEN 'create' WHEN '4-NOT SPECIFIED' THEN 'expire' WHEN '5-LOW' THEN 'cancel' ELSE 'renew' END AS kind,
    CASE o_custkey % 4 WHEN 0 THEN 'voluntary' WHEN 1 THEN 'involuntary' WHEN 2 THEN 'fraud' ELSE 'unknown' END AS churn FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
- ol AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS order_id, sub, 'inv_' || ok AS inv, CASE l_returnflag WHEN 'A' THEN 'auth_failed' WHEN 'N' THEN 'settle_ok' ELSE 'refunded' END AS st, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+ ol AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS order_id, sub, 'inv_' || ok AS inv, CASE l_returnflag WHEN 'A' THEN 'auth_failed' WHEN 'N' THEN 'settle_ok' ELSE 'refunded' END AS st, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
    CASE WHEN l_tax >= 0.01 THEN l_shipdate END AS pr, l_linenumber::BIGINT AS retry FROM lineitem JOIN sb ON ok = l_orderkey)"""
 
 

@@ -164,11 +164,13 @@ def webhooks_b(spark: SparkSession, sf_dir: str) -> DataFrame:
                "l_tax", "l_extendedprice", "l_shipdate")
     o = table(spark, sf_dir, "orders")
     final = F.when(F.col("l_returnflag") == "A", "auth_failed").when(F.col("l_returnflag") == "N", "settle_ok").otherwise("refunded")
-    name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    # order and line number repeat in these tables; with part, supplier and price a line is unique
+    name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"))
 
     def order(status):
         return F.struct(name.alias("k"), F.struct(
-            status.alias("status"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
+            status.alias("status"), cents.alias("amount"),
             F.when(F.col("l_tax") >= 0.01, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")).alias("processed_at"),
             F.col("l_linenumber").alias("retry_attempt")).alias("v"))
 
