@@ -205,12 +205,13 @@ def calendar_inventory(mx: DataFrame, cutoffs: Sequence[str], p: Params, young_f
     return a.withColumn("evaluable", F.col("with_fact") & ~F.coalesce("crash", F.lit(False)))
 
 
-def inventory_counts(inventory: DataFrame, mx: DataFrame) -> DataFrame:
-    """Candidates per cut-off and rows to train on."""
+def inventory_counts(inventory: DataFrame, mx: DataFrame, cutoffs: Sequence[str]) -> DataFrame:
+    """Candidates per cut-off and rows to train on (rows are counted per day first)."""
     c = inventory.groupBy("t").agg(F.count_if("young").alias("young_candidates"), F.count_if("with_fact").alias("with_fact"),
                                    F.count_if("evaluable").alias("evaluable"))
     days = mx.groupBy(F.to_date("pay_ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    rows = c.select("t").join(days, F.col("day") < F.to_date("t")).groupBy("t").agg(F.sum("n").alias("train_rows"))
+    t = F.explode(F.array(*[F.lit(x).cast("timestamp") for x in cutoffs]))
+    rows = days.withColumn("t", t).where(F.col("day") < F.to_date("t")).groupBy("t").agg(F.sum("n").alias("train_rows"))
     return c.join(rows, "t", "left")
 
 

@@ -94,9 +94,11 @@ def chain_outcome(events: DataFrame, p: Params, key: str = "sub_id") -> DataFram
 
 def first_values(events: DataFrame, key: str, cols: Sequence[str], order: Sequence[str] = ("ts", "tie")) -> DataFrame:
     """First non-null value of each column per key, in time order."""
-    o = F.struct(*order)
-    return events.groupBy(key).agg(*[
-        F.min_by(c, F.when(F.col(c).isNotNull(), o)).alias(c) for c in cols])
+    return events.groupBy(key).agg(*[first_value(c, order) for c in cols])
+
+
+def first_value(c: str, order: Sequence[str] = ("ts", "tie")) -> Column:
+    return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c)
 
 
 def plan_interval(steps: DataFrame, key: str = "sub_id", max_gap_days: float = 60.0) -> DataFrame:
@@ -151,13 +153,15 @@ def mobile_matrix(events: DataFrame, p: Params) -> DataFrame:
     """Payment-step matrix of a mobile log: app, geo and media from the first event that has them,
     age from the first event of any kind."""
     steps = step_flags(events, p).withColumn("outcome", outcome(p))
-    levers = first_values(events, "sub_id", ["app_id", "geo", "media_source"])
-    for c in ("geo", "media_source"):
-        levers = levers.withColumn(c, F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")))
-    age = observation_age(events, p)
-    attrs = (levers.join(age, "sub_id")
-             .join(trial_days(events, "trial_started", "subscription_renewed"), "sub_id", "left")
-             .join(plan_interval(steps).drop("median_gap"), "sub_id", "left"))
+    # everything known per key in one pass over the log
+    attrs = events.groupBy("sub_id").agg(
+        *[first_value(c) for c in ("app_id", "geo", "media_source")], F.min("ts").alias("first_ts"),
+        F.min(F.when(F.col("event_name") == "trial_started", F.col("ts"))).alias("_t0"),
+        F.min(F.when(F.col("event_name") == "subscription_renewed", F.col("ts"))).alias("_p0"))
+    attrs = attrs.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")) for c in ("geo", "media_source")})
+    attrs = attrs.withColumns({"trial_days": whole_days("_t0", "_p0"),
+                               "weeks_obs": periods_between(F.col("first_ts"), snapshot(events), p.period_days)})
+    attrs = attrs.join(plan_interval(steps).drop("median_gap"), "sub_id", "left")
     mx = steps.join(attrs, "sub_id").select(
         "sub_id", "step_k", F.lit("active").alias("state_from"), "outcome", "weeks_obs",
         F.col("ts").alias("pay_ts"), "days_to_next", "app_id", "geo", "media_source",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import UNIT_DAYS, days_between
@@ -137,7 +137,7 @@ def same_totals(tables: Mapping[str, DataFrame], by: str, value: str, tol: float
 def distribution(df: DataFrame, c: str) -> DataFrame:
     """Rows and share per value, the null row included."""
     g = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return g.withColumn("share", F.col("n") / df.agg(F.count(F.lit(1))).scalar())
 
 
 def crosstab(df: DataFrame, row: str, c: str, values: Sequence[str]) -> DataFrame:

@@ -8,7 +8,8 @@ from tenurekit.operators import clean as C
 from tenurekit.params import MOBILE as P
 from tenurekit.plans import sql as Q
 from tenurekit.plans.registry import query
-from tenurekit.sources.adapters import table, web_events, webhooks_a, webhooks_b
+from tenurekit.plans.stages import staged
+from tenurekit.sources.adapters import table, webhooks_a, webhooks_b
 
 GAP = 21600
 
@@ -27,7 +28,7 @@ EA = """WITH ea AS (SELECT event_id, ts, user_id AS u, event_type AS t, value, k
 
 
 def deduped_a(spark, d):
-    return C.parse_a(C.dedup_by_id(webhooks_a(spark, d)))
+    return C.parse_a(staged(spark, d, "webhooks_a_unique", lambda: C.dedup_by_id(webhooks_a(spark, d))))
 
 
 @query("dedup_by_id", "E1 W1", """SELECT 'evt_' || event_id AS event_id, epoch_us(ts) AS created_us FROM events UNION ALL SELECT 'evl_' || event_id, epoch_us(ts) FROM events WHERE event_type = 'purchase'""")
@@ -108,7 +109,11 @@ EB = """WITH sb AS (SELECT o_orderkey AS ok, 'sb_' || o_custkey AS sub, o_custke
 
 
 def parsed_b(spark, d):
-    return C.parse_b(C.dedup_exact(webhooks_b(spark, d)))
+    return C.parse_b(staged(spark, d, "webhooks_b_unique", lambda: C.dedup_exact(webhooks_b(spark, d))))
+
+
+def nested(spark, d):
+    return staged(spark, d, "orders_b", lambda: C.orders_b(parsed_b(spark, d)))
 
 
 @query("nested_orders", "E7 X2", f"{EB} SELECT order_id, sub AS subscription_id, inv AS invoice_id, st AS status, cents AS amount_cents, epoch_us(pr) AS processed_us, retry AS retry_attempt FROM ol")
@@ -123,7 +128,7 @@ OUTB = """o1 AS (SELECT *, sum(CASE WHEN st = 'settle_ok' AND cents > 0 THEN 1 E
 
 @query("order_outcomes", "E8 W13", f"{EB}, {OUTB} SELECT sub AS subscription_id, epoch_us(tm) AS at_us, name AS event_name, raw AS raw_event_type, cents AS amount_cents, order_id FROM o2")
 def order_outcomes(spark, d):
-    return C.order_outcomes(C.orders_b(parsed_b(spark, d)), P).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"), "event_name", "raw_event_type", "amount_cents", "order_id")
+    return C.order_outcomes(nested(spark, d), P).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"), "event_name", "raw_event_type", "amount_cents", "order_id")
 
 
 STB = """s1 AS (SELECT sub, min(od + INTERVAL 1 DAY) FILTER (kind = 'create') AS a, min(od) FILTER (c % 3 <> 0) AS b, min(od) AS f FROM sb GROUP BY 1),
@@ -159,8 +164,7 @@ TERM = """t1 AS (SELECT sub, max(pr) AS last FROM ol WHERE st = 'settle_ok' GROU
 
 @query("terminal_events", "E12 F9 X9 X13", f"{EB}, {TERM} SELECT eid AS event_id, sub AS subscription_id, epoch_us(tm) AS at_us, kind AS raw_event_type, churn AS churn_type, epoch_us(sig) AS signal_us FROM t3")
 def terminal_events(spark, d):
-    p = cut(parsed_b(spark, d))
-    t = C.terminals(C.flat_b(p), C.orders_b(p))
+    t = C.terminals(C.flat_b(parsed_b(spark, d)), nested(spark, d))
     return t.select("event_id", "subscription_id", F.unix_micros("event_datetime").alias("at_us"), "raw_event_type", "churn_type", F.unix_micros("churn_signal_datetime").alias("signal_us"))
 
 
@@ -168,7 +172,7 @@ def terminal_events(spark, d):
  g2 AS (SELECT sub, median(gap) AS gap FROM g1 WHERE gap IS NOT NULL GROUP BY 1)
  SELECT sub AS subscription_id, round(gap, 6) AS median_gap, CASE least(abs(gap - 1), abs(gap - 7), abs(gap - 30), abs(gap - 365)) WHEN abs(gap - 1) THEN 'day' WHEN abs(gap - 7) THEN 'week' WHEN abs(gap - 30) THEN 'month' ELSE 'year' END AS interval_unit FROM g2""")
 def cadence(spark, d):
-    return C.cadence(C.order_outcomes(C.orders_b(parsed_b(spark, d)), P), P).withColumn("median_gap", r6("median_gap"))
+    return C.cadence(C.order_outcomes(nested(spark, d), P), P).withColumn("median_gap", r6("median_gap"))
 
 
 ATT = """WITH al AS (SELECT 'u' || user_id AS email, ts AS event_date, CASE WHEN k % 5 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 'US' ELSE 'C' || (k % 3) END AS country, 'm' || (k % 4) AS utm_source, 'c' || k AS campaign_name FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
@@ -220,11 +224,11 @@ def reclassified_apps(spark, d):
 @query("qa_flags", "E15", f"""{EB}, {OUTB}, n1 AS (SELECT sub, count(*) AS n FROM o2 WHERE name IN ('trial_converted', 'subscription_renewed') GROUP BY 1)
  SELECT s.sub AS subscription_id, coalesce(n, 0) AS n_payments, any_value(c) % 5 = 3 OR coalesce(n, 0) > 20 OR 'u' || any_value(c) LIKE '%99%' AS is_qa FROM sb s LEFT JOIN n1 USING (sub) GROUP BY s.sub, n""")
 def qa_flags(spark, d):
-    p = cut(parsed_b(spark, d))
+    p = parsed_b(spark, d)
     from tenurekit.functions.exprs import interval_word
     subs = C.flat_b(p).groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("email").alias("e")).select(
         "subscription_id", interval_word("pn").alias("interval_unit"), F.when(F.regexp_replace(F.split("e", "@")[0], "u", "").contains("99"), "Test-src").otherwise("x").alias("utm_source"))
-    pay = C.order_outcomes(C.orders_b(p), P).where("event_name in ('trial_converted', 'subscription_renewed')")
+    pay = C.order_outcomes(nested(spark, d), P).where("event_name in ('trial_converted', 'subscription_renewed')")
     return C.qa_flags(subs, pay, 20).select("subscription_id", "n_payments", "is_qa")
 
 
@@ -237,9 +241,12 @@ SILV = f"""{EA}, {OUTA}, {STA}, {RFA}, {EB.split('WITH ', 1)[1]}, {OUTB}, {STB},
 
 
 def silver(spark, d):
-    a = cut(deduped_a(spark, d))
-    b = cut(parsed_b(spark, d))
-    inv, flat, orders = C.invoice_rows(a), C.flat_b(b), cut(C.orders_b(b))
+    return staged(spark, d, "silver", lambda: _silver(spark, d))
+
+
+def _silver(spark, d):
+    a, b = cut(deduped_a(spark, d)), parsed_b(spark, d)
+    inv, flat, orders = C.invoice_rows(a), C.flat_b(b), nested(spark, d)
     return C.assemble({
         "provider_a": [outcomes_a(a), C.state_events(C.subscription_events(a)), C.refunds_a(a, inv)],
         "provider_b": [C.order_outcomes(orders, P), C.starts_b(flat), C.terminals(flat, orders), C.entry_edges(flat, P)]})

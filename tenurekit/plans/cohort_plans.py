@@ -11,16 +11,17 @@ from tenurekit.operators import ladder as L
 from tenurekit.params import ORDERS
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
-from tenurekit.plans.ladder_plans import OMX, orders_mx
+from tenurekit.plans.ladder_plans import OMX, order_log, orders_mx
 from tenurekit.plans.registry import query
-from tenurekit.sources.adapters import order_events, table, web_events
+from tenurekit.plans.stages import staged
+from tenurekit.sources.adapters import web_events
 
 PRICE, TOL, FULL = 25.0, 20.0, 5.0
 BASE = ("subscription_started",)
 
 
 def golden(spark, d):
-    e = web_events(spark, d)
+    e = staged(spark, d, "web_log", lambda: web_events(spark, d))
     return e.select(F.lower("email").alias("sub_id"), F.col("event_type").alias("event_name"), "ts",
                     F.col("amt").alias("amount"), "tie", F.col("subscription_key").alias("price_id"), "payment_provider")
 
@@ -31,9 +32,11 @@ def members(spark, d, e=None):
 
 
 def facts(spark, d):
-    e = golden(spark, d)
-    np_ = K.numbered_payments(e, BASE, PRICE, TOL, P)
-    return K.cohort_facts(np_, members(spark, d, e), L.snapshot(e), P)
+    def build():
+        e = golden(spark, d)
+        return K.cohort_facts(K.numbered_payments(e, BASE, PRICE, TOL, P), members(spark, d, e), L.snapshot(e), P)
+
+    return staged(spark, d, "cohort_facts", build)
 
 
 GO = f"""WITH {Q.WE}, go AS (SELECT lower(email) AS sub_id, event_type AS event_name, ts, amt AS amount, tie, subscription_key AS price_id, payment_provider FROM we),
@@ -102,7 +105,7 @@ def cohort_coverage(spark, d):
     e = golden(spark, d)
     starts = K.subscription_starts(e, "trial_started")
     plan = K.price_cohort(e, starts, PRICE, TOL, FULL)
-    keys = order_events(spark, d).where("kind = 'pay' and amount > 50000").select(F.concat(F.lit("u"), F.col("sub_id").cast("string"), F.lit("@mail")).alias("sub_id"))
+    keys = order_log(spark, d).where("kind = 'pay' and amount > 50000").select(F.concat(F.lit("u"), F.col("sub_id").cast("string"), F.lit("@mail")).alias("sub_id"))
     s = K.coverage_summary(K.coverage(starts, plan, K.numbered_payments(e, BASE, PRICE, TOL, P), keys))
     return s.withColumns({"first_pay_rate": r6("first_pay_rate"), "matrix_coverage": r6("matrix_coverage")})
 
@@ -113,7 +116,7 @@ ARPU = f"""{OMX}, pay1 AS (SELECT sub_id, ts, avg(amount / 1000) AS a FROM oe WH
 
 
 def order_payments(spark, d):
-    return order_events(spark, d).where("kind = 'pay'").select("sub_id", "ts", "tie", (F.col("amount") / 1000).alias("amount"), "media_source", "app_id")
+    return order_log(spark, d).where("kind = 'pay'").select("sub_id", "ts", "tie", (F.col("amount") / 1000).alias("amount"), "media_source", "app_id")
 
 
 @query("arpu_by_step", "P20 J7 W8", f"{ARPU} SELECT step_k, round(arpu, 6) AS arpu, n FROM arp")
@@ -127,7 +130,7 @@ def arpu_by_step(spark, d):
  SELECT k, n_mature, paid_at_step, paid_at_least, paid_exactly, round(survival, 6) AS survival, round(arpu, 6) AS arpu, round(paid_at_step / n_mature, 6) AS paid_share, round(survival * arpu, 6) AS increment,
   round(sum(survival * arpu) OVER (ORDER BY k), 6) AS cumulative FROM f JOIN arp ON step_k = k""")
 def payment_funnel(spark, d):
-    mx = cut(orders_mx(spark, d))
+    mx = orders_mx(spark, d)
     f = K.payment_funnel(mx, K.arpu_by_step(mx, order_payments(spark, d), ORDERS.hmax), ORDERS)
     return f.withColumns({c: r6(c) for c in ("survival", "arpu", "paid_share", "increment", "cumulative")})
 
@@ -190,7 +193,7 @@ FITSQL = FITSQL.replace("{mob}", _mob)
 
 
 def ref_hazard(spark, d):
-    return H.portfolio_hazard(orders_mx(spark, d), ORDERS)
+    return staged(spark, d, "orders_hazard", lambda: H.portfolio_hazard(orders_mx(spark, d), ORDERS))
 
 
 def pooled(spark, d):
@@ -198,15 +201,18 @@ def pooled(spark, d):
 
 
 def fitted(spark, d):
-    ref = cut(ref_hazard(spark, d))
+    ref = ref_hazard(spark, d)
     corr = C.correction(C.log_linear_fit(pooled(spark, d), ref), ORDERS.hmax)
     return ref, corr
 
 
 def shape(spark, d):
-    ref, corr = fitted(spark, d)
-    s = C.survival_of(C.corrected_hazard(ref, corr))
-    return C.cycle_curve(C.growth_shape(s, 9.99, ORDERS.hmax, ORDERS.h_ext), 9.99, 4)
+    def build():
+        ref, corr = fitted(spark, d)
+        s = C.survival_of(C.corrected_hazard(ref, corr))
+        return C.cycle_curve(C.growth_shape(s, 9.99, ORDERS.hmax, ORDERS.h_ext), 9.99, 4)
+
+    return staged(spark, d, "growth_shape", build)
 
 
 @query("pooled_hazard", "C1 W2", f"{POOL} SELECT k, n_at_risk, died, round(h, 6) AS h FROM ph")

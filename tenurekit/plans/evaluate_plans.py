@@ -18,8 +18,9 @@ from tenurekit.plans import sql as Q
 from tenurekit.plans.cohort_plans import FITSQL, POOL, facts, golden, members, ref_hazard
 from tenurekit.plans.hazard_plans import COMBO, EMP, FIT, HB, MIX, WEEKS, fitted
 from tenurekit.plans.ladder_plans import OMX, orders_mx
-from tenurekit.plans.ltv_plans import CHECK, LADDER, WFIT, WMX, web, week
+from tenurekit.plans.ltv_plans import WMX, web, week
 from tenurekit.plans.registry import query
+from tenurekit.plans.stages import staged
 from tenurekit.plans.revenue_plans import HC
 
 EMPM = EMP.split(HB, 1)[1]
@@ -32,8 +33,7 @@ PRED = f"""{MIX}{COMBO}, {Q.curve('mix', 'hb', P, 'app_id, weeks')}{EMPM}, {Q.su
 
 def scored(spark, d):
     mx, st = fitted(spark, d)
-    st = H.State(cut(st.hazard), cut(st.mult))
-    return mx, st, E.score(E.all_models(mx, st, P), S.app_facts(mx, P), P)
+    return mx, st, staged(spark, d, "model_scores", lambda: E.score(E.all_models(mx, st, P), S.app_facts(mx, P), P))
 
 
 def grid_out(g):
@@ -66,8 +66,12 @@ LOO = f"""{PRED}, fo AS (SELECT app_id AS fold FROM cr WHERE NOT crash), mxf AS
   WHERE NOT crash AND mature >= {P.min_mature} AND fact > 0 AND k IN {P.horizons})"""
 
 
-def loo_scored(spark, d, mx=None):
-    mx = cut(orders_mx(spark, d)) if mx is None else mx
+def loo_scored(spark, d):
+    return staged(spark, d, "loo_scores", lambda: _loo_scored(spark, d))
+
+
+def _loo_scored(spark, d):
+    mx = orders_mx(spark, d)
     apps = cut(S.select_apps(mx, P))
     st = E.loo_fit(mx, P, apps.where("not crash").select("app_id"), apps.where("crash"))
     st = H.State(cut(st.hazard), cut(st.mult))
@@ -82,8 +86,8 @@ def loo_scores(spark, d):
 @query("loo_degradation", "V4", f"""{LOO} SELECT horizon, round(median(a.abs_err), 6) AS first, round(median(b.abs_err), 6) AS second, round(median(b.abs_err - a.abs_err), 6) AS paired_delta, count(*) AS n,
  round(median(b.abs_err) - median(a.abs_err), 6) AS degradation FROM (SELECT * FROM sc WHERE model = 'map') a JOIN scl b USING (app_id, weeks, horizon) GROUP BY 1""")
 def loo_degradation(spark, d):
-    mx, _, s = scored(spark, d)
-    out = E.paired_delta(s.where("model = 'map'"), loo_scored(spark, d, mx))
+    s = scored(spark, d)[2]
+    out = E.paired_delta(s.where("model = 'map'"), loo_scored(spark, d))
     return out.withColumns({c: r6(c) for c in ("first", "second", "paired_delta", "degradation")})
 
 
@@ -91,9 +95,9 @@ FED, OFF = (1, 2, 3, 4), (1, 2, 4)
 
 
 def web_folds(spark, d, levers=None):
-    donor = cut(ref_hazard(spark, d))
-    w = web(spark, d)
-    return E.cohort_folds(w, PW, donor, FED, OFF, min_subs=50, min_mature=30, levers=levers)
+    name = "all" if levers is None or tuple(levers) == PW.levers else "_".join(levers) or "none"
+    return staged(spark, d, f"cohort_folds_{name}", lambda: E.cohort_folds(
+        web(spark, d), PW, ref_hazard(spark, d), FED, OFF, min_subs=50, min_mature=30, levers=levers))
 
 
 FOLD_COLS = ("actual", "v2", "v3", "ltv_anchor", "ltv_actual", "ltv_v2", "ltv_v3")
@@ -116,7 +120,7 @@ def lever_study(spark, d):
 
 @query("form_comparison", "V19")
 def form_comparison(spark, d):
-    f = cut(web_folds(spark, d))
+    f = web_folds(spark, d)
     by = E.fold_summary(f, ["horizon_offset", "weeks"])
     return by.select("horizon_offset", "weeks", "n", *[r6(c).alias(c) for c in by.columns if c.endswith(("_abs", "_sign"))])
 
@@ -140,7 +144,7 @@ def quarter_mx(spark, d):
     """The orders matrix with the customer's entry quarter as the application."""
     mx = orders_mx(spark, d)
     q = mx.groupBy("sub_id").agg(F.date_format(F.date_trunc("quarter", F.min("pay_ts")), "yyyy-MM").alias("app_id"))
-    return cut(mx.drop("app_id").join(q, "sub_id"))
+    return staged(spark, d, "quarter_matrix", lambda: mx.drop("app_id").join(q, "sub_id"))
 
 
 QMX = f"""{OMX}, qa AS (SELECT sub_id, strftime(date_trunc('quarter', min(pay_ts)), '%Y-%m') AS app_id FROM mx GROUP BY 1), qm AS (SELECT mx.* EXCLUDE (app_id), qa.app_id FROM mx JOIN qa USING (sub_id)),
@@ -156,7 +160,7 @@ QMX = f"""{OMX}, qa AS (SELECT sub_id, strftime(date_trunc('quarter', min(pay_ts
  (SELECT count(*) FROM qm WHERE pay_ts < t) AS train_rows FROM iv GROUP BY t""")
 def calendar_inventory(spark, d):
     mx = quarter_mx(spark, d)
-    c = E.inventory_counts(E.calendar_inventory(mx, CUTS, PC), mx)
+    c = E.inventory_counts(E.calendar_inventory(mx, CUTS, PC), mx, CUTS)
     return c.select(F.unix_micros("t").alias("t_us"), "young_candidates", "with_fact", "evaluable", "train_rows")
 
 
@@ -178,15 +182,19 @@ CAL = f"""{QMX}, sn0 AS (SELECT t, qm.* EXCLUDE (weeks_obs), min(pay_ts) OVER (P
  ca AS (SELECT model, t, app_id, k AS horizon, s, fact, (s - fact) / fact AS signed_err FROM (SELECT 'map' AS model, t, app_id, k, s FROM cvt UNION ALL SELECT 'empirical', t, app_id, k, s FROM ev) JOIN qs USING (app_id, k) WHERE fact > 0 AND k IN {PC.horizons})"""
 
 
+def calendar_scores(spark, d):
+    return staged(spark, d, "calendar_scores", lambda: E.calendar_backtest(quarter_mx(spark, d), CUTS, PC))
+
+
 @query("calendar_backtest", "V7 M13", f"{CAL} SELECT model, epoch_us(t) AS t_us, app_id, horizon, round(s, 6) AS s, round(fact, 6) AS fact, round(signed_err, 6) AS signed_err FROM ca")
 def calendar_backtest(spark, d):
-    c = E.calendar_backtest(quarter_mx(spark, d), CUTS, PC)
+    c = calendar_scores(spark, d)
     return c.select("model", F.unix_micros("t").alias("t_us"), "app_id", "horizon", *[r6(x).alias(x) for x in ("s", "fact", "signed_err")])
 
 
 @query("step_vs_calendar", "V8 V7", f"""{CAL}, cg AS (SELECT model, horizon, median(abs(signed_err)) AS calendar_err, count(*) AS n FROM ca GROUP BY 1, 2) SELECT model, horizon, round(calendar_err, 6) AS calendar_err, n FROM cg""")
 def step_vs_calendar(spark, d):
-    c = E.calendar_backtest(quarter_mx(spark, d), CUTS, PC)
+    c = calendar_scores(spark, d)
     return E.accuracy_grid(c, ["model", "horizon"]).select("model", "horizon", r6("abs_err").alias("calendar_err"), "n")
 
 
@@ -201,8 +209,7 @@ SEG = f"""{MIX}{EMPM}, {Q.survival('mx', P, 'app_id', 'dsa')}, ga AS (SELECT raw
 
 def segment_rows(spark, d):
     mx, st = fitted(spark, d)
-    st = H.State(cut(st.hazard), cut(st.mult))
-    return E.segments(mx, st, S.select_apps(mx, P), P, 4)
+    return staged(spark, d, "segments", lambda: E.segments(mx, st, S.select_apps(mx, P), P, 4))
 
 
 @query("segment_backtest", "V9", f"""{SEG} SELECT k AS horizon, count(*) AS n, round(median(abs(map - fact) / fact), 6) AS map_err, round(median(abs(emp - fact) / fact), 6) AS emp_err, count(*) FILTER (abs(map - fact) < abs(emp - fact)) AS wins,
@@ -258,18 +265,22 @@ PROF = f"""{FITSQL}, cfa AS (SELECT *, cumr / payers AS payer_ltv, active_users
 
 
 def profile(spark, d):
+    return staged(spark, d, "error_profile", lambda: _profile(spark, d))
+
+
+def _profile(spark, d):
     from tenurekit.operators import calibrate as C
     from tenurekit.plans.cohort_plans import fitted as corrected
-    f = cut(K.admitted(facts(spark, d)))
+    f = K.admitted(facts(spark, d))
     ref, corr = corrected(spark, d)
     s = C.survival_of(C.corrected_hazard(ref, corr)).agg(F.collect_list(F.struct("k", "s"))).scalar()
     per = f.select("cohort").distinct().withColumn("_s", s).select("cohort", F.explode("_s").alias("r")).select("cohort", "r.*")
     return E.error_profile(f, per)
 
 
-@query("error_profile", "V14 V20", f"{PROF} SELECT cohort, rebill_number, round(payer_ltv, 4) AS payer_ltv, round(model_ltv, 6) AS model_ltv, round((model_ltv - payer_ltv) / payer_ltv * 100, 6) AS signed_err FROM pf")
+@query("error_profile", "V14 V20", f"{PROF} SELECT cohort, rebill_number, round(payer_ltv, 4) AS payer_ltv, round(model_ltv, 8) AS model_ltv, round((model_ltv - payer_ltv) / payer_ltv * 100, 6) AS signed_err FROM pf")
 def error_profile(spark, d):
-    return profile(spark, d).select("cohort", "rebill_number", F.round("payer_ltv", 4).alias("payer_ltv"), r6("model_ltv").alias("model_ltv"), r6("signed_err").alias("signed_err"))
+    return profile(spark, d).select("cohort", "rebill_number", F.round("payer_ltv", 4).alias("payer_ltv"), F.round("model_ltv", 8).alias("model_ltv"), r6("signed_err").alias("signed_err"))
 
 
 @query("error_stability", "V14", f"""{PROF}, pe AS (SELECT rebill_number, (model_ltv - payer_ltv) / payer_ltv * 100 AS e FROM pf)
@@ -294,7 +305,7 @@ def residual_slope(spark, d):
  q4 AS (SELECT cohort, (s - active_users / payers) / (active_users / payers) * 100 AS e FROM ad JOIN q3 USING (cohort, rebill_number) WHERE rebill_number >= 1 AND active_users > 0)
  SELECT cohort, round(avg(e), 6) AS mean_signed, round(avg(abs(e)), 6) AS mean_abs, count(*) AS n FROM q4 GROUP BY 1""")
 def correction_folds(spark, d):
-    out = E.correction_folds(cut(K.admitted(facts(spark, d))), cut(ref_hazard(spark, d)), P.hmax)
+    out = E.correction_folds(K.admitted(facts(spark, d)), ref_hazard(spark, d), P.hmax)
     return out.withColumns({"mean_signed": r6("mean_signed"), "mean_abs": r6("mean_abs")})
 
 
@@ -322,7 +333,6 @@ def top_share(spark, d):
  FROM cv JOIN hr USING (app_id, weeks) JOIN ds USING (app_id, k) JOIN cr USING (app_id) JOIN pmm USING (app_id) WHERE k = 8 AND weeks <= 2 AND NOT crash AND mature >= {P.min_mature} AND fact > 0 GROUP BY app_id, fact""")
 def ratio_sensitivity(spark, d):
     mx, st = fitted(spark, d)
-    st = H.State(cut(st.hazard), cut(st.mult))
     r = E.ratio_sensitivity(mx, st, P, 8, S.app_facts(mx, P))
     return r.select("app_id", *[r6(c).alias(c) for c in ("fact", "s_1", "s_2", "hr_1", "hr_2", "personal_mult", "ratio_step2")])
 
@@ -335,6 +345,5 @@ def ratio_sensitivity(spark, d):
  SELECT k AS horizon, round(fact, 6) AS fact, round(s, 6) AS predicted, coalesce(mature, 0) AS n_mature, round(CASE WHEN fact > 0 THEN (s - fact) / fact * 100 END, 6) AS signed_err FROM yc LEFT JOIN ys USING (k) WHERE k IN {P.horizons}""")
 def frozen_backtest(spark, d):
     mx, st = fitted(spark, d)
-    st = H.State(cut(st.hazard), cut(st.mult))
     f = E.frozen_backtest(mx, st, "1996-06-01", "1995-04-01", "1995-12-01", P)
     return f.withColumns({c: r6(c) for c in ("fact", "predicted", "signed_err")})

@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
-from tenurekit.functions.ordered import cut
 from tenurekit.operators import hazard as H
 from tenurekit.operators import survival as S
 from tenurekit.params import ORDERS
 from tenurekit.plans import sql as Q
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.registry import query
+from tenurekit.plans.stages import staged
 
 P = ORDERS
 WEEKS = P.seen_weeks
@@ -21,8 +21,11 @@ COMBO = """, mix AS (SELECT app_id, weeks, geo, media_source, billday_bin, count
 
 
 def fitted(spark, d):
-    mx = cut(orders_mx(spark, d))
-    return mx, H.fit(mx, P, S.select_apps(mx, P).where("crash"))
+    mx = orders_mx(spark, d)
+    h = staged(spark, d, "orders_hazard", lambda: H.portfolio_hazard(mx, P))
+    mult = staged(spark, d, "orders_multipliers", lambda: H.residual_multipliers(
+        H.clean_cells(mx, P, S.select_apps(mx, P).where("crash")), h, P))
+    return mx, H.State(h, mult)
 
 
 @query("portfolio_hazard", "H1 A4", f"{HB} SELECT step_k, round(h, 6) AS h FROM hb")
@@ -93,7 +96,7 @@ EMP = f"""{HB}, er AS (SELECT app_id, weeks, sum(na) AS n_seen, exp(coalesce(sum
 
 @query("empirical_predict", "H12", f"{EMP} SELECT app_id, weeks, k, round(s, 6) AS s FROM ec")
 def empirical_predict(spark, d):
-    return H.empirical_predict(cut(orders_mx(spark, d)), P, ["app_id"], WEEKS).withColumn("s", r6("s"))
+    return H.empirical_predict(orders_mx(spark, d), P, ["app_id"], WEEKS).withColumn("s", r6("s"))
 
 
 SPL = f"""{OMX}, ownr AS (SELECT * FROM mx WHERE geo IN ('NATION_1', 'NATION_2', 'NATION_3')),
@@ -108,7 +111,7 @@ SPL = f"""{OMX}, ownr AS (SELECT * FROM mx WHERE geo IN ('NATION_1', 'NATION_2',
 
 @query("spliced_hazard", "H3 W8", f"{SPL} SELECT step_k, k_max, round(h, 6) AS h FROM sp")
 def spliced_hazard(spark, d):
-    mx = cut(orders_mx(spark, d))
+    mx = orders_mx(spark, d)
     own = H.portfolio_hazard(mx.where(F.col("geo").isin("NATION_1", "NATION_2", "NATION_3")), P)
     return H.splice_hazard(own, P, H.portfolio_hazard(mx, P)).select("step_k", "k_max", r6("h").alias("h"))
 

@@ -2,23 +2,27 @@
 
 from pyspark.sql import functions as F
 
-from tenurekit.functions.exprs import epoch, long, r6
+from tenurekit.functions.exprs import epoch, r6
 from tenurekit.operators import ladder as L
 from tenurekit.operators import survival as S
 from tenurekit.params import ORDERS, USERS
 from tenurekit.plans import sql as Q
 from tenurekit.plans.registry import query
+from tenurekit.plans.stages import staged
 from tenurekit.sources.adapters import order_events, sub_events
 
-US = "epoch_us"
-
 
 def users_mx(spark, d):
     return L.mobile_matrix(sub_events(spark, d), USERS)
 
 
 def orders_mx(spark, d):
-    return L.mobile_matrix(order_events(spark, d), ORDERS)
+    # log and matrix are stored once, as they would be; later steps read the columns they need
+    return staged(spark, d, "orders_matrix", lambda: L.mobile_matrix(order_log(spark, d), ORDERS))
+
+
+def order_log(spark, d):
+    return staged(spark, d, "order_log", lambda: order_events(spark, d))
 
 
 OMX = f"WITH {Q.OE}, {Q.mobile_mx('oe', ORDERS)}"

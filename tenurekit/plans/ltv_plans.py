@@ -16,7 +16,7 @@ from tenurekit.plans import sql as Q
 from tenurekit.plans.ladder_plans import orders_mx
 from tenurekit.plans.registry import query
 from tenurekit.plans.revenue_plans import HC, POP, web_log, web_pop
-from tenurekit.sources.adapters import web_events
+from tenurekit.plans.stages import staged
 
 SETTLE = 2  # ceil(return_days / period_days) of P
 
@@ -54,20 +54,22 @@ WHR = f"{WFIT}, {Q.first_levers('lv', P, 'app_id')}, {Q.personal('fl1', 'mu', P,
 
 
 def web(spark, d) -> V.Web:
-    return V.prepare(web_events(spark, d), P, cohort_unit="quarter")
+    ev, pop = web_log(spark, d), web_pop(spark, d)
+    mx = staged(spark, d, "web_matrix", lambda: L.web_matrix(ev, pop, P))
+    return V.Web(ev, pop, mx, pop.agg(F.max("age_weeks_now")).scalar())
 
 
 def web_state(spark, d, w: V.Web) -> H.State:
-    donor = H.portfolio_hazard(orders_mx(spark, d), ORDERS)
-    st = H.fit(L.training_rows(w.mx), P, donor=donor, splice=True)
-    return H.State(cut(st.hazard), cut(st.mult))
+    train = L.training_rows(w.mx)
+    h = staged(spark, d, "web_hazard", lambda: H.splice_hazard(
+        H.portfolio_hazard(train, P), P, H.portfolio_hazard(orders_mx(spark, d), ORDERS)))
+    return H.State(h, staged(spark, d, "web_multipliers", lambda: H.residual_multipliers(H.clean_cells(train, P), h, P)))
 
 
 @query("web_matrix", "M10 M11 M7", f"""{WMX} SELECT sub_id, step_k, outcome, round(weeks_obs, 6) AS weeks_obs, round(days_to_next, 6) AS days_to_next, app_id, geo, media_source,
  plan_interval, trial_days, cohort_month, billing_day_of_month, funnel, evaluable FROM wmx""")
 def web_matrix(spark, d):
-    ev = web_log(spark, d)
-    mx = L.web_matrix(ev, web_pop(ev), P)
+    mx = web(spark, d).mx
     return mx.select("sub_id", "step_k", "outcome", r6("weeks_obs").alias("weeks_obs"), r6("days_to_next").alias("days_to_next"), "app_id", "geo",
                      "media_source", "plan_interval", "trial_days", "cohort_month", "billing_day_of_month", "funnel", "evaluable")
 
@@ -114,21 +116,21 @@ def rates_sql(dims: str) -> str:
 @query("weekly_payers", "P16 U2", f"""{POP}, {LADDER} SELECT cohort_date, {week()} AS week, count(DISTINCT session_id) AS payers FROM ld JOIN pop USING (session_id)
  WHERE {week()} <= {P.h_ext} GROUP BY 1, 2""")
 def weekly_payers(spark, d):
-    ev = cut(web_log(spark, d))
-    return V.weekly_payers(V.base_ladder(ev, P), web_pop(ev), P, ["cohort_date"])
+    ev = web_log(spark, d)
+    return V.weekly_payers(V.base_ladder(ev, P), web_pop(spark, d), P, ["cohort_date"])
 
 
 @query("checkpoint_observations", "H18", f"{POP}, {CHECK} SELECT session_id, week, paid_ups::BIGINT AS paid_ups FROM ob")
 def checkpoint_observations(spark, d):
-    ev = cut(web_log(spark, d))
-    pop = web_pop(ev).where(F.col("age_weeks_now") >= P.min_age)
+    ev = web_log(spark, d)
+    pop = web_pop(spark, d).where(F.col("age_weeks_now") >= P.min_age)
     return V.checkpoint_observations(ev, pop, V.base_ladder(ev, P), P)
 
 
 @query("attach_rates", "H19", f"{POP}, {CHECK}, {rates_sql('cohort_date')} SELECT cohort_date, n_obs, round(share_ups, 6) AS share_ups FROM ar")
 def attach_rates(spark, d):
-    ev = cut(web_log(spark, d))
-    pop = cut(web_pop(ev).where(F.col("age_weeks_now") >= P.min_age))
+    ev = web_log(spark, d)
+    pop = (web_pop(spark, d).where(F.col("age_weeks_now") >= P.min_age))
     obs = cut(V.checkpoint_observations(ev, pop, V.base_ladder(ev, P), P))
     return V.attach_rates(obs, pop, P, ["cohort_date"]).select("cohort_date", "n_obs", r6("share_ups").alias("share_ups"))
 

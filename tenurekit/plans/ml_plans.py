@@ -10,7 +10,7 @@ from tenurekit.plans.registry import query
 
 
 def model(spark, d):
-    mx = cut(orders_mx(spark, d))
+    mx = orders_mx(spark, d)
     return mx, M.fit(mx, P)
 
 
@@ -50,16 +50,16 @@ def equal_app_logistic(spark, d):
 
 @query("feature_baseline", "H17")
 def feature_baseline(spark, d):
-    b = M.baseline(cut(orders_mx(spark, d)), P)
+    b = M.baseline(orders_mx(spark, d), P)
     return b.scores.select(*[F.round(c, 5).alias(c) for c in ("auc", "log_loss", "brier", "base_rate")], "n")
 
 
 @query("baseline_steps", "H17")
 def baseline_steps(spark, d):
-    return M.baseline(cut(orders_mx(spark, d)), P).steps.select("step_bin", F.round("coefficient", 5).alias("coefficient"))
+    return M.baseline(orders_mx(spark, d), P).steps.select("step_bin", F.round("coefficient", 5).alias("coefficient"))
 
 
 @query("decile_calibration", "A15")
 def decile_calibration(spark, d):
-    b = M.baseline(cut(orders_mx(spark, d)), P)
+    b = M.baseline(orders_mx(spark, d), P)
     return b.calibration.select("bin", F.round("pred", 5).alias("pred"), F.round("real", 5).alias("real"), "n")

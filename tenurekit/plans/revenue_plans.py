@@ -8,6 +8,7 @@ from tenurekit.operators import revenue as R
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
 from tenurekit.plans.registry import query
+from tenurekit.plans.stages import staged
 from tenurekit.sources.adapters import refund_events, table, web_events
 
 PRICE = 20000.0
@@ -57,11 +58,14 @@ POP = f"{WEB}, {POPSQL}, {REVSQL}"
 
 
 def web_log(spark, d, grain="person"):
-    return R.load_events(web_events(spark, d), P, grain)
+    raw = staged(spark, d, "web_log", lambda: web_events(spark, d))
+    return staged(spark, d, f"web_events_{grain}", lambda: R.load_events(raw, P, grain))
 
 
-def web_pop(ev):
-    return N.attach_revenue(N.build_population(ev, P, cohort_unit="quarter"), R.revenue_by_key(ev, P))
+def web_pop(spark, d):
+    ev = web_log(spark, d)
+    return staged(spark, d, "web_population", lambda: N.attach_revenue(
+        N.build_population(ev, P, cohort_unit="quarter"), R.revenue_by_key(ev, P)))
 
 
 @query("base_upsell_split", "R1", f"{REF} SELECT event_name, count(*) AS n, round(sum(base_amt), 2) AS base, round(sum(price_amount - base_amt), 2) AS ups FROM paid GROUP BY 1")
@@ -204,12 +208,12 @@ def population_window(spark, d):
 
 @query("population_revenue", "P3 J1", f"{POP} SELECT session_id, round(base_net, 6) AS base_net, round(total_net, 6) AS total_net, has_ups, has_paid_trial, has_base, paid_anything FROM pop")
 def population_revenue(spark, d):
-    return web_pop(web_log(spark, d)).select("session_id", r6("base_net").alias("base_net"), r6("total_net").alias("total_net"), "has_ups", "has_paid_trial", "has_base", "paid_anything")
+    return web_pop(spark, d).select("session_id", r6("base_net").alias("base_net"), r6("total_net").alias("total_net"), "has_ups", "has_paid_trial", "has_base", "paid_anything")
 
 
 @query("denominators", "P4", f"{POP} SELECT cohort_date, count(*) AS n_attributed, count(*) FILTER (total_net > 0) AS n_payers FROM pop GROUP BY 1")
 def denominators(spark, d):
-    return N.denominators(web_pop(web_log(spark, d)), ["cohort_date"])
+    return N.denominators(web_pop(spark, d), ["cohort_date"])
 
 
 @query("maturity_report", "P5", f"{POP} SELECT a AS min_age, count(*) AS n_before, count(*) FILTER (age_weeks_now >= a) AS n_after FROM pop JOIN (SELECT unnest([1, 3, 18])::BIGINT AS a) g ON true GROUP BY 1")

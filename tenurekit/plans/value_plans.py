@@ -18,11 +18,11 @@ from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
 from tenurekit.plans.cohort_plans import FITSQL, averaged, curve_parts, decay_sql, facts, golden, members, ref_hazard, shape, smooth_sql
 from tenurekit.plans.hazard_plans import COMBO, FIT, MIX, fitted
-from tenurekit.plans.ladder_plans import OMX
+from tenurekit.plans.ladder_plans import order_log
 from tenurekit.plans.ltv_plans import is_check, table_sql, web, web_state, week
 from tenurekit.plans.registry import query
 from tenurekit.plans.revenue_plans import HC, POP, WEB, web_log, web_pop
-from tenurekit.sources.adapters import order_events
+from tenurekit.plans.stages import staged
 
 HZ = ORDERS.report_horizons
 CURVE = f"{MIX}{COMBO}, {Q.curve('mix', 'hb', ORDERS, 'app_id, weeks')}, c4 AS (SELECT * FROM cv WHERE weeks = 4)"
@@ -31,7 +31,8 @@ PAY = f"(0.9 * {ORDERS.net_base_price} * s + CASE WHEN (k >= 2 AND (k - 2) % 4 =
 
 def app_curves(spark, d):
     mx, st = fitted(spark, d)
-    return H.predict(mx, st, ORDERS, ["app_id"], ORDERS.seen_weeks).where("weeks = 4").drop("weeks")
+    c = staged(spark, d, "map_curves", lambda: H.predict(mx, st, ORDERS, ["app_id"], ORDERS.seen_weeks))
+    return c.where("weeks = 4").drop("weeks")
 
 
 def app_anchors(curves):
@@ -41,13 +42,13 @@ def app_anchors(curves):
 
 @query("projected_increment", "L1", f"{CURVE} SELECT app_id, h AS horizon, round(sum({PAY}), 6) AS increment FROM c4 JOIN (SELECT unnest([6, 8, 12])::BIGINT AS h) g ON k > 4 AND k <= h GROUP BY 1, 2")
 def projected_increment(spark, d):
-    c = cut(app_curves(spark, d))
+    c = app_curves(spark, d)
     return V.project_increment(c, app_anchors(c), (6, 8, 12), ORDERS, ["app_id"]).withColumn("increment", r6("increment"))
 
 
 @query("ltv_curve", "L2", f"{CURVE} SELECT app_id, k, round(50.0 + sum(CASE WHEN k > 4 THEN {PAY} ELSE 0 END) OVER (PARTITION BY app_id ORDER BY k), 6) AS ltv FROM c4 WHERE k >= 4")
 def ltv_curve(spark, d):
-    c = cut(app_curves(spark, d))
+    c = app_curves(spark, d)
     return V.ltv_curve(c, app_anchors(c), ORDERS, ["app_id"]).withColumn("ltv", r6("ltv"))
 
 
@@ -75,8 +76,7 @@ def forecast_by_age(spark, d):
  ow AS (SELECT week, count(*) AS n_all, count(*) FILTER (has_base) AS n_base, avg(c) AS a, avg(c) FILTER (has_base) AS b FROM pm_ GROUP BY 1)
  SELECT week, n_all, n_base, round(a, 5) AS ltv_all, round(b, 5) AS ltv_base FROM (SELECT *, min(CASE WHEN n_all >= 1000 THEN 1 ELSE 0 END) OVER (ORDER BY week) AS ok FROM ow) WHERE ok = 1""")
 def observed_by_week(spark, d):
-    ev = cut(web_log(spark, d))
-    pop = cut(web_pop(ev))
+    ev, pop = web_log(spark, d), web_pop(spark, d)
     o = V.observed_by_week(pop, R.weekly_net(ev, pop, P), P, 20, 1000)
     return o.withColumns({"ltv_all": F.round("ltv_all", 5), "ltv_base": F.round("ltv_base", 5)})
 
@@ -102,8 +102,7 @@ RT = f"""{POP}, {first_go(FITSQL).replace(Q.WE + ', ', '', 1)}, pn AS (SELECT se
 
 @query("ratio_table", "L5 C6 C7", RT)
 def ratio_table(spark, d):
-    ev = cut(web_log(spark, d))
-    pop = cut(web_pop(ev))
+    ev, pop = web_log(spark, d), web_pop(spark, d)
     two = pop.withColumn("total_net", F.col("base_net") + F.col("ups_net"))
     wk = R.weekly_net(ev, pop, P, ["session_id"], (R.BASE, R.UPSELL)).withColumn("net_ups", F.col("net") - F.col("net_base"))
     sh = cut(shape(spark, d).select("k", "value", "ups_value"))
@@ -113,7 +112,7 @@ def ratio_table(spark, d):
 
 @query("walk_forward", "L11")
 def walk_forward(spark, d):
-    donor = cut(ref_hazard(spark, d))
+    donor = ref_hazard(spark, d)
     w = web(spark, d)
     folds = S.payers(w.mx).where("payers >= 50")
     st = E.loo_fit(L.training_rows(w.mx), P, folds, donor=donor, splice=True)
@@ -137,10 +136,9 @@ VIN = f"""{FIT}, vf AS (SELECT sub_id, min(pay_ts) AS f FROM mx GROUP BY 1 HAVIN
 @query("vintage_forecasts", "V20 C8 M14", VIN)
 def vintage_forecasts(spark, d):
     mx, st = fitted(spark, d)
-    st = H.State(cut(st.hazard), cut(st.mult))
     first = mx.groupBy("sub_id").agg(F.min("pay_ts").alias("f")).where("f >= timestamp'1995-04-01' and f < timestamp'1995-07-01'")
     co = cut(mx.join(first.select("sub_id"), "sub_id", "left_semi"))
-    pay = order_events(spark, d).where("kind = 'pay'").select("sub_id", "tie", (F.col("amount") / 1000).alias("amount"))
+    pay = order_log(spark, d).where("kind = 'pay'").select("sub_id", "tie", (F.col("amount") / 1000).alias("amount"))
     per = co.join(pay, ["sub_id", "tie"]).groupBy((F.col("step_k") - 1).alias("rebill_number")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("rev"))
     from pyspark.sql import Window
     w = Window.partitionBy(F.lit(0)).orderBy("rebill_number")
@@ -157,7 +155,7 @@ PROV = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 def pays(spark, d):
-    return order_events(spark, d).where("kind = 'pay'").select("sub_id", "ts", "tie", (F.col("amount") / 1000).alias("amount"), F.col("media_source").alias("provider"))
+    return order_log(spark, d).where("kind = 'pay'").select("sub_id", "ts", "tie", (F.col("amount") / 1000).alias("amount"), F.col("media_source").alias("provider"))
 
 
 @query("monthly_revenue", "B1 A12", f"""{MO} SELECT strftime(ts, '%Y-%m') AS month, {', '.join(f"round(coalesce(sum(amount) FILTER (media_source = '{x}'), 0), 5) AS \"{x}\"" for x in PROV)}, round(sum(amount), 5) AS total, count(*) AS payments FROM pa GROUP BY 1""")
@@ -192,7 +190,7 @@ ALIVE = f"""{MO}, dd AS (SELECT sub_id, min(ts) AS dt FROM oe WHERE kind = 'vol'
 
 
 def alive(spark, d):
-    ev = order_events(spark, d)
+    ev = order_log(spark, d)
     dead = ev.where("kind = 'vol' and ts >= timestamp'1998-01-01'").select("sub_id", F.col("ts").alias("death_ts"))
     return M.alive_table(curve_parts(spark, d)[0], dead, F.lit(AT).cast("timestamp"), ORDERS)
 
