@@ -114,7 +114,7 @@ def source_gap(a: DataFrame, b: DataFrame, key: str, gate_pct: float = 1.5) -> D
     pop = a.select(key).distinct()
     x = b.join(pop, key, "left_semi").agg(F.sum("net").alias("net_b"), F.count(F.lit(1)).alias("n_b"), F.avg(F.when(F.col("net") > 0, F.col("net"))).alias("payer_b"))
     y = a.agg(F.sum("net").alias("net_a"), F.count(F.lit(1)).alias("n_a"), F.avg(F.when(F.col("net") > 0, F.col("net"))).alias("payer_a"))
-    j = y.withColumn("_k", F.lit(1)).join(x.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    j = y.withColumn("_b", x.select(F.struct("*")).scalar()).select("*", "_b.*").drop("_b")
     gap = F.try_divide(F.col("net_b") - F.col("net_a"), "net_a") * 100
     return j.withColumn("gap_pct", gap).withColumn("ok", F.abs("gap_pct") < gate_pct)
 
@@ -123,7 +123,7 @@ def level_totals(event_level: DataFrame, sub_level: DataFrame) -> DataFrame:
     """Do event-level and key-level totals agree, and is any key negative?"""
     e = event_level.agg(F.sum(F.col("base_net_ev") + F.col("ups_net_ev")).alias("event_total"))
     s = sub_level.agg(F.sum("net_revenue").alias("sub_total"), F.count_if(F.col("net_revenue") < -1e-9).alias("negative"))
-    return e.withColumn("_k", F.lit(1)).join(s.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return e.withColumn("_s", s.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
 
 
 def same_totals(tables: Mapping[str, DataFrame], by: str, value: str, tol: float = 1e-3) -> DataFrame:

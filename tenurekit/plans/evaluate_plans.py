@@ -18,7 +18,7 @@ from tenurekit.plans import sql as Q
 from tenurekit.plans.cohort_plans import FITSQL, POOL, facts, golden, members, ref_hazard
 from tenurekit.plans.hazard_plans import COMBO, EMP, FIT, HB, MIX, WEEKS, fitted
 from tenurekit.plans.ladder_plans import OMX, orders_mx
-from tenurekit.plans.ltv_plans import WMX, web, week
+from tenurekit.plans.ltv_plans import CHECK, DONOR, WMX, web, week
 from tenurekit.plans.registry import query
 from tenurekit.plans.stages import staged
 from tenurekit.plans.revenue_plans import HC
@@ -103,7 +103,43 @@ def web_folds(spark, d, levers=None):
 FOLD_COLS = ("actual", "v2", "v3", "ltv_anchor", "ltv_actual", "ltv_v2", "ltv_v3")
 
 
-@query("cohort_folds", "V5 V6")
+def _visible(src: str, on: str, name: str) -> str:
+    return f"""{name} AS (SELECT fo.fold, ww.w AS weeks, l.* EXCLUDE (weeks_obs), ww.w::DOUBLE AS weeks_obs FROM {src} l JOIN fo ON {on}
+  JOIN (SELECT unnest({list(FED)})::BIGINT AS w) ww ON l.weeks_obs >= ww.w AND l.step_k <= ww.w)"""
+
+
+def _fold_curve(vis: str, tag: str) -> str:
+    """Members up to cv{tag}: curves of the visible rows under each fold's state."""
+    lev = ", ".join(PW.levers)
+    return f"""{Q.first_levers(vis, PW, 'fold, weeks', 'f' + tag)}, {Q.personal('f' + tag, 'muf', PW, 'p' + tag, 'fold')}, {Q.ratio(vis, 'p' + tag, 'hbf', PW, 'fold, weeks', 'h' + tag, hby='fold')},
+ m{tag} AS (SELECT fold, weeks, {lev}, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM p{tag} LEFT JOIN h{tag} USING (fold, weeks) GROUP BY ALL), {Q.curve('m' + tag, 'hbf', PW, 'fold, weeks', 'cv' + tag, PW.h_ext, 'fold')}"""
+
+
+def _pay(v: str) -> str:
+    return f"(share_base * {PW.net_base_price} * {v} + CASE WHEN k >= 2 AND (k - 2) % 4 = 0 THEN share_ups * {PW.net_ups_price} * {v} ELSE 0 END)"
+
+
+FOLDS = f"""{WMX}, {DONOR}, fo AS (SELECT app_id AS fold FROM wmx GROUP BY 1 HAVING count(DISTINCT sub_id) >= 50), trf AS (SELECT fold, t.* FROM tr_rows t JOIN fo ON app_id <> fold), {Q.hbase('trf', PW, 'owf', 'fold, ')},
+ kmf AS (SELECT fold, max(step_k) AS km FROM owf WHERE votes >= {PW.min_cohorts} AND step_k <= {PW.hmax} GROUP BY 1), smf AS (SELECT kmf.fold, km, o.h AS oh, d.h AS dh FROM kmf JOIN owf o ON o.fold = kmf.fold AND o.step_k = km LEFT JOIN dn d ON d.step_k = km),
+ srf AS (SELECT smf.fold, k AS step_k, CASE WHEN k <= km THEN o.h ELSE d.h * CASE WHEN dh > 0 THEN oh / dh ELSE 1 END END AS h FROM smf JOIN (SELECT unnest(range(1, {PW.h_ext + 1}))::BIGINT AS k) g ON true LEFT JOIN owf o ON o.fold = smf.fold AND o.step_k = k LEFT JOIN dn d ON d.step_k = k),
+ hbf AS (SELECT fold, step_k, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k), first_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM srf),
+ {Q.levered('trf', PW, 'lvf')}, {Q.multipliers('lvf', 'hbf', PW, 'muf', by='fold, ')}, {Q.levered('wmx', PW, 'lva')}, {Q.levered('tr_rows', PW, 'lvt')},
+ {_visible('lva', 'l.app_id = fo.fold', 'vo')}, {_visible('lvt', 'l.app_id <> fo.fold', 'vp')}, {_fold_curve('vo', '3')}, {_fold_curve('vp', '2')}, {Q.survival('wmx', PW, 'app_id', 'act', PW.return_periods)}, {CHECK},
+ pe AS (SELECT DISTINCT p.*, m.app_id AS fold FROM pop p JOIN wmx m ON m.sub_id = p.session_id),
+ af AS (SELECT fold, (coalesce(sum(paid_ups), 0) + {PW.attach_shrink} * (SELECT avg(paid_ups) FROM ob)) / (count(paid_ups) + {PW.attach_shrink}) AS share_ups FROM pe LEFT JOIN ob USING (session_id) GROUP BY 1),
+ sf AS (SELECT fold, avg(has_base::INT) AS share_base FROM pe GROUP BY 1),
+ pw_ AS (SELECT pe.session_id, {week()} AS week, sum(coalesce(amt_net, 0) * {HC!r}) AS net FROM (SELECT session_id, ts, amt_net FROM mo) JOIN pe USING (session_id) GROUP BY 1, 2),
+ pp AS (SELECT fold, a AS weeks, a + o AS k, pe.session_id FROM pe JOIN (SELECT unnest({list(FED)})::BIGINT AS a) x ON true JOIN (SELECT unnest({list(OFF)})::BIGINT AS o) y ON age_weeks_now >= a + o + {PW.return_periods}),
+ pv_ AS (SELECT fold, weeks, k, pp.session_id, coalesce(sum(net) FILTER (week <= weeks), 0) AS a, coalesce(sum(net) FILTER (week <= k), 0) AS t FROM pp LEFT JOIN pw_ USING (session_id) GROUP BY 1, 2, 3, 4),
+ pr_ AS (SELECT fold, weeks, k, avg(a) AS anchor, avg(t) AS target FROM pv_ WHERE k <= (SELECT max(age_weeks_now) FROM pop) GROUP BY 1, 2, 3 HAVING count(*) >= 30 AND avg(t) > 0),
+ ic AS (SELECT x.fold, x.weeks, x.k, sum({_pay('y.s')}) OVER w AS i2, sum({_pay('x.s')}) OVER w AS i3 FROM (SELECT fold, weeks, k, s FROM cv3) x JOIN (SELECT fold, weeks, k AS k2, s FROM cv2) y ON y.fold = x.fold AND y.weeks = x.weeks AND y.k2 = x.k JOIN af ON af.fold = x.fold JOIN sf ON sf.fold = x.fold WHERE x.k > x.weeks WINDOW w AS (PARTITION BY x.fold, x.weeks ORDER BY x.k)),
+ big AS (SELECT fold, weeks FROM f3 GROUP BY 1, 2 HAVING count(*) >= 25),
+ fd AS (SELECT big.fold AS cohort, big.weeks, o AS horizon_offset, act.k, act.mature AS n_mature, act.fact AS actual, b.s AS v2, c.s AS v3, anchor AS ltv_anchor, target AS ltv_actual, anchor + i2 AS ltv_v2, anchor + i3 AS ltv_v3
+  FROM big JOIN (SELECT unnest({list(OFF)})::BIGINT AS o) x ON true JOIN act ON act.app_id = big.fold AND act.k = big.weeks + o LEFT JOIN cv3 c ON c.fold = big.fold AND c.weeks = big.weeks AND c.k = act.k LEFT JOIN cv2 b ON b.fold = big.fold AND b.weeks = big.weeks AND b.k = act.k
+  LEFT JOIN pr_ ON pr_.fold = big.fold AND pr_.weeks = big.weeks AND pr_.k = act.k LEFT JOIN ic ON ic.fold = big.fold AND ic.weeks = big.weeks AND ic.k = act.k WHERE act.mature >= 30 AND act.fact > 0)"""
+
+
+@query("cohort_folds", "V5 V6", f"""{FOLDS} SELECT cohort, weeks, horizon_offset, k, n_mature, {', '.join(f'round({c}, 6) AS {c}' for c in FOLD_COLS)} FROM fd""")
 def cohort_folds(spark, d):
     f = web_folds(spark, d)
     return f.select(F.col("fold").alias("cohort"), "weeks", "horizon_offset", "k", "n_mature", *[r6(c).alias(c) for c in FOLD_COLS])
@@ -118,7 +154,10 @@ def lever_study(spark, d):
     return out.select("levers", "horizon_offset", "n", *[r6(c).alias(c) for c in out.columns if c.endswith(("_abs", "_sign"))])
 
 
-@query("form_comparison", "V19")
+ERRS = {"err_v2": "(v2 - actual) / actual", "err_v3": "(v3 - actual) / actual", "ltv_err_v2": "(ltv_v2 - ltv_actual) / ltv_actual", "ltv_err_v3": "(ltv_v3 - ltv_actual) / ltv_actual"}
+
+
+@query("form_comparison", "V19", f"""{FOLDS} SELECT horizon_offset, weeks, count(*) AS n, {', '.join(f'round(median(abs({x})), 6) AS {c}_abs, round(median({x}), 6) AS {c}_sign' for c, x in ERRS.items())} FROM fd GROUP BY 1, 2""")
 def form_comparison(spark, d):
     f = web_folds(spark, d)
     by = E.fold_summary(f, ["horizon_offset", "weeks"])
