@@ -17,6 +17,7 @@ from tenurekit.params import ORDERS
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
 from tenurekit.plans.cohort_plans import FITSQL, averaged, curve_parts, decay_sql, facts, golden, members, ref_hazard, shape, smooth_sql
+from tenurekit.plans.evaluate_plans import FOLDS
 from tenurekit.plans.hazard_plans import COMBO, FIT, MIX, fitted
 from tenurekit.plans.ladder_plans import order_log
 from tenurekit.plans.ltv_plans import is_check, table_sql, web, web_state, week
@@ -110,7 +111,21 @@ def ratio_table(spark, d):
     return t.withColumns({c: F.round(c, 4) for c in t.columns if c.startswith("ltv_")})
 
 
-@query("walk_forward", "L11")
+WALK = f"""{FOLDS}, {Q.first_levers('lva', P, 'app_id', 'wf0')}, wf1 AS (SELECT sub_id, max(weeks_obs) AS wo FROM lva GROUP BY 1),
+ wf2 AS (SELECT f.app_id AS fold, p.cohort_date, p.first_funnel, w.w AS weeks, f.sub_id, {', '.join('f.' + c for c in P.levers)} FROM wf0 f JOIN wf1 USING (sub_id) JOIN pop p ON p.session_id = f.sub_id AND p.has_base
+   JOIN (SELECT unnest([1, 2, 3, 4])::BIGINT AS w) w ON wo >= w.w WHERE f.app_id IN (SELECT fold FROM fo)), {Q.personal('wf2', 'muf', P, 'wf3', 'fold')},
+ wf4 AS (SELECT fold, cohort_date, first_funnel, weeks, {', '.join(P.levers)}, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM wf3 LEFT JOIN h3 USING (fold, weeks) GROUP BY ALL),
+ {Q.curve('wf4', 'hbf', P, 'fold, cohort_date, first_funnel, weeks', 'wfv', P.h_ext, 'fold')},
+ wfr AS (SELECT cohort_date, first_funnel, (coalesce(sum(paid_ups), 0) + {P.attach_shrink} * (SELECT avg(paid_ups) FROM ob)) / (count(paid_ups) + {P.attach_shrink}) AS share_ups FROM pop LEFT JOIN ob USING (session_id) WHERE has_base GROUP BY 1, 2),
+ wfs AS (SELECT cohort_date, first_funnel, count(*) FILTER (has_base) AS n, CAST(floor(avg(age_weeks_now)) AS BIGINT) AS age FROM pop GROUP BY 1, 2),
+ wfn AS (SELECT cohort_date, first_funnel, {week()} AS week, sum(coalesce(amt_net, 0) * {HC!r}) AS net FROM (SELECT session_id, ts, amt_net FROM mo) JOIN pop USING (session_id) WHERE has_base GROUP BY 1, 2, 3),
+ wfg AS (SELECT DISTINCT v.cohort_date, v.first_funnel, v.weeks, h.h AS horizon, n, age, (SELECT max(age_weeks_now) FROM pop) AS mw FROM wfv v JOIN (SELECT unnest([4, 8, 12, 20])::BIGINT AS h) h ON true JOIN wfs USING (cohort_date, first_funnel) WHERE v.weeks <= age)
+ SELECT cohort_date, first_funnel, weeks, horizon, n, round((SELECT coalesce(sum(net), 0) FROM wfn x WHERE x.cohort_date = g.cohort_date AND x.first_funnel = g.first_funnel AND x.week <= least(weeks, horizon, mw)) / n
+   + coalesce((SELECT sum({P.net_base_price} * s + CASE WHEN k >= 2 AND (k - 2) % 4 = 0 THEN share_ups * {P.net_ups_price} * s ELSE 0 END) FROM wfv v JOIN wfr USING (cohort_date, first_funnel) WHERE v.cohort_date = g.cohort_date AND v.first_funnel = g.first_funnel AND v.weeks = g.weeks AND k > g.weeks AND k <= g.horizon), 0), 2) AS ltv,
+  round(CASE WHEN horizon <= age AND horizon <= mw THEN (SELECT coalesce(sum(net), 0) FROM wfn x WHERE x.cohort_date = g.cohort_date AND x.first_funnel = g.first_funnel AND x.week <= horizon) / n END, 2) AS fact FROM wfg g"""
+
+
+@query("walk_forward", "L11 M14", WALK)
 def walk_forward(spark, d):
     donor = ref_hazard(spark, d)
     w = web(spark, d)
