@@ -108,10 +108,10 @@ def _visible(src: str, on: str, name: str) -> str:
   JOIN (SELECT unnest({list(FED)})::BIGINT AS w) ww ON l.weeks_obs >= ww.w AND l.step_k <= ww.w)"""
 
 
-def _fold_curve(vis: str, tag: str) -> str:
+def _fold_curve(vis: str, tag: str, levers) -> str:
     """Members up to cv{tag}: curves of the visible rows under each fold's state."""
     lev = ", ".join(PW.levers)
-    return f"""{Q.first_levers(vis, PW, 'fold, weeks', 'f' + tag)}, {Q.personal('f' + tag, 'muf', PW, 'p' + tag, 'fold')}, {Q.ratio(vis, 'p' + tag, 'hbf', PW, 'fold, weeks', 'h' + tag, hby='fold')},
+    return f"""{Q.first_levers(vis, PW, 'fold, weeks', 'f' + tag)}, {Q.personal('f' + tag, 'muf', PW, 'p' + tag, 'fold', levers)}, {Q.ratio(vis, 'p' + tag, 'hbf', PW, 'fold, weeks', 'h' + tag, hby='fold')},
  m{tag} AS (SELECT fold, weeks, {lev}, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM p{tag} LEFT JOIN h{tag} USING (fold, weeks) GROUP BY ALL), {Q.curve('m' + tag, 'hbf', PW, 'fold, weeks', 'cv' + tag, PW.h_ext, 'fold')}"""
 
 
@@ -119,12 +119,15 @@ def _pay(v: str) -> str:
     return f"(share_base * {PW.net_base_price} * {v} + CASE WHEN k >= 2 AND (k - 2) % 4 = 0 THEN share_ups * {PW.net_ups_price} * {v} ELSE 0 END)"
 
 
-FOLDS = f"""{WMX}, {DONOR}, fo AS (SELECT app_id AS fold FROM wmx GROUP BY 1 HAVING count(DISTINCT sub_id) >= 50), trf AS (SELECT fold, t.* FROM tr_rows t JOIN fo ON app_id <> fold), {Q.hbase('trf', PW, 'owf', 'fold, ')},
+def folds_sql(levers=PW.levers) -> str:
+    """Members up to fd: one row per fold, visible weeks and horizon."""
+    chain = f"{Q.multipliers('lvf', 'hbf', PW, 'muf', levers=levers, by='fold, ')}, " if levers else ""
+    return f"""{WMX}, {DONOR}, fo AS (SELECT app_id AS fold FROM wmx GROUP BY 1 HAVING count(DISTINCT sub_id) >= 50), trf AS (SELECT fold, t.* FROM tr_rows t JOIN fo ON app_id <> fold), {Q.hbase('trf', PW, 'owf', 'fold, ')},
  kmf AS (SELECT fold, max(step_k) AS km FROM owf WHERE votes >= {PW.min_cohorts} AND step_k <= {PW.hmax} GROUP BY 1), smf AS (SELECT kmf.fold, km, o.h AS oh, d.h AS dh FROM kmf JOIN owf o ON o.fold = kmf.fold AND o.step_k = km LEFT JOIN dn d ON d.step_k = km),
  srf AS (SELECT smf.fold, k AS step_k, CASE WHEN k <= km THEN o.h ELSE d.h * CASE WHEN dh > 0 THEN oh / dh ELSE 1 END END AS h FROM smf JOIN (SELECT unnest(range(1, {PW.h_ext + 1}))::BIGINT AS k) g ON true LEFT JOIN owf o ON o.fold = smf.fold AND o.step_k = k LEFT JOIN dn d ON d.step_k = k),
  hbf AS (SELECT fold, step_k, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k), first_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM srf),
- {Q.levered('trf', PW, 'lvf')}, {Q.multipliers('lvf', 'hbf', PW, 'muf', by='fold, ')}, {Q.levered('wmx', PW, 'lva')}, {Q.levered('tr_rows', PW, 'lvt')},
- {_visible('lva', 'l.app_id = fo.fold', 'vo')}, {_visible('lvt', 'l.app_id <> fo.fold', 'vp')}, {_fold_curve('vo', '3')}, {_fold_curve('vp', '2')}, {Q.survival('wmx', PW, 'app_id', 'act', PW.return_periods)}, {CHECK},
+ {Q.levered('trf', PW, 'lvf')}, {chain}{Q.levered('wmx', PW, 'lva')}, {Q.levered('tr_rows', PW, 'lvt')},
+ {_visible('lva', 'l.app_id = fo.fold', 'vo')}, {_visible('lvt', 'l.app_id <> fo.fold', 'vp')}, {_fold_curve('vo', '3', levers)}, {_fold_curve('vp', '2', levers)}, {Q.survival('wmx', PW, 'app_id', 'act', PW.return_periods)}, {CHECK},
  pe AS (SELECT DISTINCT p.*, m.app_id AS fold FROM pop p JOIN wmx m ON m.sub_id = p.session_id),
  af AS (SELECT fold, (coalesce(sum(paid_ups), 0) + {PW.attach_shrink} * (SELECT avg(paid_ups) FROM ob)) / (count(paid_ups) + {PW.attach_shrink}) AS share_ups FROM pe LEFT JOIN ob USING (session_id) GROUP BY 1),
  sf AS (SELECT fold, avg(has_base::INT) AS share_base FROM pe GROUP BY 1),
@@ -139,21 +142,15 @@ FOLDS = f"""{WMX}, {DONOR}, fo AS (SELECT app_id AS fold FROM wmx GROUP BY 1 HAV
   LEFT JOIN pr_ ON pr_.fold = big.fold AND pr_.weeks = big.weeks AND pr_.k = act.k LEFT JOIN ic ON ic.fold = big.fold AND ic.weeks = big.weeks AND ic.k = act.k WHERE act.mature >= 30 AND act.fact > 0)"""
 
 
+FOLDS = folds_sql()
+
+
 @query("cohort_folds", "V5 V6", f"""{FOLDS} SELECT cohort, weeks, horizon_offset, k, n_mature, {', '.join(f'round({c}, 6) AS {c}' for c in FOLD_COLS)} FROM fd""")
 def cohort_folds(spark, d):
     f = web_folds(spark, d)
     return f.select(F.col("fold").alias("cohort"), "weeks", "horizon_offset", "k", "n_mature", *[r6(c).alias(c) for c in FOLD_COLS])
 
 
-@query("lever_study", "V12")
-def lever_study(spark, d):
-    parts = []
-    for name, levers in (("none", ()), ("geo", ("geo",)), ("all", PW.levers)):
-        parts.append(E.fold_summary(web_folds(spark, d, levers), ["horizon_offset"]).withColumn("levers", F.lit(name)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("levers", "horizon_offset", "n", *[r6(c).alias(c) for c in out.columns if c.endswith(("_abs", "_sign"))])
-
-
 ERRS = {"err_v2": "(v2 - actual) / actual", "err_v3": "(v3 - actual) / actual", "ltv_err_v2": "(ltv_v2 - ltv_actual) / ltv_actual", "ltv_err_v3": "(ltv_v3 - ltv_actual) / ltv_actual"}
 
 
@@ -164,6 +161,18 @@ def form_comparison(spark, d):
     return by.select("horizon_offset", "weeks", "n", *[r6(c).alias(c) for c in by.columns if c.endswith(("_abs", "_sign"))])
 
 
+STUDY = (("none", ()), ("geo", ("geo",)), ("all", PW.levers))
+
+
+@query("lever_study", "V12", " UNION ALL ".join(f"""SELECT * FROM ({folds_sql(levers)} SELECT '{name}' AS levers, horizon_offset, count(*) AS n, {', '.join(f'round(median(abs({x})), 6) AS {c}_abs, round(median({x}), 6) AS {c}_sign' for c, x in ERRS.items())} FROM fd GROUP BY 2)""" for name, levers in STUDY))
+def lever_study(spark, d):
+    parts = []
+    for name, levers in STUDY:
+        parts.append(E.fold_summary(web_folds(spark, d, levers), ["horizon_offset"]).withColumn("levers", F.lit(name)))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("levers", "horizon_offset", "n", *[r6(c).alias(c) for c in out.columns if c.endswith(("_abs", "_sign"))])
+
+
 @query("ltv_pairs", "V6", f"""{WMX}, co AS (SELECT app_id AS fold FROM wmx GROUP BY 1), pe AS (SELECT DISTINCT p.*, m.app_id AS fold FROM pop p JOIN wmx m ON m.sub_id = p.session_id),
  pw_ AS (SELECT pe.session_id, {week()} AS week, sum(coalesce(amt_net, 0) * {HC!r}) AS net FROM (SELECT session_id, ts, amt_net FROM mo) JOIN pe USING (session_id) GROUP BY 1, 2),
  pp AS (SELECT fold, a AS weeks, a + o AS k, pe.session_id FROM pe JOIN (SELECT unnest({list(FED)})::BIGINT AS a) x ON true JOIN (SELECT unnest({list(OFF)})::BIGINT AS o) y ON age_weeks_now >= a + o + {PW.return_periods}),
