@@ -112,6 +112,10 @@ def parsed_b(spark, d):
     return C.parse_b(staged(spark, d, "webhooks_b_unique", lambda: C.dedup_exact(webhooks_b(spark, d))))
 
 
+def flat(spark, d):
+    return staged(spark, d, "flat_b", lambda: C.flat_b(parsed_b(spark, d)))
+
+
 def nested(spark, d):
     return staged(spark, d, "orders_b", lambda: C.orders_b(parsed_b(spark, d)))
 
@@ -137,7 +141,7 @@ STB = """s1 AS (SELECT sub, min(od + INTERVAL 1 DAY) FILTER (kind = 'create') AS
 
 @query("one_start_per_subscription", "E9", f"{EB}, {STB} SELECT sub AS subscription_id, epoch_us(tm) AS at_us, raw AS raw_event_type FROM s2")
 def one_start_per_subscription(spark, d):
-    return C.starts_b(C.flat_b(parsed_b(spark, d))).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"), "raw_event_type")
+    return C.starts_b(flat(spark, d)).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"), "raw_event_type")
 
 
 @query("missing_starts", "E10 J8", f"""{EA}, {OUTA}, {STA}, un AS (SELECT sub, name, epoch_us(tm) AS a FROM ob UNION ALL SELECT sub, name, at_us FROM sa WHERE churn IS NOT NULL OR sub < 'sub_000000000050')
@@ -152,7 +156,7 @@ def missing_starts(spark, d):
 @query("grace_entries", "E11 W11", f"""{EB}, r0 AS (SELECT sub, ok * 2 + i AS eid, od + to_days(i) AS cr, os = 'P' AS red FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true),
  r1 AS (SELECT *, lag(red) OVER (PARTITION BY sub ORDER BY cr, eid) AS was FROM r0) SELECT sub AS subscription_id, epoch_us(cr) AS at_us FROM r1 WHERE red AND NOT coalesce(was, false)""")
 def grace_entries(spark, d):
-    return C.entry_edges(C.flat_b(parsed_b(spark, d)), P).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"))
+    return C.entry_edges(flat(spark, d), P).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"))
 
 
 TERM = """t1 AS (SELECT sub, max(pr) AS last FROM ol WHERE st = 'settle_ok' GROUP BY 1),
@@ -164,7 +168,7 @@ TERM = """t1 AS (SELECT sub, max(pr) AS last FROM ol WHERE st = 'settle_ok' GROU
 
 @query("terminal_events", "E12 F9 X9 X13", f"{EB}, {TERM} SELECT eid AS event_id, sub AS subscription_id, epoch_us(tm) AS at_us, kind AS raw_event_type, churn AS churn_type, epoch_us(sig) AS signal_us FROM t3")
 def terminal_events(spark, d):
-    t = C.terminals(C.flat_b(parsed_b(spark, d)), nested(spark, d))
+    t = C.terminals(flat(spark, d), nested(spark, d))
     return t.select("event_id", "subscription_id", F.unix_micros("event_datetime").alias("at_us"), "raw_event_type", "churn_type", F.unix_micros("churn_signal_datetime").alias("signal_us"))
 
 
@@ -215,18 +219,18 @@ APPS = {"p0": "app_a", "p1": "app_a", "p2": "app_b", "p3": "app_c"}
 
 @query("reclassified_apps", "E16 J12 F9", f"""{EB} SELECT sub AS subscription_id, CASE WHEN any_value(c) % 2 = 0 THEN 'p' || (any_value(c) % 7) ELSE 'p1' END AS product_id, CASE CASE WHEN any_value(c) % 2 = 0 THEN any_value(c) % 7 ELSE 1 END WHEN 0 THEN 'app_a' WHEN 1 THEN 'app_a' WHEN 2 THEN 'app_b' WHEN 3 THEN 'app_c' ELSE 'other' END AS app_id, 'old' AS app_id_old FROM sb GROUP BY 1""")
 def reclassified_apps(spark, d):
-    flat = C.flat_b(parsed_b(spark, d)).groupBy("subscription_id").agg(F.min("product_id").alias("product_id"))
-    fresh = flat.where(F.substring("subscription_id", 4, 20).cast("bigint") % 2 == 0)
-    rows = flat.select("subscription_id", F.lit("p1").alias("product_id"), F.lit("old").alias("app_id"))
+    f = flat(spark, d).groupBy("subscription_id").agg(F.min("product_id").alias("product_id"))
+    fresh = f.where(F.substring("subscription_id", 4, 20).cast("bigint") % 2 == 0)
+    rows = f.select("subscription_id", F.lit("p1").alias("product_id"), F.lit("old").alias("app_id"))
     return C.reclassify(rows, fresh, APPS).select("subscription_id", "product_id", "app_id", "app_id_old")
 
 
 @query("qa_flags", "E15", f"""{EB}, {OUTB}, n1 AS (SELECT sub, count(*) AS n FROM o2 WHERE name IN ('trial_converted', 'subscription_renewed') GROUP BY 1)
  SELECT s.sub AS subscription_id, coalesce(n, 0) AS n_payments, any_value(c) % 5 = 3 OR coalesce(n, 0) > 20 OR 'u' || any_value(c) LIKE '%99%' AS is_qa FROM sb s LEFT JOIN n1 USING (sub) GROUP BY s.sub, n""")
 def qa_flags(spark, d):
-    p = parsed_b(spark, d)
+    p = flat(spark, d)
     from tenurekit.functions.exprs import interval_word
-    subs = C.flat_b(p).groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("email").alias("e")).select(
+    subs = p.groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("email").alias("e")).select(
         "subscription_id", interval_word("pn").alias("interval_unit"), F.when(F.regexp_replace(F.split("e", "@")[0], "u", "").contains("99"), "Test-src").otherwise("x").alias("utm_source"))
     pay = C.order_outcomes(nested(spark, d), P).where("event_name in ('trial_converted', 'subscription_renewed')")
     return C.qa_flags(subs, pay, 20).select("subscription_id", "n_payments", "is_qa")
@@ -245,11 +249,11 @@ def silver(spark, d):
 
 
 def _silver(spark, d):
-    a, b = cut(deduped_a(spark, d)), parsed_b(spark, d)
-    inv, flat, orders = C.invoice_rows(a), C.flat_b(b), nested(spark, d)
+    a, b, orders = cut(deduped_a(spark, d)), flat(spark, d), nested(spark, d)
+    inv = C.invoice_rows(a)
     return C.assemble({
         "provider_a": [outcomes_a(a), C.state_events(C.subscription_events(a)), C.refunds_a(a, inv)],
-        "provider_b": [C.order_outcomes(orders, P), C.starts_b(flat), C.terminals(flat, orders), C.entry_edges(flat, P)]})
+        "provider_b": [C.order_outcomes(orders, P), C.starts_b(b), C.terminals(b, orders), C.entry_edges(b, P)]})
 
 
 @query("silver_events", "E17 U1", f"{SILV} SELECT payment_provider, event_name, coalesce(churn_type, '-') AS churn_type, count(*) AS n, count(DISTINCT subscription_id) AS subs, sum(amount_cents)::BIGINT AS cents, min(a) AS first_us, max(a) AS last_us, count(*) FILTER (orphan) AS orphans FROM (SELECT pv AS payment_provider, name AS event_name, churn AS churn_type, sub AS subscription_id, cents AS amount_cents, a, orphan FROM si) GROUP BY 1, 2, 3")

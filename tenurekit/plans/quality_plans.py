@@ -9,7 +9,7 @@ from tenurekit.operators import quality as Z
 from tenurekit.operators import revenue as R
 from tenurekit.params import MOBILE, ORDERS_WEB
 from tenurekit.plans import sql as Q
-from tenurekit.plans.clean_plans import EB, OUTB, SILV, nested, parsed_b, silver, webhooks_a
+from tenurekit.plans.clean_plans import EB, OUTB, SILV, flat, nested, silver, webhooks_a
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import CURVES, curve_sql, web, web_state
 from tenurekit.plans.registry import query
@@ -38,8 +38,8 @@ def missing_overlap(spark, d):
   UNION ALL SELECT 'completeness', 0 UNION ALL SELECT 'manifest', 0 UNION ALL SELECT 'benign_duplicates', 0) SELECT check_id, v = 0 AS ok, v::BIGINT AS violations FROM ck""")
 def silver_checks(spark, d):
     from tenurekit.functions.exprs import interval_word
-    s, flat = silver(spark, d), C.flat_b(parsed_b(spark, d))
-    iv = flat.groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("created").alias("start_ts")).select("subscription_id", interval_word("pn").alias("interval_unit"), "start_ts")
+    s = silver(spark, d)
+    iv = flat(spark, d).groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("created").alias("start_ts")).select("subscription_id", interval_word("pn").alias("interval_unit"), "start_ts")
     counts = io.manifest({t: table(spark, d, t) for t in ("region", "nation")})
     return Z.silver_checks(s, webhooks_a(spark, d), counts, {"region": 5, "nation": 25}, F.lit("2024-02-01").cast("timestamp"), iv, "^(sub|sb)_[0-9]+$", 8_000_000, (99, 999, 3999), 0.05)
 
@@ -177,9 +177,9 @@ def long_pauses(spark, d):
  SELECT sub AS subscription_id, u AS interval_unit, round(gap, 6) AS gap FROM g JOIN un USING (sub) WHERE gap > CASE u WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'year' THEN 365 WHEN 'day' THEN 1 END + 14""")
 def resurrections(spark, d):
     from tenurekit.functions.exprs import interval_word
-    b = parsed_b(spark, d)
+    b = flat(spark, d)
     ev = C.order_outcomes(nested(spark, d), MOBILE).where("event_name in ('trial_converted', 'subscription_renewed')").select("subscription_id", F.col("event_datetime").alias("ts"), F.col("order_id").alias("tie"))
-    u = C.flat_b(b).groupBy("subscription_id").agg(F.min("product_name").alias("pn")).select("subscription_id", interval_word("pn").alias("interval_unit"))
+    u = b.groupBy("subscription_id").agg(F.min("product_name").alias("pn")).select("subscription_id", interval_word("pn").alias("interval_unit"))
     return Z.resurrections(ev, u, MOBILE).withColumn("gap", r6("gap"))
 
 
@@ -196,9 +196,8 @@ LAD = f"""{EB}, dd AS (SELECT sub, min(od + INTERVAL 1 DAY) AS dt FROM sb WHERE
 
 @query("life_after_death", "Q15 J8", f"{LAD} SELECT sub AS subscription_id, fd IS NOT NULL AS paid_after, round(fd, 6) AS first_after_days, coalesce(lag, false) AS settle_lag FROM dd LEFT JOIN af USING (sub)")
 def life_after_death(spark, d):
-    b = parsed_b(spark, d)
     o = nested(spark, d).where("processed_at is not null").withColumnRenamed("processed_at", "ts")
-    dead = C.flat_b(b).where("event_type in ('expire', 'cancel')").select("subscription_id", F.col("created").alias("death_ts"))
+    dead = flat(spark, d).where("event_type in ('expire', 'cancel')").select("subscription_id", F.col("created").alias("death_ts"))
     out = Z.life_after_death(dead, o.where("status = 'settle_ok'"), o.where("status = 'auth_failed'"))
     return out.withColumn("first_after_days", r6("first_after_days"))
 
