@@ -3,9 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import quality, sharding, warc
+from tenurekit.llm import bpe, dac, quality, sharding, warc
 from tenurekit.llm.tables import query, table
 
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 _RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -75,3 +81,14 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(headers, payloads).select(
         F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op4_token_ids")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = dac.write_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return dac.checksums(segments).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op6_bpe")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
