@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import bpe, dac, quality, sharding, warc
+from tenurekit.llm import bpe, dac, decontaminate, quality, sharding, warc
 from tenurekit.llm.tables import query, table
 
 
@@ -92,3 +92,26 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+_LEAKS_SQL = r"""
+WITH b AS (SELECT item_id, regexp_extract_all({fold}, '{word}') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(ws[i:i + l - 1], ' ') AS g FROM (
+  SELECT item_id, ws, least(10, len(ws)) AS l, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({fold}, '{word}') AS ws FROM documents),
+dw AS (SELECT r, i, l, array_to_string(ws[i:i + l - 1], ' ') AS g FROM (
+  SELECT r, ws, l, unnest(generate_series(1, len(ws) - l + 1)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(ws) >= l)),
+h AS (SELECT r, i, dw.l, CAST(item_id AS VARCHAR) AS item FROM dw JOIN bw ON dw.l = bw.l AND dw.g = bw.g),
+n AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM h, range(10) t(k) WHERE k < l GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+""".format(fold="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')",
+           word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+@query("op10_decontamination", _LEAKS_SQL)
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -45,19 +45,19 @@ def _drawn(rows: DataFrame, rate: float, seed: int) -> DataFrame:
     return rows.where(_share(F.col("key"), seed) < weight).select("range", "key", F.greatest(F.lit(1.0), weight).alias("w"))
 
 
-def _quantiles(drawn: DataFrame, wanted: DataFrame) -> list[str]:
-    """Keys that cut each range's sample into `pieces` of equal weight; `wanted` has a row per range to cut."""
+def _quantiles(drawn: DataFrame, wanted: DataFrame | int) -> list[str]:
+    """Keys that cut each range's sample into `pieces` of equal weight; `wanted` has a row per range to cut, or is one number."""
     order = Window.partitionBy("range").orderBy("key")
     piece = F.floor((F.sum("w").over(order) - F.col("w") / 2) * F.col("pieces") / F.sum("w").over(Window.partitionBy("range")))
-    cuts = (drawn.join(F.broadcast(wanted), "range").withColumn("piece", piece)
+    cuts = (drawn.join(F.broadcast(wanted), "range") if isinstance(wanted, DataFrame) else drawn.withColumn("pieces", F.lit(wanted)))
+    cuts = (cuts.withColumn("piece", piece)
             .groupBy("range", "piece").agg(F.min("key").alias("key")).where("piece > 0"))
     return [r.key for r in cuts.select("key").collect()]  # at most `pieces` of each range
 
 
 def _splitters(keyed: DataFrame, total: int, n: int) -> list[str]:
     whole = keyed.withColumn("range", F.lit(0))
-    one = keyed.sparkSession.range(1).select(F.lit(0).alias("range"), F.lit(n).alias("pieces"))
-    bounds = sorted(set(_quantiles(_drawn(whole, n * SAMPLES_A_RANGE / total, 1), one)))
+    bounds = sorted(set(_quantiles(_drawn(whole, n * SAMPLES_A_RANGE / total, 1), n)))
     for k in range(SPLIT_ROUNDS):
         ranged = keyed.withColumn("range", _range_of(F.col("key"), bounds))
         full = [r for r in ranged.groupBy("range").agg(F.sum("bytes").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi"))
