@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import bpe, dac, decontaminate, quality, sharding, warc
+from tenurekit.llm import bpe, dac, decontaminate, prefix_tree, quality, sharding, warc
 from tenurekit.llm.tables import query, table
 
 
@@ -115,3 +115,22 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_LINKS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CAST(l AS VARCHAR) || ':' || array_to_string(ws[i:i + l - 1], ' ') AS g FROM (
+  SELECT doc_id, ws, least(5, len(ws)) AS l, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = doc_id GROUP BY doc_id
+"""
+
+
+@query("op3_jaccard_join", _LINKS_SQL)
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.link_components(table(spark, sf_dir, "documents"))
