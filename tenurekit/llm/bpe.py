@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import functools
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -158,6 +159,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     return (x.as_py() or "" for x in batch.column("text"))
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, ids)]), type=pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: its id and `ids`, an array of int."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -168,10 +174,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = [e.encode(t) for t in _texts(part)]
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                ends = pa.array(np.cumsum([0, *map(len, ids)]), type=pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, flat)], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([e.encode(t) for t in _texts(part)])], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -190,24 +193,26 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id", ids: str = "ids")
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its id, `n_tokens`, and SHA-256 of the ids as text and of the decoded text; ids don't leave the task."""
-    import hashlib
-
+def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: its id, `n_tokens`, SHA-256 of the ids as text and of the decoded text, and the ids if asked for."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField(id, rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+                           T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+                           *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         numbers = [str(i) for i in range(len(e.vocabulary.strings))]
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            n, a, d = [], [], []
-            for t in _texts(b):
-                ids = e.encode(t).tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(numbers.__getitem__, ids)).encode()).hexdigest())
-                d.append(hashlib.sha256(decode_ids(e.vocabulary, ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], schema.names)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                out, codes = [], []
+                for t in _texts(part):
+                    codes.append(e.encode(t))
+                    ids = codes[-1].tolist()
+                    out.append((len(ids), digest(" ".join(map(numbers.__getitem__, ids))), digest(decode_ids(e.vocabulary, ids))))
+                columns = [part.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))]
+                yield pa.RecordBatch.from_arrays([*columns, *([_lists(codes)] if with_ids else [])], schema.names)
 
     return rows.mapInArrow(run, schema)

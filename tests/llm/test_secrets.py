@@ -1,0 +1,59 @@
+import re
+
+from hypothesis import given, settings, strategies as st
+
+from tenurekit.llm import secrets, text as tx
+
+ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|(?:(?a:(?i:passwd|secret|token|api_?key))))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain(text):
+    out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def scanned(texts):
+    import pyarrow as pa
+
+    data, at = tx.utf8(pa.array(texts, pa.string()))
+    return [f for i, j in tx.runs(at, 200) for f in secrets.scan(data, at[i:j + 1], secrets.trained())]
+
+
+PART = st.sampled_from(["token", "Secret", "API_KEY", "apikey", "=", " : ", "\"", "'", "abcdefgh", "a1", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "é", " ", "\n", "."])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(PART, max_size=14).map("".join), min_size=1, max_size=4))
+def test_fixed_patterns_stay(texts):
+    for t, found in zip(texts, scanned(texts)):
+        assert [f for f in found if f[2] != "model"] == plain(t)
+
+
+def test_edges():
+    assert scanned([None, "", "secret: token: abcdefgh", "a" * 100_000]) == [[], [], [], [(0, 100_000, "hex")]]
+    assert scanned(["0123456789abcdef", "0123456789abcdef"]) == [[], []]  # no run goes over a border
+    assert scanned(["to" + chr(0x212A) + "en = abcdefgh", "ToKeN = abcdefgh"]) == [[], [(0, 16, "assign")]]  # ASCII case only
+
+
+def test_held_out_accuracy():
+    net = secrets.trained()
+    x, y = secrets.labelled_findings(1500, seed=77)
+    p = net.probability(x)
+    assert (p[y > 0] >= net.threshold).mean() > 0.96
+    assert (p[y == 0] >= net.threshold).mean() < 0.02
+
+
+def test_operators(spark):
+    key = "ghp_" + "aB3dE5gH7jK9" * 3
+    rows = [(1, f"é use {key} now", 0, "x"), (1, None, None, "x"), (2, "nothing here", 12, "x"), (None, "token = abcdefgh", 16, "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars long, spans string")
+    found = secrets.find_secrets(docs).collect()
+    assert sorted((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.spans]) for r in found) == [
+        ("1", []), ("1", [("model", 6, 6 + len(key))]), ("2", []), ("None", [("assign", 0, 16)])]
+    masked = secrets.mask_secrets(docs)
+    assert masked.columns == docs.columns
+    assert sorted((str(r.text), r.n_chars) for r in masked.collect()) == [("None", None), ("[SECRET]", 8), ("nothing here", 12), ("é use [SECRET] now", 18)]
+    assert secrets.mask("abcdefgh", [(1, 3), (2, 5), (5, 6)], "#") == "a##gh"
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
