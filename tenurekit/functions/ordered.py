@@ -1,22 +1,25 @@
 """Ordered scans per key that survive a key holding a large share of all rows.
 
-A window partitioned by key puts a whole key into one task. `Ordered` measures the largest key
-first; below `hot_rows` it uses that plain window (one shuffle). Above, every key is cut into time
-slices: the window runs per (key, slice), one summary row per slice carries counts, sums and edge
-values forward over the slices, and the summaries are joined back. Both forms give the same rows.
+A window partitioned by key puts a whole key into one task. `Ordered` range-partitions the rows by
+key, time and tie-break, so that a key, a day or an instant with very many rows spans several
+partitions. The window runs per (key, partition); one summary row for each carries counts, sums and
+edge values forward, and is joined back. Null keys are keys like any other, null times come first.
+Nothing runs before the result is used. The partitioned rows are persisted on disk, so all readers
+see one partitioning; a lost part is made again from the same range bounds.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenurekit.functions.exprs import DAY_US
-
 
 _LOCAL_DIR: str | None = None
 
@@ -43,25 +46,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    """True when some key holds more than `limit` rows (counted with map-side partial sums)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return not counts.where(F.col("n") > limit).limit(1).isEmpty()
+class Ordered:
+    """Window columns over rows of one key in time order; ties are broken by `order`.
+
+    `slices` is the number of range partitions; left out, `default_slices` or the session decides."""
 
+    default_slices: int | None = None
 
-class Ordered:
-    """Window columns over rows of one key in time order; ties are broken by `order`."""
+    def __init__(self, keys: Sequence[str], ts: str, order: Sequence[str] = (), *, slices: int | None = None):
+        self.keys, self.order, self.slices = list(keys), [ts, *order], slices or self.default_slices
 
-    def __init__(self, keys: Sequence[str], ts: str, order: Sequence[str] = (), *, params=None,
-                 hot: bool = False, slice_days: float = 1.0):
-        self.keys, self.ts, self.order = list(keys), ts, [ts, *order]
-        self.hot = hot
-        self.slice_days = params.slice_days if params is not None else slice_days
+    def open(self, df: DataFrame) -> DataFrame:
+        """The rows dealt into slices; several `add` calls on them share one partitioning."""
+        by = [F.col(c) for c in (*self.keys, *self.order)]
+        dealt = df.repartitionByRange(self.slices, *by) if self.slices else df.repartitionByRange(*by)
+        # a struct is never null itself, and two structs are equal where their fields are null together
+        return dealt.withColumns({"_key": F.struct(*self.keys), "_slice": F.spark_partition_id()}).persist(StorageLevel.DISK_ONLY)
 
-    @classmethod
-    def measured(cls, df: DataFrame, keys, ts, order, params) -> "Ordered":
-        hot = params.sliced if params.sliced is not None else has_hot_key(df, keys, params.hot_rows)
-        return cls(keys, ts, order, params=params, hot=hot)
+    def close(self, df: DataFrame) -> DataFrame:
+        return df.drop("_key", "_slice")
 
     def add(self, df: DataFrame, *, prev: dict[str, Column] | None = None,
             next: dict[str, Column] | None = None, last_before: dict[str, Column] | None = None,
@@ -73,42 +76,25 @@ class Ordered:
         running_sum, running_min = dict(running_sum or {}), running_min or {}
         if row_no:
             running_sum[row_no] = F.lit(1).cast("bigint")
-        run = self._sliced if self.hot else self._plain
-        return run(df, prev, next, last_before, running_sum, running_min)
-
-    def _plain(self, df, prev, next, last_before, running_sum, running_min):
-        w = Window.partitionBy(*self.keys).orderBy(*self.order)
-        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        before = w.rowsBetween(Window.unboundedPreceding, -1)
-        new = {}
-        new |= {n: F.lag(c).over(w) for n, c in prev.items()}
-        new |= {n: F.lead(c).over(w) for n, c in next.items()}
-        new |= {n: F.last(c, ignorenulls=True).over(before) for n, c in last_before.items()}
-        new |= {n: F.sum(c).over(upto) for n, c in running_sum.items()}
-        new |= {n: F.min(c).over(upto) for n, c in running_min.items()}
-        return df.withColumns(new)
-
-    def _sliced(self, df, prev, next, last_before, running_sum, running_min):
-        width = int(self.slice_days * DAY_US)
         src = {}
         for group in (prev, next, last_before, running_sum, running_min):
             src |= {f"_v_{n}": c for n, c in group.items()}
-        rows = cut(df.withColumns(src | {
-            "_slice": F.floor(F.unix_micros(self.ts) / F.lit(width)).cast("bigint")}))
-        part = [*self.keys, "_slice"]
+        opened = "_slice" in df.columns
+        rows = df.withColumns(src).persist(StorageLevel.DISK_ONLY) if opened else self.open(df.withColumns(src))
+        part = ["_key", "_slice"]
         order = F.struct(*[F.col(c) for c in self.order])
 
         def v(n):
             return F.col(f"_v_{n}")
 
-        # one summary row per slice
-        edge = []
+        # one summary row per key and slice
+        edge = [F.lit(1).alias("_one")]
         edge += [F.max_by(F.struct(v(n).alias("x")), order).alias(f"_e_{n}") for n in prev]
         edge += [F.min_by(F.struct(v(n).alias("x")), order).alias(f"_e_{n}") for n in next]
         edge += [F.max_by(v(n), F.when(v(n).isNotNull(), order)).alias(f"_e_{n}") for n in last_before]
         edge += [F.sum(v(n)).alias(f"_e_{n}") for n in running_sum]
         edge += [F.min(v(n)).alias(f"_e_{n}") for n in running_min]
-        by_slice = Window.partitionBy(*self.keys).orderBy("_slice")
+        by_slice = Window.partitionBy("_key").orderBy("_slice")
         earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
         carried = {}
         carried |= {f"_c_{n}": F.lag(f"_e_{n}").over(by_slice) for n in prev}
@@ -116,7 +102,7 @@ class Ordered:
         carried |= {f"_c_{n}": F.last(f"_e_{n}", ignorenulls=True).over(earlier) for n in last_before}
         carried |= {f"_c_{n}": F.sum(f"_e_{n}").over(earlier) for n in running_sum}
         carried |= {f"_c_{n}": F.min(f"_e_{n}").over(earlier) for n in running_min}
-        edges = rows.groupBy(*part).agg(*edge).withColumns(carried).select(*part, *carried)
+        edges = rows.groupBy(*part).agg(*edge[1:] or edge).withColumns(carried).select(*part, *carried)
 
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -127,7 +113,7 @@ class Ordered:
         local |= {f"_l_{n}": F.last(v(n), ignorenulls=True).over(before) for n in last_before}
         local |= {f"_l_{n}": F.sum(v(n)).over(upto) for n in running_sum}
         local |= {f"_l_{n}": F.min(v(n)).over(upto) for n in running_min}
-        out = rows.withColumns(local).join(edges, part, "left")
+        out = rows.withColumns(local).join(edges, part)
 
         def both(n):
             return F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))
@@ -138,4 +124,43 @@ class Ordered:
         final |= {n: F.when(F.col(f"_l_{n}").isNull(), F.col(f"_c_{n}")).otherwise(
             F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))) for n in running_sum}
         final |= {n: F.least(F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n in running_min}
-        return out.withColumns(final).select(*[c for c in df.columns if c not in final], *final)
+        kept = [c for c in df.columns if c not in final]
+        return out.withColumns(final).select(*kept, *final)
+
+    def add_affine(self, df: DataFrame, name: str, factor: Column, term: Column) -> DataFrame:
+        """Add the state x that every row changes to factor * x + term, from 0 at the first row.
+
+        A slice folds its rows from 0 and keeps the product of its factors; the pairs of earlier
+        slices of a key give the state it begins with. Nothing is divided, so long runs keep their digits."""
+        opened = "_slice" in df.columns
+        src = {"_f": factor.cast("double"), "_t": term.cast("double")}
+        rows = df.withColumns(src) if opened else self.open(df.withColumns(src))
+        rows = rows.withColumn("_name", F.to_json("_key"))
+        names = [*rows.columns, "_x", "_p"]
+        schema = rows.withColumns({"_x": F.lit(0.0), "_p": F.lit(0.0)}).schema
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, x, p = None, 0.0, 1.0
+            for b in batches:
+                xs, ps = np.empty(b.num_rows), np.empty(b.num_rows)
+                at = zip(b.column("_name").to_pylist(), b.column("_slice").to_pylist(), b.column("_f").to_pylist(), b.column("_t").to_pylist())
+                for i, (key, part, f, t) in enumerate(at):
+                    if now != (key, part):
+                        now, x, p = (key, part), 0.0, 1.0
+                    x, p = f * x + t, f * p
+                    xs[i], ps[i] = x, p
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(xs), pa.array(ps)], names)
+
+        rows = (rows.repartition("_key", "_slice").sortWithinPartitions("_slice", "_name", *self.order)
+                .mapInArrow(fold, schema).persist(StorageLevel.DISK_ONLY))
+        order = F.struct(*[F.col(c) for c in self.order])
+        ends = rows.groupBy("_key", "_slice").agg(F.max_by(F.struct("_p", "_x"), order).alias("e"))
+        # a key has at most as many pairs as there are partitions
+        pairs = ends.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_slice", "e"))).alias("s"))
+        begin = F.transform("s", lambda at, i: F.struct(
+            at["_slice"].alias("_slice"),
+            F.aggregate(F.slice("s", F.lit(1), i), F.lit(0.0), lambda x, y: y["e"]["_p"] * x + y["e"]["_x"]).alias("_in")))
+        begins = pairs.select("_key", F.explode(begin).alias("b")).select("_key", "b.*")
+        out = rows.join(begins, ["_key", "_slice"]).withColumn(name, F.col("_x") + F.col("_p") * F.col("_in"))
+        kept = [c for c in df.columns if c != name]
+        return out.select(*kept, name)

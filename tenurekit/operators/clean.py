@@ -99,7 +99,7 @@ def invoice_rows(parsed: DataFrame) -> DataFrame:
 def bursts(invoices: DataFrame, p: Params, gap_seconds: int = 300) -> DataFrame:
     """Rows of one invoice closer than the gap are one payment attempt."""
     inv = invoices.where("subscription_id is not null")
-    scan = Ordered.measured(inv, ["invoice_id"], "created", ["event_id"], p)
+    scan = Ordered(["invoice_id"], "created", ["event_id"])
     g = scan.add(inv, prev={"_p": F.col("created")})
     # seconds are counted as the source does: by the second boundaries between the two times
     gap = F.unix_seconds(F.date_trunc("second", "created")) - F.unix_seconds(F.date_trunc("second", "_p"))
@@ -124,7 +124,7 @@ def invoice_outcomes(b: DataFrame, p: Params) -> DataFrame:
     """One lifecycle event per attempt. A paid creation invoice only enriches the trial; the first
     paid cycle converts, later ones renew; failed attempts are billing issues."""
     cycle = (F.col("has_paid") == 1) & ~F.coalesce(F.col("billing_reason") == "subscription_create", F.lit(False))
-    scan = Ordered.measured(b, ["subscription_id"], "burst_start", ["invoice_id", "burst_id"], p)
+    scan = Ordered(["subscription_id"], "burst_start", ["invoice_id", "burst_id"])
     b = scan.add(b, running_sum={"_n": cycle.cast("bigint")})
     paid = F.col("has_paid") == 1
     name = (F.when(paid & ~cycle, "trial_payment").when(cycle & (F.col("_n") == 1), "trial_converted").when(cycle, "subscription_renewed")
@@ -204,7 +204,7 @@ def order_outcomes(orders: DataFrame, p: Params) -> DataFrame:
     o = orders.where("subscription_id is not null and processed_at is not null")
     ok = (F.col("status") == "settle_ok") & (F.coalesce("amount_cents", F.lit(0)) > 0)
     o = o.withColumn("_retry", F.coalesce("retry_attempt", F.lit(2**62)))
-    scan = Ordered.measured(o, ["subscription_id"], "processed_at", ["_retry", "order_id"], p)
+    scan = Ordered(["subscription_id"], "processed_at", ["_retry", "order_id"])
     o = scan.add(o, running_sum={"_n": F.coalesce(ok, F.lit(False)).cast("bigint")})
     st = F.col("status")
     name = (F.when(ok & (F.col("_n") == 1), "trial_converted").when(ok, "subscription_renewed")
@@ -236,7 +236,7 @@ def missing_starts(events: DataFrame) -> DataFrame:
 def entry_edges(flat: DataFrame, p: Params, status: str = "redemption") -> DataFrame:
     """Rows where the status becomes `status` and was something else in the row before."""
     f = flat.where("subscription_id is not null").withColumn("_in", F.coalesce(F.col("status") == status, F.lit(False)))
-    scan = Ordered.measured(f, ["subscription_id"], "created", ["event_id"], p)
+    scan = Ordered(["subscription_id"], "created", ["event_id"])
     f = scan.add(f, prev={"_was": F.col("_in")})
     return f.where(F.col("_in") & ~F.coalesce("_was", F.lit(False))).select(
         "subscription_id", F.col("created").alias("event_datetime"), F.lit("entered_grace_period").alias("event_name"),
@@ -264,7 +264,7 @@ def cadence(events: DataFrame, p: Params, success: Sequence[str] = ("trial_conve
     """Interval closest to the median gap of successes (gaps counted per value first)."""
     s = events.where(F.col("event_name").isin(*success) & F.col("subscription_id").isNotNull())
     tie = ["event_name"]
-    scan = Ordered.measured(s, ["subscription_id"], "event_datetime", tie, p)
+    scan = Ordered(["subscription_id"], "event_datetime", tie)
     s = scan.add(s, prev={"_p": F.col("event_datetime")})
     gap = (F.unix_micros("event_datetime") - F.unix_micros("_p")) / F.lit(86_400e6)
     g = s.withColumn("gap", gap).where("gap is not null").groupBy("subscription_id", "gap").agg(F.count(F.lit(1)).alias("n"))

@@ -58,7 +58,7 @@ def numbered_payments(events: DataFrame, paid: Sequence[str], price: float, tol:
         e = e.groupBy(event_id).agg(F.min(F.struct("ts", "tie", key, "event_name", "amount")).alias("r")).select("r.*")
     else:
         e = e.groupBy(key, "ts", "event_name", "amount").agg(F.min("tie").alias("tie"))
-    scan = Ordered.measured(e, [key], "ts", ["tie"], p)
+    scan = Ordered([key], "ts", ["tie"])
     return scan.add(e, row_no="payment_number").withColumn("rebill_number", F.col("payment_number") - 1)
 
 

@@ -19,7 +19,7 @@ from tenurekit.params import Params
 def payment_ladder(pays: DataFrame, p: Params, key: str = "sub_id") -> DataFrame:
     """Kept payments with step_k, next_ts and days_to_next. A payment is dropped when the payment
     just before it, kept or not, is at most `dedup_days` older."""
-    scan = Ordered.measured(pays, [key], "ts", ["tie"], p)
+    scan = Ordered([key], "ts", ["tie"])
     gap = scan.add(pays, prev={"_prev_ts": F.col("ts")})
     kept = gap.where(F.col("_prev_ts").isNull() | (days_between("_prev_ts", "ts") > p.dedup_days)).drop("_prev_ts")
     out = scan.add(kept, row_no="step_k", next={"next_ts": F.col("ts")})
@@ -37,7 +37,7 @@ def step_flags(events: DataFrame, p: Params, key: str = "sub_id", carry: Sequenc
     ev = (events.where(F.col("kind").isin("pay", "issue", "vol"))
           .select(key, "ts", "tie", "kind", *carry)
           .withColumn("_rank", F.when(is_pay, 1).otherwise(0)))
-    scan = Ordered.measured(ev, [key], "ts", ["_rank", "tie"], p)
+    scan = Ordered([key], "ts", ["_rank", "tie"])
     ev = scan.add(ev, last_before={"_prev_pay": F.when(is_pay, F.col("ts"))})
     kept = is_pay & (F.col("_prev_pay").isNull() | (days_between("_prev_pay", "ts") > p.dedup_days))
     ev = ev.withColumn("_kept", kept).where(~is_pay | F.col("_kept"))
@@ -48,7 +48,7 @@ def step_flags(events: DataFrame, p: Params, key: str = "sub_id", carry: Sequenc
         F.max(F.col("kind") == "issue").alias("had_issue"),
         F.max(F.col("kind") == "vol").alias("had_vol"))
     steps = steps.select(key, "step_k", "had_issue", "had_vol", "p.*")
-    out = Ordered([key], "ts", ["tie"], params=p, hot=scan.hot).add(
+    out = Ordered([key], "ts", ["tie"]).add(
         steps, next={"next_ts": F.col("ts")}, running_min={"first_pay": F.col("ts")})
     return out.withColumn("days_to_next", days_between("ts", "next_ts"))
 
@@ -75,12 +75,12 @@ def chain_outcome(events: DataFrame, p: Params, key: str = "sub_id") -> DataFram
     is_pay = F.col("kind") == "pay"
     ev = (events.where("kind in ('pay', 'issue')").select(key, "ts", "tie", "kind")
           .withColumn("_rank", F.when(is_pay, 1).otherwise(0)))
-    scan = Ordered.measured(ev, [key], "ts", ["_rank", "tie"], p)
+    scan = Ordered([key], "ts", ["_rank", "tie"])
     ev = scan.add(ev, running_sum={"step_k": is_pay.cast("bigint")}).where("step_k >= 1")
     steps = ev.groupBy(key, "step_k").agg(
         F.max(F.when(is_pay, F.struct("ts", "tie"))).alias("p"),
         F.min(F.when(~is_pay, F.col("ts"))).alias("first_issue")).select(key, "step_k", "first_issue", "p.*")
-    steps = Ordered([key], "ts", ["tie"], params=p, hot=scan.hot).add(steps, next={"next_ts": F.col("ts")})
+    steps = Ordered([key], "ts", ["tie"]).add(steps, next={"next_ts": F.col("ts")})
     last = events.where("kind = 'end'").groupBy(key).agg(
         F.max(F.struct("ts", "tie", "churn_type")).alias("t")).select(
         key, F.col("t.ts").alias("end_ts"), F.col("t.churn_type").alias("churn_type"))
@@ -240,7 +240,7 @@ def censored_share(mx: DataFrame) -> DataFrame:
 
 def resubscribers(events: DataFrame, p: Params, gap_days: float, key: str = "sub_id") -> DataFrame:
     """Keys with a silence above gap_days, or with more than one trial or conversion."""
-    scan = Ordered.measured(events, [key], "ts", ["tie"], p)
+    scan = Ordered([key], "ts", ["tie"])
     e = scan.add(events.select(key, "ts", "tie", "event_name"), prev={"_p": F.col("ts")})
     return e.groupBy(key).agg(
         F.max(days_between("_p", "ts")).alias("max_gap"),

@@ -179,7 +179,7 @@ def last_decline(terminals: DataFrame, declines: DataFrame, p: Params, grace_day
     d = declines.select("customer_id", "ts", F.lit(0).alias("rank"), F.lit(None).cast(terminals.schema["subscription_id"].dataType).alias("subscription_id"),
                         "reason", F.col("tie").cast("bigint"))
     u = t.unionByName(d)
-    scan = Ordered.measured(u, ["customer_id"], "ts", ["rank", "tie", "subscription_id"], p)
+    scan = Ordered(["customer_id"], "ts", ["rank", "tie", "subscription_id"])
     u = scan.add(u, last_before={"last_reason": F.col("reason")}, running_sum={"n_before": (F.col("rank") == 0).cast("bigint")})
     u = u.where("rank = 1")
     per = u.groupBy("customer_id").agg(F.count_distinct("subscription_id").alias("_s"))
@@ -223,7 +223,7 @@ def long_pauses(fails: DataFrame, pays: DataFrame, p: Params, days: float = 20.0
     u = fails.select(key, "ts", "tie", F.lit("failed").alias("kind")).unionByName(pays.select(key, "ts", "tie", F.lit("paid").alias("kind")))
     u = u.join(fails.select(key).distinct(), key, "left_semi")
     failed = F.col("kind") == "failed"
-    scan = Ordered.measured(u, [key], "ts", ["kind", "tie"], p)
+    scan = Ordered([key], "ts", ["kind", "tie"])
     u = scan.add(u, prev={"_t": F.col("ts"), "_k": F.col("kind")}, last_before={"_f": F.when(failed, F.col("ts")), "_p": F.when(~failed, F.col("ts"))})
     silence = (days_between("_t", "ts") > days) & (F.col("_k") == "failed")
     gap = failed & (days_between("_f", "ts") > days)
@@ -236,7 +236,7 @@ def resurrections(pays: DataFrame, units: DataFrame, p: Params, slack_days: floa
     """Gaps between payments longer than one interval plus slack.
 
     units: key, interval_unit."""
-    scan = Ordered.measured(pays, [key], "ts", ["tie"], p)
+    scan = Ordered([key], "ts", ["tie"])
     g = scan.add(pays.select(key, "ts", "tie"), prev={"_p": F.col("ts")}).withColumn("gap", days_between("_p", "ts"))
     unit = F.create_map(*[x for k, v in UNIT_DAYS.items() for x in (F.lit(k), F.lit(v))])
     return g.join(units, key).where(F.col("gap") > F.try_element_at(unit, F.col("interval_unit")) + slack_days).select(key, "interval_unit", "gap")
@@ -245,7 +245,7 @@ def resurrections(pays: DataFrame, units: DataFrame, p: Params, slack_days: floa
 def late_success(pays: DataFrame, fails: DataFrame, p: Params, days: float = 20.0, key: str = "subscription_id") -> DataFrame:
     """Keys with a payment long after the failure before it, with the first such gap."""
     u = pays.select(key, "ts", "tie", F.lit(1).alias("paid")).unionByName(fails.select(key, "ts", "tie", F.lit(2).alias("paid")))
-    scan = Ordered.measured(u, [key], "ts", ["paid", "tie"], p)
+    scan = Ordered([key], "ts", ["paid", "tie"])
     u = scan.add(u, last_before={"_f": F.when(F.col("paid") == 2, F.col("ts"))})
     late = u.where((F.col("paid") == 1) & (days_between("_f", "ts") > days))
     return late.groupBy(key).agg(F.min_by(days_between("_f", "ts"), F.struct("ts", "tie")).alias("gap_days"))
@@ -268,7 +268,7 @@ def life_after_death(deaths: DataFrame, pays: DataFrame, fails: DataFrame, grace
 # ------------------------------------------------------------------ grain study
 def payment_gaps(pays: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
     """Days between consecutive payments of a key."""
-    scan = Ordered.measured(pays, list(keys), "ts", ["tie"], p)
+    scan = Ordered(list(keys), "ts", ["tie"])
     return scan.add(pays.select(*keys, "ts", "tie", "amount"), prev={"_p": F.col("ts")}).withColumn("gap", days_between("_p", "ts"))
 
 
@@ -278,7 +278,7 @@ def parallel_people(spans: DataFrame, p: Params, person: str = "email") -> DataF
 
     spans: person, key, start_ts, end_ts."""
     s = spans.withColumn("ts", F.col("start_ts"))
-    scan = Ordered.measured(s, [person], "ts", ["key"], p)
+    scan = Ordered([person], "ts", ["key"])
     s = scan.add(s, running_min={"_m": -F.unix_micros("end_ts")})
     s = scan.add(s, prev={"_e": F.col("_m")})
     over = F.coalesce(F.unix_micros("start_ts") <= -F.col("_e"), F.lit(False))

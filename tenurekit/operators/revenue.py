@@ -54,35 +54,28 @@ def net_by_subscription(events: DataFrame, price: float) -> DataFrame:
     return s.withColumn("net_revenue", F.col("base_net") + F.col("ups_net")).drop("_share")
 
 
-def net_events(events: DataFrame, price: float, p: Params) -> DataFrame:
+def net_events(events: DataFrame, price: float, p: Params, slices: int | None = None) -> DataFrame:
     """Net money per event in time order; a refund never takes more than what is left.
 
     The money left after each event is the running sum lifted by its lowest point below zero. A
-    refund scales base and upsell alike, so the base left is a running product-sum between the
-    moments when nothing is left."""
+    refund scales base and upsell alike: the base left is an affine fold, of which a payment is the
+    term and a refund the factor."""
     pay = paid_events(events, price).select(
         "subscription_id", "customer_user_id", "event_datetime", "tie", "base_amt", "ups_amt",
         F.col("price_amount").alias("amt"), F.lit(0).alias("rank"))
     ref = dedup_refunds(events).select(
         "subscription_id", "customer_user_id", "event_datetime", "tie", F.lit(0.0).alias("base_amt"),
         F.lit(0.0).alias("ups_amt"), F.col("price_amount").alias("amt"), F.lit(1).alias("rank"))
-    ev = pay.unionByName(ref)
-    order = ["rank", "tie"]
-    scan = Ordered.measured(ev, ["subscription_id"], "event_datetime", order, p)
+    scan = Ordered(["subscription_id"], "event_datetime", ["rank", "tie"], slices=slices)
     is_ref = F.col("rank") == 1
+    ev = scan.open(pay.unionByName(ref))
     ev = scan.add(ev, running_sum={"_s": F.when(is_ref, -F.col("amt")).otherwise(F.col("amt"))})
     ev = scan.add(ev, running_min={"_m": F.col("_s")})
     ev = ev.withColumn("_left", F.col("_s") - F.least(F.lit(0.0), F.col("_m")))
-    ev = scan.add(ev, prev={"_was": F.col("_left")})
-    ev = ev.withColumn("_was", F.coalesce("_was", F.lit(0.0)))
-    # a refund multiplies what is left by _left/_was; an emptied subscription starts a new stretch
-    ev = scan.add(ev, running_sum={"_stretch": (is_ref & (F.col("_left") <= 0)).cast("bigint")})
-    keep = F.when(is_ref & (F.col("_left") > 0) & (F.col("_was") > 0), F.ln(F.try_divide("_left", "_was"))).otherwise(0.0)
-    part = Ordered(["subscription_id", "_stretch"], "event_datetime", order, params=p, hot=scan.hot)
-    ev = part.add(ev, running_sum={"_l": keep})
-    ev = part.add(ev, running_sum={"_b": F.col("base_amt") * F.exp(-F.col("_l"))})
-    ev = ev.withColumn("_base", F.when(is_ref & (F.col("_left") <= 0), F.lit(0.0)).otherwise(F.col("_b") * F.exp("_l")))
-    ev = scan.add(ev, prev={"_base_was": F.col("_base")})
+    ev = scan.add(ev, prev={"_was": F.col("_left")}).withColumn("_was", F.coalesce("_was", F.lit(0.0)))
+    kept = F.when(is_ref, F.when(F.col("_was") > 0, F.try_divide("_left", "_was")).otherwise(0.0)).otherwise(1.0)
+    ev = scan.add_affine(ev, "_base", kept, F.col("base_amt"))
+    ev = scan.close(scan.add(ev, prev={"_base_was": F.col("_base")}))
     taken = F.col("_was") - F.col("_left")
     share = F.when(F.col("_was") > 0, F.try_divide(F.coalesce("_base_was", F.lit(0.0)), "_was")).otherwise(0.0)
     return ev.select(

@@ -53,10 +53,6 @@ class Params:
     # reporting
     low_n: int = 40
     min_age: int = 1
-    # layout: rows one key may hold before its ordered scan is cut into time slices
-    hot_rows: int = 2_000_000
-    slice_days: float = 1.0
-    sliced: bool | None = None
 
     @property
     def return_periods(self) -> float:
