@@ -7,13 +7,18 @@ aggregates that combine before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tenurekit.functions.exprs import add_unit, interval_word, lookup, null_token
 from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.workers import ship
 from tenurekit.params import Params
 
 # Cancel reasons of provider A and cancel messages of provider B by churn type.
@@ -59,11 +64,19 @@ def dedup_exact(raw: DataFrame) -> DataFrame:
     return raw.distinct()
 
 
+def payload_form(data: Column, volatile: str) -> Column:
+    """The payload without one top-level key, in a form that the order of keys does not change: a
+    variant keeps the keys of every object sorted. A text that is no JSON stands for itself."""
+    parsed = F.from_json(F.to_json(F.try_parse_json(data)), "map<string,string>")
+    kept = F.array_sort(F.map_entries(F.map_filter(parsed, lambda k, _: k != volatile)))
+    return F.when(parsed.isNull(), F.struct(data.alias("text"), F.lit(None).cast("array<struct<key:string,value:string>>").alias("fields"))) \
+        .otherwise(F.struct(F.lit(None).cast("string").alias("text"), kept.alias("fields")))
+
+
 def same_payload(raw: DataFrame, volatile: str) -> DataFrame:
-    """Per repeated id: copies, and whether payloads agree once one volatile key is taken out."""
-    stripped = F.regexp_replace("data", f'"{volatile}":("[^"]*"|[0-9]+),?', "")
+    """Per repeated id: copies, and whether payloads agree once one volatile top-level key is taken out."""
     return raw.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("copies"), F.count_distinct(F.xxhash64(stripped)).alias("payloads")).where("copies > 1").withColumn(
+        F.count(F.lit(1)).alias("copies"), F.count_distinct(F.xxhash64(payload_form(F.col("data"), volatile))).alias("payloads")).where("copies > 1").withColumn(
         "benign", F.col("payloads") == 1)
 
 
@@ -353,19 +366,46 @@ def canonical_starts(created: DataFrame, converted: DataFrame, activated: DataFr
 
 
 # ------------------------------------------------------------------ payload profiles
-def json_leaves(raw: DataFrame, keys: Sequence[str], column: str = "data", depth: int = 6,
+def json_leaves(raw: DataFrame, keys: Sequence[str], column: str = "data",
                 dynamic: str = "^[A-Za-z]*_?[0-9][0-9-]*$") -> DataFrame:
-    """(keys, path, value) for every leaf of a JSON object, to a fixed depth; key names that look like
-    ids become `*`. Each level is one explode of the level before, in one plan."""
-    kind = "map<string,string>"
-    df = raw.select(*keys, F.lit("").alias("path"), F.col(column).alias("value"))
-    for _ in range(depth):
-        node = F.when(F.col("value").startswith("{"), F.from_json("value", kind))
-        df = df.select(*keys, F.col("path").alias("_p"), F.explode(F.coalesce(node, F.create_map(F.lit(""), F.col("value")))).alias("_k", "value"))
-        name = F.regexp_replace("_k", dynamic, "*")
-        path = F.when(F.col("_k") == "", F.col("_p")).when(F.col("_p") == "", name).otherwise(F.concat("_p", F.lit("."), name))
-        df = df.select(*keys, path.alias("path"), "value")
-    return df
+    """(keys, path, value) for every leaf of a JSON text, however deep; key names that look like ids
+    become `*`, list items add `[]`. Values are the text of the leaf, null for null. A text that is
+    no JSON, or null, is one leaf at the empty path; an empty object or list is one leaf."""
+    ship(raw.sparkSession)
+    rows = raw.select(*keys, F.col(column).cast("string").alias("_text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("path", StringType()), StructField("value", StringType())])
+    as_id = re.compile(dynamic)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, paths, values = [], [], []
+            for i, text in enumerate(b.column("_text").to_pylist()):
+                for path, value in leaves_of(text, as_id):
+                    of.append(i)
+                    paths.append(path)
+                    values.append(value)
+            kept = [b.column(k).take(pa.array(of, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(paths, pa.string()), pa.array(values, pa.string())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def leaves_of(text: str | None, as_id: re.Pattern) -> Iterator[tuple[str, str | None]]:
+    """Leaves of one JSON text in order; numbers keep their spelling."""
+    try:
+        node = json.loads(text, parse_float=str, parse_int=str, parse_constant=str) if text is not None else None
+    except (ValueError, RecursionError):
+        node = text
+    todo = [("", node)]
+    while todo:
+        path, node = todo.pop()
+        if isinstance(node, dict) and node:
+            names = ((as_id.sub("*", k), v) for k, v in node.items())
+            todo += reversed([(f"{path}.{k}" if path else k, v) for k, v in names])
+        elif isinstance(node, list) and node:
+            todo += reversed([(f"{path}[]", v) for v in node])
+        else:
+            yield path, json.dumps(node) if isinstance(node, (dict, list, bool)) else node
 
 
 def path_profile(leaves: DataFrame, interesting: str) -> DataFrame:

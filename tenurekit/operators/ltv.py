@@ -55,12 +55,12 @@ def weekly_payers(payments: DataFrame, pop: DataFrame, p: Params, dims: Sequence
 
 # ------------------------------------------------------------------ upsell attach
 def checkpoint_observations(events: DataFrame, pop: DataFrame, ladder: DataFrame, p: Params,
-                            max_checkpoint: int = 60) -> DataFrame:
+                            max_checkpoint: int | None = None) -> DataFrame:
     """(key, checkpoint week) where the key paid the base plan that week and the week has settled,
-    with paid_ups 0/1."""
+    with paid_ups 0/1. Checkpoints go to the end of the curve unless a last one is given."""
     settle = math.ceil(p.return_periods)
     at = F.col("week")
-    on_grid = (at >= p.ups_first) & (at <= max_checkpoint) & ((at - p.ups_first) % p.ups_every == 0)
+    on_grid = (at >= p.ups_first) & (at <= (p.h_ext if max_checkpoint is None else max_checkpoint)) & ((at - p.ups_first) % p.ups_every == 0)
     alive = (in_population(ladder.select("session_id", "ts"), pop, p, ["age_weeks_now"])
              .where(on_grid & (F.col("age_weeks_now") >= at + settle)).select("session_id", "week").distinct())
     ups = (in_population(events.where(F.col("event_type") == R.UPSELL).select("session_id", "ts"), pop, p)

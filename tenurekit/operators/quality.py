@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import UNIT_DAYS, days_between
 from tenurekit.functions.ordered import Ordered
+from tenurekit.operators.clean import payload_form
 from tenurekit.params import Params
 
 # Decline reasons by what can still be collected.
@@ -62,7 +63,7 @@ def silver_checks(silver: DataFrame, raw: DataFrame, counts: DataFrame, expected
     term = F.col("event_name") == "subscription_expired"
     known = F.col("subscription_id").isNotNull()
     out = [check(counts, "manifest", F.count_if(~F.coalesce(F.col("n_rows") == F.try_element_at(exp, F.col("table_name")), F.lit(False))))]
-    copies = raw.groupBy("event_id").agg(F.count_distinct(F.xxhash64(F.regexp_replace("data", '"pending_webhooks":[0-9]+', ""))).alias("v"))
+    copies = raw.groupBy("event_id").agg(F.count_distinct(F.xxhash64(payload_form(F.col("data"), "pending_webhooks"))).alias("v"))
     out.append(check(copies, "benign_duplicates", F.count_if(F.col("v") > 1)))
     out.append(check(silver, "id_format", F.count_if(known & ~F.col("subscription_id").rlike(id_format))))
     out.append(check(silver, "null_id_not_orphan", F.count_if(~known & ~F.col("refund_orphan"))))
@@ -119,11 +120,13 @@ def source_gap(a: DataFrame, b: DataFrame, key: str, gate_pct: float = 1.5) -> D
     return j.withColumn("gap_pct", gap).withColumn("ok", F.abs("gap_pct") < gate_pct)
 
 
-def level_totals(event_level: DataFrame, sub_level: DataFrame) -> DataFrame:
-    """Do event-level and key-level totals agree, and is any key negative?"""
+def level_totals(event_level: DataFrame, sub_level: DataFrame, tol: float) -> DataFrame:
+    """Event-level and key-level totals, their gap against a tolerance, and keys below zero."""
     e = event_level.agg(F.sum(F.col("base_net_ev") + F.col("ups_net_ev")).alias("event_total"))
     s = sub_level.agg(F.sum("net_revenue").alias("sub_total"), F.count_if(F.col("net_revenue") < -1e-9).alias("negative"))
-    return e.withColumn("_s", s.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
+    both = e.withColumn("_s", s.select(F.struct("*")).scalar()).select("*", "_s.*").drop("_s")
+    gap = F.try_divide(F.col("event_total") - F.col("sub_total"), "sub_total")
+    return both.withColumn("gap", gap).withColumn("ok", F.coalesce(F.abs("gap") <= tol, F.lit(False)))
 
 
 def same_totals(tables: Mapping[str, DataFrame], by: str, value: str, tol: float = 1e-3) -> DataFrame:

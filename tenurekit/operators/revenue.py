@@ -66,7 +66,7 @@ def net_events(events: DataFrame, price: float, p: Params, slices: int | None =
     ref = dedup_refunds(events).select(
         "subscription_id", "customer_user_id", "event_datetime", "tie", F.lit(0.0).alias("base_amt"),
         F.lit(0.0).alias("ups_amt"), F.col("price_amount").alias("amt"), F.lit(1).alias("rank"))
-    scan = Ordered(["subscription_id"], "event_datetime", ["rank", "tie"], slices=slices)
+    scan = Ordered(["subscription_id"], "event_datetime", ["rank", "tie", "amt"], slices=slices)
     is_ref = F.col("rank") == 1
     ev = scan.open(pay.unionByName(ref))
     ev = scan.add(ev, running_sum={"_s": F.when(is_ref, -F.col("amt")).otherwise(F.col("amt"))})

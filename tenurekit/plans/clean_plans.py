@@ -144,13 +144,15 @@ def one_start_per_subscription(spark, d):
     return C.starts_b(flat(spark, d)).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"), "raw_event_type")
 
 
-@query("missing_starts", "E10 J8", f"""{EA}, {OUTA}, {STA}, un AS (SELECT sub, name, epoch_us(tm) AS a FROM ob UNION ALL SELECT sub, name, at_us FROM sa WHERE churn IS NOT NULL OR sub < 'sub_000000000050')
- SELECT sub AS subscription_id, min(a) AS at_us FROM un GROUP BY 1 HAVING NOT bool_or(name = 'trial_started')""")
+@query("missing_starts", "E10 J8", f"""{EA}, {OUTA}, {STA}, un AS (SELECT 'all' AS log, sub, name, epoch_us(tm) AS a FROM ob UNION ALL SELECT 'all', sub, name, at_us FROM sa UNION ALL SELECT 'invoices', sub, name, epoch_us(tm) FROM ob)
+ SELECT log, sub AS subscription_id, min(a) AS at_us FROM un GROUP BY 1, 2 HAVING NOT bool_or(name = 'trial_started')""")
 def missing_starts(spark, d):
+    """Subscriptions without a start: in the whole log of provider A, and in its invoices alone."""
     p = deduped_a(spark, d)
-    st = C.state_events(C.subscription_events(p)).where("churn_type is not null or subscription_id < 'sub_000000000050'")
-    un = outcomes_a(p).unionByName(st, allowMissingColumns=True)
-    return C.missing_starts(un).select("subscription_id", F.unix_micros("event_datetime").alias("at_us"))
+    inv, st = outcomes_a(p), C.state_events(C.subscription_events(p))
+    logs = {"all": inv.unionByName(st, allowMissingColumns=True), "invoices": inv}
+    out = [C.missing_starts(e).select(F.lit(n).alias("log"), "subscription_id", F.unix_micros("event_datetime").alias("at_us")) for n, e in logs.items()]
+    return out[0].unionByName(out[1])
 
 
 @query("grace_entries", "E11 W11", f"""{EB}, r0 AS (SELECT sub, ok * 2 + i AS eid, od + to_days(i) AS cr, os = 'P' AS red FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true),
@@ -269,14 +271,26 @@ def benign_duplicates(spark, d):
     return C.same_payload(webhooks_a(spark, d), "pending_webhooks")
 
 
-@query("json_path_profile", "X4 X10", f"""{EB}, x AS (SELECT * FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true)
- SELECT 'subscription.id' AS path, count(*) AS n, count(DISTINCT sub) AS values, false AS interesting FROM x UNION ALL SELECT 'subscription.cancel_message', count(*), count(DISTINCT c % 4), false FROM x
- UNION ALL SELECT 'customer.customer_email', count(*), count(DISTINCT c), true FROM x UNION ALL SELECT 'subscription.expired_at', count(*), count(DISTINCT od), false FROM x WHERE os = 'F'
- UNION ALL SELECT 'invoices.*.orders.*.status', 2 * count(*), count(DISTINCT st) + 1, false FROM ol UNION ALL SELECT 'invoices.*.orders.*.amount', 2 * count(*), count(DISTINCT cents), false FROM ol""")
+def _path(path: str, n: str, values: str, where: str = "", src: str = "x") -> str:
+    hit = any(w in path for w in ("email", "country", "geo"))
+    return f"SELECT '{path}' AS path, {n} AS n, count(DISTINCT {values}) AS values, {str(hit).lower()} AS interesting FROM {src} {where} HAVING count(*) > 0"
+
+
+B_PATHS = " UNION ALL ".join([
+    _path("subscription.id", "count(*)", "sub"), _path("subscription.status", "count(*)", "os = 'P'"),
+    _path("subscription.started_at", "count(*)", "od", "WHERE c % 3 <> 0"), _path("subscription.expired_at", "count(*)", "od", "WHERE os = 'F'"),
+    _path("subscription.cancel_message", "count(*)", "c % 4"), _path("customer.customer_email", "count(*)", "c"),
+    _path("customer.customer_account_id", "count(*)", "c"), _path("product.name", "count(*)", "c % 5"), _path("product.product_id", "count(*)", "c % 7"),
+    _path("invoices.*.orders.*.status", "2 * count(*)", "st", src="ol").replace("count(DISTINCT st)", "count(DISTINCT st) + 1"),
+    _path("invoices.*.orders.*.amount", "2 * count(*)", "cents", src="ol"),
+    _path("invoices.*.orders.*.processed_at", "2 * count(*)", "pr", "WHERE pr IS NOT NULL", "ol"),
+    _path("invoices.*.orders.*.retry_attempt", "2 * count(*)", "retry", src="ol")])
+
+
+@query("json_path_profile", "X4 X10", f"{EB}, x AS (SELECT * FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true) {B_PATHS}")
 def json_path_profile(spark, d):
     leaves = C.json_leaves(webhooks_b(spark, d), ["event_id"])
-    keep = ("subscription.id", "subscription.cancel_message", "customer.customer_email", "subscription.expired_at", "invoices.*.orders.*.status", "invoices.*.orders.*.amount")
-    return C.path_profile(leaves, "(?i)email|country|geo").where(F.col("path").isin(*keep)).select("path", "n", "values", "interesting")
+    return C.path_profile(leaves, "(?i)email|country|geo").select("path", "n", "values", "interesting")
 
 
 @query("json_differences", "X5", "SELECT 'pending_webhooks' AS path, count(*) AS ids FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0")

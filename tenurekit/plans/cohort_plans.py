@@ -96,7 +96,7 @@ def admitted_cohorts(spark, d):
     return facts_out(K.admitted(facts(spark, d)))
 
 
-@query("cohort_coverage", "P12 J8 U3", f"""{GO}, {Q.OE}, mxk AS (SELECT DISTINCT 'u' || sub_id || '@mail' AS sub_id FROM oe WHERE kind = 'pay' AND amount > 50000),
+@query("cohort_coverage", "P12 J8 U3", f"""{GO}, {Q.OE}, {Q.mobile_mx('oe', ORDERS)}, mxk AS (SELECT DISTINCT 'u' || sub_id || '@mail' AS sub_id FROM mx),
  am AS (SELECT sub_id, round(amount, 2) AS a, count(*) AS n FROM go WHERE amount > 0 GROUP BY 1, 2), md AS (SELECT sub_id, arg_min(a, (-n, a)) FILTER (a >= 5) AS m FROM am GROUP BY 1),
  fg AS (SELECT ss.sub_id, coalesce(abs(m - 25) <= 20, false) AS pc, ss.sub_id IN (SELECT sub_id FROM np WHERE rebill_number = 0) AS fp, ss.sub_id IN (SELECT sub_id FROM mxk) AS im FROM ss LEFT JOIN md USING (sub_id))
  SELECT count(*) AS starts, count(*) FILTER (pc) AS on_plan, count(*) FILTER (pc AND fp) AS first_payers, count(*) FILTER (pc AND fp AND im) AS in_matrix, count(*) FILTER (pc AND fp AND NOT im) AS missing,
@@ -105,7 +105,7 @@ def cohort_coverage(spark, d):
     e = golden(spark, d)
     starts = K.subscription_starts(e, "trial_started")
     plan = K.price_cohort(e, starts, PRICE, TOL, FULL)
-    keys = order_log(spark, d).where("kind = 'pay' and amount > 50000").select(F.concat(F.lit("u"), F.col("sub_id").cast("string"), F.lit("@mail")).alias("sub_id"))
+    keys = orders_mx(spark, d).select("sub_id").distinct().select(F.concat(F.lit("u"), F.col("sub_id").cast("string"), F.lit("@mail")).alias("sub_id"))
     s = K.coverage_summary(K.coverage(starts, plan, K.numbered_payments(e, BASE, PRICE, TOL, P), keys))
     return s.withColumns({"first_pay_rate": r6("first_pay_rate"), "matrix_coverage": r6("matrix_coverage")})
 

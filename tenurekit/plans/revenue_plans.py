@@ -92,15 +92,18 @@ def net_by_subscription(spark, d):
                     *[F.round(c, 4).alias(c) for c in ("base_net", "ups_net")])
 
 
-@query("running_refund_cap", "R4 W12 W5", f"""WITH RECURSIVE {Q.RE}, {PAIDSQL}, u AS (
+RUNNING = f"""WITH RECURSIVE {Q.RE}, {PAIDSQL}, u AS (
   SELECT subscription_id, event_datetime, tie, 0 AS rk, base_amt AS b, price_amount - base_amt AS p, price_amount AS amt FROM paid
   UNION ALL SELECT subscription_id, event_datetime, tie, 1, 0, 0, price_amount FROM refd),
- o AS (SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY event_datetime, rk, tie) AS rn FROM u),
+ o AS (SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY event_datetime, rk, tie, amt) AS rn FROM u),
  f AS (SELECT subscription_id, tie, rk, rn, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS wu, CASE WHEN rk = 0 THEN b ELSE 0 END::DOUBLE AS nb, CASE WHEN rk = 0 THEN p ELSE 0 END::DOUBLE AS nu FROM o WHERE rn = 1
   UNION ALL SELECT o.subscription_id, o.tie, o.rk, o.rn, f.nb, f.nu,
    CASE WHEN o.rk = 0 THEN f.nb + o.b WHEN f.nb + f.nu > 0 THEN f.nb - least(o.amt, f.nb + f.nu) * (f.nb / (f.nb + f.nu)) ELSE f.nb END,
    CASE WHEN o.rk = 0 THEN f.nu + o.p WHEN f.nb + f.nu > 0 THEN f.nu - least(o.amt, f.nb + f.nu) * (1 - f.nb / (f.nb + f.nu)) ELSE f.nu END
-  FROM f JOIN o ON o.subscription_id = f.subscription_id AND o.rn = f.rn + 1)
+  FROM f JOIN o ON o.subscription_id = f.subscription_id AND o.rn = f.rn + 1)"""
+
+
+@query("running_refund_cap", "R4 W12 W5", f"""{RUNNING}
  SELECT subscription_id, tie, CASE WHEN rk = 0 THEN 'pay' ELSE 'refund' END AS kind, round(nb - wb, 3) + 0 AS base_net_ev, round(nu - wu, 3) + 0 AS ups_net_ev FROM f""")
 def running_refund_cap(spark, d):
     e = R.net_events(refund_events(spark, d), PRICE, P)

@@ -25,11 +25,10 @@ OE = """oe AS (
         o_totalprice AS amount, o_orderkey AS tie, c_mktsegment AS app_id, n_name AS geo, o_orderpriority AS media_source
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
  UNION ALL
- SELECT o_custkey, l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'issue' ELSE 'vol' END,
-        CASE WHEN l_returnflag = 'R' THEN 'billing_issue_detected' ELSE 'subscription_cancelled' END,
+ SELECT o_custkey, l_shipdate, CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'issue' WHEN 'AF' THEN 'vol' ELSE 'other' END,
+        CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'billing_issue_detected' WHEN 'AF' THEN 'subscription_cancelled' ELSE 'shipment' END,
         NULL, l_orderkey * 10 + l_linenumber, NULL, NULL, NULL
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey
- WHERE l_tax >= 0.07 AND l_returnflag IN ('R', 'A') AND l_linestatus = 'F')"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 SE = """se AS (
  SELECT user_id AS sub_id, ts,
@@ -56,10 +55,10 @@ WE = """we AS (
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
  UNION ALL
  SELECT 'U' || o_custkey || '@Mail', 'F', l_shipdate,
-  CASE l_returnflag WHEN 'R' THEN 'billing_issue' WHEN 'A' THEN 'sub_cancelled' ELSE 'upsale_converted' END,
-  CASE WHEN l_returnflag = 'N' THEN floor(l_extendedprice / 100.0::DOUBLE) / 100.0::DOUBLE END,
+  CASE l_returnflag || l_linestatus WHEN 'RF' THEN 'billing_issue' WHEN 'AF' THEN 'sub_cancelled' WHEN 'NF' THEN 'upsale_converted' ELSE 'other' END,
+  CASE WHEN l_returnflag || l_linestatus = 'NF' THEN floor(l_extendedprice / 100.0::DOUBLE) / 100.0::DOUBLE END,
   l_orderkey * 10 + l_linenumber, 'provider_a', NULL, NULL, NULL, NULL, NULL
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_tax >= 0.07 AND l_linestatus = 'F'))"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
 
 RE = """re AS (
  SELECT o_custkey AS subscription_id, o_custkey AS customer_user_id, l_shipdate AS event_datetime,

@@ -200,13 +200,16 @@ def month_growth(spark, d):
 
 
 AT = "1999-01-01"
-ALIVE = f"""{MO}, dd AS (SELECT sub_id, min(ts) AS dt FROM oe WHERE kind = 'vol' AND ts >= TIMESTAMP '1998-01-01' GROUP BY 1),
+ALIVE = f"""{MO}, lp AS (SELECT sub_id, max(ts) AS lp FROM oe WHERE kind = 'pay' AND ts < TIMESTAMP '{AT}' GROUP BY 1),
+ dd AS (SELECT sub_id, min(ts) AS dt FROM oe JOIN lp USING (sub_id) WHERE kind = 'vol' AND ts > lp AND ts < TIMESTAMP '{AT}' GROUP BY 1),
  al AS (SELECT sb.sub_id, st, greatest(CAST(floor({Q.days('st', f"TIMESTAMP '{AT}'")} / {ORDERS.period_days}) AS BIGINT), 0) AS week_now, dt IS NULL OR dt >= TIMESTAMP '{AT}' AS alive FROM sb LEFT JOIN dd USING (sub_id) WHERE st < TIMESTAMP '{AT}')"""
 
 
 def alive(spark, d):
-    ev = order_log(spark, d)
-    dead = ev.where("kind = 'vol' and ts >= timestamp'1998-01-01'").select("sub_id", F.col("ts").alias("death_ts"))
+    """A death is the first cancellation after the last payment, as known at the cutoff."""
+    ev = order_log(spark, d).where(F.col("ts") < F.lit(AT).cast("timestamp"))
+    last = ev.where("kind = 'pay'").groupBy("sub_id").agg(F.max("ts").alias("last_pay"))
+    dead = ev.where("kind = 'vol'").join(last, "sub_id").where("ts > last_pay").select("sub_id", F.col("ts").alias("death_ts"))
     return M.alive_table(curve_parts(spark, d)[0], dead, F.lit(AT).cast("timestamp"), ORDERS)
 
 

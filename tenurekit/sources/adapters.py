@@ -27,14 +27,15 @@ def _orders(spark, sf_dir) -> DataFrame:
 
 
 def _state_lines(spark, sf_dir, flags: dict[tuple[str, str], str]) -> DataFrame:
-    """Shipments that play the part of state events, with the customer of their order."""
+    """Shipments that play the part of state events, with the customer of their order; a pair of flags
+    without a lifecycle meaning is an event of kind `other`."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag",
-               "l_linestatus", "l_tax", "l_shipdate", "l_extendedprice")
+               "l_linestatus", "l_shipdate", "l_extendedprice")
     name = None
     for (rf, ls), event in flags.items():
         cond = (F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls)
         name = F.when(cond, event) if name is None else name.when(cond, event)
-    li = li.where(F.col("l_tax") >= 0.07).withColumn("event_name", name).where("event_name is not null")
+    li = li.withColumn("event_name", name.otherwise("other"))
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     return li.join(o, li.l_orderkey == o.o_orderkey)
 
@@ -51,7 +52,7 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("sub_id"), F.col("l_shipdate").alias("ts"),
         F.col("event_name").alias("kind"),
         F.when(F.col("event_name") == "issue", "billing_issue_detected")
-        .otherwise("subscription_cancelled").alias("event_name"),
+        .when(F.col("event_name") == "vol", "subscription_cancelled").otherwise("shipment").alias("event_name"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
     return pay.unionByName(st, allowMissingColumns=True)
 
