@@ -1,8 +1,8 @@
 """BPE encoding and decoding from a published vocabulary file.
 
 Each word is a doubly linked list of symbols; a heap holds (merge rank, position) of neighbouring pairs, and entries whose
-pair is gone are skipped when they come up. Words repeat, so results are kept in a table of bounded size that is emptied
-when full; this changes time only. Decoding joins vocabulary strings by one space, as the file names no decoder.
+pair is gone are skipped when they come up. Words repeat, so results are kept in tables of bounded size; this changes
+time only. Decoding joins vocabulary strings by one space, as the file names no decoder.
 
 Null texts count as empty and give no ids. Rows are handled one by one, so ties and repeated rows need no rule.
 """
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 700_000  # entries of the table of words, in each Python worker
+KEPT_WORDS = 400_000  # entries of a table of words; a Python worker keeps two
 _BITS, _MASK = 24, (1 << 24) - 1  # of an id in a packed integer
 _SPACE = regex.compile(r"\s+")
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")  # space for str.split, but not for the vocabulary's pattern
@@ -98,15 +98,19 @@ def normal(s: str) -> str:
 
 
 class _Table(dict):
-    """A dict that makes missing values and is emptied when it holds `limit` entries."""
+    """A dict that makes missing values. When it holds `limit` entries a new one begins; what is still in use comes over."""
 
     def __init__(self, make, limit: int) -> None:
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

@@ -13,7 +13,10 @@ An empty table gives no segments.
 """
 from __future__ import annotations
 
+import array
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +29,10 @@ from tokenizers import Tokenizer
 from tenurekit.llm.store import written
 
 SEGMENT_TOKENS = 1 << 20  # a segment ends with the document that reaches so many
-KEPT_WORDS = 500_000  # words whose ids a Python worker keeps; emptied when full
+KEPT_WORDS = 400_000  # words in each of the two tables of ids that a Python worker keeps
 _MAGIC = b"DAC1"
 _BLOCK = 512
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Codes:
@@ -113,28 +117,58 @@ class Codes:
         return out
 
 
+class _Known(dict):
+    """Ids of words. One that is missing comes over from the table before, or else is noted to be asked for."""
+
+    def __init__(self) -> None:
+        self.older: dict[str, bytes] = {}
+        self.asked: list[str] = []
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            self.asked.append(word)
+            return b""
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """The library's ids of whole texts. Its pattern has no word over white space, so it is asked for each distinct
     stretch between spaces once; texts with separators that only Python counts as space go to it whole."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
-        self.library, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-        self.kind = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library, self.kept = Tokenizer.from_file(path), kept
+        self.known = _Known()
+        small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.kind, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
         self.library.no_truncation()
         self.library.no_padding()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array(self.code, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        whole = {k for k, t in enumerate(texts) if _ODD_SPACE.search(t)}
         split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        if len(self.known) > self.kept:
-            self.known.clear()
         known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
+        if len(known) > self.kept:
+            known.older = dict(known)
+            known.clear()
+        out, short = [], []
+        for k, ws in enumerate(split):
+            n = len(known.asked)
+            out.append(b"".join(map(known.__getitem__, ws)))
+            if len(known.asked) > n:
+                short.append(k)
+        new = list(dict.fromkeys(known.asked))
+        known.asked.clear()
         known.update(zip(new, self._ask(new)))
-        out = [self._ask([t])[0] if k in whole else b"".join(map(known.__getitem__, ws)) for k, (t, ws) in enumerate(zip(texts, split))]
+        for k in short:
+            out[k] = b"".join(map(known.__getitem__, split[k]))
+        for k in whole:
+            out[k] = self._ask([texts[k]])[0]
         return [np.frombuffer(x, dtype=self.kind) for x in out]
 
 

@@ -5,8 +5,11 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tenurekit.llm import quality, secrets
-from tenurekit.llm.queries import ORACLES, QUERIES, vocabulary_path
-from tests.llm import test_decontaminate, test_prefix_tree, test_quality
+from tenurekit.llm.queries import vocabulary_path
+from tenurekit.llm.tables import ORACLES, QUERIES
+import test_decontaminate
+import test_prefix_tree
+import test_quality
 
 
 def test_run_against_plain_stages(spark, tmp_path):
