@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tenurekit.functions.exprs import add_unit, interval_word, lookup, null_token
 from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.ranks import percentiles
 from tenurekit.functions.workers import ship
 from tenurekit.params import Params
 
@@ -274,14 +275,13 @@ def terminals(flat: DataFrame, orders: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ enrichment and assembly
 def cadence(events: DataFrame, p: Params, success: Sequence[str] = ("trial_converted", "subscription_renewed")) -> DataFrame:
-    """Interval closest to the median gap of successes (gaps counted per value first)."""
+    """Interval closest to the median gap of successes."""
     s = events.where(F.col("event_name").isin(*success) & F.col("subscription_id").isNotNull())
     tie = ["event_name"]
     scan = Ordered(["subscription_id"], "event_datetime", tie)
     s = scan.add(s, prev={"_p": F.col("event_datetime")})
     gap = (F.unix_micros("event_datetime") - F.unix_micros("_p")) / F.lit(86_400e6)
-    g = s.withColumn("gap", gap).where("gap is not null").groupBy("subscription_id", "gap").agg(F.count(F.lit(1)).alias("n"))
-    m = g.groupBy("subscription_id").agg(F.percentile("gap", F.lit(0.5), F.col("n")).alias("gap"))
+    m = percentiles(s.withColumn("gap", gap), "gap", [0.5], ["subscription_id"]).withColumnRenamed("q0", "gap")
     near = F.array(*[F.struct(F.abs(F.col("gap") - d).alias("d"), F.lit(i).alias("i"), F.lit(u).alias("u"))
                      for i, (u, d) in enumerate((("day", 1), ("week", 7), ("month", 30), ("year", 365)))])
     return m.select("subscription_id", F.col("gap").alias("median_gap"), F.array_min(near)["u"].alias("interval_unit"))
@@ -292,16 +292,23 @@ def resolve_attribution(keys: DataFrame, log: DataFrame) -> DataFrame:
     countries the latest at or before the install, else the earliest.
 
     keys: key, email, install_date. log: email, event_date, country, utm_source, campaign_name."""
+    row = F.struct(F.unix_micros("event_date").alias("us"), F.coalesce("country", F.lit("")).alias("c"),
+                   F.coalesce("utm_source", F.lit("")).alias("u"), "country", "utm_source", "campaign_name")
     real = F.col("country").isNotNull()
-    amb = log.groupBy("email").agg(F.count_distinct("country").alias("_c"), F.max(real).alias("_real"))
-    j = keys.join(log, "email", "left").join(amb, "email", "left")
-    before = F.col("event_date") <= F.col("install_date")
+    # one row per address: the earliest row with a country, the earliest of all, and how many countries
+    amb = log.groupBy("email").agg(
+        F.count_distinct("country").alias("_c"), F.max(real).alias("_real"),
+        F.min(F.when(real, row)).alias("_first_real"), F.min(row).alias("_first"))
+    # the latest row at or before an install: one union of log and keys, one ordered scan per address;
+    # of rows at one time the first by country and source counts, so only that one is in the scan
+    times = log.where(real).groupBy("email", "event_date").agg(F.min(row).alias("_r"))
+    both = times.select("email", F.col("event_date").alias("_t"), F.lit(0).alias("_is_key"), "_r").unionByName(
+        keys.select("email", F.col("install_date").alias("_t"), F.lit(1).alias("_is_key"), "key"), allowMissingColumns=True)
+    last = Ordered(["email"], "_t", ["_is_key", "key"]).add(both, last_before={"_last": F.col("_r")}).where("_is_key = 1")
+    j = last.join(amb, "email", "left")
     many = F.coalesce(F.col("_c") > 1, F.lit(False))
-    us = F.unix_micros("event_date")
-    rank = F.struct(F.when(real, 0).otherwise(1), F.when(many & before, 0).otherwise(1),
-                    F.when(many & before, -us).otherwise(us), F.coalesce("country", F.lit("")), F.coalesce("utm_source", F.lit("")))
-    pick = F.min_by(F.struct("country", "utm_source", "campaign_name", "event_date"), rank)
-    g = j.groupBy("key").agg(pick.alias("r"), F.max("_real").alias("_real"), F.max(many).alias("geo_ambiguous"), F.max("_c").alias("_c"))
+    r = F.when(many & F.col("_t").isNotNull(), F.coalesce("_last", "_first_real", "_first")).otherwise(F.coalesce("_first_real", "_first"))
+    g = j.select("key", r.alias("r"), "_real", many.alias("geo_ambiguous"), "_c")
     status = F.when(F.col("_c").isNull(), "no_match").when(F.col("_real"), "resolved").otherwise("unknown")
     return g.select("key", F.when(F.col("_real"), F.col("r.country")).alias("country"), F.col("r.utm_source").alias("utm_source"),
                     F.col("r.campaign_name").alias("campaign_name"), status.alias("geo_status"), "geo_ambiguous")

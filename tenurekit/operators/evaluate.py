@@ -40,6 +40,14 @@ def accuracy_grid(detail: DataFrame, by: Sequence[str] = ("model", "weeks", "hor
                                    F.count(F.lit(1)).alias("n"))
 
 
+def step_against_calendar(step: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Median absolute errors per model and horizon of the step test and of the calendar test."""
+    by = ["model", "horizon"]
+    a = accuracy_grid(step, by).select(*by, F.col("abs_err").alias("step_err"), F.col("n").alias("step_n"))
+    b = accuracy_grid(calendar, by).select(*by, F.col("abs_err").alias("calendar_err"), F.col("n").alias("calendar_n"))
+    return a.join(b, by, "full").withColumn("gap", F.col("calendar_err") - F.col("step_err"))
+
+
 def winners(grid: DataFrame) -> DataFrame:
     """Per horizon: the model with the lowest median over visible weeks."""
     m = grid.groupBy("model", "horizon").agg(F.median("abs_err").alias("err"))
@@ -58,16 +66,42 @@ def _folds(names: DataFrame, c: str) -> Column:
     return names.agg(F.collect_set(c)).scalar()
 
 
+def without_own(cells: DataFrame, folds: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """Sums over all applications but the fold's own: the total minus its own part, one row per fold and cell."""
+    keys = [c for c in cells.columns if c not in ("app_id", *sums)]
+    total = cells.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in sums])
+    own = (cells.join(folds.select("app_id"), "app_id", "left_semi").withColumnRenamed("app_id", "fold")
+           .groupBy("fold", *keys).agg(*[F.sum(x).alias(f"_{x}") for x in sums]))
+    grid = H.match(total.withColumn("fold", F.explode(_folds(folds, "app_id"))), own, ["fold", *keys])
+    rest = [(F.col(x) - F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in sums]
+    return grid.select("fold", *keys, *rest).where(F.col(sums[0]) > 0)
+
+
+def loo_hazard(rates: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per fold and step: 1 - median over the other applications, and their number. A step's shares are
+    sorted once, one entry per application; a fold's median skips the place of its own share."""
+    share = rates.select("app_id", "step_k", (F.col("surv") / F.col("n")).alias("_own"))
+    steps = share.groupBy("step_k").agg(F.array_sort(F.collect_list("_own")).alias("_s"))
+    own = share.withColumnRenamed("app_id", "fold")
+    g = steps.withColumn("fold", F.explode(_folds(folds, "app_id"))).join(own, ["fold", "step_k"], "left")
+    has = F.col("_own").isNotNull()
+    n = F.size("_s") - has.cast("int")
+    place = F.array_position("_s", F.col("_own"))  # from 1
+
+    def rest(i: Column) -> Column:
+        return F.get("_s", F.when(has & (i >= place - 1), i + 1).otherwise(i).cast("int"))
+
+    g = g.withColumn("votes", n.cast("bigint")).where("votes > 0")
+    return g.select("fold", "step_k", (1 - (rest(F.floor((n - 1) / 2)) + rest(F.floor(n / 2))) / 2).alias("h"), "votes")
+
+
 def loo_fit(mx: DataFrame, p: Params, folds: DataFrame, crash: DataFrame | None = None,
             donor: DataFrame | None = None, splice: bool = False, levers: Sequence[str] | None = None) -> H.State:
     """One state per fold, each without that fold's application."""
-    f = _folds(folds, "app_id")
-    rates = H.app_step_rates(mx, p).withColumn("fold", F.explode(f)).where("fold <> app_id")
-    h = H.hazard_from_rates(rates, ["fold"])
+    h = loo_hazard(H.app_step_rates(mx, p), folds)
     if splice:
         h = H.splice_hazard(h, p, donor, ["fold"])
-    cells = H.clean_cells(mx, p, crash, keep=["app_id"]).withColumn("fold", F.explode(f)).where("fold <> app_id")
-    cells = cells.groupBy("fold", *p.levers, "step_k").agg(F.sum("n").alias("n"), F.sum("died").alias("died"))
+    cells = without_own(H.clean_cells(mx, p, crash, keep=["app_id"]), folds, ["n", "died"])
     return H.State(h, H.residual_multipliers(cells, h, p, ["fold"], levers))
 
 
@@ -131,14 +165,8 @@ def cohort_folds(web: V.Web, p: Params, donor: DataFrame, weeks: Sequence[int],
     enough = mix_own.groupBy("fold", "weeks").agg(F.sum("w").alias("subs")).where(F.col("subs") >= min_subs // 2)
     cells_own = cells.join(own, "app_id", "left_semi").withColumnRenamed("app_id", "fold")
     v3 = _curves(cells_own, mix_own, state, p, levers, "v3")
-    f = _folds(folds, "app_id")
     pc, pm = _visible_cells(train, p, weeks, p.levers)
-
-    def pool(df, *m):
-        return df.withColumn("fold", F.explode(f)).where("fold <> app_id").groupBy(
-            "fold", "weeks", *[c for c in df.columns if c in (*p.levers, "step_k")]).agg(*[F.sum(x).alias(x) for x in m])
-
-    v2 = _curves(pool(pc, "n", "died"), pool(pm, "w"), state, p, levers, "v2")
+    v2 = _curves(without_own(pc, folds, ["n", "died"]), without_own(pm, folds, ["w"]), state, p, levers, "v2")
     act = S.direct_survival(mx, p, offset=p.return_periods).withColumnRenamed("app_id", "fold")
     act = act.where((F.col("mature") >= min_mature) & (F.col("fact") > 0)).select("fold", "k", F.col("mature").alias("n_mature"), F.col("fact").alias("actual"))
     t = enough.select("fold", "weeks").withColumn("horizon_offset", weeks_array(offsets)).withColumn("k", F.col("weeks") + F.col("horizon_offset"))

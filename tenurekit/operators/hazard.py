@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,26 +104,35 @@ def residual_multipliers(cells: DataFrame, hazard: DataFrame, p: Params, by: Seq
     """Chain of multipliers: lever by lever, observed over expected deaths of each category, bounded,
     then folded into the expectation of the next lever. Rare categories share `other`.
 
-    One pass of windows over the cells; the result has one row per raw category."""
+    Per lever the cells are summed to one row per raw category, which combines before the shuffle; the
+    small table of multipliers is joined back. The result has one row per raw category."""
     levers = list(levers if levers is not None else p.levers)
     c = cells.join(hazard.select(*by, "step_k", "h"), [*by, "step_k"], "left")
     c = c.withColumn("_exp", F.col("n") * F.col("h")).withColumn("_en", F.when(F.col("h").isNotNull(), F.col("n")))
-    out = []
+    c = c.select(*by, *dict.fromkeys([*p.levers, *levers]), "n", "died", "_exp", "_en")
+    out = None
     for lever in levers:
-        cat, mult = f"_cat_{lever}", f"_mult_{lever}"
-        c = c.withColumn(cat, F.when(F.sum("n").over(Window.partitionBy(*by, lever)) < p.min_rows, "other")
-                         .otherwise(F.col(lever)))
-        w = Window.partitionBy(*by, cat)
-        observed = F.sum("died").over(w) / F.sum("n").over(w)
-        expected = F.try_divide(F.sum("_exp").over(w), F.sum("_en").over(w))
-        c = c.withColumn(mult, clip(F.try_divide(observed, expected), *p.clip))
-        c = c.withColumn("_exp", F.col("_exp") * F.coalesce(F.col(mult), F.lit(1.0)))
-        out.append(F.struct(F.lit(lever).alias("lever"), F.col(lever).alias("raw"), F.col(cat).alias("cat"),
-                            F.col(mult).alias("mult")))
-    if not out:
+        raw = c.groupBy(*by, lever).agg(*[F.sum(m).alias(m) for m in ("n", "died", "_exp", "_en")])
+        raw = raw.withColumn("cat", F.when(F.col("n") < p.min_rows, "other").otherwise(F.col(lever)))
+        cat = raw.groupBy(*by, "cat").agg(clip(F.try_divide(
+            F.sum("died") / F.sum("n"), F.try_divide(F.sum("_exp"), F.sum("_en"))), *p.clip).alias("mult"))
+        raw = match(raw, cat, [*by, "cat"]).select(*by, F.lit(lever).alias("lever"), F.col(lever).alias("raw"), "cat", "mult", "n").persist(StorageLevel.DISK_ONLY)
+        out = raw if out is None else out.unionByName(raw)
+        if lever != levers[-1]:
+            c = match(c, raw.select(*by, F.col("raw").alias(lever), "mult"), [*by, lever])
+            c = c.withColumn("_exp", F.col("_exp") * F.coalesce("mult", F.lit(1.0))).drop("mult").persist(StorageLevel.DISK_ONLY)
+    if out is None:
         return cells.sparkSession.createDataFrame([], "lever string, raw string, cat string, mult double, n bigint")
-    flat = c.select(*by, "n", F.explode(F.array(*out)).alias("s")).select(*by, "n", "s.*")
-    return flat.groupBy(*by, "lever", "raw", "cat").agg(F.first("mult").alias("mult"), F.sum("n").alias("n"))
+    return out
+
+
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which null keys match null keys."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def multiplier_categories(mult: DataFrame, by: Sequence[str] = ()) -> DataFrame:

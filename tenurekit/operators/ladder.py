@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import days_between, periods_between, whole_days
 from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.ranks import percentiles
 from tenurekit.params import Params
 
 
@@ -103,14 +104,9 @@ def first_value(c: str, order: Sequence[str] = ("ts", "tie")) -> Column:
 
 def plan_interval(steps: DataFrame, key: str = "sub_id", max_gap_days: float = 60.0) -> DataFrame:
     """Plan interval from the median gap between kept payments (gaps up to max_gap_days). Kept for
-    the layout of the matrix; it follows from the outcome, so it is never a lever.
-
-    Gaps are counted per whole value first, so one key holds at most as many entries as there are
-    distinct gaps."""
-    gaps = (steps.where(F.col("days_to_next") <= max_gap_days)
-            .groupBy(key, "days_to_next").agg(F.count(F.lit(1)).alias("n")))
-    med = gaps.groupBy(key).agg(F.percentile("days_to_next", F.lit(0.5), F.col("n")).alias("g"))
-    g = F.col("g")
+    the layout of the matrix; it follows from the outcome, so it is never a lever."""
+    med = percentiles(steps.where(F.col("days_to_next") <= max_gap_days), "days_to_next", [0.5], [key])
+    g = F.col("q0")
     word = (F.when((g >= 5) & (g <= 10), "week").when((g >= 25) & (g <= 35), "month")
             .when(g >= 350, "year").otherwise("unknown"))
     return med.select(key, word.alias("plan_interval"), g.alias("median_gap"))

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenurekit.functions.ranks import percentiles
 from tenurekit.functions.exprs import clip
 from tenurekit.functions.ordered import cut
 from tenurekit.operators import hazard as H
@@ -204,8 +205,8 @@ def baseline(mx: DataFrame, p: Params, seed: int = 42, cap: int = 13) -> Baselin
 
 def calibration(t: DataFrame, bins: int = 10) -> DataFrame:
     """Predicted against real share per quantile bin of the prediction (label, p, w)."""
-    points = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = t.agg(F.percentile("p", points, F.col("w").cast("bigint"))).scalar()
+    points = [i / bins for i in range(1, bins)]
+    edges = percentiles(t, "p", points, weight="w").select(F.array(*[f"q{i}" for i in range(bins - 1)])).scalar()
     b = t.withColumn("_e", edges).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col("p"))).cast("bigint"))
     w = F.col("w")
     return b.groupBy("bin").agg((F.sum(w * F.col("p")) / F.sum(w)).alias("pred"), (F.sum(w * F.col("label")) / F.sum(w)).alias("real"), F.sum(w).cast("bigint").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import UNIT_DAYS, days_between
 from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.ranks import percentiles as ranked
 from tenurekit.operators.clean import payload_form
 from tenurekit.params import Params
 
@@ -205,9 +206,9 @@ def dunning_windows(fails: DataFrame, deaths: DataFrame, key: str = "subscriptio
 
 
 def percentiles(df: DataFrame, c: str, points: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles of values counted per distinct value first."""
-    v = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    return v.agg(*[F.percentile(c, F.lit(q), F.col("n")).alias(f"p{round(q * 100)}") for q in points], F.max(c).alias("max"), F.sum("n").alias("n"))
+    """Exact percentiles of a column, its largest value and the number of values."""
+    names = {f"q{i}": f"p{round(q * 100)}" for i, q in enumerate(points)}
+    return ranked(df, c, points).withColumnsRenamed({**names, "top": "max"})
 
 
 def histogram(df: DataFrame, c: str, edges: Sequence[float]) -> DataFrame:

@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.functions.ordered import cut
+from tenurekit.functions.ranks import percentiles
 
 
 def bounded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """At most n rows in a random but repeatable order of a hash."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", draw(seed, *keys)).orderBy("_h", *keys).limit(n).drop("_h")
+
+
+def draw(seed: int, *keys: str) -> Column:
+    """MD5 of the seed and the keys: a random order that other engines can repeat."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def stratified(keys: DataFrame, key: str, group: str, strata: Sequence[tuple[str, str, Column, int]], quota: int, seed: int = 0) -> DataFrame:
@@ -21,7 +27,7 @@ def stratified(keys: DataFrame, key: str, group: str, strata: Sequence[tuple[str
 
     strata: (name, group value, condition, n). Only the first few candidates of each stratum by hash
     can ever be chosen, so the greedy choice runs on these."""
-    k = keys.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    k = keys.withColumn("_h", draw(seed, key))
     groups = sorted({g for _, g, _, _ in strata})
     depth = sum(n for *_, n in strata) + quota * len(groups)
     rules = [*strata, *[("fill", g, F.lit(True), quota) for g in groups]]
@@ -47,7 +53,7 @@ def top_k(df: DataFrame, by: Column, k: int, tie: str) -> DataFrame:
 
 def representatives(sizes: DataFrame, key: str, size: str, named: Sequence[str], n: int = 2) -> DataFrame:
     """The n largest, of the rest the n closest to the median size, and named ids; each once."""
-    med = sizes.agg(F.median(size)).scalar()
+    med = percentiles(sizes, size, [0.5]).select("q0").scalar()
     big = sizes.orderBy(F.desc(size), key).limit(n).select(key, F.lit(0).alias("_o"))
     mid = sizes.join(big, key, "left_anti").withColumn("_d", F.abs(F.col(size) - med)).orderBy("_d", key).limit(n).select(key, F.lit(1).alias("_o"))
     own = sizes.where(F.col(key).isin(*named)).select(key, F.lit(2).alias("_o"))

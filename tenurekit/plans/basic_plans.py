@@ -11,7 +11,7 @@ from tenurekit.operators import ml as M
 from tenurekit.operators import sample as U
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
-from tenurekit.plans.clean_plans import silver
+from tenurekit.plans.clean_plans import SILV, silver
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import table_sql, web, web_state
 from tenurekit.plans.registry import query
@@ -137,28 +137,44 @@ def representative_apps(spark, d):
     return U.representatives(s, "geo", "n", ["NATION_3", "NATION_7"])
 
 
-@query("stage_preview", "K5")
+@query("stage_preview", "K5", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
 def stage_preview(spark, d):
-    return table(spark, d, "orders").limit(1000)
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return o.orderBy("o_orderkey").limit(1000).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("bounded_sample", "U5")
+@query("bounded_sample", "U5", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 5000")
 def bounded_sample(spark, d):
     return U.bounded_sample(table(spark, d, "orders", "o_orderkey", "o_custkey"), ["o_orderkey"], 5000)
 
 
-@query("stratified_chains", "U4")
+STRATA = (("a_voluntary", "provider_a", "voluntary", 2), ("a_involuntary", "provider_a", "involuntary", 2), ("a_renewer", "provider_a", "renewer", 2),
+          ("b_fraud", "provider_b", "fraud", 1), ("b_involuntary", "provider_b", "involuntary", 2), ("b_voluntary", "provider_b", "voluntary", 1))
+QUOTA, SEED = 10, 20260707
+
+
+def strata_sql() -> str:
+    """One member per pick, each without the keys of the picks before."""
+    flags = ", ".join(f"bool_or(name = 'subscription_expired' AND coalesce(churn = '{x}', false)) AS {x}" for x in ("voluntary", "involuntary", "fraud"))
+    out = [f"""{SILV}, kk AS (SELECT sub AS subscription_id, pv AS payment_provider, {flags},
+ count(*) FILTER (name = 'subscription_renewed') >= 2 AND count(*) FILTER (name = 'subscription_expired') = 0 AS renewer, md5('{SEED}|' || sub) AS h FROM si WHERE sub IS NOT NULL GROUP BY 1, 2)"""]
+    groups = sorted({g for _, g, _, _ in STRATA})
+    fill = [("fill", g, "true", max(0, QUOTA - sum(n for _, x, _, n in STRATA if x == g))) for g in groups]
+    for i, (name, g, cond, n) in enumerate([*STRATA, *fill]):
+        gone = " UNION ALL ".join(f"SELECT subscription_id FROM pk{j}" for j in range(i))
+        rest = f" AND subscription_id NOT IN ({gone})" if i else ""
+        out.append(f" pk{i} AS (SELECT subscription_id, payment_provider, '{name}' AS stratum FROM kk WHERE payment_provider = '{g}' AND {cond}{rest} ORDER BY h, subscription_id LIMIT {n})")
+    return ",\n".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM pk{i}" for i in range(len(STRATA) + len(groups)))
+
+
+@query("stratified_chains", "U4", strata_sql())
 def stratified_chains(spark, d):
     s = silver(spark, d).where("subscription_id is not null")
     term, c = F.col("event_name") == "subscription_expired", F.col("churn_type")
     k = s.groupBy("subscription_id", "payment_provider").agg(
         *[F.max(term & (c == x)).alias(x) for x in ("voluntary", "involuntary", "fraud")],
         ((F.count_if(F.col("event_name") == "subscription_renewed") >= 2) & (F.count_if(term) == 0)).alias("renewer"))
-    k = cut(k.fillna(False))
-    a, b = "provider_a", "provider_b"
-    strata = [("a_voluntary", a, F.col("voluntary"), 2), ("a_involuntary", a, F.col("involuntary"), 2), ("a_renewer", a, F.col("renewer"), 2),
-              ("b_fraud", b, F.col("fraud"), 1), ("b_involuntary", b, F.col("involuntary"), 2), ("b_voluntary", b, F.col("voluntary"), 1)]
-    return U.stratified(k, "subscription_id", "payment_provider", strata, 10, 20260707)
+    return U.stratified(cut(k.fillna(False)), "subscription_id", "payment_provider", [(n, g, F.col(x), m) for n, g, x, m in STRATA], QUOTA, SEED)
 
 
 @query("labels_and_fallbacks", "F4 F5 F9", """SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN NULL WHEN c_nationkey % 4 = 1 THEN NULL WHEN c_nationkey % 4 = 2 THEN 'x' ELSE c_mktsegment END AS token, CASE WHEN c_nationkey % 4 = 0 THEN '(none)' WHEN c_nationkey % 4 = 1 THEN ' Unknown' WHEN c_nationkey % 4 = 2 THEN 'x' ELSE c_mktsegment END AS filled,

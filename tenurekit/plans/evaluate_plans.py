@@ -1,7 +1,9 @@
 """Accuracy tests on the driver's tables."""
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
@@ -97,7 +99,11 @@ FED, OFF = (1, 2, 3, 4), (1, 2, 4)
 def web_folds(spark, d, levers=None):
     name = "all" if levers is None or tuple(levers) == PW.levers else "_".join(levers) or "none"
     return staged(spark, d, f"cohort_folds_{name}", lambda: E.cohort_folds(
-        web(spark, d), PW, ref_hazard(spark, d), FED, OFF, min_subs=50, min_mature=30, levers=levers))
+        web(spark, d), with_levers(levers), ref_hazard(spark, d), FED, OFF, min_subs=50, min_mature=30, levers=levers))
+
+
+def with_levers(levers):
+    return replace(PW, levers=tuple(levers)) if levers else PW
 
 
 FOLD_COLS = ("actual", "v2", "v3", "ltv_anchor", "ltv_actual", "ltv_v2", "ltv_v3")
@@ -110,8 +116,8 @@ def _visible(src: str, on: str, name: str) -> str:
 
 def _fold_curve(vis: str, tag: str, levers) -> str:
     """Members up to cv{tag}: curves of the visible rows under each fold's state."""
-    lev = ", ".join(PW.levers)
-    return f"""{Q.first_levers(vis, PW, 'fold, weeks', 'f' + tag)}, {Q.personal('f' + tag, 'muf', PW, 'p' + tag, 'fold', levers)}, {Q.ratio(vis, 'p' + tag, 'hbf', PW, 'fold, weeks', 'h' + tag, hby='fold')},
+    lev = ", ".join(with_levers(levers).levers)
+    return f"""{Q.first_levers(vis, with_levers(levers), 'fold, weeks', 'f' + tag)}, {Q.personal('f' + tag, 'muf', PW, 'p' + tag, 'fold', levers)}, {Q.ratio(vis, 'p' + tag, 'hbf', PW, 'fold, weeks', 'h' + tag, hby='fold')},
  m{tag} AS (SELECT fold, weeks, {lev}, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM p{tag} LEFT JOIN h{tag} USING (fold, weeks) GROUP BY ALL), {Q.curve('m' + tag, 'hbf', PW, 'fold, weeks', 'cv' + tag, PW.h_ext, 'fold')}"""
 
 
@@ -126,7 +132,7 @@ def folds_sql(levers=PW.levers) -> str:
  kmf AS (SELECT fold, max(step_k) AS km FROM owf WHERE votes >= {PW.min_cohorts} AND step_k <= {PW.hmax} GROUP BY 1), smf AS (SELECT kmf.fold, km, o.h AS oh, d.h AS dh FROM kmf JOIN owf o ON o.fold = kmf.fold AND o.step_k = km LEFT JOIN dn d ON d.step_k = km),
  srf AS (SELECT smf.fold, k AS step_k, CASE WHEN k <= km THEN o.h ELSE d.h * CASE WHEN dh > 0 THEN oh / dh ELSE 1 END END AS h FROM smf JOIN (SELECT unnest(range(1, {PW.h_ext + 1}))::BIGINT AS k) g ON true LEFT JOIN owf o ON o.fold = smf.fold AND o.step_k = k LEFT JOIN dn d ON d.step_k = k),
  hbf AS (SELECT fold, step_k, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k), first_value(h IGNORE NULLS) OVER (PARTITION BY fold ORDER BY step_k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM srf),
- {Q.levered('trf', PW, 'lvf')}, {chain}{Q.levered('wmx', PW, 'lva')}, {Q.levered('tr_rows', PW, 'lvt')},
+ {Q.levered('trf', with_levers(levers), 'lvf')}, {chain}{Q.levered('wmx', with_levers(levers), 'lva')}, {Q.levered('tr_rows', with_levers(levers), 'lvt')},
  {_visible('lva', 'l.app_id = fo.fold', 'vo')}, {_visible('lvt', 'l.app_id <> fo.fold', 'vp')}, {_fold_curve('vo', '3', levers)}, {_fold_curve('vp', '2', levers)}, {Q.survival('wmx', PW, 'app_id', 'act', PW.return_periods)}, {CHECK},
  pe AS (SELECT DISTINCT p.*, m.app_id AS fold FROM pop p JOIN wmx m ON m.sub_id = p.session_id),
  af AS (SELECT fold, (coalesce(sum(paid_ups), 0) + {PW.attach_shrink} * (SELECT avg(paid_ups) FROM ob)) / (count(paid_ups) + {PW.attach_shrink}) AS share_ups FROM pe LEFT JOIN ob USING (session_id) GROUP BY 1),
@@ -161,7 +167,8 @@ def form_comparison(spark, d):
     return by.select("horizon_offset", "weeks", "n", *[r6(c).alias(c) for c in by.columns if c.endswith(("_abs", "_sign"))])
 
 
-STUDY = (("none", ()), ("geo", ("geo",)), ("all", PW.levers))
+STUDY = (("none", ()), ("geo_billday", ("geo", "billday_bin")), ("utm_geo_billday", PW.levers),
+         ("funnel_utm_geo_billday", ("funnel", *PW.levers)), ("utm_funnel_geo_billday", ("utm_source", "funnel", "geo", "billday_bin")))
 
 
 @query("lever_study", "V12", " UNION ALL ".join(f"""SELECT * FROM ({folds_sql(levers)} SELECT '{name}' AS levers, horizon_offset, count(*) AS n, {', '.join(f'round(median(abs({x})), 6) AS {c}_abs, round(median({x}), 6) AS {c}_sign' for c, x in ERRS.items())} FROM fd GROUP BY 2)""" for name, levers in STUDY))
@@ -169,7 +176,7 @@ def lever_study(spark, d):
     parts = []
     for name, levers in STUDY:
         parts.append(E.fold_summary(web_folds(spark, d, levers), ["horizon_offset"]).withColumn("levers", F.lit(name)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = reduce(DataFrame.unionByName, parts)
     return out.select("levers", "horizon_offset", "n", *[r6(c).alias(c) for c in out.columns if c.endswith(("_abs", "_sign"))])
 
 
@@ -240,10 +247,13 @@ def calendar_backtest(spark, d):
     return c.select("model", F.unix_micros("t").alias("t_us"), "app_id", "horizon", *[r6(x).alias(x) for x in ("s", "fact", "signed_err")])
 
 
-@query("step_vs_calendar", "V8 V7", f"""{CAL}, cg AS (SELECT model, horizon, median(abs(signed_err)) AS calendar_err, count(*) AS n FROM ca GROUP BY 1, 2) SELECT model, horizon, round(calendar_err, 6) AS calendar_err, n FROM cg""")
+@query("step_vs_calendar", "V8 V7", f"""SELECT model, horizon, round(step_err, 6) AS step_err, round(calendar_err, 6) AS calendar_err, step_n, calendar_n, round(calendar_err - step_err, 6) AS gap
+ FROM (SELECT * FROM ({PRED} SELECT model, horizon, median(abs_err) AS step_err, count(*) AS step_n FROM sc GROUP BY 1, 2))
+ FULL JOIN (SELECT * FROM ({CAL} SELECT model, horizon, median(abs(signed_err)) AS calendar_err, count(*) AS calendar_n FROM ca GROUP BY 1, 2)) USING (model, horizon)""")
 def step_vs_calendar(spark, d):
-    c = calendar_scores(spark, d)
-    return E.accuracy_grid(c, ["model", "horizon"]).select("model", "horizon", r6("abs_err").alias("calendar_err"), "n")
+    """The same models on rows seen by step and on rows seen by date."""
+    j = E.step_against_calendar(scored(spark, d)[2], calendar_scores(spark, d))
+    return j.select("model", "horizon", *[r6(c).alias(c) for c in ("step_err", "calendar_err", "gap")], "step_n", "calendar_n")
 
 
 SEG = f"""{MIX}{EMPM}, {Q.survival('mx', P, 'app_id', 'dsa')}, ga AS (SELECT raw, cat, mult AS mg FROM mu WHERE lever = 'geo'),
@@ -261,10 +271,11 @@ def segment_rows(spark, d):
 
 
 @query("segment_backtest", "V9", f"""{SEG} SELECT k AS horizon, count(*) AS n, round(median(abs(map - fact) / fact), 6) AS map_err, round(median(abs(emp - fact) / fact), 6) AS emp_err, count(*) FILTER (abs(map - fact) < abs(emp - fact)) AS wins,
-  count(*) FILTER (sign(fact - app_fact) <> 0 AND sign(map - app_map) <> 0) AS tests FROM sg WHERE n_subs >= 15 AND mature >= 15 AND fact > 0 GROUP BY 1""")
+  count(*) FILTER (sign(fact - app_fact) <> 0 AND sign(map - app_map) <> 0) AS tests, count(*) FILTER (sign(fact - app_fact) <> 0 AND sign(fact - app_fact) = sign(map - app_map)) AS hits,
+  count(*) FILTER (sign(fact - app_fact) <> 0 AND sign(map - app_map) <> 0 AND abs(m_geo - 1) > 0.05) AS bets, count(*) FILTER (sign(fact - app_fact) <> 0 AND sign(fact - app_fact) = sign(map - app_map) AND abs(m_geo - 1) > 0.05) AS bet_hits FROM sg WHERE n_subs >= 15 AND mature >= 15 AND fact > 0 GROUP BY 1""")
 def segment_backtest(spark, d):
     s = E.segment_scores(segment_rows(spark, d), 15, 15)
-    return s.select("horizon", "n", r6("map_err").alias("map_err"), r6("emp_err").alias("emp_err"), "wins", "tests")
+    return s.select("horizon", "n", r6("map_err").alias("map_err"), r6("emp_err").alias("emp_err"), "wins", "tests", "hits", "bets", "bet_hits")
 
 
 @query("segment_direction", "V9", f"""{SEG} SELECT app_id, segment, k, round(map - app_map, 5) AS predicted_gap, round(fact - app_fact, 5) AS fact_gap, round(m_geo, 6) AS m_geo, n_subs FROM sg WHERE fact IS NOT NULL""")

@@ -1,4 +1,4 @@
-"""Logistic survival models on the step matrix of the driver's orders (rows-only checks)."""
+"""Logistic survival models on the step matrix of the driver's orders (rows-only checks, but for the calibration of fixed scores)."""
 
 from pyspark.sql import functions as F
 
@@ -7,6 +7,7 @@ from tenurekit.operators import ml as M
 from tenurekit.params import ORDERS as P
 from tenurekit.plans.ladder_plans import orders_mx
 from tenurekit.plans.registry import query
+from tenurekit.sources.adapters import table
 
 
 def model(spark, d):
@@ -59,7 +60,17 @@ def baseline_steps(spark, d):
     return M.baseline(orders_mx(spark, d), P).steps.select("step_bin", F.round("coefficient", 5).alias("coefficient"))
 
 
-@query("decile_calibration", "A15")
+@query("decile_calibration", "A15", """WITH t AS (SELECT l_extendedprice / 110000::DOUBLE AS p, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0 END AS label FROM lineitem),
+ e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM t)
+ SELECT len(list_filter(q, lambda x: x < p)) AS bin, round(avg(p), 5) AS pred, round(avg(label), 5) AS real, count(*) AS n FROM t, e GROUP BY 1""")
 def decile_calibration(spark, d):
+    """Fixed scores made of a line's price, against whether the line came back."""
+    li = table(spark, d, "lineitem", "l_extendedprice", "l_returnflag")
+    t = li.select((F.col("l_extendedprice") / 110000).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("label"), F.lit(1).alias("w"))
+    return M.calibration(t).select("bin", F.round("pred", 5).alias("pred"), F.round("real", 5).alias("real"), "n")
+
+
+@query("model_calibration", "H17 A15")
+def model_calibration(spark, d):
     b = M.baseline(orders_mx(spark, d), P)
     return b.calibration.select("bin", F.round("pred", 5).alias("pred"), F.round("real", 5).alias("real"), "n")
