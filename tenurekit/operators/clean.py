@@ -244,7 +244,7 @@ def missing_starts(events: DataFrame) -> DataFrame:
     g = events.where("subscription_id is not null").groupBy("subscription_id").agg(
         F.min("event_datetime").alias("event_datetime"), F.max(F.col("event_name") == "trial_started").alias("_s"))
     return g.where("not _s").select("subscription_id", "event_datetime", F.lit("trial_started").alias("event_name"),
-                                    F.lit("synth:first_event").alias("raw_event_type"))
+                                    F.lit("synth:pre_window").alias("raw_event_type"))
 
 
 def entry_edges(flat: DataFrame, p: Params, status: str = "redemption") -> DataFrame:
@@ -287,13 +287,14 @@ def cadence(events: DataFrame, p: Params, success: Sequence[str] = ("trial_conve
     return m.select("subscription_id", F.col("gap").alias("median_gap"), F.array_min(near)["u"].alias("interval_unit"))
 
 
-def resolve_attribution(keys: DataFrame, log: DataFrame) -> DataFrame:
+def resolve_attribution(keys: DataFrame, log: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Attribution row per key: among rows with a country (else all), when the key has several
     countries the latest at or before the install, else the earliest.
 
-    keys: key, email, install_date. log: email, event_date, country, utm_source, campaign_name."""
+    keys: key, email, install_date. log: email, event_date, country, utm_source, campaign_name, and
+    the columns named in `extra`."""
     row = F.struct(F.unix_micros("event_date").alias("us"), F.coalesce("country", F.lit("")).alias("c"),
-                   F.coalesce("utm_source", F.lit("")).alias("u"), "country", "utm_source", "campaign_name")
+                   F.coalesce("utm_source", F.lit("")).alias("u"), "country", "utm_source", "campaign_name", *extra)
     real = F.col("country").isNotNull()
     # one row per address: the earliest row with a country, the earliest of all, and how many countries
     amb = log.groupBy("email").agg(
@@ -311,7 +312,8 @@ def resolve_attribution(keys: DataFrame, log: DataFrame) -> DataFrame:
     g = j.select("key", r.alias("r"), "_real", many.alias("geo_ambiguous"), "_c")
     status = F.when(F.col("_c").isNull(), "no_match").when(F.col("_real"), "resolved").otherwise("unknown")
     return g.select("key", F.when(F.col("_real"), F.col("r.country")).alias("country"), F.col("r.utm_source").alias("utm_source"),
-                    F.col("r.campaign_name").alias("campaign_name"), status.alias("geo_status"), "geo_ambiguous")
+                    F.col("r.campaign_name").alias("campaign_name"), status.alias("geo_status"), "geo_ambiguous",
+                    *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
 def first_known(columns: Mapping[str, str], name: str) -> list[Column]:
@@ -358,6 +360,53 @@ def assemble(parts: Mapping[str, Sequence[DataFrame]]) -> DataFrame:
         "refund_orphan", F.coalesce("refund_orphan", F.lit(False))).where("event_name <> 'trial_payment'").select(*SILVER_COLUMNS)
 
 
+SILVER_TABLE = (
+    "subscription_id", "customer_user_id", "payment_provider", "account", "app_id", "event_name", "event_datetime", "install_date",
+    "country_code", "geo_ambiguous", "geo_status", "media_source", "media_source_step", "campaign", "product_id", "price_id",
+    "interval_unit", "interval_source", "trial_type", "price_amount", "churn_type", "is_qa", "refund_orphan", "raw_event_type",
+    "churn_signal_datetime")
+
+
+def subscription_attributes(dims: DataFrame, events: DataFrame, log: DataFrame, gaps: DataFrame, default_app: str,
+                            account_apps: Mapping[str, str], test: str = "test", qa_plans: Sequence[str] = ("provider_a",)) -> DataFrame:
+    """One row per subscription with everything that its events carry.
+
+    dims: subscription_id, payment_provider, customer_user_id, email, account, own_media, own_campaign,
+    own_app, plan_interval, plan_name, price_id, product_id, trial_type, started_at.
+    log: attribution rows with app_name. gaps: subscription_id, interval_unit by cadence.
+    Own media go before attributed media, a plan's interval before the one in its name, and that before
+    the cadence; a test source leaves no media, but a flag, as do daily plans of the named providers."""
+    start = events.where("event_name = 'trial_started'").groupBy("subscription_id").agg(F.min("event_datetime").alias("_start"))
+    d = dims.join(start, "subscription_id", "left").withColumn("install", F.coalesce("started_at", "_start"))
+    att = resolve_attribution(d.select(F.col("subscription_id").alias("key"), "email", F.col("install").alias("install_date")), log, ["app_name"])
+    d = d.join(att, d.subscription_id == att.key, "left").join(
+        gaps.select("subscription_id", F.col("interval_unit").alias("_by_gap")), "subscription_id", "left")
+    media, step = first_known({"own_media": "subscription", "utm_source": "attribution"}, "_media")
+    d = d.withColumns({"_own": null_token("own_media"), "_att": null_token("utm_source")}).select("*", media, step)
+    named = interval_word("plan_name")
+    plan = null_token("plan_interval")
+    unit = F.coalesce(plan, named, "_by_gap")
+    source = F.when(plan.isNotNull(), "plan").when(named.isNotNull(), "from_name").when(F.col("_by_gap").isNotNull(), "inferred_from_cadence")
+    is_test = F.coalesce(F.col("_own") == test, F.lit(False)) | F.coalesce(F.col("_att") == test, F.lit(False))
+    campaign = F.when(F.col("_own").isNotNull(), null_token("own_campaign")).when(F.col("_att").isNotNull(), null_token("campaign_name"))
+    known_app = F.create_map(*[x for k, v in account_apps.items() for x in (F.lit(k), F.lit(v))]) if account_apps else F.lit(None).cast("map<string,string>")
+    return d.select(
+        "subscription_id", "customer_user_id", "account", F.to_date("install").alias("install_date"), F.col("country").alias("country_code"),
+        F.coalesce("geo_ambiguous", F.lit(False)).alias("geo_ambiguous"), F.coalesce("geo_status", F.lit("no_match")).alias("geo_status"),
+        F.nullif("_media", F.lit(test)).alias("media_source"), F.nullif("_media_step", F.lit("none")).alias("media_source_step"),
+        campaign.alias("campaign"), "product_id", "price_id", unit.alias("interval_unit"), source.alias("interval_source"), "trial_type",
+        F.coalesce(F.lower(null_token("own_app")), F.try_element_at(known_app, F.col("account")), F.lower(null_token("app_name")), F.lit(default_app)).alias("app_id"),
+        (is_test | (F.col("payment_provider").isin(*qa_plans) & F.coalesce(unit == "day", F.lit(False)))).alias("is_qa"))
+
+
+def silver_table(events: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Lifecycle events with the attributes of their subscription, in the published layout. A refund
+    without a subscription keeps its row and has none of them."""
+    j = events.join(attributes, "subscription_id", "left").withColumns({
+        "price_amount": F.col("amount_cents") / 100, "is_qa": F.coalesce("is_qa", F.lit(False)), "app_id": F.coalesce("app_id", F.lit(None).cast("string"))})
+    return j.select(*SILVER_TABLE)
+
+
 def canonical_starts(created: DataFrame, converted: DataFrame, activated: DataFrame) -> DataFrame:
     """Starts of a subscription: trials created as such, and incomplete ones that later began their
     trial; the earliest per subscription.

@@ -1,5 +1,7 @@
 """Cleaning of webhook logs made from the driver's tables (JSON text in, lifecycle events out)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
@@ -181,7 +183,7 @@ def cadence(spark, d):
     return C.cadence(C.order_outcomes(nested(spark, d), P), P).withColumn("median_gap", r6("median_gap"))
 
 
-ATT = """WITH al AS (SELECT 'u' || user_id AS email, ts AS event_date, CASE WHEN k % 5 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 'US' ELSE 'C' || (k % 3) END AS country, 'm' || (k % 4) AS utm_source, 'c' || k AS campaign_name FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
+ATT = """WITH al AS (SELECT 'u' || user_id AS email, ts AS event_date, CASE WHEN k % 5 = 0 THEN NULL WHEN user_id % 4 = 0 THEN 'US' ELSE 'C' || (k % 3) END AS country, CASE WHEN k % 17 = 3 THEN 'test' ELSE 'm' || (k % 4) END AS utm_source, 'c' || k AS campaign_name, CASE WHEN k % 3 = 0 THEN 'App_W' END AS app_name FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)),
  ky AS (SELECT c_custkey AS key, 'u' || c_custkey AS email, TIMESTAMP '2024-01-05' + to_days(c_nationkey) AS install_date FROM customer),
  am AS (SELECT email, count(DISTINCT country) AS cc, bool_or(country IS NOT NULL) AS re FROM al GROUP BY 1),
  rk AS (SELECT key, al.*, cc, re, cc > 1 AS many, install_date, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN country IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN cc > 1 AND event_date <= install_date THEN 0 ELSE 1 END,
@@ -192,7 +194,8 @@ def attribution(spark, d):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     log = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"), F.col("ts").alias("event_date"),
                    F.when(F.col("k") % 5 == 0, None).when(F.col("user_id") % 4 == 0, "US").otherwise(F.concat(F.lit("C"), (F.col("k") % 3).cast("string"))).alias("country"),
-                   F.concat(F.lit("m"), (F.col("k") % 4).cast("string")).alias("utm_source"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("campaign_name"))
+                   F.when(F.col("k") % 17 == 3, "test").otherwise(F.concat(F.lit("m"), (F.col("k") % 4).cast("string"))).alias("utm_source"),
+                   F.concat(F.lit("c"), F.col("k").cast("string")).alias("campaign_name"), F.when(F.col("k") % 3 == 0, "App_W").alias("app_name"))
     c = table(spark, d, "customer", "c_custkey", "c_nationkey")
     keys = c.select(F.col("c_custkey").alias("key"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("email"),
                     (F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(F.col("c_nationkey"))).alias("install_date"))
@@ -239,11 +242,13 @@ def qa_flags(spark, d):
 
 
 SILV = f"""{EA}, {OUTA}, {STA}, {RFA}, {EB.split('WITH ', 1)[1]}, {OUTB}, {STB}, {TERM},
- gr0 AS (SELECT sub, ok * 2 + i AS eid, od + to_days(i) AS cr, os = 'P' AS red FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true), gr AS (SELECT *, lag(red) OVER (PARTITION BY sub ORDER BY cr, eid) AS was FROM gr0),
- si AS (SELECT sub, 'provider_a' AS pv, name, epoch_us(tm) AS a, cents, NULL AS churn, false AS orphan FROM ob WHERE name <> 'trial_payment' UNION ALL SELECT sub, 'provider_a', name, at_us, NULL, churn, false FROM sa
-  UNION ALL SELECT sub, 'provider_a', 'subscription_refunded', epoch_us(ts), cents, NULL, sub IS NULL FROM ra UNION ALL SELECT sub, 'provider_b', name, epoch_us(tm), cents, NULL, false FROM o2
-  UNION ALL SELECT sub, 'provider_b', 'trial_started', epoch_us(tm), NULL, NULL, false FROM s2 UNION ALL SELECT sub, 'provider_b', 'subscription_expired', epoch_us(tm), NULL, churn, false FROM t3
-  UNION ALL SELECT sub, 'provider_b', 'entered_grace_period', epoch_us(cr), NULL, NULL, false FROM gr WHERE red AND NOT coalesce(was, false))"""
+ gr0 AS (SELECT sub, ok * 2 + i AS eid, od + to_days(i) AS cr, os = 'P' AS red, CASE WHEN i = 0 THEN 'update' ELSE kind END AS rw FROM sb JOIN (SELECT unnest([0, 1]) AS i) ON true), gr AS (SELECT *, lag(red) OVER (PARTITION BY sub ORDER BY cr, eid) AS was FROM gr0),
+ ms AS (SELECT sub, min(a) AS a FROM (SELECT sub, name, epoch_us(tm) AS a FROM ob UNION ALL SELECT sub, name, at_us FROM sa UNION ALL SELECT sub, 'subscription_refunded', epoch_us(ts) FROM ra) WHERE sub IS NOT NULL GROUP BY 1 HAVING NOT bool_or(name = 'trial_started')),
+ si AS (SELECT sub, 'provider_a' AS pv, name, epoch_us(tm) AS a, cents, NULL AS churn, false AS orphan, raw, NULL::BIGINT AS sig FROM ob WHERE name <> 'trial_payment' UNION ALL SELECT sub, 'provider_a', name, at_us, NULL, churn, false, raw, sig FROM sa
+  UNION ALL SELECT sub, 'provider_a', 'trial_started', a, NULL, NULL, false, 'synth:pre_window', NULL FROM ms
+  UNION ALL SELECT sub, 'provider_a', 'subscription_refunded', epoch_us(ts), cents, NULL, sub IS NULL, 'charge.refunded', NULL FROM ra UNION ALL SELECT sub, 'provider_b', name, epoch_us(tm), cents, NULL, false, raw, NULL FROM o2
+  UNION ALL SELECT sub, 'provider_b', 'trial_started', epoch_us(tm), NULL, NULL, false, raw, NULL FROM s2 UNION ALL SELECT sub, 'provider_b', 'subscription_expired', epoch_us(tm), NULL, churn, false, kind, epoch_us(sig) FROM t3
+  UNION ALL SELECT sub, 'provider_b', 'entered_grace_period', epoch_us(cr), NULL, NULL, false, rw, NULL FROM gr WHERE red AND NOT coalesce(was, false))"""
 
 
 def silver(spark, d):
@@ -253,8 +258,10 @@ def silver(spark, d):
 def _silver(spark, d):
     a, b, orders = cut(deduped_a(spark, d)), flat(spark, d), nested(spark, d)
     inv = C.invoice_rows(a)
+    parts = [cut(outcomes_a(a)), C.state_events(C.subscription_events(a)), C.refunds_a(a, inv)]
+    known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [x.select("subscription_id", "event_datetime", "event_name") for x in parts])
     return C.assemble({
-        "provider_a": [outcomes_a(a), C.state_events(C.subscription_events(a)), C.refunds_a(a, inv)],
+        "provider_a": [*parts, C.missing_starts(known)],
         "provider_b": [C.order_outcomes(orders, P), C.starts_b(b), C.terminals(b, orders), C.entry_edges(b, P)]})
 
 
@@ -266,6 +273,70 @@ def silver_events(spark, d):
         F.min(F.unix_micros("event_datetime")).alias("first_us"), F.max(F.unix_micros("event_datetime")).alias("last_us"), F.count_if("refund_orphan").alias("orphans"))
 
 
+ACCOUNT_APPS = {"0000000007": "app_seven", "0000000008": "app_eight"}
+DIMS = f"""{SILV}, {ATT.split(' ky AS', 1)[0].split('WITH ', 1)[1]} st0 AS (SELECT sub, min(a) FILTER (name = 'trial_started') AS start_us FROM si WHERE sub IS NOT NULL GROUP BY 1),
+ tt AS (SELECT sub, CASE WHEN bool_or(name = 'trial_payment') THEN 'paid' ELSE 'free' END AS tt FROM ob WHERE sub IS NOT NULL GROUP BY 1),
+ pa AS (SELECT sub, arg_min('price_' || (k % 3), (ts, 'evt_' || event_id)) AS price_id, arg_min('prod_' || (k % 4), (ts, 'evt_' || event_id)) AS product_id FROM ea WHERE t IN ('view', 'signup') GROUP BY 1),
+ pb AS (SELECT sub, any_value(c) AS c, min(od) FILTER (c % 3 <> 0) AS started FROM sb GROUP BY 1),
+ dm AS (SELECT s.sub, 'provider_a' AS pv, CASE WHEN price_id IS NOT NULL THEN 'cus_' || u END AS cust, CASE WHEN price_id IS NOT NULL THEN 'u' || u END AS email, substring(s.sub, 11, 10) AS account,
+   CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN 'test' ELSE c_mktsegment END AS om, 'camp-' || c_nationkey AS oc, CASE WHEN c_nationkey % 3 = 0 THEN 'app_n' END AS oa, CASE WHEN price_id IS NOT NULL THEN 'week' END AS pi_, NULL AS pn, price_id, product_id, coalesce(tt, 'none') AS tt, start_us
+  FROM (SELECT DISTINCT sub, CAST(substring(sub, 5) AS BIGINT) AS u FROM si WHERE pv = 'provider_a' AND sub IS NOT NULL) s LEFT JOIN pa ON pa.sub = s.sub LEFT JOIN tt ON tt.sub = s.sub LEFT JOIN st0 ON st0.sub = s.sub LEFT JOIN customer ON c_custkey = u
+  UNION ALL SELECT p.sub, 'provider_b', 'acc_' || c, 'u' || c, NULL, NULL, NULL, NULL, NULL, CASE c % 5 WHEN 0 THEN 'week' WHEN 1 THEN 'month' WHEN 2 THEN 'year' WHEN 3 THEN 'day' END, 'p' || (c % 7), 'p' || (c % 7), 'free', coalesce(epoch_us(started), start_us) FROM pb p LEFT JOIN st0 ON st0.sub = p.sub),
+ am AS (SELECT email, count(DISTINCT country) AS cc, bool_or(country IS NOT NULL) AS re FROM al GROUP BY 1),
+ rk AS (SELECT dm.sub, al.* EXCLUDE (email), cc, re, row_number() OVER (PARTITION BY dm.sub ORDER BY CASE WHEN country IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN cc > 1 AND epoch_us(event_date) <= start_us THEN 0 ELSE 1 END,
+   CASE WHEN cc > 1 AND epoch_us(event_date) <= start_us THEN -epoch_us(event_date) ELSE epoch_us(event_date) END, coalesce(country, ''), coalesce(utm_source, '')) AS rn FROM dm LEFT JOIN al USING (email) LEFT JOIN am USING (email)),
+ gp1 AS (SELECT sub, {Q.days('lag(tm) OVER (PARTITION BY sub ORDER BY tm, name)', 'tm')} AS gap FROM o2 WHERE name IN ('trial_converted', 'subscription_renewed')), gp2 AS (SELECT sub, median(gap) AS gap FROM gp1 WHERE gap IS NOT NULL GROUP BY 1),
+ gp AS (SELECT sub, CASE least(abs(gap - 1), abs(gap - 7), abs(gap - 30), abs(gap - 365)) WHEN abs(gap - 1) THEN 'day' WHEN abs(gap - 7) THEN 'week' WHEN abs(gap - 30) THEN 'month' ELSE 'year' END AS u FROM gp2),
+ at_ AS (SELECT dm.sub, cust, account, CAST(make_timestamp(start_us) AS DATE) AS install_date, CASE WHEN re THEN country END AS country_code, coalesce(cc > 1, false) AS geo_ambiguous, CASE WHEN cc IS NULL THEN 'no_match' WHEN re THEN 'resolved' ELSE 'unknown' END AS geo_status,
+   nullif(coalesce(om, utm_source), 'test') AS media_source, CASE WHEN om IS NOT NULL THEN 'subscription' WHEN utm_source IS NOT NULL THEN 'attribution' END AS media_source_step, CASE WHEN om IS NOT NULL THEN oc WHEN utm_source IS NOT NULL THEN campaign_name END AS campaign,
+   product_id, price_id, coalesce(pi_, pn, u) AS interval_unit, CASE WHEN pi_ IS NOT NULL THEN 'plan' WHEN pn IS NOT NULL THEN 'from_name' WHEN u IS NOT NULL THEN 'inferred_from_cadence' END AS interval_source, tt AS trial_type,
+   coalesce(oa, CASE account {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in ACCOUNT_APPS.items())} END, lower(app_name), 'app_main') AS app_id, coalesce(om = 'test', false) OR coalesce(utm_source = 'test', false) OR (pv = 'provider_a' AND coalesce(coalesce(pi_, pn, u) = 'day', false)) AS is_qa
+  FROM dm LEFT JOIN rk ON rk.sub = dm.sub AND rn = 1 LEFT JOIN gp ON gp.sub = dm.sub),
+ st AS (SELECT si.*, at_.* EXCLUDE (sub) FROM si LEFT JOIN at_ ON at_.sub = si.sub)"""
+
+
+def full_silver(spark, d):
+    return staged(spark, d, "silver_table", lambda: _full_silver(spark, d))
+
+
+def _full_silver(spark, d):
+    events, a, b = silver(spark, d), deduped_a(spark, d), flat(spark, d)
+    first = lambda c: F.min_by(c, F.struct("created", "event_id")).alias(c)
+    plan = C.subscription_events(a).groupBy("subscription_id").agg(
+        first("customer_id"), first("plan_interval"), first("price_id"), first("product_id"))
+    trial = outcomes_a(a).where("subscription_id is not null").groupBy("subscription_id").agg(
+        F.when(F.max(F.col("event_name") == "trial_payment"), "paid").otherwise("free").alias("trial_type"))
+    c = table(spark, d, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
+    subs = events.where("payment_provider = 'provider_a' and subscription_id is not null").select("subscription_id").distinct()
+    seg = F.col("c_mktsegment")
+    da = (subs.withColumn("_u", F.substring("subscription_id", 5, 20).cast("bigint")).join(plan, "subscription_id", "left").join(trial, "subscription_id", "left")
+          .join(c, F.col("_u") == c.c_custkey, "left").select(
+              "subscription_id", F.lit("provider_a").alias("payment_provider"), F.col("customer_id").alias("customer_user_id"),
+              F.when(F.col("price_id").isNotNull(), F.concat(F.lit("u"), F.col("_u").cast("string"))).alias("email"), F.substring("subscription_id", 11, 10).alias("account"),
+              F.when(seg == "BUILDING", " None ").when(seg == "MACHINERY", "test").otherwise(seg).alias("own_media"),
+              F.concat(F.lit("camp-"), F.col("c_nationkey").cast("string")).alias("own_campaign"), F.when(F.col("c_nationkey") % 3 == 0, "App_N").alias("own_app"),
+              "plan_interval", F.lit(None).cast("string").alias("plan_name"), "price_id", "product_id", F.coalesce("trial_type", F.lit("none")).alias("trial_type"),
+              F.lit(None).cast("timestamp").alias("started_at")))
+    none = F.lit(None).cast("string")
+    g = b.where("subscription_id is not null").groupBy("subscription_id").agg(
+        F.min("account_id").alias("customer_user_id"), F.min("email").alias("email"), F.min("product_name").alias("plan_name"),
+        F.min("product_id").alias("product_id"), F.min("started_at").alias("started_at"), F.max("trial_cents").alias("_t"))
+    db = g.select("subscription_id", F.lit("provider_b").alias("payment_provider"), "customer_user_id", F.split("email", "@")[0].alias("email"), none.alias("account"),
+                  none.alias("own_media"), none.alias("own_campaign"), none.alias("own_app"), none.alias("plan_interval"), "plan_name", F.col("product_id").alias("price_id"), "product_id",
+                  F.when(F.col("_t").isNotNull(), "paid").otherwise("free").alias("trial_type"), "started_at")
+    gaps = C.cadence(C.order_outcomes(nested(spark, d), P), P)
+    att = cut(C.subscription_attributes(da.unionByName(db), events, attribution(spark, d)[1], gaps, "app_main", ACCOUNT_APPS))
+    return C.silver_table(events, att)
+
+
+@query("silver_table", "E17 E14 E15 E16 E13", f"""{DIMS} SELECT sub AS subscription_id, cust AS customer_user_id, pv AS payment_provider, account, app_id, name AS event_name, a AS at_us, CAST(install_date AS VARCHAR) AS install_date, country_code, geo_ambiguous, geo_status,
+ media_source, media_source_step, campaign, product_id, price_id, interval_unit, interval_source, trial_type, cents / 100.0::DOUBLE AS price_amount, churn AS churn_type, coalesce(is_qa, false) AS is_qa, orphan AS refund_orphan, raw AS raw_event_type, sig AS signal_us FROM st""")
+def silver_rows(spark, d):
+    s = full_silver(spark, d)
+    return s.select(*[c for c in C.SILVER_TABLE if c not in ("event_datetime", "install_date", "churn_signal_datetime")], F.unix_micros("event_datetime").alias("at_us"),
+                    F.col("install_date").cast("string").alias("install_date"), F.unix_micros("churn_signal_datetime").alias("signal_us"))
+
+
 @query("benign_duplicates", "X3 Q9", "SELECT 'evt_' || event_id AS event_id, 2::BIGINT AS copies, 1::BIGINT AS payloads, true AS benign FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0")
 def benign_duplicates(spark, d):
     return C.same_payload(webhooks_a(spark, d), "pending_webhooks")
