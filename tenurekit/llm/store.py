@@ -25,11 +25,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, folder: str | None = None, compression: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table, read back with the same schema."""
-    path = folder or new_folder(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, folder: str | None = None, compression: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+    """`df` as a Parquet table, read back with the same schema. `batch_rows`: rows that Python gets at once on the way."""
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = folder or new_folder(spark, name), spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, str(batch_rows))
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:

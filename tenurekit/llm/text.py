@@ -5,6 +5,8 @@ hash is a difference of prefix sums of a polynomial modulo 2**64, so no Python o
 """
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,6 +31,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 _POW, _INV = _powers(_BASE, _BLOCK + 4096), _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 4096)
 
 
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system; an idle worker then holds little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Alphabet(NamedTuple):
     """`fold`: what each byte counts as; `word`: whether the folded byte belongs to a word."""
     fold: np.ndarray
