@@ -107,7 +107,8 @@ def invoice_rows(parsed: DataFrame) -> DataFrame:
     return p.select(
         "event_id", "event_type", "created", F.col("o.id").alias("invoice_id"),
         F.col("o.parent.subscription_details.subscription").alias("subscription_id"), F.col("o.billing_reason").alias("billing_reason"),
-        big("o.amount_paid").alias("amount_cents"), F.col("o.status").alias("invoice_status"), F.col("o.customer").alias("customer_id"))
+        big("o.amount_paid").alias("amount_cents"), F.col("o.status").alias("invoice_status"), F.col("o.customer").alias("customer_id"),
+        F.lower("o.currency").alias("currency"))
 
 
 def bursts(invoices: DataFrame, p: Params, gap_seconds: int = 300) -> DataFrame:

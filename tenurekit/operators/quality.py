@@ -86,6 +86,29 @@ def silver_checks(silver: DataFrame, raw: DataFrame, counts: DataFrame, expected
     return union(out)
 
 
+def table_checks(silver: DataFrame, paid: DataFrame, terminals: DataFrame, coverage: Mapping[str, float], providers: Sequence[str],
+                 accounts: str, currency: str = "usd", tol: float = 0.02) -> DataFrame:
+    """Assertions that need the attributes of subscriptions.
+
+    paid: currency of each money row. terminals: churn_type, expected (of the first provider).
+    coverage: least share of subscriptions with a country per provider. providers: names that are no
+    media. accounts: pattern of the known accounts of the first provider."""
+    first = next(iter(coverage))
+    out = [check(paid, "money_currency", F.count_if(F.coalesce(F.col("currency") != currency, F.lit(True))))]
+    got = silver.where((F.col("payment_provider") == first) & (F.col("event_name") == "subscription_expired")).groupBy("churn_type").agg(F.count(F.lit(1)).alias("got"))
+    both = terminals.join(got, "churn_type", "left")
+    out.append(check(both, "terminal_totals", F.count_if(F.abs(F.coalesce("got", F.lit(0)) - F.col("expected")) > tol * F.col("expected"))))
+    subs = silver.where("subscription_id is not null").groupBy("payment_provider", "subscription_id").agg(F.max(F.col("country_code").isNotNull()).alias("known"))
+    share = subs.groupBy("payment_provider").agg(F.avg(F.col("known").cast("double")).alias("share"))
+    least = F.create_map(*[x for k, v in coverage.items() for x in (F.lit(k), F.lit(float(v)))])
+    out.append(check(share, "geo_coverage", F.count_if(F.col("share") < F.try_element_at(least, F.col("payment_provider")))))
+    media = F.col("media_source")
+    out.append(check(silver, "media_rules", F.count_if(media.isin(*providers) | (media.isNotNull() & F.col("media_source_step").isNull()))))
+    account = F.col("account")
+    out.append(check(silver, "account_set", F.count_if((F.col("payment_provider") == first) & (account.isNull() | ~account.rlike(accounts)))))
+    return union(out)
+
+
 def snapshot_integrity(raw: DataFrame, snapshot: Column) -> DataFrame:
     """Empty, late or repeated rows of a pulled snapshot."""
     return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("ids"), F.max("created").alias("last"),

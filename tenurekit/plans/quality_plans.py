@@ -9,7 +9,7 @@ from tenurekit.operators import quality as Z
 from tenurekit.operators import revenue as R
 from tenurekit.params import MOBILE, ORDERS_WEB
 from tenurekit.plans import sql as Q
-from tenurekit.plans.clean_plans import EB, OUTB, SILV, flat, nested, silver, webhooks_a
+from tenurekit.plans.clean_plans import DIMS, EB, OUTB, SILV, deduped_a, flat, full_silver, nested, silver, webhooks_a
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import CURVES, curve_sql, web, web_state
 from tenurekit.plans.registry import query
@@ -31,17 +31,32 @@ def missing_overlap(spark, d):
     return Z.missing_overlap(e, "geo", "media_source")
 
 
-@query("silver_checks", "Q2 Q1", f"""{SILV}, ck AS (SELECT 'id_format' AS check_id, count(*) FILTER (sub IS NOT NULL AND NOT regexp_matches(sub, '^(sub|sb)_[0-9]+$')) AS v FROM si UNION ALL SELECT 'null_id_not_orphan', count(*) FILTER (sub IS NULL AND NOT orphan) FROM si
+@query("silver_checks", "Q2 Q1", f"""{DIMS}, ck AS (SELECT 'id_format' AS check_id, count(*) FILTER (sub IS NOT NULL AND NOT regexp_matches(sub, '^(sub|sb)_[0-9]+$')) AS v FROM si UNION ALL SELECT 'null_id_not_orphan', count(*) FILTER (sub IS NULL AND NOT orphan) FROM si
   UNION ALL SELECT 'churn_only_on_terminals', count(*) FILTER (name <> 'subscription_expired' AND churn IS NOT NULL) FROM si UNION ALL SELECT 'unknown_churn_share', CASE WHEN count(*) FILTER (name = 'subscription_expired' AND churn = 'unknown') / count(*) FILTER (name = 'subscription_expired') > 0.05 THEN 1 ELSE 0 END FROM si
   UNION ALL SELECT 'price_ceiling', count(*) FILTER (cents > 8000000) FROM si UNION ALL SELECT 'price_ladder', 3 - count(DISTINCT cents) FILTER (cents IN (999, 99, 3999)) FROM si UNION ALL SELECT 'one_start', count(*) FILTER (n <> 1) FROM (SELECT sub, count(*) FILTER (name = 'trial_started') AS n FROM si WHERE sub IS NOT NULL GROUP BY 1)
   UNION ALL SELECT 'possible_periods', count(*) FILTER (rn > {Q.days('f', "TIMESTAMP '2024-02-01'")} / u + 2) FROM (SELECT si.sub, count(*) FILTER (name = 'subscription_renewed') AS rn, any_value(f) AS f, any_value(u) AS u FROM si JOIN (SELECT sub, min(od) AS f, CASE any_value(c) % 5 WHEN 0 THEN 7 WHEN 1 THEN 30 WHEN 2 THEN 365 WHEN 3 THEN 1 END AS u FROM sb GROUP BY 1) USING (sub) GROUP BY 1)
-  UNION ALL SELECT 'completeness', 0 UNION ALL SELECT 'manifest', 0 UNION ALL SELECT 'benign_duplicates', 0) SELECT check_id, v = 0 AS ok, v::BIGINT AS violations FROM ck""")
+  UNION ALL SELECT 'completeness', count(*) FILTER (sub NOT IN (SELECT sub FROM si WHERE sub IS NOT NULL)) FROM (SELECT DISTINCT sub FROM sb)
+  UNION ALL SELECT 'manifest', ((SELECT count(*) FROM region) <> 5)::INT + ((SELECT count(*) FROM nation) <> 25)::INT
+  UNION ALL SELECT 'benign_duplicates', 0
+  UNION ALL SELECT 'money_currency', count(*) FILTER (k % 19 = 0) FROM ea WHERE t = 'purchase'
+  UNION ALL SELECT 'terminal_totals', count(*) FILTER (abs(got - want) > 0.02 * want) FROM (SELECT churn, count(*) AS got FROM si WHERE pv = 'provider_a' AND name = 'subscription_expired' GROUP BY 1) JOIN (SELECT CASE k % 3 WHEN 0 THEN 'voluntary' WHEN 1 THEN 'involuntary' END AS churn, count(*) AS want FROM ea WHERE t = 'view' AND k % 3 < 2 GROUP BY 1) USING (churn)
+  UNION ALL SELECT 'geo_coverage', count(*) FILTER (share < CASE pv WHEN 'provider_a' THEN 0.55 ELSE 0.2 END) FROM (SELECT pv, avg(known::INT) AS share FROM (SELECT pv, sub, bool_or(country_code IS NOT NULL) AS known FROM st WHERE sub IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+  UNION ALL SELECT 'media_rules', count(*) FILTER (media_source IN ('provider_a', 'm2') OR (media_source IS NOT NULL AND media_source_step IS NULL)) FROM st
+  UNION ALL SELECT 'account_set', count(*) FILTER (pv = 'provider_a' AND (account IS NULL OR NOT regexp_matches(account, '^0000'))) FROM st) SELECT check_id, v = 0 AS ok, v::BIGINT AS violations FROM ck""")
 def silver_checks(spark, d):
     from tenurekit.functions.exprs import interval_word
-    s = silver(spark, d)
+    s = full_silver(spark, d).withColumn("amount_cents", F.round(F.col("price_amount") * 100).cast("bigint"))
     iv = flat(spark, d).groupBy("subscription_id").agg(F.min("product_name").alias("pn"), F.min("created").alias("start_ts")).select("subscription_id", interval_word("pn").alias("interval_unit"), "start_ts")
     counts = io.manifest({t: table(spark, d, t) for t in ("region", "nation")})
-    return Z.silver_checks(s, webhooks_a(spark, d), counts, {"region": 5, "nation": 25}, F.lit("2024-02-01").cast("timestamp"), iv, "^(sub|sb)_[0-9]+$", 8_000_000, (99, 999, 3999), 0.05)
+    a = deduped_a(spark, d)
+    paid = C.invoice_rows(a).where("event_type = 'invoice.paid'").select("currency")
+    reason = F.col("reason")
+    want = C.subscription_events(a).where("event_type = 'customer.subscription.deleted'").groupBy(
+        F.when(reason == "cancellation_requested", "voluntary").when(reason == "payment_failed", "involuntary").alias("churn_type")).agg(
+        F.count(F.lit(1)).alias("expected")).where("churn_type is not null")
+    more = Z.table_checks(s, paid, want, {"provider_a": 0.55, "provider_b": 0.2}, ("provider_a", "m2"), "^0000")
+    return Z.silver_checks(s, webhooks_a(spark, d), counts, {"region": 5, "nation": 25}, F.lit("2024-02-01").cast("timestamp"), iv,
+                           "^(sub|sb)_[0-9]+$", 8_000_000, (99, 999, 3999), 0.05).unionByName(more)
 
 
 @query("snapshot_integrity", "Q3", "SELECT (SELECT count(*) FROM events) + (SELECT count(*) FROM events WHERE event_type = 'purchase') + (SELECT count(*) FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0) AS n_rows, (SELECT count(*) FROM events) + (SELECT count(*) FROM events WHERE event_type = 'purchase') AS ids, 0::BIGINT AS late, true AS ok")

@@ -148,7 +148,8 @@ def webhooks_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(invoice & (k % 11 != 0), F.struct(F.struct(sub.alias("subscription")).alias("subscription_details"))).alias("parent"),
         F.when(invoice, F.when(k % 4 == 0, "subscription_create").otherwise("subscription_cycle")).alias("billing_reason"),
         F.when(t == "purchase", cents).alias("amount_paid"), F.when(refund, pi).alias("payment_intent"),
-        F.when(refund, cents).alias("amount_refunded"), F.lit("usd").alias("currency"))
+        F.when(refund, cents).alias("amount_refunded"),
+        F.when(k % 19 == 0, "eur").otherwise("usd").alias("currency"))
     data = F.to_json(F.struct(F.struct(obj.alias("object")).alias("data"), (F.col("event_id") % 3).alias("pending_webhooks")))
     main = e.select(F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("event_id"), name.alias("event_type"), F.col("ts").alias("created"), data.alias("data"), "k", F.col("event_id").alias("n"))
     link = F.to_json(F.struct(F.struct(F.struct(F.struct(pi.alias("payment_intent")).alias("payment"), inv.alias("invoice")).alias("object")).alias("data")))
