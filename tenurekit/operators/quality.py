@@ -173,13 +173,12 @@ def crosstab(df: DataFrame, row: str, c: str, values: Sequence[str]) -> DataFram
 
 
 def fill_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Filled share and distinct values per column, in long form from one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in columns:
-        aggs += [F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"f_{c}"), F.count_distinct(c).alias(f"d_{c}")]
-    one = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"f_{c}").alias("filled"), F.col(f"d_{c}").alias("values")) for c in columns]))
-    return one.select("_n", rows.alias("r")).select("r.*", (F.col("r.filled") / F.col("_n")).alias("share"))
+    """Filled share and distinct values per column: rows are unpivoted once and counted per value first."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    per = df.select(cells.alias("c")).groupBy("c.column_name", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    g = per.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("value") != "", F.col("n"))), F.lit(0)).alias("filled"), F.count("value").alias("values"), F.sum("n").alias("_n"))
+    return g.select("column_name", "filled", "values", (F.col("filled") / F.col("_n")).alias("share"))
 
 
 def keys_per_person(df: DataFrame, person: str, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
+from tenurekit.operators import calibrate
 from tenurekit.operators import clean as C
 from tenurekit.operators import ltv as V
 from tenurekit.operators import quality as Z
@@ -10,6 +11,7 @@ from tenurekit.operators import revenue as R
 from tenurekit.params import MOBILE, ORDERS_WEB
 from tenurekit.plans import sql as Q
 from tenurekit.plans.clean_plans import DIMS, EB, OUTB, SILV, deduped_a, flat, full_silver, nested, silver, webhooks_a
+from tenurekit.plans.cohort_plans import FITSQL, facts, pooled, ref_hazard
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import CURVES, curve_sql, web, web_state
 from tenurekit.plans.registry import query
@@ -69,14 +71,18 @@ def duplicate_classes(spark, d):
     return Z.duplicate_classes(webhooks_a(spark, d))
 
 
-EXPECT = {"regions": 5.0, "nations": 25.0, "segments": 4.0}
+# Frozen values of the model at sf0.01; the anchor is revenue per payer of the first cohort at its third rebill.
+EXPECT = {"alpha": -3.21234626354062, "beta": 0.451756564187839, "k_max": 11.0, "anchor": 25709.84 / 267}
 
 
-@query("reconciliation_gate", "Q5", "SELECT metric, value, expected, abs(value - expected) <= 1e-5 AS ok FROM (SELECT 'regions' AS metric, count(*)::DOUBLE AS value, 5.0::DOUBLE AS expected FROM region UNION ALL SELECT 'nations', count(*), 25 FROM nation UNION ALL SELECT 'segments', count(DISTINCT c_mktsegment), 4 FROM customer)")
+@query("reconciliation_gate", "Q5 Q8", f"""{FITSQL}, mt AS (SELECT 'alpha' AS metric, alpha AS value, {EXPECT['alpha']}::DOUBLE AS expected FROM ft UNION ALL SELECT 'beta', beta, {EXPECT['beta']} FROM ft UNION ALL SELECT 'k_max', k_max, 11 FROM ft
+ UNION ALL SELECT 'anchor', arg_min(cumr / payers, cohort), {EXPECT['anchor']!r} FROM ad WHERE rebill_number = 3) SELECT metric, round(value, 6) AS value, round(expected, 6) AS expected, coalesce(abs(value - expected) <= 1e-5, false) AS ok FROM mt""")
 def reconciliation_gate(spark, d):
-    m = [table(spark, d, t).agg(F.lit(n).alias("metric"), c.cast("double").alias("value")) for t, n, c in (
-        ("region", "regions", F.count(F.lit(1))), ("nation", "nations", F.count(F.lit(1))), ("customer", "segments", F.count_distinct("c_mktsegment")))]
-    return Z.reconcile(Z.union(m), EXPECT)
+    fit = calibrate.log_linear_fit(pooled(spark, d), ref_hazard(spark, d))
+    m = [fit.select(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in ("alpha", "beta", "k_max")]
+    f = facts(spark, d).where("rebill_number = 3")
+    m.append(f.agg(F.lit("anchor").alias("metric"), F.min_by("payer_ltv", "cohort").alias("value")))
+    return Z.reconcile(Z.union(m), EXPECT).withColumns({"value": r6("value"), "expected": r6("expected")})
 
 
 @query("source_gap", "Q6 J8", f"""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS net FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, sum(l_extendedprice) AS net FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1),
