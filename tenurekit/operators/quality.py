@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import UNIT_DAYS, days_between
@@ -23,6 +23,12 @@ DECLINE_CLASS = {
     "transaction_not_allowed": "hard_dead", "previously_declined_do_not_retry": "hard_dead",
     "highest_risk_level": "hard_dead", "generic_decline": "ambiguous",
 }
+# Decline codes of the second provider by what can still be collected.
+DECLINE_CODES_B = {
+    "3.02": "retryable", "3.10": "hard_dead", "3.08": "retryable", "3.04": "hard_dead", "4.03": "hard_dead", "3.12": "hard_dead",
+    "3.07": "hard_dead", "4.09": "hard_dead", "4.02": "hard_dead", "4.04": "hard_dead", "5.04": "retryable", "3.11": "hard_dead",
+    "2.02": "hard_dead", "4.05": "hard_dead", "2.01": "hard_dead", "2.08": "hard_dead", "3.03": "retryable", "5.01": "retryable",
+}
 OUTCOMES = ("renewed", "recovered", "voluntary_cancel", "billing_issue", "churned")
 
 
@@ -219,6 +225,18 @@ def decline_mix(df: DataFrame, c: str, classes: Mapping[str, str] = DECLINE_CLAS
     return d.withColumn("class", F.when(F.col("value") == "NULL", "not_linked").otherwise(F.coalesce(F.try_element_at(m, F.col("value")), F.lit(default))))
 
 
+def class_split(df: DataFrame, c: str, mappings: Mapping[str, Mapping[str, str]], default: str = "ambiguous") -> DataFrame:
+    """Rows and share per class of the linked reasons under each mapping: one borderline reason moved
+    from class to class shows how much hangs on it. Reasons are counted once for all mappings."""
+    n = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for name, classes in mappings.items():
+        m = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
+        out.append(n.select(F.lit(name).alias("mapping"), F.coalesce(F.try_element_at(m, F.col("value")), F.lit(default)).alias("class"), "n"))
+    g = union(out).groupBy("mapping", "class").agg(F.sum("n").alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("mapping")))
+
+
 def dunning_windows(fails: DataFrame, deaths: DataFrame, key: str = "subscription_id") -> DataFrame:
     """Per key: days from first to last failure, and from first failure to death."""
     f = fails.groupBy(key).agg(F.min("ts").alias("first_fail"), F.max("ts").alias("last_fail"), F.count(F.lit(1)).alias("n_fail"))

@@ -166,6 +166,35 @@ def decline_mix(spark, d):
     return m.withColumn("share", r6("share"))
 
 
+CODES_B = (*Z.DECLINE_CODES_B, "9.99")
+
+
+def split_sql(src: str, column: str, provider: str, moved: str, classes: dict) -> str:
+    """Class split under the base mapping and with one reason moved to retryable."""
+    out = []
+    for name, m in (("base", classes), (f"{moved} retryable", {**classes, moved: "retryable"})):
+        case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items())
+        out.append(f"SELECT '{provider}' AS provider, '{name}' AS mapping, CASE {column} {case} ELSE 'ambiguous' END AS class, count(*) AS n FROM {src} WHERE {column} IS NOT NULL GROUP BY 3")
+    return " UNION ALL ".join(out)
+
+
+@query("decline_classes", "Q11 F9 A10", f"""{DECL}, cb AS (SELECT u, arg_max(code, (ts, tie)) AS code FROM (SELECT user_id AS u, ts, event_id AS tie, [{', '.join(repr(c) for c in CODES_B)}][CAST(json_extract(props, '$.k') AS BIGINT) % {len(CODES_B)} + 1] AS code FROM events WHERE event_type = 'error') GROUP BY 1),
+ al AS ({split_sql('(SELECT last_reason FROM cl WHERE clean_link)', 'last_reason', 'provider_a', 'do_not_honor', Z.DECLINE_CLASS)} UNION ALL {split_sql('cb', 'code', 'provider_b', '3.10', Z.DECLINE_CODES_B)})
+ SELECT provider, mapping, class, n, round(n / sum(n) OVER (PARTITION BY provider, mapping), 6) AS share FROM al""")
+def decline_classes(spark, d):
+    """What could still be collected, with the one reason moved on which the answer hangs."""
+    tm, dc = declines(spark, d)
+    a = Z.class_split(Z.last_decline(tm, dc, MOBILE).where("clean_link"), "last_reason", {
+        "base": Z.DECLINE_CLASS, "do_not_honor retryable": {**Z.DECLINE_CLASS, "do_not_honor": "retryable"}})
+    e = table(spark, d, "events").where("event_type = 'error'")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES_B]), (k % len(CODES_B) + 1).cast("int"))
+    last = e.groupBy("user_id").agg(F.max_by(code, F.struct("ts", "event_id")).alias("code"))
+    b = Z.class_split(last, "code", {"base": Z.DECLINE_CODES_B, "3.10 retryable": {**Z.DECLINE_CODES_B, "3.10": "retryable"}})
+    both = a.withColumn("provider", F.lit("provider_a")).unionByName(b.withColumn("provider", F.lit("provider_b")))
+    return both.select("provider", "mapping", "class", "n", r6("share").alias("share"))
+
+
 SEF = f"WITH {Q.SE}, fa AS (SELECT sub_id, ts, tie FROM se WHERE kind = 'issue'), pa AS (SELECT sub_id, ts, tie FROM se WHERE kind = 'pay'), de AS (SELECT sub_id, min(ts) AS dt FROM se WHERE kind = 'vol' GROUP BY 1)"
 
 
