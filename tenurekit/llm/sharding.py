@@ -103,13 +103,13 @@ def assign_shards(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: s
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, id: str = "doc_id", text: str = "text") -> None:
-    """Writes the documents to folder/shard=K. A row takes the place of one row of equal id and text."""
+    """Writes the documents to folder/shard=K; a column named shard is replaced. Rows equal in id and text that straddle
+    a border are dealt to its shards in turn."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    place = (assign_shards(docs, shards, id, text).groupBy("key")
-             .agg(F.min("shard").alias("_shard"), F.max("shard").alias("_last"), F.count("*").alias("_n")))
+    place = (assign_shards(docs, shards, id, text).groupBy(F.col("key").alias("_at"))
+             .agg(F.min("shard").alias("_first"), F.max("shard").alias("_last")))
     key = F.concat(_hex(F.xxhash64(body)), _hex(F.xxhash64(F.col(id), F.lit("id"))))
-    out = docs.withColumn("_key", key).join(place, F.col("_key") == F.col("key"), "left")
-    # copies of one row that straddle a border are dealt to its shards in turn
-    share = F.pmod(F.monotonically_increasing_id(), F.col("_last") - F.col("_shard") + 1)
-    out = out.withColumn("shard", (F.col("_shard") + share).cast("int")).drop("_key", "key", "_shard", "_last", "_n")
+    out = docs.withColumn("_key", key).join(place, F.col("_key") == F.col("_at"), "left")
+    share = F.pmod(F.monotonically_increasing_id(), F.col("_last") - F.col("_first") + 1)
+    out = out.withColumn("shard", (F.col("_first") + share).cast("int")).drop("_key", "_at", "_first", "_last")
     out.repartition("shard", F.pmod(F.xxhash64(F.col(id)), F.lit(8))).write.partitionBy("shard").parquet(folder)

@@ -30,7 +30,7 @@ def test_equal_bytes(spark, monkeypatch):
 
 def test_files(spark, tmp_path):
     rows = [(k, f"text {k % 50}") for k in range(200)] + [(1, "text 1")] * 5
-    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    docs = spark.createDataFrame([(*r, "x", 99) for r in rows], "doc_id int, text string, key string, shard int")
     sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
