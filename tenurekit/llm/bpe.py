@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
+from tenurekit.llm import text as tx
+
 KEPT_WORDS = 400_000  # entries of a table of words; a Python worker keeps two
 _BITS, _MASK = 24, (1 << 24) - 1  # of an id in a packed integer
 _SPACE = regex.compile(r"\s+")
@@ -145,6 +147,13 @@ class Encoder:
         words = v.library.pre_tokenizer.pre_tokenize_str(v.library.normalizer.normalize_str(part))
         return b"".join(np.array(v.merge(bytes(map(v.byte.__getitem__, w))), dtype=v.kind).tobytes() for w, _ in words)
 
+    def forget(self) -> None:
+        """Empties the tables at the end of a task, so that an idle worker holds little."""
+        for table in (self._pieces, self._words):
+            table.older = {}
+            table.clear()
+        tx.trim()
+
     def encode(self, text: str) -> np.ndarray:
         words = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split()
         return np.frombuffer(b"".join(map(self._words.__getitem__, words)), dtype=self.vocabulary.kind)
@@ -179,6 +188,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists([e.encode(t) for t in _texts(part)])], schema.names)
+        e.forget()
 
     return rows.mapInArrow(run, schema)
 
@@ -218,5 +228,6 @@ def round_trip(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text
                     out.append((len(ids), digest(" ".join(map(numbers.__getitem__, ids))), digest(decode_ids(e.vocabulary, ids))))
                 columns = [part.column("id"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string())))]
                 yield pa.RecordBatch.from_arrays([*columns, *([_lists(codes)] if with_ids else [])], schema.names)
+        e.forget()
 
     return rows.mapInArrow(run, schema)

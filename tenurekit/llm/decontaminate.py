@@ -182,6 +182,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
                     before = b.column("hits").to_pylist()
                     hits = pa.array([x + y for x, y in zip(before, found)], _HIT)
                     yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(count), hits], ["id", "text", "n_words", "hits"])
+            tx.trim()
 
         rows = rows.mapInArrow(run, rows.schema)
     return rows.select(F.col("id").alias(id), "n_words", "hits")
@@ -228,6 +229,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", i
                 if b.num_rows:
                     found, _ = _hits(pa.RecordBatch.from_arrays([b.column(text)], ["text"]), sent.value, window)
                     yield b.filter(pa.array([not x for x in found], pa.bool_()))
+            tx.trim()
 
         rows = rows.mapInArrow(run, docs.schema)
     return rows

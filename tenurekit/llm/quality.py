@@ -122,6 +122,7 @@ def repetition(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: R
             if b.num_rows:
                 x = _measured(b, "text", rules)
                 yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x[f.name]) for f in schema[1:])], schema.names)
+        tx.trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -132,5 +133,6 @@ def keep_clean(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> Dat
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(_measured(b, text, rules)["kept"]))
+        tx.trim()
 
     return docs.mapInArrow(run, docs.schema)

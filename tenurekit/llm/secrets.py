@@ -253,6 +253,7 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             found = [f for i, j in tx.runs(at) for f in scan(data, at[i:j + 1], net)]
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(spans, kind)], schema.names)
+        tx.trim()
 
     return rows.mapInArrow(run, schema)
 
@@ -287,5 +288,6 @@ def mask_secrets(docs: DataFrame, text: str = "text", sign: str = "[SECRET]", le
                     columns[length] = pa.array(n, columns[length].type)
                 b = pa.RecordBatch.from_arrays(list(columns.values()), names)
             yield b
+        tx.trim()
 
     return docs.mapInArrow(run, schema)

@@ -1,14 +1,16 @@
 """Tables written to the folder that all executors share, which cut lineage and survive a lost executor."""
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenurekit.functions import workers
+
+BATCH_ROWS = 500
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`. Only a local master may lack the setting; it then gets a new one."""
@@ -25,18 +27,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, folder: str | None = None, compression: str = "zstd", batch_rows: int | None = None) -> DataFrame:
-    """`df` as a Parquet table, read back with the same schema. `batch_rows`: rows that Python gets at once on the way."""
-    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = folder or new_folder(spark, name), spark.conf.get(setting)
-    if batch_rows:
-        spark.conf.set(setting, str(batch_rows))
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        if batch_rows:
-            spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, folder: str | None = None, compression: str = "zstd") -> DataFrame:
+    """`df` as a Parquet table, read back with the same schema."""
+    path = folder or new_folder(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:
@@ -49,8 +44,9 @@ def remove(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers of a local master import this package; a cluster gets it by installation or --py-files."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if spark.sparkContext.master.startswith("local") and root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    """What queries need before they run: workers that can import this package, and batches for Python that
+    suit long texts (BATCH_ROWS, unless the session has a limit of its own)."""
+    workers.ship(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":  # Spark's default
+        spark.conf.set(setting, str(BATCH_ROWS))
