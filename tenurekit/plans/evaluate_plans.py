@@ -11,13 +11,11 @@ from tenurekit.functions.ordered import cut
 from tenurekit.operators import cohorts as K
 from tenurekit.operators import evaluate as E
 from tenurekit.operators import hazard as H
-from tenurekit.operators import ladder as L
-from tenurekit.operators import ltv as V
 from tenurekit.operators import survival as S
 from tenurekit.params import ORDERS as P
 from tenurekit.params import ORDERS_WEB as PW
 from tenurekit.plans import sql as Q
-from tenurekit.plans.cohort_plans import FITSQL, POOL, facts, golden, members, ref_hazard
+from tenurekit.plans.cohort_plans import FITSQL, facts, golden, members, ref_hazard
 from tenurekit.plans.hazard_plans import COMBO, EMP, FIT, HB, MIX, WEEKS, fitted
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import CHECK, DONOR, WMX, web, week

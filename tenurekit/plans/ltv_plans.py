@@ -1,7 +1,5 @@
 """Web model and money on the driver's tables."""
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
@@ -9,7 +7,6 @@ from tenurekit.functions.ordered import cut
 from tenurekit.operators import hazard as H
 from tenurekit.operators import ladder as L
 from tenurekit.operators import ltv as V
-from tenurekit.operators import revenue as R
 from tenurekit.params import ORDERS
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
@@ -105,7 +102,7 @@ CHECK = f"""{LADDER}, pm1 AS (SELECT * FROM pop WHERE age_weeks_now >= {P.min_ag
  bw AS (SELECT DISTINCT session_id, {week()} AS week FROM ld JOIN pm1 USING (session_id)),
  uw AS (SELECT DISTINCT session_id, {week()} AS week FROM lo JOIN pm1 USING (session_id) WHERE event_type = 'upsale_converted'),
  ob AS (SELECT b.session_id, b.week, CASE WHEN u.week IS NULL THEN 0 ELSE 1 END AS paid_ups FROM bw b JOIN pm1 USING (session_id) LEFT JOIN uw u USING (session_id, week)
-  WHERE b.week BETWEEN {P.ups_first} AND 60 AND (b.week - {P.ups_first}) % {P.ups_every} = 0 AND age_weeks_now >= b.week + {SETTLE})"""
+  WHERE b.week BETWEEN {P.ups_first} AND {P.h_ext} AND (b.week - {P.ups_first}) % {P.ups_every} = 0 AND age_weeks_now >= b.week + {SETTLE})"""
 
 
 def rates_sql(dims: str) -> str:

@@ -15,7 +15,7 @@ from tenurekit.plans.cohort_plans import FITSQL, facts, pooled, ref_hazard
 from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.ltv_plans import CURVES, curve_sql, web, web_state
 from tenurekit.plans.registry import query
-from tenurekit.plans.revenue_plans import PRICE, REF, RUNNING
+from tenurekit.plans.revenue_plans import PRICE, RUNNING
 from tenurekit.sources import io
 from tenurekit.sources.adapters import refund_events, sub_events, table, web_events
 

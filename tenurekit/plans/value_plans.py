@@ -11,46 +11,51 @@ from tenurekit.operators import hazard as H
 from tenurekit.operators import ladder as L
 from tenurekit.operators import ltv as V
 from tenurekit.operators import months as M
+from tenurekit.operators import population as N
 from tenurekit.operators import revenue as R
 from tenurekit.operators import survival as S
 from tenurekit.params import ORDERS
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
-from tenurekit.plans.cohort_plans import FITSQL, averaged, curve_parts, decay_sql, facts, golden, members, ref_hazard, shape, smooth_sql
+from tenurekit.plans.cohort_plans import FITSQL, averaged, curve_parts, decay_sql, ref_hazard, shape, smooth_sql
 from tenurekit.plans.evaluate_plans import FOLDS
-from tenurekit.plans.hazard_plans import COMBO, FIT, MIX, fitted
+from tenurekit.plans.hazard_plans import FIT, fitted
 from tenurekit.plans.ladder_plans import order_log
-from tenurekit.plans.ltv_plans import is_check, table_sql, web, web_state, week
+from tenurekit.plans.ltv_plans import WHR, cells_sql, is_check, table_sql, web, web_state, week
 from tenurekit.plans.registry import query
-from tenurekit.plans.revenue_plans import HC, POP, WEB, web_log, web_pop
+from tenurekit.plans.revenue_plans import HC, POP, web_log, web_pop
 from tenurekit.plans.stages import staged
 
 HZ = ORDERS.report_horizons
-CURVE = f"{MIX}{COMBO}, {Q.curve('mix', 'hb', ORDERS, 'app_id, weeks')}, c4 AS (SELECT * FROM cv WHERE weeks = 4)"
-PAY = f"(0.9 * {ORDERS.net_base_price} * s + CASE WHEN (k >= 2 AND (k - 2) % 4 = 0) THEN 0.3 * {ORDERS.net_ups_price} * s ELSE 0 END)"
+#: cohort cells of the web log: anchor at their age, conversion, attach rate, observed money per trial
+CELL = f"{WHR}, {cells_sql(['cohort_date'])}, an AS (SELECT cohort_date, anchor, conversion AS share_base, coalesce(share_ups, 0) * conversion AS share_ups, ltv_per_trial_current AS observed FROM cl LEFT JOIN ar USING (cohort_date))"
+PAY = f"(share_base * {P.net_base_price} * s + CASE WHEN {is_check('k')} THEN share_ups * {P.net_ups_price} * s ELSE 0 END)"
 
 
-def app_curves(spark, d):
-    mx, st = fitted(spark, d)
-    c = staged(spark, d, "map_curves", lambda: H.predict(mx, st, ORDERS, ["app_id"], ORDERS.seen_weeks))
-    return c.where("weeks = 4").drop("weeks")
-
-
-def app_anchors(curves):
-    return curves.select("app_id").distinct().select("app_id", F.lit(4).cast("bigint").alias("anchor"), F.lit(0.9).alias("share_base"),
-                                                     F.lit(0.3).alias("share_ups"), F.lit(50.0).alias("observed"))
-
-
-@query("projected_increment", "L1", f"{CURVE} SELECT app_id, h AS horizon, round(sum({PAY}), 6) AS increment FROM c4 JOIN (SELECT unnest([6, 8, 12])::BIGINT AS h) g ON k > 4 AND k <= h GROUP BY 1, 2")
+def cell_parts(spark, d):
+    """Curves and anchors of the cohort cells."""
+    w = web(spark, d)
+    st = web_state(spark, d, w)
+    pop, by = N.mature(w.pop, P.min_age), ["cohort_date"]
+    ratios = V.cohort_ratios(L.training_rows(w.mx), st, P)
+    curves = staged(spark, d, "cohort_curves", lambda: V.cell_curves(w.mx, pop, st, ratios, P, by))
+    rates = V.attach_rates(V.checkpoint_observations(w.events, pop, V.base_ladder(w.events, P), P), pop, P, by)
+    cells = V.cell_summary(pop, w, P, by).join(rates.select(*by, "share_ups"), by, "left")
+    return curves, staged(spark, d, "cohort_anchors", lambda: cells.select(
+        *by, "anchor", F.col("conversion").alias("share_base"), (F.coalesce("share_ups", F.lit(0.0)) * F.col("conversion")).alias("share_ups"),
+        F.col("ltv_per_trial_current").alias("observed")))
+
+
+@query("projected_increment", "L1", f"{CELL} SELECT cohort_date, h AS horizon, round(sum({PAY}), 6) AS increment FROM cv JOIN an USING (cohort_date) JOIN (SELECT unnest({list(P.report_horizons)})::BIGINT AS h) g ON k > anchor AND k <= h GROUP BY 1, 2")
 def projected_increment(spark, d):
-    c = app_curves(spark, d)
-    return V.project_increment(c, app_anchors(c), (6, 8, 12), ORDERS, ["app_id"]).withColumn("increment", r6("increment"))
+    c, a = cell_parts(spark, d)
+    return V.project_increment(c, a, P.report_horizons, P, ["cohort_date"]).withColumn("increment", r6("increment"))
 
 
-@query("ltv_curve", "L2", f"{CURVE} SELECT app_id, k, round(50.0 + sum(CASE WHEN k > 4 THEN {PAY} ELSE 0 END) OVER (PARTITION BY app_id ORDER BY k), 6) AS ltv FROM c4 WHERE k >= 4")
+@query("ltv_curve", "L2", f"{CELL} SELECT cohort_date, k, round(observed + sum(CASE WHEN k > anchor THEN {PAY} ELSE 0 END) OVER (PARTITION BY cohort_date ORDER BY k), 6) AS ltv FROM cv JOIN an USING (cohort_date) WHERE k >= anchor")
 def ltv_curve(spark, d):
-    c = app_curves(spark, d)
-    return V.ltv_curve(c, app_anchors(c), ORDERS, ["app_id"]).withColumn("ltv", r6("ltv"))
+    c, a = cell_parts(spark, d)
+    return V.ltv_curve(c, a, P, ["cohort_date"]).withColumn("ltv", r6("ltv"))
 
 
 @query("table_rollup", "L9", f"""{table_sql(['cohort_date', 'first_funnel'])} SELECT first_funnel, grouping(first_funnel)::BIGINT AS is_total, sum(n_trial)::BIGINT AS n_trial, sum(n_base_payer)::BIGINT AS n_base_payer,
