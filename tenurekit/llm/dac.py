@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from tenurekit.llm.store import written
 
 SEGMENT_TOKENS = 1 << 20  # a segment ends with the document that reaches so many
-KEPT_WORDS = 400_000  # words in each of the two tables of ids that a Python worker keeps
+KEPT_WORDS = 600_000  # words in each of the two tables of ids that a Python worker keeps
 _MAGIC = b"DAC1"
 _BLOCK = 512
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -124,12 +124,12 @@ class _Known(dict):
         self.older: dict[str, bytes] = {}
         self.asked: list[str] = []
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | None:
         ids = self.older.get(word)
         if ids is None:
             self.asked.append(word)
-            return b""
-        self[word] = ids
+        else:
+            self[word] = ids
         return ids
 
 
@@ -156,17 +156,11 @@ class WordEncoder:
         if len(known) > self.kept:
             known.older = dict(known)
             known.clear()
-        out, short = [], []
-        for k, ws in enumerate(split):
-            n = len(known.asked)
-            out.append(b"".join(map(known.__getitem__, ws)))
-            if len(known.asked) > n:
-                short.append(k)
+        found = [list(map(known.__getitem__, ws)) for ws in split]
         new = list(dict.fromkeys(known.asked))
         known.asked.clear()
         known.update(zip(new, self._ask(new)))
-        for k in short:
-            out[k] = b"".join(map(known.__getitem__, split[k]))
+        out = [b"".join([known[w] if ids is None else ids for ids, w in zip(row, ws)]) for row, ws in zip(found, split)]
         for k in whole:
             out[k] = self._ask([texts[k]])[0]
         return [np.frombuffer(x, dtype=self.kind) for x in out]
