@@ -109,7 +109,7 @@ def residual_multipliers(cells: DataFrame, hazard: DataFrame, p: Params, by: Seq
     levers = list(levers if levers is not None else p.levers)
     c = cells.join(hazard.select(*by, "step_k", "h"), [*by, "step_k"], "left")
     c = c.withColumn("_exp", F.col("n") * F.col("h")).withColumn("_en", F.when(F.col("h").isNotNull(), F.col("n")))
-    c = c.select(*by, *dict.fromkeys([*p.levers, *levers]), "n", "died", "_exp", "_en")
+    c = c.select(*by, *dict.fromkeys(levers), "n", "died", "_exp", "_en")
     out = None
     for lever in levers:
         raw = c.groupBy(*by, lever).agg(*[F.sum(m).alias(m) for m in ("n", "died", "_exp", "_en")])
