@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and a character network over every other candidate with its surroundings.
 
 Fixed patterns (`assign`, `access`, `hex`) are always reported. Candidates are maximal runs of 16 or more of the letters
-A-Z a-z 0-9 + / _ = - that hold a letter and a digit and touch no fixed finding. The network sees CONTEXT characters before
-a candidate, its first HEAD, and CONTEXT after it: embedding, one convolution, maxima over the three regions, one logit.
+A-Z a-z 0-9 + / _ = - that hold a letter and a digit; of a run that touches fixed findings, every piece outside them. The
+network sees CONTEXT characters before a candidate, its first HEAD, and CONTEXT after it: embedding, one convolution, maxima
+over the three regions, one logit.
 It is trained in numpy on labelled findings that `labelled_findings` makes from a fixed seed (SAMPLES of them); a
 held-out part calibrates the logit, and the threshold is the highest that still finds RECALL of the held-out secrets.
 
@@ -208,8 +209,24 @@ def _runs(data: np.ndarray, at: np.ndarray, letters: np.ndarray, least: int) ->
     return a[long], b[long]
 
 
-def scan(data: np.ndarray, at: np.ndarray, net: Network) -> list[list[tuple[int, int, str]]]:
-    """Findings of each text data[at[k]:at[k + 1]]."""
+def rest(run: tuple[int, int], found: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
+    """Pieces of a run outside the fixed findings (by start), and whether the run is what the network judges them by.
+
+    A piece shorter than a candidate has the verdict of its run: it may be the end of a key that a fixed finding covers for
+    the most part. Such a piece before `assign` is left out, as its pattern takes the value to the end of the run.
+    """
+    at, out = run[0], []
+    for s, e, kind in found:
+        if s > at:
+            out.append((at, s, s - at < _CANDIDATE, kind == "assign"))
+        at = max(at, e)
+    if at < run[1]:
+        out.append((at, run[1], bool(found) and run[1] - at < _CANDIDATE, False))
+    return [(s, e, short) for s, e, short, name in out if not (short and name)]
+
+
+def candidates(data: np.ndarray, at: np.ndarray) -> tuple[list[list[tuple[int, int, str]]], list[tuple[int, int, int]], list[np.ndarray]]:
+    """Fixed findings of each text data[at[k]:at[k + 1]]; candidates (text, start, end) and the windows that each is judged by."""
     data, at = data[at[0]:at[-1]], at - at[0]
     n = len(at) - 1
     hexa = np.zeros(n, bool)
@@ -219,23 +236,35 @@ def scan(data: np.ndarray, at: np.ndarray, net: Network) -> list[list[tuple[int,
     mixed = (letters[b] > letters[a]) & (digits[b] > digits[a])
     a, b = a[mixed], b[mixed]
     first = np.searchsorted(a, at)
-    out, held, where = [], [], []
+    out, where, held = [], [], []
     for k in range(n):
         raw = data[at[k]:at[k + 1]].tobytes()
         text = raw.decode()
         found = fixed_findings(text, bool(hexa[k]))
         out.append(found)
-        for x, y in zip(a[first[k]:first[k + 1]] - at[k], b[first[k]:first[k + 1]] - at[k]):
+        next_, reach = 0, []  # findings that may touch the run
+        for x, y in zip((a[first[k]:first[k + 1]] - at[k]).tolist(), (b[first[k]:first[k + 1]] - at[k]).tolist()):
             start = len(raw[:x].decode())
-            end = start + int(y - x)  # ASCII
-            if not any(s < end and start < e for s, e, _ in found):
-                held.append(windows(raw, [(int(x), int(y))])[0])
-                where.append((k, start, end))
+            end = start + y - x  # ASCII
+            while next_ < len(found) and found[next_][0] < end:
+                reach.append(found[next_])
+                next_ += 1
+            reach = [f for f in reach if f[1] > start]
+            for s, e, whole in rest((start, end), reach):
+                where.append((k, s, e))
+                held.append(windows(raw, [(x, y) if whole else (x + s - start, x + e - start)]))
+    return out, where, held
+
+
+def scan(data: np.ndarray, at: np.ndarray, net: Network) -> list[list[tuple[int, int, str]]]:
+    """Findings of each text data[at[k]:at[k + 1]]."""
+    out, where, held = candidates(data, at)
     if held:
-        for (k, s, e), p in zip(where, net.probability(np.array(held))):
+        for (k, s, e), p in zip(where, net.probability(np.concatenate(held))):
             if p >= net.threshold:
                 out[k].append((s, e, "model"))
-                out[k].sort(key=lambda f: (f[0], KINDS.index(f[2])))
+        for k in {k for k, _, _ in where}:
+            out[k].sort(key=lambda f: (f[0], KINDS.index(f[2])))
     return out
 
 
