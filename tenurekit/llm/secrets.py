@@ -2,10 +2,11 @@
 
 Fixed patterns (`assign`, `access`, `hex`) are always reported. Candidates are maximal runs of 16 or more of the letters
 A-Z a-z 0-9 + / _ = - that hold a letter and a digit; of a run that touches fixed findings, every piece outside them. The
-network sees CONTEXT characters before a candidate, its first HEAD, and CONTEXT after it: embedding, one convolution, maxima
-over the three regions, one logit.
-It is trained in numpy on labelled findings that `labelled_findings` makes from a fixed seed (SAMPLES of them); a
-held-out part calibrates the logit, and the threshold is the highest that still finds RECALL of the held-out secrets.
+network sees regions of HEAD characters that slide over the whole candidate, each with CONTEXT characters before and after it:
+embedding, one convolution, maxima over the three parts, one logit; a candidate has the highest probability of its regions.
+It is trained in numpy on the candidates that the scan finds in labelled texts, which `labelled_texts` makes from a fixed seed
+(SAMPLES of them); a held-out part calibrates the logit, and the threshold is the highest that still finds RECALL of the
+held-out regions of secrets.
 
 Null and empty texts have no findings. Texts are read whole; positions are code points. Repeated rows are read each by itself.
 """
@@ -30,6 +31,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CONTEXT, HEAD = 24, 40
+STEP = 16  # any 24 characters of a candidate stand in one region
 SAMPLES, RECALL = 4000, 0.98  # labelled findings used for training and calibration; least share found
 _CANDIDATE = 16
 
@@ -42,20 +44,30 @@ def _table(letters: str) -> np.ndarray:
 
 _RUN, _HEXA = _table(string.ascii_letters + string.digits + "+/_=-"), _table("0123456789abcdef")
 _LETTER, _DIGIT = _table(string.ascii_letters), _table(string.digits)
-_CODE = np.array([b - 31 if 32 <= b < 127 else 96 if b >= 127 else 97 for b in range(256)])  # 0 is padding
+_CODE = np.array([b - 31 if 32 <= b < 127 else 96 if b >= 127 else 97 for b in range(256)], dtype=np.uint8)  # 0 is padding
 _CODES = 98
 
 
 # --- the network ------------------------------------------------------------------------------------------------------
 
-def windows(raw: bytes, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Character codes of each span (bytes) and its surroundings, one row each."""
-    out = np.zeros((len(spans), 2 * CONTEXT + HEAD), dtype=np.int64)
-    for k, (a, b) in enumerate(spans):
-        for at, part in ((CONTEXT - min(CONTEXT, a), raw[max(0, a - CONTEXT):a]), (CONTEXT, raw[a:min(b, a + HEAD)]),
-                         (CONTEXT + HEAD, raw[b:b + CONTEXT])):
-            out[k, at:at + len(part)] = _CODE[np.frombuffer(part, np.uint8)]
-    return out
+def windows(codes: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Character codes of the regions of one candidate (bytes a to b) and their surroundings, one row each. `codes`: of the
+    whole text, with CONTEXT of padding before it and CONTEXT + HEAD after it. Regions of HEAD characters begin STEP apart, the
+    last one ends with the candidate."""
+    if b - a < HEAD:
+        out = np.zeros((1, 2 * CONTEXT + HEAD), dtype=np.uint8)
+        out[0, :CONTEXT + b - a] = codes[a:CONTEXT + b]
+        out[0, CONTEXT + HEAD:] = codes[CONTEXT + b:2 * CONTEXT + b]
+        return out
+    return np.lib.stride_tricks.sliding_window_view(codes, 2 * CONTEXT + HEAD)[region_starts(a, b)]
+
+
+def padded(raw: bytes) -> np.ndarray:
+    return np.pad(_CODE[np.frombuffer(raw, np.uint8)], (CONTEXT, CONTEXT + HEAD))
+
+
+def region_starts(a: int, b: int) -> np.ndarray:
+    return np.append(np.arange(a, max(a, b - HEAD), STEP), max(a, b - HEAD))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -123,9 +135,13 @@ class Network:
         z = np.stack([self.logit(x), np.ones(len(x))], axis=1)
         soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # keeps the scale finite
         start = w = np.array([1.0, 0.0])
+        loss = lambda w: np.logaddexp(0, z @ w).sum() - soft @ (z @ w) + 2.5 * ((w - start) ** 2).sum()
         for _ in range(30):
             p = _sigmoid(z @ w)
-            w = w - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 5 * np.eye(2), z.T @ (p - soft) + 5 * (w - start))
+            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 5 * np.eye(2), z.T @ (p - soft) + 5 * (w - start))
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:  # a full step may go too far
+                step = step / 2
+            w = w - step
         self.scale, self.shift = w
         found = np.sort(self.probability(x[y > 0]))
         self.threshold = float(found[int((1 - recall) * len(found))])
@@ -134,13 +150,18 @@ class Network:
 _LETTERS = np.array(list(string.ascii_letters + string.digits))
 
 
-def labelled_findings(n: int = SAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in context with label 1 (secret) or 0 (other), from a fixed seed."""
+def labelled_texts(n: int = SAMPLES, seed: int = 3) -> list[tuple[str, int, int]]:
+    """Texts with the place of their secret (an empty one in every other text), from a fixed seed."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
     rand = lambda k: "".join(rng.choice(_LETTERS, k))
     word = lambda: "".join(pick("an", "the", "ti", "on", "re", "sh", "er", "ing", "ou", "ment", "de", "lo", "ra", "ver") for _ in range(rng.integers(1, 5)))
     digits = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
+    onset = "b c ch d f fl g gr h j k l m n p pf ph pr qu r s sch sh st str t th tr v w z zw".split() + [""] * 8
+    coda = "b ch ck f g gs l ld m n nd ng ns nt ps r rs s sch ss st t th tz x".split() + [""] * 16
+    part = lambda: pick(*onset) + pick(*"a e e i o u ai au aux ea ee ei eu eux ia ie io ou oi ui y".split()) + pick(*coda)
+    term = lambda a, b: "".join(pick(part, word)() for _ in range(rng.integers(a, b)))
+    path = lambda: "".join(pick(word, lambda: term(1, 4))() + "/" for _ in range(rng.integers(1, 9)))
     near = lambda: " ".join(word() for _ in range(6))
     secret = [
         lambda: (pick("key ", "Bearer ", "credential ", "auth=", "pwd: ", "access ", "export KEY=", "key: ", ""), rand(rng.integers(20, 60))),
@@ -150,6 +171,10 @@ def labelled_findings(n: int = SAMPLES, seed: int = 3) -> tuple[np.ndarray, np.n
         lambda: (pick("", "jwt ", "Authorization: Bearer "), "eyJ" + rand(rng.integers(30, 60))),
         lambda: (pick("", "AWS_KEY=", "aws "), base64.b64encode(rng.bytes(30)).decode()),
         lambda: (pick("", "google "), "AIza" + rand(35)),
+        lambda: (pick("key ", "Bearer ", "auth=", "pwd: ", ""), "".join(rng.choice(_LETTERS[:52], rng.integers(20, 60)))),
+        lambda: (pick("", "/", "https:/") + path(), rand(rng.integers(20, 44)) + pick("", "/" + path())),
+        lambda: ("", "AKIA" + rand(16).upper() + pick("/", "=") + rand(40)),
+        lambda: (pick("", "git ", "use "), pick("ghp_", "gho_", "glpat-") + hashlib.md5(rng.bytes(4)).hexdigest() + rand(rng.integers(4, 9))),
     ]
     other = [
         lambda: ("", "-".join(word() for _ in range(rng.integers(3, 7))) + "-" + digits(rng.integers(1, 5))),
@@ -162,24 +187,52 @@ def labelled_findings(n: int = SAMPLES, seed: int = 3) -> tuple[np.ndarray, np.n
         lambda: (pick("", "class="), "_".join(word() for _ in range(4)) + "_v" + digits(2)),
         lambda: (pick("", "isbn "), "ISBN-" + digits(3) + "-" + digits(10)),
         lambda: (pick("", "= "), "=" * rng.integers(10, 20) + word() + digits(2) + "=" * rng.integers(4, 10)),
+        lambda: (pick("", "a "), pick(str, str, str.capitalize, str.upper)(term(5, 14))),
+        lambda: (pick("", "the "), pick("-", "_", "/").join(term(1, 4) for _ in range(rng.integers(3, 12)))),
+        lambda: (pick("", "call "), "".join(term(1, 3).capitalize() for _ in range(rng.integers(3, 8)))),
+        lambda: (pick("see ", "/", "https:/"), "".join(path() for _ in range(rng.integers(1, 5))) + pick("", digits(3), "v" + digits(1))),
+        lambda: (pick("", "sum ", "/" + path()), pick("sha256=", "commit/", "id-", "") + hashlib.sha256(rng.bytes(4)).hexdigest()[:int(pick(32, 40, 64))] + pick("", "/", "-" + digits(1))),
     ]
-    rows, labels = [], np.arange(n) % 2
-    for y in labels:
-        before, found = pick(*(secret if y else other))()
-        head = (near() + " " + before).encode()
-        raw = head + found.encode() + (pick("", ".", "\"", " ", "\n", ",") + " " + near()).encode()
-        rows.append(windows(raw, [(len(head), len(head) + len(found))])[0])
-    return np.array(rows), labels.astype(float)
+    out = []
+    for k in range(n):
+        before, found = pick(*(secret if k % 2 else other))()
+        head = near() + " " + before
+        out.append((head + found + pick("", ".", "\"", " ", "\n", ",") + " " + near(), len(head), len(head) + len(found) * (k % 2)))
+    return out
+
+
+def _scanned(texts: list[tuple[str, int, int]]) -> tuple:
+    return candidates(*tx.utf8(pa.array([t for t, _, _ in texts], pa.string())))
+
+
+def findings(texts: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the candidates in labelled texts with label 1 (the region holds 24 characters of the secret, or all that the
+    candidate has of it) or 0 (none); the others are left out."""
+    _, where, held = _scanned(texts)
+    rows, labels = [], []
+    for (k, a, b), x in zip(where, held):
+        _, s, e = texts[k]
+        starts, mine = region_starts(a, b), min(e, b) - max(s, a)
+        # a short piece is judged by regions of its run
+        shared = np.minimum(e, np.minimum(starts + HEAD, b)) - np.maximum(s, starts) if len(starts) == len(x) else np.full(len(x), mine)
+        clear = (shared <= 0) | (shared >= min(24, mine))
+        rows.append(x[clear])
+        labels.append(shared[clear] > 0)
+    return np.concatenate(rows), np.concatenate(labels).astype(float)
+
+
+def labelled_findings(n: int = SAMPLES, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    return findings(labelled_texts(n, seed))
 
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Network:
-    """The network on labelled findings: 70 % train, 30 % calibrate it."""
-    x, y = labelled_findings()
-    cut = int(0.7 * len(x))
+    """The network on labelled texts: 70 % train, 30 % calibrate it."""
+    texts = labelled_texts()
+    cut = int(0.7 * len(texts))
     net = Network()
-    net.train(x[:cut], y[:cut])
-    net.calibrate(x[cut:], y[cut:])
+    net.train(*findings(texts[:cut]))
+    net.calibrate(*findings(texts[cut:]))
     return net
 
 
@@ -243,8 +296,10 @@ def candidates(data: np.ndarray, at: np.ndarray) -> tuple[list[list[tuple[int, i
         found = fixed_findings(text, bool(hexa[k]))
         out.append(found)
         next_, reach = 0, []  # findings that may touch the run
+        start = byte = 0
+        codes = padded(raw) if first[k] < first[k + 1] else None
         for x, y in zip((a[first[k]:first[k + 1]] - at[k]).tolist(), (b[first[k]:first[k + 1]] - at[k]).tolist()):
-            start = len(raw[:x].decode())
+            start, byte = start + len(raw[byte:x].decode()), x
             end = start + y - x  # ASCII
             while next_ < len(found) and found[next_][0] < end:
                 reach.append(found[next_])
@@ -252,19 +307,25 @@ def candidates(data: np.ndarray, at: np.ndarray) -> tuple[list[list[tuple[int, i
             reach = [f for f in reach if f[1] > start]
             for s, e, whole in rest((start, end), reach):
                 where.append((k, s, e))
-                held.append(windows(raw, [(x, y) if whole else (x + s - start, x + e - start)]))
+                held.append(windows(codes, *((x, y) if whole else (x + s - start, x + e - start))))
     return out, where, held
 
 
+def best(held: list[np.ndarray], net: Network) -> np.ndarray:
+    """The highest probability of the windows of each candidate."""
+    if not held:
+        return np.zeros(0)
+    return np.maximum.reduceat(net.probability(np.concatenate(held)), np.cumsum([0, *(len(h) for h in held[:-1])]))
+
+
 def scan(data: np.ndarray, at: np.ndarray, net: Network) -> list[list[tuple[int, int, str]]]:
     """Findings of each text data[at[k]:at[k + 1]]."""
     out, where, held = candidates(data, at)
-    if held:
-        for (k, s, e), p in zip(where, net.probability(np.concatenate(held))):
-            if p >= net.threshold:
-                out[k].append((s, e, "model"))
-        for k in {k for k, _, _ in where}:
-            out[k].sort(key=lambda f: (f[0], KINDS.index(f[2])))
+    for (k, s, e), p in zip(where, best(held, net)):
+        if p >= net.threshold:
+            out[k].append((s, e, "model"))
+    for k in {k for k, _, _ in where}:
+        out[k].sort(key=lambda f: (f[0], KINDS.index(f[2])))
     return out
 
 

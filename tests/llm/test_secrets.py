@@ -69,3 +69,14 @@ def test_rest_of_a_run_beside_fixed_findings():
     assert secrets.rest((0, 50), []) == [(0, 50, False)]
     assert secrets.rest((5, 50), [(0, 8, "hex"), (2, 6, "hex"), (30, 60, "access")]) == [(8, 30, False)]
     assert secrets.rest((0, 50), [(3, 50, "assign")]) == []  # a name
+
+
+def test_a_candidate_is_read_to_its_end():
+    path, token = "services/webhooks/integration/channel/v1/T024/B01/", "aB3xK9qLmZ7tR2vWc5Yd8NpQ"
+    late = "see /" + path + token + "/" + "settings/of/this/channel/" * 30
+    assert scanned(["see /" + path + token + " now", late]) == [[(4, 5 + len(path + token), "model")], [(4, len(late), "model")]]
+    for n in (16, 39, 40, 41, 56, 57, 1000):
+        codes = secrets.padded(b"<" + b"x" * n + b">")
+        starts = secrets.region_starts(1, 1 + n).tolist()
+        assert len(secrets.windows(codes, 1, 1 + n)) == len(starts) and starts[0] == 1 and starts[-1] == max(1, 1 + n - secrets.HEAD)
+        assert all(0 < b - a <= secrets.STEP for a, b in zip(starts, starts[1:]))
