@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and a character network over every other candidate with its surroundings.
 
 Fixed patterns (`assign`, `access`, `hex`) are always reported. Candidates are maximal runs of 16 or more of the letters
-A-Z a-z 0-9 + / _ = - that hold a letter and a digit; of a run that touches fixed findings, every piece outside them. The
+A-Z a-z 0-9 + / _ = - that hold a letter; of a run that touches fixed findings, every piece outside them. The
 network sees regions of HEAD characters that slide over the whole candidate, each with CONTEXT characters before and after it:
 embedding, one convolution, maxima over the three parts, one logit; a candidate has the highest probability of its regions.
 It is trained in numpy on the candidates that the scan finds in labelled texts, which `labelled_texts` makes from a fixed seed
 (SAMPLES of them); a held-out part calibrates the logit, and the threshold is the highest that still finds RECALL of the
-held-out regions of secrets.
+held-out secrets, where a secret counts as found if fixed findings and reported candidates cover all of it.
 
 Null and empty texts have no findings. Texts are read whole; positions are code points. Repeated rows are read each by itself.
 """
@@ -43,7 +43,7 @@ def _table(letters: str) -> np.ndarray:
 
 
 _RUN, _HEXA = _table(string.ascii_letters + string.digits + "+/_=-"), _table("0123456789abcdef")
-_LETTER, _DIGIT = _table(string.ascii_letters), _table(string.digits)
+_LETTER = _table(string.ascii_letters)
 _CODE = np.array([b - 31 if 32 <= b < 127 else 96 if b >= 127 else 97 for b in range(256)], dtype=np.uint8)  # 0 is padding
 _CODES = 98
 
@@ -129,9 +129,9 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Scale and shift of the logit by Newton steps on held-out findings, held near (1, 0) by a penalty where these are
-        told apart fully; then the highest threshold with that recall."""
+        told apart fully."""
         z = np.stack([self.logit(x), np.ones(len(x))], axis=1)
         soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # keeps the scale finite
         start = w = np.array([1.0, 0.0])
@@ -143,8 +143,13 @@ class Network:
                 step = step / 2
             w = w - step
         self.scale, self.shift = w
-        found = np.sort(self.probability(x[y > 0]))
+
+    def choose(self, texts: list[tuple[str, int, int]], recall: float = RECALL) -> None:
+        """The highest threshold that still finds that share of the secrets of these texts; raises if there is none."""
+        found = np.sort([weakest for weakest, (_, s, e) in zip(weakest_parts(texts, self), texts) if e > s])
         self.threshold = float(found[int((1 - recall) * len(found))])
+        if self.threshold <= 0:
+            raise ValueError("too many secrets are not candidates")
 
 
 _LETTERS = np.array(list(string.ascii_letters + string.digits))
@@ -225,6 +230,21 @@ def labelled_findings(n: int = SAMPLES, seed: int = 3) -> tuple[np.ndarray, np.n
     return findings(labelled_texts(n, seed))
 
 
+def weakest_parts(texts: list[tuple[str, int, int]], net: Network) -> list[float]:
+    """Of the secret of each labelled text: the lowest threshold at which it is missed. 1 if fixed findings cover all of it, 0
+    if a part of it is neither in them nor in a candidate."""
+    fixed, where, held = _scanned(texts)
+    out, open_ = [1.0] * len(texts), [set(range(s, e)) for _, s, e in texts]
+    for k, found in enumerate(fixed):
+        for a, b, _ in found:
+            open_[k] -= set(range(a, b))
+    for (k, a, b), p in zip(where, best(held, net)):
+        if open_[k] and max(a, texts[k][1]) < min(b, texts[k][2]):
+            out[k] = min(out[k], float(p))
+            open_[k] -= set(range(a, b))
+    return [0.0 if left else p for p, left in zip(out, open_)]
+
+
 @functools.lru_cache(maxsize=1)
 def trained() -> Network:
     """The network on labelled texts: 70 % train, 30 % calibrate it."""
@@ -233,6 +253,7 @@ def trained() -> Network:
     net = Network()
     net.train(*findings(texts[:cut]))
     net.calibrate(*findings(texts[cut:]))
+    net.choose(texts[cut:])
     return net
 
 
@@ -285,9 +306,9 @@ def candidates(data: np.ndarray, at: np.ndarray) -> tuple[list[list[tuple[int, i
     hexa = np.zeros(n, bool)
     hexa[np.searchsorted(at, _runs(data, at, _HEXA, 32)[0], "right") - 1] = True
     a, b = _runs(data, at, _RUN, _CANDIDATE)
-    letters, digits = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_LETTER, _DIGIT))
-    mixed = (letters[b] > letters[a]) & (digits[b] > digits[a])
-    a, b = a[mixed], b[mixed]
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    named = letters[b] > letters[a]
+    a, b = a[named], b[named]
     first = np.searchsorted(a, at)
     out, where, held = [], [], []
     for k in range(n):

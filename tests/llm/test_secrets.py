@@ -80,3 +80,16 @@ def test_a_candidate_is_read_to_its_end():
         starts = secrets.region_starts(1, 1 + n).tolist()
         assert len(secrets.windows(codes, 1, 1 + n)) == len(starts) and starts[0] == 1 and starts[-1] == max(1, 1 + n - secrets.HEAD)
         assert all(0 < b - a <= secrets.STEP for a, b in zip(starts, starts[1:]))
+
+
+def test_held_out_recall_end_to_end():
+    texts = secrets.labelled_texts(1500, seed=77)
+    found = scanned([t for t, _, _ in texts])
+    whole = [all(any(a <= i < b for a, b, _ in f) for i in range(s, e)) for f, (_, s, e) in zip(found, texts) if e > s]
+    false = [any(kind == "model" for _, _, kind in f) for f, (_, s, e) in zip(found, texts) if e == s]
+    assert sum(whole) > 0.96 * len(whole) and sum(false) < 0.02 * len(false)
+    for key in ("qWvXzKjRtYpLmNbGhFdS", "auth=qWvXzKjRtYpLmNbGhFdScCxZ", "AWS_KEY=aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zAbCdEfGhI"):
+        assert [kind for _, _, kind in scanned([f"use {key} now"])[0]] == ["model"]  # without a digit, after a name
+    mute = secrets.Network()
+    missed = secrets.weakest_parts([("x short1 y", 2, 8), ("secret: abcdefgh", 8, 16)], mute)
+    assert missed == [0.0, 1.0]  # no candidate; a fixed finding
