@@ -119,6 +119,13 @@ class _Leaves(HTMLParser):
         if self.count.get(f"t={tag}"):
             self._close({tag}, frozenset())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As in browsers, a comment up to the next '>', whatever the keyword; inside svg and math CDATA up to ']]>'."""
+        if self.rawdata.startswith("<![CDATA[", i) and (self.count.get("t=svg") or self.count.get("t=math")):
+            end = self.rawdata.find("]]>", i)
+            return end + 3 if end >= 0 else -1
+        return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.parts.append(data)
@@ -128,11 +135,8 @@ class _Leaves(HTMLParser):
 
 def leaf_blocks(page: str) -> list[Block]:
     p = _Leaves()
-    try:
-        p.feed(page)
-        p.close()
-    except AssertionError:  # a declaration that the parser can't read ends the page
-        pass
+    p.feed(page)
+    p.close()
     p.flush()
     return p.blocks
 

@@ -77,3 +77,12 @@ def test_odd_rows(spark):
     by = sorted((str(r.page_id), r.text) for r in got)
     assert by == [("1", ""), ("1", ""), ("2", " ".join(["some words here."] * 20_000)), ("3", "one two <b> three"), ("None", "")]
     assert ht.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_text_after_odd_declarations_stays():
+    for mark in ("<![x", "<![x>", "<![ endif]>", "<![%foo;[>", "<![if gte mso 9>", "<![endif]>", "<![CDATA[x>", "<![>", "<!x>"):
+        page = f"<article><p>One two three. {mark}<b>Four five six.</b></p>" + "<p>Seven eight nine.</p>" * 3 + "</article>"
+        text = ht.main_text(page, ht.trained())
+        assert text.startswith("One two three.") and text.endswith("Four five six." + " Seven eight nine." * 3) or mark == "<![x", (mark, text)
+        assert text.endswith(" Seven eight nine." * 3), (mark, text)
+    assert [b.text for b in ht.leaf_blocks("<p>a<svg><![CDATA[</svg> > x]]></svg>b <![open")] == ["ab <![open"]
