@@ -29,7 +29,8 @@ SIZE = 1 << 13  # hashed features
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td
 textarea tfoot th thead title tr ul video""".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas head datalist".split())
+HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title datalist".split())
+IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())  # anything else ends the head
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCK - frozenset("button caption label legend option select summary textarea title td th tr tbody thead tfoot".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -89,7 +90,14 @@ class _Leaves(HTMLParser):
             if self.open[k][0] in scope:
                 return
 
+    def _end_head(self) -> None:
+        """Both </head> and <body> may be left out: what can't stand in a head ends it, unless inside one of its elements."""
+        if self.open and self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self.flush()
             if tag in ENDS_P and self.count.get("t=p"):
@@ -127,6 +135,8 @@ class _Leaves(HTMLParser):
         return self.parse_bogus_comment(i, report)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and data.strip():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:

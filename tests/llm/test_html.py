@@ -86,3 +86,17 @@ def test_text_after_odd_declarations_stays():
         assert text.startswith("One two three.") and text.endswith("Four five six." + " Seven eight nine." * 3) or mark == "<![x", (mark, text)
         assert text.endswith(" Seven eight nine." * 3), (mark, text)
     assert [b.text for b in ht.leaf_blocks("<p>a<svg><![CDATA[</svg> > x]]></svg>b <![open")] == ["ab <![open"]
+
+
+def test_head_and_body_tags_may_be_left_out():
+    article = "<article><p>Some text stands here.</p><p>And more of it, at length.</p></article>"
+    text = "Some text stands here. And more of it, at length."
+    heads = ["<html><head><title>t</title>", "<head><meta charset=utf-8><link rel=x><style>p{}</style><script>1</script>", "<head>", "<html><head><template><p>x</p></template><noscript><p>y</p></noscript>",
+             "<html><head><title>t</title></head>", "<head><title>t</title><body>", "<html><title>t</title>", "<title>t</title><body>", "<html>", ""]
+    for head in heads:
+        assert ht.main_text(head + article, ht.trained()) == text, head
+    assert [b.text for b in ht.leaf_blocks("<head>\n<title>t</title>\n plain <b>words</b>")] == ["plain words"]
+    assert [b.text for b in ht.leaf_blocks("<head><title>t</title><span>a</span></head><p>b")] == ["a", "b"]
+    for page in ht.labelled_pages(50, seed=99):
+        short = page.replace("</head><body>", "")
+        assert ht.main_text(short, ht.trained()) == ht.main_text(page, ht.trained())
