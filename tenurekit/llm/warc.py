@@ -10,7 +10,7 @@ id and payload give as many records; one of them is the response of a large payl
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurekit.llm.store import new_folder, written
 
@@ -45,18 +45,14 @@ def write_archive(pages: DataFrame, id: str = "page_id", url: str = "url", paylo
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), body.alias("body"))
     named = rows.select("id", "url", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("address"),
                         F.sha1("body").alias("sha1"))
-    named = written(named, "", f"{folder}/named")
-    owner = named.groupBy("address", "bytes").agg(F.max("id").alias("owner"), F.count("*").alias("n"))
+    named = written(named.withColumn("row", F.monotonically_increasing_id()), "", f"{folder}/named")  # written, so that a row keeps its number
     large = named.where(F.col("bytes") >= min_revisit)
-    # rows equal in id and payload: only one of the owner's rows is the response
-    spot = F.row_number().over(Window.partitionBy("address", "id").orderBy(F.col("url").desc_nulls_last()))
-    twice = (large.where("id is not null").groupBy("address", "id").agg(F.count("*").alias("k")).where("k > 1").drop("k"))
-    tied = large.join(twice, ["address", "id"], "left_semi").withColumn("spot", spot)
-    single = large.join(twice, ["address", "id"], "left_anti").withColumn("spot", F.lit(1))
-    small = named.where(F.col("bytes") < min_revisit).select("*", F.col("id").alias("owner"), F.lit("response").alias("kind"))
-    owned = (single.unionByName(tied).join(owner.where(F.col("bytes") >= min_revisit), ["address", "bytes"])
-             .withColumn("kind", F.when((F.col("n") == 1) | (F.col("id").eqNullSafe(F.col("owner")) & (F.col("spot") == 1)), "response")
-                         .otherwise("revisit")).select("id", "url", "bytes", "address", "sha1", "owner", "kind"))
+    # one row of each payload is the response: of the largest id (null is the least), then of the largest URL
+    owner = large.groupBy("address", "bytes").agg(F.max(F.struct("id", "url", "row")).alias("top")) \
+        .select("address", "bytes", F.col("top.id").alias("owner"), F.col("top.row").alias("bearer"))
+    small = named.where(F.col("bytes") < min_revisit).drop("row").withColumns({"owner": F.col("id"), "kind": F.lit("response")})
+    owned = (large.join(owner, ["address", "bytes"]).withColumn("kind", F.when(F.col("row") == F.col("bearer"), "response").otherwise("revisit"))
+             .select("id", "url", "bytes", "address", "sha1", "owner", "kind"))
     revisit = F.col("kind") == "revisit"
     head = F.concat(
         F.lit("WARC/1.1" + _CRLF), _field("WARC-Type", F.col("kind")), _field("WARC-Record-ID", _record_id(F.col("id"))),
@@ -66,19 +62,14 @@ def write_archive(pages: DataFrame, id: str = "page_id", url: str = "url", paylo
         _field("Content-Type", F.lit("text/html; charset=utf-8")),
         _field("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit(_CRLF))
     headers = written(small.unionByName(owned).select(F.encode(head, "UTF-8").alias("header"), "address", "bytes"), "", f"{folder}/headers")
-    # one row of `pages` stands for each payload; its bytes are taken once
-    bearer = owner.select("address", F.col("owner").alias("bearer"))
-    bodies = rows.select("id", "body", F.sha2("body", 256).alias("address"))
-    large_bodies = bodies.where(F.octet_length("body") >= min_revisit).join(
-        bearer.withColumnRenamed("address", "of"), (F.col("address") == F.col("of")) & F.col("id").eqNullSafe(F.col("bearer")), "left_semi")
+    # one row of `pages` stands for each payload; rows equal in id and payload are one before they move (a struct of null equals another)
+    bearer = owner.select("address", F.struct(F.col("owner").alias("id")).alias("who"))
+    bodies = rows.select(F.struct("id").alias("who"), "body", F.sha2("body", 256).alias("address"))
+    large_bodies = bodies.where(F.octet_length("body") >= min_revisit).groupBy("address", "who").agg(F.first("body").alias("body")) \
+        .join(bearer, ["address", "who"], "left_semi")
     small_bodies = bodies.where(F.octet_length("body") < min_revisit).groupBy("address").agg(F.first("body").alias("body"))
-    payloads = large_bodies.select("address", "body").dropDuplicates(["address"]).unionByName(small_bodies) \
-        if _has_ties(twice) else large_bodies.select("address", "body").unionByName(small_bodies)
-    return headers, written(payloads.select("address", "body"), "", f"{folder}/payloads")
-
-
-def _has_ties(twice: DataFrame) -> bool:
-    return not twice.isEmpty()
+    payloads = large_bodies.select("address", "body").unionByName(small_bodies.select("address", "body"))
+    return headers, written(payloads, "", f"{folder}/payloads")
 
 
 def read_archive(headers: DataFrame, payloads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:

@@ -50,3 +50,13 @@ def test_damage_is_found(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archive(*warc.write_archive(empty)).count() == 0
+
+
+def test_equal_rows_without_id(spark):
+    rows = [(None, "u/1", BIG), (None, "u/2", BIG), (None, None, BIG), (None, "u/2", BIG), (None, "v", "z" * 5000), (4, "v", "z" * 5000), (4, "v", "z" * 5000), (None, "v", "z" * 5000)]
+    headers, payloads = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert sorted(bytes(r.body) for r in payloads.collect()) == sorted([BIG.encode(), b"z" * 5000])
+    got = warc.read_archive(headers, payloads).collect()
+    assert Counter((r.id, r.url, r.payload_bytes) for r in got) == Counter((None if i is None else str(i), u, len(t.encode())) for i, u, t in rows)
+    assert sorted((r.id or "", r.url) for r in got if r.record_type == "response") == [("", "u/2"), ("4", "v")]
+    assert Counter(r.refers_to for r in got if r.record_type == "revisit") == {None: 3, "4": 3}
