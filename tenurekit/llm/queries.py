@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import bpe, chat, dac, decontaminate, html_text, prefix_tree, quality, secrets, sharding, warc
+from tenurekit.llm import bpe, chat, dac, decontaminate, hard_negatives, html_text, prefix_tree, quality, secrets, sharding, warc
 from tenurekit.llm.tables import query, table
 
 
@@ -170,3 +170,27 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+_NEGATIVES_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON a.r <> e.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5),
+q AS (SELECT *, row_number() OVER () AS pr FROM p)
+SELECT q.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY pr ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id,
+  positive_score, score AS negative_score FROM q JOIN s USING (ar)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY pr ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(vectors.select("vec_id", "embedding", noisy.alias("label")))
