@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import bpe, chat, dac, decontaminate, hard_negatives, html_text, prefix_tree, quality, secrets, sharding, warc
+from tenurekit.llm import bpe, chat, dac, decontaminate, hard_negatives, html_text, periods, prefix_tree, quality, secrets, sharding, warc
 from tenurekit.llm.tables import query, table
 
 
@@ -194,3 +194,45 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.hard_negatives(vectors.select("vec_id", "embedding", noisy.alias("label")))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by crc32 of the id, the words from one place on repeat the first ones there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hit = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    hit = hit.withColumn("n", F.greatest(F.size("words"), F.lit(1))).withColumn("a", F.col("g") % F.col("n"))
+    hit = hit.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return hit.select("doc_id", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+# a run of 24 words and three periods q holds 16-word windows that are equal at distance q, one from each of its places on
+_RUNS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+    lambda s, v: xor((xor(s, v) >> 1), 3988292384 * (xor(s, v) & 1))) AS c FROM documents),
+h AS (SELECT r, doc_id, ws, len(ws) AS n, xor(c, 4294967295) AS h, xor(c, 4294967295) // 10 AS g FROM d),
+k AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM h),
+w AS (SELECT r, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[1 + a + (i - a) % p] ELSE ws[1 + i] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM k)),
+g AS (SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS g FROM w),
+f AS (SELECT r, i, n, hash(g) AS g FROM g WHERE i + 16 <= n),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS start, count(*) + 15 + q AS length FROM
+  (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island),
+u AS (SELECT r, start, length, min(q) AS period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY length // period DESC, (length % period) / period DESC, start, period) = 1),
+t AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS line FROM u GROUP BY r),
+o AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+c AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN o ON w.r = o.r AND w.i = o.i GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(line, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (r) LEFT JOIN t USING (r) LEFT JOIN c USING (r)
+"""
+
+
+@query("op13_periodic_runs", _RUNS_SQL)
+def periodic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(planted_periods(table(spark, sf_dir, "documents")), digests=True)
