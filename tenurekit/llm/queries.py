@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenurekit.llm import bpe, chat, dac, decontaminate, hard_negatives, html_text, periods, prefix_tree, quality, secrets, sharding, warc
+from tenurekit.llm import bpe, chat, dac, decontaminate, hard_negatives, html_text, periods, personal, prefix_tree, quality, secrets, sharding, warc
 from tenurekit.llm.tables import query, table
 
 
@@ -236,3 +236,12 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN t USING (r) LEFT JOIN c USING (r)
 @query("op13_periodic_runs", _RUNS_SQL)
 def periodic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(planted_periods(table(spark, sf_dir, "documents")), digests=True)
+
+
+@query("op12_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["plain"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(of, personal.KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
