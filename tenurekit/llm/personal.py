@@ -174,20 +174,31 @@ SPELLED = {
     **{w: str(k) for k, w in enumerate("cero uno dos tres cuatro cinco seis siete ocho nueve".split())},
 }
 _WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_DOT_WORDS = "dot|punkt|point|punto"
+_DOT_NAMES = ("dot", "punkt", "point", "punto")
+_DOT_WORDS = "|".join(_DOT_NAMES)
 _GAP = r"[\x20,()/-]{1,4}"
 _DOT_GAP = rf"\x20{{0,3}}(?:[\[({{<]\x20{{0,3}}(?:{_DOT_WORDS}|\.)\x20{{0,3}}[\])}}>]|\b(?:{_DOT_WORDS})\b|\.)\x20{{0,3}}"
-_NEAR_WORD = re.compile(rf"\b{_WORD}\b(?:{_DOT_GAP}|{_GAP})(?:{_WORD}\b|[0-9])|[0-9](?:{_DOT_GAP}|{_GAP}){_WORD}\b|[0-9]\x20?\[\.|[0-9]\x20?[\[({{<]\x20?(?:{_DOT_WORDS})\b|[0-9]\x20(?:{_DOT_WORDS})\x20[0-9]", re.I)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_DOTTED = re.compile(rf"[0-9]\x20{{0,3}}[\[({{<]\x20{{0,3}}(?:{_DOT_WORDS}|\.)|[0-9]\x20{{1,3}}(?:{_DOT_WORDS})\b", re.I)
 _ROW = re.compile(rf"(?:\b(?:plus|más)\b[\x20]{{0,3}})?\(?(?<![^\W_])(?:{_WORD}|[0-9]+)(?![^\W_])(?:(?:{_DOT_GAP}|{_GAP})(?:{_WORD}|[0-9]+)(?![^\W_]))+", re.I)
 _PART = re.compile(rf"(?P<plus>\b(?:plus|más)\b[\x20]{{0,3}})|(?P<word>\b{_WORD}\b)|(?P<figure>[0-9]+)|(?P<dot>{_DOT_GAP})|(?P<gap>[\x20,()/-]+)", re.I)
 
 
+def _may_be_spelled(text: str) -> bool:
+    """Whether two spelled digits are neighbours among the words, or only a "dot" stands between them."""
+    words = _LETTERS.findall(text.lower())
+    hits = [k for k, w in enumerate(words) if w in SPELLED]
+    return any(b == a + 1 or (b == a + 2 and words[a + 1] in _DOT_NAMES) for a, b in zip(hits, hits[1:]))
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    if not _NEAR_WORD.search(text):
+    if not (_may_be_spelled(text) or _DOTTED.search(text)):
         return []
     out = []
     for row in _ROW.finditer(text):
         parts = [(m.lastgroup, m.start(), m.end()) for m in _PART.finditer(text, row.start(), row.end())]
+        if sum(kind == "word" for kind, _, _ in parts) == 1:  # "un" and "one" are mostly no digits
+            continue
         for k, (kind, s, e) in enumerate(parts):
             near = {parts[j][0] for j in (k - 1, k + 1) if 0 <= j < len(parts)}
             new = {"plus": "+", "word": SPELLED.get(text[s:e].lower()), "dot": ".", "gap": "" if "word" in near else None}.get(kind)
@@ -219,7 +230,13 @@ def _dots(words: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
 _PLAIN_NAME = _NAME - {"."}
 
 
+_DISGUISED = re.compile(rf"[\[({{<]\x20{{0,3}}(?:at|@|ät|arobase|arroba|\.|{_DOT_WORDS})|&(?:\#0*(?:64|46);|commat;|period;)|[-_]at[-_]", re.I)
+
+
 def _signs(text: str) -> list[tuple[int, int, str]]:
+    low = text.lower()
+    if not (any(w in low for w in _DOT_NAMES) or _DISGUISED.search(text)):
+        return []
     out, done = [], 0
     for at in _AT.finditer(text):
         if at.start() < done:
