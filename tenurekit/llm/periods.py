@@ -182,6 +182,8 @@ def _candidates(r: Ranks, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 at.append(x[good])
                 period.append(d[good])
     at, period = (np.concatenate(x) if x else none for x in (at, period))
+    real = at + period < n  # distances of ends may lead beyond
+    at, period = at[real], period[real]
     pair = np.unique(at * (n + 1) + period)
     return pair // (n + 1), pair % (n + 1)
 

@@ -51,6 +51,7 @@ def thue_morse(n):
 
 
 def test_strings_with_many_repeats():
+    assert runs_of("a" * 100 + "b" + "a" * 20) == [[(0, 100, 1)]]  # a candidate leads behind the last word
     a = [fibonacci(700), thue_morse(700), "a" * 300, ("a" * 100 + "b") * 5, "ab" * 40 + "a" + "ba" * 40, ("aab" * 9 + "c") * 4, "x" + "abcdefg" * 4 + "abz",
          ("a" * 64 + "b" + "a" * 30 + "c") * 4, ("abc" * 20 + "d") * 6 + "abc" * 30, "a" * 23, "a" * 24, "abcdefgh" * 3, "abcdefghi" * 3, "abcdefghi" * 2 + "abcdefgh", "", "q"]
     assert runs_of(*a) == [plain_runs(t) for t in a]
