@@ -13,26 +13,28 @@ An empty table gives no segments.
 """
 from __future__ import annotations
 
-import array
 import functools
+import hashlib
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
+from tenurekit.llm import text as tx
 from tenurekit.llm.store import written
 
 SEGMENT_TOKENS = 1 << 20  # a segment ends with the document that reaches so many
-KEPT_WORDS = 600_000  # words in each of the two tables of ids that a Python worker keeps
+KEPT_WORDS = 600_000  # stretches in the table of ids that a Python worker keeps
+LONG_WORD = 256  # bytes
 _MAGIC = b"DAC1"
 _BLOCK = 512
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class Codes:
@@ -117,53 +119,66 @@ class Codes:
         return out
 
 
-class _Known(dict):
-    """Ids of words. One that is missing comes over from the table before, or else is noted to be asked for."""
-
-    def __init__(self) -> None:
-        self.older: dict[str, bytes] = {}
-        self.asked: list[str] = []
-
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self.older.get(word)
-        if ids is None:
-            self.asked.append(word)
-        else:
-            self[word] = ids
-        return ids
-
-
 class WordEncoder:
-    """The library's ids of whole texts. Its pattern has no word over white space, so it is asked for each distinct
-    stretch between spaces once; texts with separators that only Python counts as space go to it whole."""
+    """The library's ids of whole texts. Its pattern has no word over ASCII white space, so the library is asked for each distinct
+    stretch between such spaces once; ids of many texts are then gathered at once from a table of the stretches known so far."""
 
     def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library, self.kept = Tokenizer.from_file(path), kept
-        self.known = _Known()
-        small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
-        self.kind, self.code = (np.dtype("<u2"), "H") if small else (np.dtype("<u4"), "I")
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.library.no_truncation()
         self.library.no_padding()
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array.array(self.code, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = {k for k, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        known = self.known
-        if len(known) > self.kept:
-            known.older = dict(known)
-            known.clear()
-        found = [list(map(known.__getitem__, ws)) for ws in split]
-        new = list(dict.fromkeys(known.asked))
-        known.asked.clear()
-        known.update(zip(new, self._ask(new)))
-        out = [b"".join([known[w] if ids is None else ids for ids, w in zip(row, ws)]) for row, ws in zip(found, split)]
-        for k in whole:
-            out[k] = self._ask([texts[k]])[0]
-        return [np.frombuffer(x, dtype=self.kind) for x in out]
+        self._know(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.kind))
+
+    def _know(self, word: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """The table: hash of a stretch, its number of ids, and where these begin."""
+        self.word, self.size, self.ids = word, size, ids
+        self.begin = np.cumsum(size) - size
+
+    def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(size.sum()))
+
+    def _places(self, w: tx.Words, raw: np.ndarray) -> np.ndarray:
+        """Place in the table of every stretch; those that are missing are asked for."""
+        key = w.hash
+        for k in np.flatnonzero(w.end - w.start > LONG_WORD):  # a rolling hash of long words can be fooled
+            key[k] = int.from_bytes(hashlib.blake2b(raw[w.start[k]:w.end[k]].tobytes(), digest_size=8).digest(), "little")
+        found = pc.index_in(pa.array(key), value_set=pa.array(self.word))
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
+            here = missing[first]
+            size, ids = self._ask([raw[s:e].tobytes().decode() for s, e in zip(w.start[here].tolist(), w.end[here].tolist())])
+            place[missing] = len(self.word) + which
+            self._know(np.concatenate([self.word, new]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids]))
+        if len(self.word) > self.kept:  # those of these texts stay
+            used, place = np.unique(place, return_inverse=True)
+            self._know(self.word[used], self.size[used], self.ids[_spread(self.begin[used], self.size[used])])
+        return place
+
+    def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[at[k]:at[k + 1]], `end_id` after each text, and where each text's ids end."""
+        w = tx.words(data, at, tx.SPACED)
+        place = self._places(w, data[at[0]:at[-1]])
+        size = self.size[place]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ends = before[w.first[1:]] + np.arange(1, len(at))
+        out = np.empty(int(before[-1]) + len(at) - 1, self.kind)
+        is_id = np.ones(len(out), bool)
+        is_id[ends - 1] = False
+        out[is_id] = self.ids[_spread(self.begin[place], size)]
+        out[ends - 1] = end_id
+        return out, ends
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, .. for `size` numbers, for each entry in turn."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -183,29 +198,34 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id: str = "doc_id"
                            T.StructField("codes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, names, parts, ends = TaskContext.get().partitionId(), 0, [], [], [0]
+        part, segment, names, parts, ends = TaskContext.get().partitionId(), 0, [], [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, names, parts, ends
-            row = {"part": [part], "segment": [segment], "ids": [pa.concat_arrays(names).to_pylist()], "ends": [ends[1:]],
-                   "codes": [Codes.of(np.concatenate(parts)).to_bytes()]}
-            types = [pa.int32(), pa.int32(), pa.list_(names[0].type), pa.list_(pa.int64()), pa.binary()]
-            segment, names, parts, ends = segment + 1, [], [], [0]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], schema.names)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            row = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), one(pa.concat_arrays(names)), one(pa.array(np.concatenate(ends))),
+                   pa.array([Codes.of(np.concatenate(parts)).to_bytes()], pa.binary())]
+            segment, names, parts, ends = segment + 1, [], [], []
+            return pa.RecordBatch.from_arrays(row, schema.names)
 
-        e, last = _encoder(path), None
+        e, size = _encoder(path), 0
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                s = b.slice(k, 200)
-                for i, ids in enumerate(e.encode(s.column("text").to_pylist())):
-                    last = np.append(ids, e.kind.type(end_id))
-                    names.append(s.column("id").slice(i, 1))
-                    parts.append(last)
-                    ends.append(ends[-1] + len(last))
-                    if ends[-1] >= segment_tokens:
+            data, at = tx.utf8(b.column("text"))
+            for i, j in tx.runs(at):
+                tokens, last = e.encode(data, at[i:j + 1], end_id)
+                k = base = 0
+                while k < j - i:  # up to the document that fills the segment
+                    m = min(int(np.searchsorted(last, base + segment_tokens - size)) + 1, j - i)
+                    names.append(b.column("id").slice(i + k, m - k))
+                    parts.append(tokens[base:last[m - 1]])
+                    ends.append(size + last[k:m] - base)
+                    size, k, base = int(ends[-1][-1]), m, int(last[m - 1])
+                    if size >= segment_tokens:
                         yield flush()
+                        size = 0
         if names:
             yield flush()
+        tx.trim()
 
     return written(rows.mapInArrow(run, schema), "dac", folder, compression="uncompressed")
 

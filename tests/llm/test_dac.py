@@ -51,3 +51,21 @@ def test_empty_table(spark):
 def test_bad_magic():
     with pytest.raises(ValueError):
         dac.Codes.from_bytes(b"nope" + bytes(40))
+
+
+def test_table_of_words_is_bounded_and_exact():
+    from tenurekit.llm import text as tx
+    import pyarrow as pa
+
+    library = Tokenizer.from_file(vocabulary_path())
+    e = dac.WordEncoder(vocabulary_path(), kept=50)
+    rng = np.random.default_rng(1)
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    odd = ["a\u00a0b\u2003c", "x\x1cy\x1f z", "\u0085", "", "  lead and trail\n", thue + " " + thue.translate({97: 98, 98: 97}), "<|endoftext|>", "e\u0301 \u0301", "\x00 \x00\x00"]
+    for _ in range(4):
+        texts = odd + [" ".join(f"w{x}" for x in rng.integers(0, 200, 30)) for _ in range(20)]
+        data, at = tx.utf8(pa.array(texts))
+        ids, ends = e.encode(data, at, 7)
+        want = [library.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert len(e.word) <= 400
