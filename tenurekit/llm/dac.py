@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
+import operator
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,8 +31,9 @@ from tenurekit.llm import text as tx
 from tenurekit.llm.store import written
 
 SEGMENT_TOKENS = 1 << 20  # a segment ends with the document that reaches so many
-KEPT_WORDS = 600_000  # stretches in the table of ids that a Python worker keeps
+KEPT_WORDS = 800_000  # stretches in the table of ids that a Python worker keeps
 LONG_WORD = 256  # bytes
+JOINED = 100  # stretches that the library reads in one call
 _MAGIC = b"DAC1"
 _BLOCK = 512
 
@@ -137,9 +138,16 @@ class WordEncoder:
         self.begin = np.cumsum(size) - size
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return size, np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(size.sum()))
+        """Numbers of ids of stretches, and the ids; a line of JOINED stretches is one call, and offsets tell whose ids they are."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
+        for k in range(0, len(words), JOINED):
+            part = words[k:k + JOINED]
+            x = self.library.encode(" ".join(part), add_special_tokens=False)
+            start = np.fromiter(map(operator.itemgetter(0), x.offsets), np.int64, len(x))
+            end = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            sizes.append(np.bincount(np.searchsorted(end, start, "right"), minlength=len(part)))
+            ids.append(np.array(x.ids, self.kind))
+        return np.concatenate(sizes), np.concatenate(ids)
 
     def _places(self, w: tx.Words, raw: np.ndarray) -> np.ndarray:
         """Place in the table of every stretch; those that are missing are asked for."""
