@@ -18,6 +18,7 @@ from tenurekit.operators import ladder as L
 from tenurekit.operators import ltv as V
 from tenurekit.operators import revenue as R
 from tenurekit.operators import survival as S
+from tenurekit.operators import views as VW
 from tenurekit.params import Params
 
 
@@ -243,30 +244,50 @@ def inventory_counts(inventory: DataFrame, mx: DataFrame, cutoffs: Sequence[str]
     return c.join(rows, "t", "left")
 
 
+def calendar_state(cube: DataFrame, points: Sequence[Column], p: Params) -> H.State:
+    """Hazard and multipliers per cut-off `t` from what was known then, crashed applications left out of the multipliers."""
+    app = ["t", "app_id"]
+    rates = VW.at_points(cube, points, "t", ["app_id", "step_k"], ["n", "surv"], "old")
+    h = V.cut(H.hazard_from_rates(rates.where((F.col("n") >= p.min_risk) & (F.col("step_k") <= p.hmax)), ["t"]))
+    # of the keys old enough for step k: those that have step k - 1, and those that have step k
+    risk = VW.at_points(cube.where(F.col("step_k") < p.hmax), points, "t", ["app_id", "step_k"], ["n"], "older")
+    risk = risk.select(*app, (F.col("step_k") + 1).alias("step_k"), F.col("n").alias("at_risk")).where(F.col("at_risk") >= p.crash_min_risk)
+    worst = risk.join(rates.select(*app, "step_k", F.col("n").alias("kept")), [*app, "step_k"], "left").groupBy(*app).agg(
+        F.min(F.coalesce("kept", F.lit(0)) / F.col("at_risk")).alias("worst"))
+    payers = VW.at_points(cube.where("step_k = 1"), points, "t", ["app_id"], ["n"], "seen").where(F.col("n") >= p.min_payers)
+    crash = worst.where(F.col("worst") < p.crash_floor).join(payers, app, "left_semi")
+    cells = VW.at_points(cube.where(F.col("step_k") <= p.clean_step_max), points, "t", ["app_id", *p.levers, "step_k"], ["n", "died"], "old")
+    cells = cells.join(crash, app, "left_anti").groupBy("t", *p.levers, "step_k").agg(F.sum("n").alias("n"), F.sum("died").alias("died"))
+    return H.State(h, V.cut(H.residual_multipliers(cells, h, p, ["t"])))
+
+
+def known_cells(cube: DataFrame, points: Sequence[Column], p: Params, by: Sequence[str], ages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ratio cells and combinations (w) per group and cut-off `t`, as known then. `ages`: by, t and `weeks`, the steps that count."""
+    first = cube.select(*by, "step_k", *VW.first_levers(p), "seen", "older", "n", "died")
+    cells = VW.at_points(first, points, "t", [*by, "step_k", *p.levers], ["n", "died"], "older")
+    cells = cells.join(ages, [*by, "t"]).where(F.col("step_k") <= F.col("weeks"))
+    mix = VW.at_points(first.where("step_k = 1"), points, "t", [*by, *p.levers], ["n"], "seen").withColumnRenamed("n", "w")
+    return cells, mix.join(ages, [*by, "t"], "left_semi")
+
+
 def calendar_backtest(mx: DataFrame, cutoffs: Sequence[str], p: Params, max_weeks: int = 8) -> DataFrame:
-    """Train on what was known at each cut-off, predict the applications young then, and score on
-    the full data. All cut-offs are one job."""
-    inv = calendar_inventory(mx, cutoffs, p, max_weeks, 1).where("evaluable").select("t", "app_id", "first_pay")
-    t = F.explode(F.array(*[F.lit(c).cast("timestamp") for c in cutoffs]))
-    seen = mx.drop("weeks_obs").withColumn("t", t).where(F.col("pay_ts") < F.col("t"))
-    first = seen.groupBy("t", "sub_id").agg(F.min("pay_ts").alias("_f"))
-    seen = V.cut(seen.join(first, ["t", "sub_id"]).withColumn("weeks_obs", periods_between("_f", "t", p.period_days)).drop("_f"))
-    apps = S.payers(seen, ["t", "app_id"]).where(F.col("payers") >= p.min_payers)
-    crash = S.crash_flags(seen, p, ["t", "app_id"]).where("crash").join(apps, ["t", "app_id"], "left_semi").select("t", "app_id")
-    h = V.cut(H.portfolio_hazard(seen, p, ["t"]))
-    cells = H.clean_cells(seen.join(crash, ["t", "app_id"], "left_anti"), p, by=["t"])
-    mult = V.cut(H.residual_multipliers(cells, h, p, ["t"]))
-    state = H.State(h, mult)
-    target = seen.join(inv.select("t", "app_id", F.least(F.floor(whole_days("first_pay", "t") / F.lit(float(p.period_days))), F.lit(max_weeks)).cast("bigint").alias("weeks")), ["t", "app_id"])
-    target = V.cut(target)
-    by = ["t", "app_id"]
-    rc = H.ratio_cells(target, p, [*by, "weeks"]).where(F.col("step_k") <= F.col("weeks"))
+    """Train on what was known at each cut-off, predict the applications young then, and score on the full data. The matrix is counted
+    once for all cut-offs."""
+    by, points = ["t", "app_id"], [F.lit(c).cast("timestamp") for c in sorted(cutoffs)]
+    inv = calendar_inventory(mx, cutoffs, p, max_weeks, 1).where("evaluable")
+    ages = V.cut(inv.select(*by, F.least(F.floor(whole_days("first_pay", "t") / F.lit(float(p.period_days))), F.lit(max_weeks)).cast("bigint").alias("weeks")))
+    cube = V.cut(VW.calendar_cube(mx, points, p, ["app_id"]))
+    state = calendar_state(cube, points, p)
+    h = state.hazard
+    mine = cube.join(ages.select("app_id").distinct(), "app_id", "left_semi")
+    rc, mix = known_cells(mine, points, p, ["app_id"], ages)
     hr = H.hazard_ratio(rc, state, p, by, None, ["t"])
-    mix = H.personal_multiplier(H.combos(target, p, by), mult, p, ["t"]).join(hr.select(*by, "hr"), by, "left")
+    mix = H.personal_multiplier(mix, state.mult, p, ["t"]).join(hr.select(*by, "hr"), by, "left")
     mp = H.mixture_curve(mix.withColumn("hr", F.coalesce("hr", F.lit(1.0))), h, p, by, state_by=["t"]).withColumn("model", F.lit("map"))
-    e = target.where(F.col("step_k") <= F.col("weeks")).withColumn("_ok", F.col("weeks_obs") >= F.col("step_k")).groupBy(*by, "step_k").agg(
-        F.count(F.lit(1)).alias("na"), F.count_if("_ok").alias("n"), F.sum(F.when(F.col("_ok"), F.col("died"))).alias("d"))
-    e = e.join(h.select("t", "step_k", "h"), ["t", "step_k"], "left")
+    step = [*by, "step_k"]
+    e = VW.at_points(mine, points, "t", ["app_id", "step_k"], ["n"], "seen").withColumnRenamed("n", "na").join(
+        VW.at_points(mine, points, "t", ["app_id", "step_k"], ["n", "died"], "old").withColumnRenamed("died", "d"), step, "left")
+    e = e.join(ages, by).where(F.col("step_k") <= F.col("weeks")).join(h.select("t", "step_k", "h"), ["t", "step_k"], "left")
     use = (F.col("n") >= p.hr_min_n) & (F.col("h") > 0)
     lg = F.ln(clip(F.try_divide(F.try_divide("d", "n"), "h"), *p.oe_clip))
     er = e.groupBy(*by).agg(F.sum("na").alias("ns"), F.try_divide(F.sum(F.when(use, F.col("n") * lg)), F.sum(F.when(use, F.col("n")))).alias("l"))
@@ -423,54 +444,65 @@ def multiplier_report(mult: DataFrame) -> DataFrame:
     return c.withColumn("share", share).withColumn("meaning", sense)
 
 
-def frozen_backtest(mx: DataFrame, state: H.State, t: str, start: str, end: str, p: Params, max_weeks: int = 8) -> DataFrame:
-    """Keys that first paid between start and end, as known at t, predicted by a foreign state."""
-    ts = [F.lit(x).cast("timestamp") for x in (t, start, end)]
-    first = mx.groupBy("sub_id").agg(F.min("pay_ts").alias("f")).where((F.col("f") >= ts[1]) & (F.col("f") <= ts[2]))
-    full = mx.join(first.select("sub_id"), "sub_id", "left_semi").withColumn("_g", F.lit(1))
-    vis = V.cut(L.as_of(full, ts[0], p))
-    begin = vis.agg(F.min("pay_ts")).scalar()
-    weeks = F.greatest(F.lit(1), F.least(F.lit(max_weeks), F.floor(whole_days(begin, ts[0]) / F.lit(float(p.period_days)))))
-    cells = H.ratio_cells(vis, p, ["_g"]).where(F.col("step_k") <= weeks)
-    hr = H.hazard_ratio(cells, state, p, ["_g"])
-    mix = H.personal_multiplier(H.combos(vis, p, ["_g"]), state.mult, p).join(hr.select("_g", "hr"), "_g", "left")
-    c = H.mixture_curve(mix.withColumn("hr", F.coalesce("hr", F.lit(1.0))), state.hazard, p, ["_g"])
-    f = S.direct_survival(full, p, ["_g"]).select("k", "fact", "mature")
-    out = c.join(f, "k", "left").where(F.col("k").isin(*p.horizons))
+def frozen_backtest(mx: DataFrame, state: H.State, cutoffs: Sequence[str], p: Params, by: Sequence[str], max_weeks: int = 8,
+                    state_by: Sequence[str] = ()) -> DataFrame:
+    """Every group of keys (`by`, constant per key, such as its entry period) as known at every cut-off `t`, predicted by a foreign
+    state. `state` may have key columns `state_by` among `by` and t."""
+    points = [F.lit(c).cast("timestamp") for c in sorted(cutoffs)]
+    key = [*by, "t"]
+    begin = mx.groupBy(*by).agg(F.min("pay_ts").alias("_b")).withColumn("t", F.explode(F.array(*points))).where("_b < t")
+    weeks = F.greatest(F.lit(1), F.least(F.lit(max_weeks), F.floor(whole_days("_b", "t") / F.lit(float(p.period_days)))))
+    ages = V.cut(begin.select(*key, weeks.cast("bigint").alias("weeks")))
+    cells, mix = known_cells(V.cut(VW.calendar_cube(mx, points, p, by)), points, p, by, ages)
+    hr = H.hazard_ratio(cells, state, p, key, None, state_by)
+    mix = H.personal_multiplier(mix, state.mult, p, state_by).join(hr.select(*key, "hr"), key, "left")
+    c = H.mixture_curve(mix.withColumn("hr", F.coalesce("hr", F.lit(1.0))), state.hazard, p, key, state_by=state_by)
+    f = S.direct_survival(mx, p, by).select(*by, "k", "fact", "mature")
+    out = c.where(F.col("k").isin(*p.horizons)).join(f, [*by, "k"], "left")
     err = F.when(F.col("fact") > 0, (F.col("s") - F.col("fact")) / F.nullif(F.col("fact"), F.lit(0.0)) * 100)
-    return out.select(F.col("k").alias("horizon"), "fact", F.col("s").alias("predicted"), F.coalesce("mature", F.lit(0)).cast("bigint").alias("n_mature"), err.alias("signed_err"))
+    return out.select(*key, F.col("k").alias("horizon"), "fact", F.col("s").alias("predicted"), F.coalesce("mature", F.lit(0)).cast("bigint").alias("n_mature"), err.alias("signed_err"))
+
+
+def vintage_facts(mx: DataFrame, amounts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group and rebill: share of its keys that paid it, mean amount, and value per key up to it. amounts: sub_id, tie, amount."""
+    per = mx.select(*by, "sub_id", "tie", "step_k").join(amounts, ["sub_id", "tie"]).groupBy(*by, (F.col("step_k") - 1).alias("rebill_number")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("amount").alias("_rev"))
+    w = Window.partitionBy(*by).orderBy("rebill_number")
+    n0 = F.first("_n").over(w)
+    return per.select(*by, "rebill_number", (F.col("_n") / n0).alias("rebill_percent"), (F.col("_rev") / F.col("_n")).alias("arpu_at_payment"),
+                      (F.sum("_rev").over(w) / n0).alias("payer_ltv"))
 
 
-def vintage_forecasts(mx: DataFrame, state: H.State, facts: DataFrame, p: Params, weeks: Sequence[int]) -> DataFrame:
-    """Forecast of one cohort from each number of visible periods, next to the facts: raw value,
+def vintage_forecasts(mx: DataFrame, state: H.State, facts: DataFrame, p: Params, weeks: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """Forecast of every cohort (`by`, constant per key) from each number of visible periods, next to the facts: raw value,
     value scaled to the fact at the anchor, and the error of survival up to the anchor.
 
-    facts: rebill_number, rebill_percent, arpu_at_payment, payer_ltv of that cohort."""
-    first = mx.groupBy("sub_id").agg(F.min("pay_ts").alias("_f"))
-    age = periods_between("_f", "pay_ts", p.period_days)
-    z = mx.join(first, "sub_id").withColumn("weeks", weeks_array(weeks)).where(
-        (F.col("weeks_obs") >= F.col("weeks")) & (age < F.col("weeks"))).withColumn("weeks_obs", F.col("weeks").cast("double"))
-    z = V.cut(z.drop("_f"))
-    cells = H.ratio_cells(z, p, ["weeks"]).where(F.col("step_k") <= F.col("weeks"))
-    hr = H.hazard_ratio(cells, state, p, ["weeks"])
-    mix = H.personal_multiplier(H.combos(z, p, ["weeks"]), state.mult, p).join(hr.select("weeks", "hr"), "weeks", "left")
-    c = H.mixture_curve(mix.withColumn("hr", F.coalesce("hr", F.lit(1.0))), state.hazard, p, ["weeks"])
-    size = z.groupBy("weeks").agg(F.count(F.lit(1)).alias("visible_rows"), F.count_distinct("sub_id").alias("visible_subs"))
-    a = facts.select(F.col("rebill_number").alias("k"), "arpu_at_payment", "rebill_percent", "payer_ltv")
-    g = size.select("weeks").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p.hmax).cast("bigint"))))
-    g = g.join(c, ["weeks", "k"], "left").join(a, "k", "left")
-    o = Window.partitionBy("weeks").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    facts: by, rebill_number, rebill_percent, arpu_at_payment, payer_ltv."""
+    weeks = sorted(weeks)
+    points, key = [F.lit(int(w)).cast("bigint") for w in weeks], [*by, "weeks"]
+    cube = V.cut(VW.visible_cube(mx, weeks, p, by))
+    cube = cube.select(*by, "step_k", *VW.first_levers(p), "seen", "gone", "n", "died")
+    cells = V.cut(VW.at_points(cube, points, "weeks", [*by, "step_k", *p.levers], ["n", "died"], "seen", "gone"))
+    mix = V.cut(VW.at_points(cube.where("step_k = 1"), points, "weeks", [*by, *p.levers], ["n"], "seen", "gone").withColumnRenamed("n", "w"))
+    size = mix.groupBy(*key).agg(F.sum("w").alias("visible_subs")).join(cells.groupBy(*key).agg(F.sum("n").alias("visible_rows")), key)
+    hr = H.hazard_ratio(cells.where(F.col("step_k") + 1 <= F.col("weeks")), state, p, key)
+    mix = H.personal_multiplier(mix, state.mult, p).join(hr.select(*key, "hr"), key, "left")
+    c = H.mixture_curve(mix.withColumn("hr", F.coalesce("hr", F.lit(1.0))), state.hazard, p, key)
+    a = facts.select(*by, F.col("rebill_number").alias("k"), "arpu_at_payment", "rebill_percent", "payer_ltv")
+    g = size.select(*key).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p.hmax).cast("bigint"))))
+    g = g.join(c, [*key, "k"], "left").join(a, [*by, "k"], "left")
+    o = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("_a", F.last("arpu_at_payment", True).over(o))
     step = F.when(F.col("k") == 0, F.col("_a")).otherwise(F.coalesce(F.col("s") * F.col("_a"), F.lit(0.0)))
     g = g.withColumn("raw", F.sum(step).over(o))
     inside = (F.col("k") >= 1) & (F.col("k") <= F.col("weeks"))
-    out = g.groupBy("weeks").agg(
+    out = g.groupBy(*key).agg(
         F.max(F.when(F.col("k") == F.col("weeks"), F.col("payer_ltv"))).alias("anchor_fact"),
         F.max(F.when(F.col("k") == F.col("weeks"), F.col("raw"))).alias("anchor_raw"),
         F.max(F.when(F.col("k") == p.hmax, F.col("raw"))).alias("raw_end"),
         F.avg(F.when(inside, F.abs(F.col("s") - F.col("rebill_percent")))).alias("survival_mae"))
     scale = F.when(F.col("anchor_raw") > 0, F.col("anchor_fact") / F.nullif(F.col("anchor_raw"), F.lit(0.0)))
-    return out.join(size, "weeks").withColumn("scale", scale).withColumn("anchored_end", F.col("raw_end") * F.col("scale"))
+    return out.join(size, key).withColumn("scale", scale).withColumn("anchored_end", F.col("raw_end") * F.col("scale"))
 
 
 def walk_forward(web: V.Web, state: H.State, p: Params, dims: Sequence[str], weeks: Sequence[int], horizons: Sequence[int]) -> DataFrame:

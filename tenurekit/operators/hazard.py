@@ -57,34 +57,37 @@ def mean_hazard(mx: DataFrame) -> DataFrame:
     return mx.groupBy("step_k").agg(F.avg(F.col("died").cast("double")).alias("h"), F.count(F.lit(1)).alias("n"))
 
 
-def splice_hazard(own: DataFrame, p: Params, donor: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Own hazard up to the last step with enough votes, then the donor scaled to meet it there (or
-    held flat), gaps filled forward and then backward, out to h_ext. Adds k_max."""
-    key = [*by] or [F.lit(0).alias("_one")]
-    groups = own.select(*key).distinct()
-    steps = groups.withColumn("step_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(p.h_ext).cast("bigint"))))
+def splice_hazard(own: DataFrame, p: Params, donor: DataFrame | None = None, by: Sequence[str] = (),
+                  donors: Sequence[tuple[DataFrame, Sequence[str]]] = (), groups: DataFrame | None = None) -> DataFrame:
+    """Own hazard up to the last step with enough votes (k_max), then the first donor that has the step, scaled to meet the own
+    hazard at k_max (or that held flat without a donor); gaps filled forward and then backward, out to h_ext.
+
+    `donors`: from the nearest to the widest, each with the key columns (among those of `groups`) that it has; `donor` is one without
+    keys. `groups` (default: those of `own`): by and the donors' keys; a group without own votes has k_max 0 and follows its donors as
+    they are. Without `groups` such a group has no rows."""
     names = [*by] or ["_one"]
-    s = steps.join(own.select(*key, "step_k", "h", "votes"), [*names, "step_k"], "left")
-    if donor is not None:
-        s = s.join(donor.select("step_k", F.col("h").alias("d")), "step_k", "left")
-    else:
-        s = s.withColumn("d", F.lit(None).cast("double"))
+    ladder = [*donors, *([(donor, ())] if donor is not None else [])]
+    keys = [*dict.fromkeys([*names, *[k for _, ks in ladder for k in ks]])]
+    every = own.select(*([*by] or [F.lit(0).alias("_one")])).distinct() if groups is None else groups.select(*keys).distinct()
+    steps = every.withColumn("step_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(p.h_ext).cast("bigint"))))
+    if not by:
+        own = own.withColumn("_one", F.lit(0))
+    s = steps.join(own.select(*names, "step_k", "h", "votes"), [*names, "step_k"], "left")
+    for i, (d, ks) in enumerate(ladder):
+        s = s.join(d.select(*ks, "step_k", F.col("h").alias(f"_d{i}")), [*ks, "step_k"], "left")
     allw = Window.partitionBy(*names)
-    s = s.withColumn("k_max", F.max(F.when((F.col("votes") >= p.min_cohorts) & (F.col("step_k") <= p.hmax),
-                                           F.col("step_k"))).over(allw))
+    enough = (F.col("votes") >= p.min_cohorts) & (F.col("step_k") <= p.hmax)
+    s = s.withColumn("k_max", F.coalesce(F.max(F.when(enough, F.col("step_k"))).over(allw), F.lit(0).cast("bigint")))
     at = F.col("step_k") == F.col("k_max")
-    own_at, d_at = F.max(F.when(at, F.col("h"))).over(allw), F.max(F.when(at, F.col("d"))).over(allw)
-    s = s.withColumns({"_o": own_at, "_d": d_at})
-    if donor is not None:
-        tail = F.col("d") * F.when(F.col("_d") > 0, F.col("_o") / F.col("_d")).otherwise(1.0)
-    else:
-        tail = F.col("_o")
-    s = s.withColumn("h", F.when(F.col("step_k") <= F.col("k_max"), F.col("h")).otherwise(tail))
+    seam = {f"_s{c}": F.max(F.when(at, F.col(c))).over(allw) for c in ("h", *[f"_d{i}" for i in range(len(ladder))])}
+    s = s.withColumns(seam)
+    meets = [F.col(f"_d{i}") * F.coalesce(F.when(F.col(f"_s_d{i}") > 0, F.col("_sh") / F.col(f"_s_d{i}")), F.lit(1.0)) for i in range(len(ladder))]
+    s = s.withColumn("h", F.when(F.col("step_k") <= F.col("k_max"), F.col("h")).otherwise(F.coalesce(*meets) if meets else F.col("_sh")))
     w = allw.orderBy("step_k")
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("h", F.coalesce(F.last("h", True).over(back), F.first("h", True).over(ahead)))
-    return s.where("k_max is not null").select(*by, "step_k", "h", "k_max")
+    return s.where(F.lit(groups is not None) | (F.col("k_max") > 0)).select(*by, "step_k", "h", "k_max")
 
 
 def clean_cells(mx: DataFrame, p: Params, crash: DataFrame | None = None, by: Sequence[str] = (),

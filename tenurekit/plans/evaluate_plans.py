@@ -394,13 +394,19 @@ def ratio_sensitivity(spark, d):
     return r.select("app_id", *[r6(c).alias(c) for c in ("fact", "s_1", "s_2", "hr_1", "hr_2", "personal_mult", "ratio_step2")])
 
 
-@query("frozen_backtest", "V18", f"""{FIT}, yf AS (SELECT sub_id, min(pay_ts) AS f FROM mx GROUP BY 1 HAVING min(pay_ts) BETWEEN TIMESTAMP '1995-04-01' AND TIMESTAMP '1995-12-01'), yu AS (SELECT lv.*, 1 AS g1 FROM lv JOIN yf USING (sub_id)),
- yv AS (SELECT * EXCLUDE (weeks_obs), {Q.days("min(pay_ts) OVER (PARTITION BY sub_id)", "TIMESTAMP '1996-06-01'")} / {P.period_days} AS weeks_obs FROM yu WHERE pay_ts < TIMESTAMP '1996-06-01'),
- yw AS (SELECT greatest(1, least(8, CAST(floor({Q.whole('min(pay_ts)', "TIMESTAMP '1996-06-01'")} / {P.period_days}) AS BIGINT))) AS w FROM yv),
- {Q.first_levers('yv', P, 'g1', 'yl')}, {Q.personal('yl', 'mu', P, 'yp')}, yo AS (SELECT * FROM yv WHERE step_k <= (SELECT w FROM yw)), {Q.ratio('yo', 'yp', 'hb', P, 'g1', 'yh')},
- ym AS (SELECT g1, geo, media_source, billday_bin, count(*) AS w, any_value(mult) AS mult, any_value(hr) AS hr FROM yp JOIN yh USING (g1) GROUP BY ALL), {Q.curve('ym', 'hb', P, 'g1', 'yc')}, {Q.survival('yu', P, 'g1', 'ys')}
- SELECT k AS horizon, round(fact, 6) AS fact, round(s, 6) AS predicted, coalesce(mature, 0) AS n_mature, round(CASE WHEN fact > 0 THEN (s - fact) / fact * 100 END, 6) AS signed_err FROM yc LEFT JOIN ys USING (k) WHERE k IN {P.horizons}""")
+FRO = f"""{FIT}, yq AS (SELECT sub_id, strftime(date_trunc('quarter', min(pay_ts)), '%Y-%m') AS entry, min(pay_ts) AS f FROM mx GROUP BY 1), yu AS (SELECT lv.*, entry, f FROM lv JOIN yq USING (sub_id)),
+ cu AS (SELECT unnest([{', '.join(f"TIMESTAMP '{c}'" for c in CUTS)}]) AS t),
+ yv AS (SELECT yu.* EXCLUDE (weeks_obs), t, {Q.days('f', 't')} / {P.period_days} AS weeks_obs FROM yu JOIN cu ON pay_ts < t),
+ yw AS (SELECT entry, t, greatest(1, least(8, CAST(floor({Q.whole('min(pay_ts)', 't')} / {P.period_days}) AS BIGINT))) AS weeks FROM yv GROUP BY 1, 2),
+ {Q.first_levers('yv', P, 'entry, t', 'yl')}, {Q.personal('yl', 'mu', P, 'yp')}, yo AS (SELECT yv.* FROM yv JOIN yw USING (entry, t) WHERE step_k <= weeks), {Q.ratio('yo', 'yp', 'hb', P, 'entry, t', 'yh')},
+ ym AS (SELECT entry, t, geo, media_source, billday_bin, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM yp LEFT JOIN yh USING (entry, t) GROUP BY ALL),
+ {Q.curve('ym', 'hb', P, 'entry, t', 'yc')}, {Q.survival('yu', P, 'entry', 'ys')}"""
+
+
+@query("frozen_backtest", "V18", f"""{FRO} SELECT yc.entry, epoch_us(t) AS t_us, yc.k AS horizon, round(fact, 6) AS fact, round(s, 6) AS predicted, coalesce(mature, 0) AS n_mature, round(CASE WHEN fact > 0 THEN (s - fact) / fact * 100 END, 6) AS signed_err
+  FROM yc LEFT JOIN ys ON ys.entry = yc.entry AND ys.k = yc.k WHERE yc.k IN {P.horizons}""")
 def frozen_backtest(spark, d):
+    """Every entry quarter at every cut-off, by the state fitted on the whole portfolio."""
     mx, st = fitted(spark, d)
-    f = E.frozen_backtest(mx, st, "1996-06-01", "1995-04-01", "1995-12-01", P)
-    return f.withColumns({c: r6(c) for c in ("fact", "predicted", "signed_err")})
+    f = E.frozen_backtest(quarter_mx(spark, d).withColumnRenamed("app_id", "entry"), st, CUTS, P, ["entry"])
+    return f.select("entry", F.unix_micros("t").alias("t_us"), "horizon", "n_mature", *[r6(c).alias(c) for c in ("fact", "predicted", "signed_err")])

@@ -1,5 +1,7 @@
 """Hazard models on the step matrix of the driver's orders."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import r6
@@ -99,21 +101,28 @@ def empirical_predict(spark, d):
     return H.empirical_predict(orders_mx(spark, d), P, ["app_id"], WEEKS).withColumn("s", r6("s"))
 
 
-SPL = f"""{OMX}, ownr AS (SELECT * FROM mx WHERE geo IN ('NATION_1', 'NATION_2', 'NATION_3')),
- {Q.hbase('mx', P, 'dn')}, {Q.hbase('ownr', P, 'ow')},
- km AS (SELECT max(step_k) AS km FROM ow WHERE votes >= {P.min_cohorts} AND step_k <= {P.hmax}),
- sm AS (SELECT km, CASE WHEN d.h > 0 THEN o.h / d.h ELSE 1 END AS seam FROM km JOIN ow o ON o.step_k = km LEFT JOIN dn d ON d.step_k = km),
- raw AS (SELECT k AS step_k, km, CASE WHEN k <= km THEN o.h ELSE d.h * seam END AS h FROM (SELECT unnest(range(1, {P.h_ext + 1}))::BIGINT AS k) g
-  JOIN sm ON true LEFT JOIN ow o ON o.step_k = k LEFT JOIN dn d ON d.step_k = k),
- sp AS (SELECT step_k, km AS k_max, coalesce(last_value(h IGNORE NULLS) OVER (ORDER BY step_k),
-   first_value(h IGNORE NULLS) OVER (ORDER BY step_k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM raw)"""
+PS = replace(P, min_risk=5)  # segments are small
+_SEAM = ", ".join(f"max(CASE WHEN k = km THEN {c} END) OVER (PARTITION BY geo) AS s_{c}" for c in ("oh", "rh", "dh"))
+SPL = f"""{OMX}, rg AS (SELECT n_name AS geo, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey), ownr AS (SELECT mx.*, region FROM mx JOIN rg USING (geo)),
+ {Q.hbase('ownr', PS, 'ow', 'geo, ')}, {Q.hbase('ownr', PS, 'rh', 'region, ')}, {Q.hbase('mx', P, 'dn')},
+ gr AS (SELECT g.*, o.h AS oh, o.votes, r.h AS rh, d.h AS dh FROM (SELECT DISTINCT geo, region, unnest(range(1, {P.h_ext + 1}))::BIGINT AS k FROM ownr) g
+  LEFT JOIN ow o ON o.geo = g.geo AND o.step_k = k LEFT JOIN rh r ON r.region = g.region AND r.step_k = k LEFT JOIN dn d ON d.step_k = k),
+ gk AS (SELECT *, coalesce(max(CASE WHEN votes >= {P.min_cohorts} AND k <= {P.hmax} THEN k END) OVER (PARTITION BY geo), 0) AS km FROM gr),
+ gs AS (SELECT *, {_SEAM} FROM gk),
+ raw AS (SELECT geo, k AS step_k, km, CASE WHEN k <= km THEN oh ELSE coalesce(rh * CASE WHEN s_rh > 0 AND s_oh IS NOT NULL THEN s_oh / s_rh ELSE 1 END, dh * CASE WHEN s_dh > 0 AND s_oh IS NOT NULL THEN s_oh / s_dh ELSE 1 END) END AS h FROM gs),
+ sp AS (SELECT geo, step_k, km AS k_max, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY geo ORDER BY step_k),
+   first_value(h IGNORE NULLS) OVER (PARTITION BY geo ORDER BY step_k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS h FROM raw)"""
 
 
-@query("spliced_hazard", "H3 W8", f"{SPL} SELECT step_k, k_max, round(h, 6) AS h FROM sp")
+@query("spliced_hazard", "H3 W8", f"{SPL} SELECT geo, step_k, k_max, round(h, 6) AS h FROM sp")
 def spliced_hazard(spark, d):
+    """Every nation on its own data, then on its region's, then on the portfolio's."""
     mx = orders_mx(spark, d)
-    own = H.portfolio_hazard(mx.where(F.col("geo").isin("NATION_1", "NATION_2", "NATION_3")), P)
-    return H.splice_hazard(own, P, H.portfolio_hazard(mx, P)).select("step_k", "k_max", r6("h").alias("h"))
+    places = spark.read.parquet(f"{d}/nation.parquet").join(spark.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    seg = mx.join(places.select(F.col("n_name").alias("geo"), F.col("r_name").alias("region")), "geo")
+    donors = [(H.portfolio_hazard(seg, PS, ["region"]), ["region"]), (H.portfolio_hazard(mx, P), [])]
+    out = H.splice_hazard(H.portfolio_hazard(seg, PS, ["geo"]), P, by=["geo"], donors=donors, groups=seg.select("geo", "region"))
+    return out.select("geo", "step_k", "k_max", r6("h").alias("h"))
 
 
 @query("mean_multiplier", "H20 A6", f"""{FIT}, {Q.first_levers('lv', P, 'app_id')}, {Q.personal('fl1', 'mu', P, 'pm')} SELECT app_id, round(avg(mult), 6) AS mean_mult, count(*) AS subs FROM pm GROUP BY 1""")

@@ -140,33 +140,31 @@ def walk_forward(spark, d):
     return out.withColumns({"ltv": F.round("ltv", 2), "fact": F.round("fact", 2)})
 
 
-VIN = f"""{FIT}, vf AS (SELECT sub_id, min(pay_ts) AS f FROM mx GROUP BY 1 HAVING min(pay_ts) >= TIMESTAMP '1995-04-01' AND min(pay_ts) < TIMESTAMP '1995-07-01'), vm AS (SELECT lv.*, f FROM lv JOIN vf USING (sub_id)),
+VIN = f"""{FIT}, vf AS (SELECT sub_id, min(pay_ts) AS f, strftime(date_trunc('quarter', min(pay_ts)), '%Y-%m') AS cohort FROM mx GROUP BY 1), vm AS (SELECT lv.*, f, cohort FROM lv JOIN vf USING (sub_id)),
  vz AS (SELECT vm.* EXCLUDE (weeks_obs), w AS weeks, w::DOUBLE AS weeks_obs FROM vm JOIN (SELECT unnest([1, 2, 4, 8])::BIGINT AS w) g ON weeks_obs >= w AND {Q.days('f', 'pay_ts')} / {ORDERS.period_days} < w),
- {Q.first_levers('vz', ORDERS, 'weeks', 'vl')}, {Q.personal('vl', 'mu', ORDERS, 'vp')}, vo AS (SELECT * FROM vz WHERE step_k <= weeks), {Q.ratio('vo', 'vp', 'hb', ORDERS, 'weeks', 'vh')},
- vx AS (SELECT weeks, geo, media_source, billday_bin, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM vp LEFT JOIN vh USING (weeks) GROUP BY ALL), {Q.curve('vx', 'hb', ORDERS, 'weeks', 'vc')},
- va AS (SELECT step_k - 1 AS k, count(*) AS act, sum(a) AS rev FROM (SELECT step_k, (SELECT sum(amount / 1000) FROM oe o WHERE o.sub_id = vm.sub_id AND o.tie = vm.tie AND o.kind = 'pay') AS a FROM vm) GROUP BY 1),
- vt AS (SELECT k, act / (SELECT act FROM va WHERE k = 0) AS rp, rev / act AS arpu, sum(rev) OVER (ORDER BY k) / (SELECT act FROM va WHERE k = 0) AS ltv FROM va),
- vg AS (SELECT w.weeks, g.k, s, rp, ltv, last_value(arpu IGNORE NULLS) OVER (PARTITION BY w.weeks ORDER BY g.k) AS a FROM (SELECT DISTINCT weeks FROM vz) w JOIN (SELECT unnest(range(0, {ORDERS.hmax + 1}))::BIGINT AS k) g ON true LEFT JOIN vc ON vc.weeks = w.weeks AND vc.k = g.k LEFT JOIN vt ON vt.k = g.k),
- vr AS (SELECT *, sum(CASE WHEN k = 0 THEN a ELSE coalesce(s * a, 0) END) OVER (PARTITION BY weeks ORDER BY k) AS raw FROM vg)
- SELECT weeks, round(max(ltv) FILTER (k = weeks), 5) AS anchor_fact, round(max(raw) FILTER (k = weeks), 5) AS anchor_raw, round(max(raw) FILTER (k = {ORDERS.hmax}), 5) AS raw_end,
-  round(avg(abs(s - rp)) FILTER (k BETWEEN 1 AND weeks), 6) AS survival_mae, (SELECT count(*) FROM vz z WHERE z.weeks = vr.weeks) AS visible_rows, (SELECT count(DISTINCT sub_id) FROM vz z WHERE z.weeks = vr.weeks) AS visible_subs,
-  round(max(ltv) FILTER (k = weeks) / max(raw) FILTER (k = weeks), 6) AS scale, round(max(raw) FILTER (k = {ORDERS.hmax}) * max(ltv) FILTER (k = weeks) / max(raw) FILTER (k = weeks), 5) AS anchored_end FROM vr GROUP BY weeks"""
+ {Q.first_levers('vz', ORDERS, 'cohort, weeks', 'vl')}, {Q.personal('vl', 'mu', ORDERS, 'vp')}, vo AS (SELECT * FROM vz WHERE step_k <= weeks), {Q.ratio('vo', 'vp', 'hb', ORDERS, 'cohort, weeks', 'vh')},
+ vx AS (SELECT cohort, weeks, geo, media_source, billday_bin, count(*) AS w, any_value(mult) AS mult, any_value(coalesce(hr, 1)) AS hr FROM vp LEFT JOIN vh USING (cohort, weeks) GROUP BY ALL), {Q.curve('vx', 'hb', ORDERS, 'cohort, weeks', 'vc')},
+ va AS (SELECT cohort, step_k - 1 AS k, count(*) AS act, sum(amount / 1000) AS rev FROM vm JOIN (SELECT sub_id, tie, amount FROM oe WHERE kind = 'pay') USING (sub_id, tie) GROUP BY 1, 2),
+ vt AS (SELECT cohort, k, act / first_value(act) OVER w AS rp, rev / act AS arpu, sum(rev) OVER w / first_value(act) OVER w AS ltv FROM va WINDOW w AS (PARTITION BY cohort ORDER BY k)),
+ vs AS (SELECT cohort, weeks, count(*) AS visible_rows, count(DISTINCT sub_id) AS visible_subs FROM vz GROUP BY 1, 2),
+ vg AS (SELECT w.cohort, w.weeks, g.k, s, rp, ltv, last_value(arpu IGNORE NULLS) OVER (PARTITION BY w.cohort, w.weeks ORDER BY g.k) AS a FROM vs w JOIN (SELECT unnest(range(0, {ORDERS.hmax + 1}))::BIGINT AS k) g ON true
+  LEFT JOIN vc ON vc.cohort = w.cohort AND vc.weeks = w.weeks AND vc.k = g.k LEFT JOIN vt ON vt.cohort = w.cohort AND vt.k = g.k),
+ vr AS (SELECT *, sum(CASE WHEN k = 0 THEN a ELSE coalesce(s * a, 0) END) OVER (PARTITION BY cohort, weeks ORDER BY k) AS raw FROM vg),
+ vw AS (SELECT cohort, weeks, max(ltv) FILTER (k = weeks) AS anchor_fact, max(raw) FILTER (k = weeks) AS anchor_raw, max(raw) FILTER (k = {ORDERS.hmax}) AS raw_end, avg(abs(s - rp)) FILTER (k BETWEEN 1 AND weeks) AS survival_mae FROM vr GROUP BY 1, 2)
+ SELECT cohort, weeks, round(anchor_fact, 3) AS anchor_fact, round(anchor_raw, 3) AS anchor_raw, round(raw_end, 3) AS raw_end, round(survival_mae, 6) AS survival_mae, visible_rows, visible_subs,
+  round(anchor_fact / anchor_raw, 6) AS scale, round(raw_end * anchor_fact / anchor_raw, 3) AS anchored_end FROM vw JOIN vs USING (cohort, weeks)"""
 
 
 @query("vintage_forecasts", "V20 C8 M14", VIN)
 def vintage_forecasts(spark, d):
+    """Every entry quarter from 1, 2, 4 and 8 visible periods."""
     mx, st = fitted(spark, d)
-    first = mx.groupBy("sub_id").agg(F.min("pay_ts").alias("f")).where("f >= timestamp'1995-04-01' and f < timestamp'1995-07-01'")
-    co = cut(mx.join(first.select("sub_id"), "sub_id", "left_semi"))
+    entry = mx.groupBy("sub_id").agg(F.date_format(F.date_trunc("quarter", F.min("pay_ts")), "yyyy-MM").alias("cohort"))
+    co = mx.join(entry, "sub_id")
     pay = order_log(spark, d).where("kind = 'pay'").select("sub_id", "tie", (F.col("amount") / 1000).alias("amount"))
-    per = co.join(pay, ["sub_id", "tie"]).groupBy((F.col("step_k") - 1).alias("rebill_number")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("rev"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(F.lit(0)).orderBy("rebill_number")
-    n0 = F.first("n").over(w)
-    f = per.select("rebill_number", (F.col("n") / n0).alias("rebill_percent"), (F.col("rev") / F.col("n")).alias("arpu_at_payment"), (F.sum("rev").over(w) / n0).alias("payer_ltv"))
-    out = E.vintage_forecasts(co, st, f, ORDERS, (1, 2, 4, 8))
-    r5 = ("anchor_fact", "anchor_raw", "raw_end", "anchored_end")
-    return out.withColumns({c: F.round(c, 5) for c in r5} | {"survival_mae": r6("survival_mae"), "scale": r6("scale")})
+    out = E.vintage_forecasts(co, st, cut(E.vintage_facts(co, pay, ["cohort"])), ORDERS, (1, 2, 4, 8), ["cohort"])
+    money = ("anchor_fact", "anchor_raw", "raw_end", "anchored_end")
+    return out.withColumns({c: F.round(c, 3) for c in money} | {"survival_mae": r6("survival_mae"), "scale": r6("scale")})
 
 
 # ------------------------------------------------------------------ calendar months
