@@ -12,15 +12,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK, LEVELS = 32, 3  # rows of a block of an affine scan, levels of blocks
 _LOCAL_DIR: str | None = None
 
 
@@ -127,40 +126,54 @@ class Ordered:
         kept = [c for c in df.columns if c not in final]
         return out.withColumns(final).select(*kept, *final)
 
-    def add_affine(self, df: DataFrame, name: str, factor: Column, term: Column) -> DataFrame:
-        """Add the state x that every row changes to factor * x + term, from 0 at the first row.
+    def add_affine(self, df: DataFrame, name: str, factor: Column, term: Column, before: str | None = None) -> DataFrame:
+        """Add the state x that every row changes to factor * x + term, from 0 at the first row; in `before` the state a row finds.
 
-        A slice folds its rows from 0 and keeps the product of its factors; the pairs of earlier
-        slices of a key give the state it begins with. Nothing is divided, so long runs keep their digits."""
+        A row is the pair (factor, term), and pairs compose. Rows of a slice stand in blocks of BLOCK rows, which one pass over an array
+        composes; blocks stand in blocks of BLOCK blocks, and so on for LEVELS levels, so no array is longer than a block (on the top
+        level: a slice's rows by BLOCK ** (LEVELS + 1)). The pairs of earlier slices of a key give the state a slice begins with. Nothing
+        is divided, so long runs keep their digits."""
         opened = "_slice" in df.columns
         src = {"_f": factor.cast("double"), "_t": term.cast("double")}
         rows = df.withColumns(src) if opened else self.open(df.withColumns(src))
-        rows = rows.withColumn("_name", F.to_json("_key"))
-        names = [*rows.columns, "_x", "_p"]
-        schema = rows.withColumns({"_x": F.lit(0.0), "_p": F.lit(0.0)}).schema
-
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, x, p = None, 0.0, 1.0
-            for b in batches:
-                xs, ps = np.empty(b.num_rows), np.empty(b.num_rows)
-                at = zip(b.column("_name").to_pylist(), b.column("_slice").to_pylist(), b.column("_f").to_pylist(), b.column("_t").to_pylist())
-                for i, (key, part, f, t) in enumerate(at):
-                    if now != (key, part):
-                        now, x, p = (key, part), 0.0, 1.0
-                    x, p = f * x + t, f * p
-                    xs[i], ps[i] = x, p
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(xs), pa.array(ps)], names)
-
-        rows = (rows.repartition("_key", "_slice").sortWithinPartitions("_slice", "_name", *self.order)
-                .mapInArrow(fold, schema).persist(StorageLevel.DISK_ONLY))
-        order = F.struct(*[F.col(c) for c in self.order])
-        ends = rows.groupBy("_key", "_slice").agg(F.max_by(F.struct("_p", "_x"), order).alias("e"))
+        part = ["_key", "_slice"]
+        n = F.row_number().over(Window.partitionBy(*part).orderBy(*self.order)) - 1
+        own = [c for c in df.columns if c not in part]
+        rows = rows.select(*part, n.alias("_n"), "_f", "_t", F.struct(*own).alias("_row"))
+        blocks = rows.groupBy(*part, (F.col("_n") / BLOCK).cast("bigint").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_n", "_f", "_t", "_row"))).alias("_a"))
+        start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("x"), F.array().cast("array<struct<p:double,x:double>>").alias("found"))
+        run = F.aggregate("_a", start, lambda s, e: F.struct(
+            (e["_f"] * s["p"]).alias("p"), (e["_f"] * s["x"] + e["_t"]).alias("x"), F.concat(s["found"], F.array(_pair(s["p"], s["x"]))).alias("found")))
+        blocks = blocks.withColumn("_run", run).withColumn("_own", _pair(F.col("_run.p"), F.col("_run.x")))
+        blocks = blocks.withColumn("_in", _pair(F.lit(1.0), F.lit(0.0))).withColumn("_full", F.col("_own"))
+        size = 1
+        for level in range(LEVELS + 1):
+            size *= BLOCK
+            outer = [(F.col("_b") / size).cast("bigint")] if level < LEVELS else []
+            w = Window.partitionBy(*part, *outer).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            # what the full blocks before this one's did, then what came before the block inside its own
+            blocks = blocks.withColumn("_in", _composed(F.concat(F.collect_list("_full").over(w), F.array("_in"))))
+            blocks = blocks.withColumn("_full", F.when(F.col("_b") % size == size - 1, _composed(F.array("_in", "_own"))))
+        ends = blocks.groupBy(*part).agg(F.max_by(F.struct("_in", "_own"), "_b").alias("e")).select(*part, _composed(F.array("e._in", "e._own")).alias("e"))
         # a key has at most as many pairs as there are partitions
         pairs = ends.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_slice", "e"))).alias("s"))
         begin = F.transform("s", lambda at, i: F.struct(
-            at["_slice"].alias("_slice"),
-            F.aggregate(F.slice("s", F.lit(1), i), F.lit(0.0), lambda x, y: y["e"]["_p"] * x + y["e"]["_x"]).alias("_in")))
+            at["_slice"].alias("_slice"), _composed(F.transform(F.slice("s", F.lit(1), i), lambda y: y["e"]))["x"].alias("_begin")))
         begins = pairs.select("_key", F.explode(begin).alias("b")).select("_key", "b.*")
-        out = rows.join(begins, ["_key", "_slice"]).withColumn(name, F.col("_x") + F.col("_p") * F.col("_in"))
-        kept = [c for c in df.columns if c != name]
-        return out.select(*kept, name)
+        out = blocks.join(begins, part).select(*part, (F.col("_in.x") + F.col("_in.p") * F.col("_begin")).alias("_x"), F.inline(F.arrays_zip("_a", F.col("_run.found").alias("found"))))
+        found = F.col("found.x") + F.col("found.p") * F.col("_x")
+        state = {name: F.col("_a._f") * found + F.col("_a._t")} | ({before: found} if before else {})
+        return out.withColumns(state).select(*[F.col(c) if c in part else F.col(f"_a._row.{c}") for c in df.columns if c not in state], *state)
+
+
+def _pair(p: Column, x: Column) -> Column:
+    return F.struct(p.alias("p"), x.alias("x"))
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The pair of two changes, one after the other."""
+    return _pair(second["p"] * first["p"], second["p"] * first["x"] + second["x"])
+
+
+def _composed(pairs: Column) -> Column:
+    return F.aggregate(pairs, _pair(F.lit(1.0), F.lit(0.0)), _then)

@@ -68,16 +68,16 @@ def net_events(events: DataFrame, price: float, p: Params, slices: int | None =
         F.lit(0.0).alias("ups_amt"), F.col("price_amount").alias("amt"), F.lit(1).alias("rank"))
     scan = Ordered(["subscription_id"], "event_datetime", ["rank", "tie", "amt"], slices=slices)
     is_ref = F.col("rank") == 1
+    change = F.when(is_ref, -F.col("amt")).otherwise(F.col("amt"))
     ev = scan.open(pay.unionByName(ref))
-    ev = scan.add(ev, running_sum={"_s": F.when(is_ref, -F.col("amt")).otherwise(F.col("amt"))})
-    ev = scan.add(ev, running_min={"_m": F.col("_s")})
+    ev = scan.add(ev, running_sum={"_s": change})
+    ev = scan.add(ev, running_min={"_m": F.col("_s"), "_mb": F.col("_s") - change})
     ev = ev.withColumn("_left", F.col("_s") - F.least(F.lit(0.0), F.col("_m")))
-    ev = scan.add(ev, prev={"_was": F.col("_left")}).withColumn("_was", F.coalesce("_was", F.lit(0.0)))
-    kept = F.when(is_ref, F.when(F.col("_was") > 0, F.try_divide("_left", "_was")).otherwise(0.0)).otherwise(1.0)
-    ev = scan.add_affine(ev, "_base", kept, F.col("base_amt"))
-    ev = scan.close(scan.add(ev, prev={"_base_was": F.col("_base")}))
+    ev = ev.withColumn("_was", F.greatest(F.col("_s") - change - F.least(F.lit(0.0), F.col("_mb")), F.lit(0.0)))
+    kept = F.when(is_ref, F.when(F.col("_was") > 0, clip(F.try_divide("_left", "_was"), 0.0, 1.0)).otherwise(0.0)).otherwise(1.0)
+    ev = scan.close(scan.add_affine(ev, "_base", kept, F.col("base_amt"), before="_base_was"))
     taken = F.col("_was") - F.col("_left")
-    share = F.when(F.col("_was") > 0, F.try_divide(F.coalesce("_base_was", F.lit(0.0)), "_was")).otherwise(0.0)
+    share = F.when(F.col("_was") > 0, clip(F.try_divide("_base_was", "_was"), 0.0, 1.0)).otherwise(0.0)
     return ev.select(
         "subscription_id", "customer_user_id", "event_datetime", "tie",
         F.when(is_ref, "refund").otherwise("pay").alias("kind"),
