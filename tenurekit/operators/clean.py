@@ -7,19 +7,14 @@ aggregates that combine before the shuffle.
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tenurekit.functions.exprs import add_unit, interval_word, lookup, null_token
 from tenurekit.functions.ordered import Ordered
 from tenurekit.functions.ranks import percentiles
-from tenurekit.functions.workers import ship
 from tenurekit.params import Params
 
 # Cancel reasons of provider A and cancel messages of provider B by churn type.
@@ -423,46 +418,33 @@ def canonical_starts(created: DataFrame, converted: DataFrame, activated: DataFr
 
 
 # ------------------------------------------------------------------ payload profiles
+_LEAVES = """
+WITH RECURSIVE t(k, path, v, done) AS (
+  SELECT k, '' AS path, v, false AS done FROM {texts}
+  UNION ALL
+  SELECT t.k, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[]')
+    ELSE concat(t.path, CASE WHEN t.path = '' THEN '' ELSE '.' END, regexp_replace(e.key, :dynamic, '*')) END,
+    CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END, e.pos IS NULL
+  FROM t, LATERAL variant_explode_outer(t.v) e WHERE NOT t.done)
+SELECT k, path, CAST(v AS STRING) AS value, v IS NULL AS unread FROM t WHERE done"""
+
+
 def json_leaves(raw: DataFrame, keys: Sequence[str], column: str = "data",
                 dynamic: str = "^[A-Za-z]*_?[0-9][0-9-]*$") -> DataFrame:
-    """(keys, path, value) for every leaf of a JSON text, however deep; key names that look like ids
-    become `*`, list items add `[]`. Values are the text of the leaf, null for null. A text that is
-    no JSON, or null, is one leaf at the empty path; an empty object or list is one leaf."""
-    ship(raw.sparkSession)
-    rows = raw.select(*keys, F.col(column).cast("string").alias("_text"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("path", StringType()), StructField("value", StringType())])
-    as_id = re.compile(dynamic)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of, paths, values = [], [], []
-            for i, text in enumerate(b.column("_text").to_pylist()):
-                for path, value in leaves_of(text, as_id):
-                    of.append(i)
-                    paths.append(path)
-                    values.append(value)
-            kept = [b.column(k).take(pa.array(of, pa.int64())) for k in keys]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(paths, pa.string()), pa.array(values, pa.string())], schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def leaves_of(text: str | None, as_id: re.Pattern) -> Iterator[tuple[str, str | None]]:
-    """Leaves of one JSON text in order; numbers keep their spelling."""
-    try:
-        node = json.loads(text, parse_float=str, parse_int=str, parse_constant=str) if text is not None else None
-    except (ValueError, RecursionError):
-        node = text
-    todo = [("", node)]
-    while todo:
-        path, node = todo.pop()
-        if isinstance(node, dict) and node:
-            names = ((as_id.sub("*", k), v) for k, v in node.items())
-            todo += reversed([(f"{path}.{k}" if path else k, v) for k, v in names])
-        elif isinstance(node, list) and node:
-            todo += reversed([(f"{path}[]", v) for v in node])
-        else:
-            yield path, json.dumps(node) if isinstance(node, (dict, list, bool)) else node
+    """(keys, path, value, readable) for every leaf of a JSON text; key names that look like ids become `*`, list items add `[]`.
+
+    A recursive query opens one level of all texts at a time and ends with the data. Values are the text of the leaf as a variant writes
+    it (2.50 is 2.5, 1e3 is 1000.0), null for null; an empty object or list is one leaf. A null text is one leaf without value at the
+    empty path; so is a text that no variant can hold, with the text as value and `readable` false: no JSON, a key twice in an object, or
+    nested more than 1,000 deep. Takes the limits off the session's recursive queries."""
+    spark = raw.sparkSession
+    for limit in ("Level", "Row"):
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
+    rows = raw.select(F.struct(*keys, F.col(column).cast("string").alias("_text")).alias("k"))
+    texts = rows.withColumn("v", F.try_parse_json("k._text"))
+    found = spark.sql(_LEAVES, {"dynamic": dynamic}, texts=texts)
+    bad = F.col("unread") & F.col("k._text").isNotNull()
+    return found.select(*[F.col("k")[c].alias(c) for c in keys], "path", F.when(bad, F.col("k._text")).otherwise(F.col("value")).alias("value"), (~bad).alias("readable"))
 
 
 def path_profile(leaves: DataFrame, interesting: str) -> DataFrame:

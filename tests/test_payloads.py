@@ -8,15 +8,19 @@ from tenurekit.operators import quality as Z
 
 
 def leaves(spark, *texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "event_id int, data string")
-    return [(r.event_id, r.path, r.value) for r in C.json_leaves(df, ["event_id"]).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "event_id int, data string").withColumn("k", F.lit(1))
+    return sorted((r.event_id, r.path, str(r.value), r.readable) for r in C.json_leaves(df, ["event_id"]).collect())
 
 
 def test_leaves_of_any_depth_and_in_lists(spark):
-    deep = '{"d":' * 40 + "5" + "}" * 40
-    got = leaves(spark, '{"a": {"b": [{"c": 1}, {"c": 2.50}, []]}, "in_77": {"x": null, "y": true}}', deep, None, "no json", "{}")
-    assert got == [(0, "a.b[].c", "1"), (0, "a.b[].c", "2.50"), (0, "a.b[]", "[]"), (0, "*.x", None), (0, "*.y", "true"),
-                   (1, ".".join("d" * 40), "5"), (2, "", None), (3, "", "no json"), (4, "", "{}")]
+    deep = '{"d":' * 12 + "5" + "}" * 12
+    too_deep = '{"d":' * 5000 + "5" + "}" * 5000
+    got = leaves(spark, '{"a": {"b": [{"c": 1}, {"c": 2.50}, [], [null]]}, "in_77": {"x": null, "y": true}, "z": {}}', deep, None, "no json", "{}", too_deep,
+                 '"{\\"q\\": 1}"', "[1, [2, \"x\"]]", "null", '{"a": 1, "a": 2}', "")
+    assert got == sorted([
+        (0, "a.b[].c", "1", True), (0, "a.b[].c", "2.5", True), (0, "a.b[]", "[]", True), (0, "a.b[][]", "None", True), (0, "*.x", "None", True), (0, "*.y", "true", True), (0, "z", "{}", True),
+        (1, ".".join("d" * 12), "5", True), (2, "", "None", True), (3, "", "no json", False), (4, "", "{}", True), (5, "", too_deep, False),
+        (6, "", '{"q": 1}', True), (7, "[]", "1", True), (7, "[][]", "2", True), (7, "[][]", "x", True), (8, "", "None", True), (9, "", '{"a": 1, "a": 2}', False), (10, "", "", False)])
 
 
 @pytest.mark.parametrize("a,b,same", [
