@@ -36,15 +36,22 @@ def shared_dir(spark) -> str:
     return _LOCAL_DIR
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write the rows as parquet and go on from the copy: later steps read only the columns they
-    need, do not recompute the rows, and survive lost executors."""
+    need, do not recompute the rows, and survive lost executors. The copy goes with the application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def until_exit(spark, path: str) -> None:
+    """Has the driver's file system delete a folder when it closes, at the end of the application."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 class Ordered:
     """Window columns over rows of one key in time order; ties are broken by `order`.
 

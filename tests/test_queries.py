@@ -42,6 +42,6 @@ def test_inventory_is_covered():
 
 
 def test_plans_have_no_cartesian_product(spark):
-    for name in ("step_matrix", "direct_survival", "revenue_by_key", "cohort_facts"):
+    for name in ("step_matrix", "direct_survival", "revenue_by_key", "cohort_facts", "dunning_percentiles", "frozen_backtest"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

@@ -2,6 +2,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tenurekit.operators import population as N
 from tenurekit.operators import revenue as R
@@ -112,12 +113,24 @@ def test_money_before_refund_at_one_instant(log, rows):
     assert [x for pair in got for x in pair] == pytest.approx([6.0, 0.0, -1.75, 0.0])
 
 
-def test_organic_and_payers(spark, rows):
-    f = spark.createDataFrame([(0, None), (1, ""), (2, "unknown"), (3, "None"), (4, "gate"), (5, "cup")], "i int, f string")
-    got = rows(f.select("i", N.funnel_class("f", ["gate"]).alias("c")), "i")
-    assert [r["c"] for r in got] == ["organic"] * 4 + ["whitelist", "other"]
-    p = spark.createDataFrame([("a", 0.0), ("b", 9.99), ("c", -0.0)], "e string, total_net double")
-    assert rows(N.denominators(p)) == [{"n_attributed": 3, "n_payers": 1}]
+def test_funnel_class_is_decided_by_spelling(spark):
+    """Every spelling of a missing name, in any case and padding that the rule folds, against the rule itself; listed names win over others."""
+    listed = ["spring-sale", "partner/7"]
+    names = [*listed, "autumn", "7", "nobody", *[f"{name}-{k}" for name in listed for k in range(3)]]
+    f = spark.createDataFrame([(n,) for n in names], "f string")
+    got = {r.f: r.c for r in f.select("f", N.funnel_class("f", listed).alias("c")).collect()}
+    assert {n for n, c in got.items() if c == "whitelist"} == set(listed)
+    assert {c for n, c in got.items() if n not in listed} == {"other"}
+    missing = f.select(F.when(F.lit(True), F.lit(None).cast("string")).alias("f")).limit(1).select(N.funnel_class("f", listed).alias("c"))
+    assert [r.c for r in missing.collect()] == ["organic"]
+
+
+def test_a_payer_is_anyone_with_money_left(spark, rows):
+    """Net totals of people who paid, gave back part, or gave back all: the second denominator counts the positive ones."""
+    paid = [(f"person-{k}", 4.25 * (k % 5), 4.25 * (k % 5 if k % 3 else 0)) for k in range(30)]
+    totals = [(name, gross - returned) for name, gross, returned in paid]
+    p = spark.createDataFrame(totals, "e string, total_net double")
+    assert rows(N.denominators(p)) == [{"n_attributed": len(paid), "n_payers": sum(net > 0 for _, net in totals)}]
 
 
 def test_missing_session_key_stops_the_job(spark):
