@@ -72,17 +72,47 @@ def _cells(z: DataFrame, cats: Sequence[str]) -> DataFrame:
     return cut(z.groupBy(*cats, *NUMS, F.col("survived").cast("double").alias("label")).agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")))
 
 
-def _fit_cells(cells: DataFrame, min_frequency: int, cats: Sequence[str]) -> PipelineModel:
+def _fit_cells(cells: DataFrame, min_frequency: int, cats: Sequence[str], nums: Sequence[str] = NUMS, penalty: float = 1.0) -> PipelineModel:
     total = cells.agg(F.sum("w")).first()[0]
+    train = fold_rare(cells, min_frequency, cats)
+    stages = [StringIndexer(inputCols=list(cats), outputCols=[f"{c}_i" for c in cats], handleInvalid="keep"),
+              OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats], dropLast=False, handleInvalid="keep"),
+              VectorAssembler(inputCols=[*[f"{c}_v" for c in cats], *nums], outputCol="x"),
+              LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=1000, tol=1e-10, regParam=penalty / total, standardization=False)]
+    return Pipeline(stages=stages).fit(train)
+
+
+def fold_rare(cells: DataFrame, min_frequency: int, cats: Sequence[str]) -> DataFrame:
+    """Categories with few rows (column n) become `infrequent`."""
     train = cells
     for c in cats:
         rare = cells.groupBy(c).agg(F.sum("n").alias("_f")).where(F.col("_f") < min_frequency).select(c, F.lit(True).alias("_r"))
         train = train.join(rare, c, "left").withColumn(c, F.when(F.col("_r"), "infrequent").otherwise(F.col(c))).drop("_r")
-    stages = [StringIndexer(inputCols=list(cats), outputCols=[f"{c}_i" for c in cats], handleInvalid="keep"),
-              OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats], dropLast=False, handleInvalid="keep"),
-              VectorAssembler(inputCols=[*[f"{c}_v" for c in cats], *NUMS], outputCol="x"),
-              LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=1000, regParam=1.0 / total, standardization=False)]
-    return Pipeline(stages=stages).fit(train)
+    return train
+
+
+def score_equations(cells: DataFrame, model: PipelineModel, cats: Sequence[str] = CATS, nums: Sequence[str] = NUMS, min_frequency: int = 50,
+                    penalty: float = 1.0) -> DataFrame:
+    """Per feature: rows, survivors, and what the model says they are: expected survivors plus the penalty's share (the weight itself).
+    The two are equal where the fit is the optimum, and only there. cells: features, label, w, n."""
+    out = vector_to_array("probability")[1]
+    scored = model.transform(fold_rare(cells, min_frequency, cats)).select(*cats, *nums, "label", "w", "n", "x", out.alias("_p"))
+    flat = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"), F.lit(1.0).alias("x")) for c in cats]
+    flat += [F.struct(F.lit(c).alias("feature"), F.lit("value").alias("category"), F.col(c).cast("double").alias("x")) for c in nums]
+    part = scored.withColumn("_f", F.explode(F.array(*flat))).select("_f.*", "label", "w", "n", "_p")
+    w = F.col("w") * F.col("x")
+    sums = part.groupBy("feature", "category").agg(F.sum("n").alias("n"), F.sum(w * F.col("label")).alias("survivors"), F.sum(w * F.col("_p")).alias("expected"))
+    return sums.join(weights(model, scored), ["feature", "category"]).withColumn("fitted", F.col("expected") + F.lit(float(penalty)) * F.col("weight")).drop("expected")
+
+
+def weights(model: PipelineModel, scored: DataFrame) -> DataFrame:
+    """(feature, category, weight) of a fitted pipeline; a numeric feature has the one category `value`. As many rows as features."""
+    names = [a for kind in scored.schema["x"].metadata["ml_attr"]["attrs"].values() for a in kind]
+    rows = []
+    for a in names:
+        feature, _, category = a["name"].partition("_v_")
+        rows.append((feature, category or "value", float(model.stages[-1].coefficients[a["idx"]])))
+    return scored.sparkSession.createDataFrame(rows, "feature string, category string, weight double")
 
 
 def survive(model: PipelineModel, cells: DataFrame, name: str = "p") -> DataFrame:

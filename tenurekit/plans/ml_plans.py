@@ -1,11 +1,11 @@
-"""Logistic survival models on the step matrix of the driver's orders (rows-only checks, but for the calibration of fixed scores)."""
+"""Logistic survival models on the step matrix of the driver's orders (curves are rows-only; score equations, closed forms and the calibration of fixed scores have SQL)."""
 
 from pyspark.sql import functions as F
 
 from tenurekit.functions.ordered import cut
 from tenurekit.operators import ml as M
 from tenurekit.params import ORDERS as P
-from tenurekit.plans.ladder_plans import orders_mx
+from tenurekit.plans.ladder_plans import OMX, orders_mx
 from tenurekit.plans.registry import query
 from tenurekit.sources.adapters import table
 
@@ -42,6 +42,49 @@ def multiplier_vs_risk(spark, d):
     return M.relative_risk(mx, m, P, 2).join(mean, "app_id").select("app_id", F.round("rr", 6).alias("rr"), F.round("map_mean_mult", 6).alias("map_mean_mult"))
 
 
+_CATS = ("geo", "media_source", "attribution_source", "plan_interval", "cohort_month")
+_TRAIN = f"""{OMX}, z AS (SELECT *, least(step_k, {P.hmax})::VARCHAR AS step_bin, coalesce(trial_days, -1)::DOUBLE AS td, 1.0::DOUBLE / count(*) OVER (PARTITION BY app_id) AS aw FROM mx WHERE weeks_obs >= step_k + 1),
+ ct AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS category, survived, aw FROM z" for c in ('step_bin', *_CATS))}),
+ cn AS (SELECT feature, CASE WHEN count(*) OVER (PARTITION BY feature, category) < 50 THEN 'infrequent' ELSE category END AS category, survived, aw FROM ct)"""
+
+
+def _equations(m: M.Model, mx, weight=None):
+    z = M.features(mx, m.tops, P).where(F.col("weeks_obs") >= F.col("step_k") + 1).withColumn("_w", F.lit(1.0) if weight is None else weight)
+    return M.score_equations(M._cells(z, M.CATS), m.pipeline)
+
+
+@query("logistic_score_equations", "H13", f"""{_TRAIN} SELECT feature, category, count(*) AS n, sum(survived)::DOUBLE AS survivors, sum(survived)::DOUBLE AS fitted FROM cn GROUP BY 1, 2
+ UNION ALL SELECT 'billing_day_of_month', 'value', count(*), sum(survived * billing_day_of_month)::DOUBLE, sum(survived * billing_day_of_month)::DOUBLE FROM z UNION ALL SELECT 'trial_days', 'value', count(*), sum(survived * td), sum(survived * td) FROM z""")
+def logistic_score_equations(spark, d):
+    """At the optimum the expected survivors of every feature, plus the penalty's share, are the counted ones."""
+    mx, m = model(spark, d)
+    return _equations(m, mx).select("feature", "category", "n", F.round("survivors", 0).alias("survivors"), F.round("fitted", 0).alias("fitted"))
+
+
+@query("equal_app_equations", "H16", f"""{_TRAIN} SELECT feature, category, count(*) AS n, round(sum(survived * aw), 2) AS survivors, round(sum(survived * aw), 2) AS fitted FROM cn GROUP BY 1, 2""")
+def equal_app_equations(spark, d):
+    """The same with every application weighing the same."""
+    mx = cut(M.equal_app_weight(orders_mx(spark, d).where(F.col("weeks_obs") >= F.col("step_k") + 1)))
+    e = _equations(M.fit(mx, P, F.col("app_weight")), mx, F.col("app_weight")).where("category <> 'value'")
+    return e.select("feature", "category", "n", F.round("survivors", 2).alias("survivors"), F.round("fitted", 2).alias("fitted"))
+
+
+@query("logistic_closed_form", "H13 H17", f"""{_TRAIN} SELECT 'step_bin' AS feature, step_bin AS category, count(*) AS n, round(avg(survived), 4) AS p FROM z GROUP BY step_bin
+ UNION ALL SELECT 'media_source', media_source, count(*), round(avg(survived), 4) FROM z GROUP BY media_source""")
+def logistic_closed_form(spark, d):
+    """A model of one category without a penalty gives every category its own share."""
+    mx = orders_mx(spark, d)
+    tops = cut(M.top_categories(mx, ("geo", "media_source", "attribution_source")))
+    z = M.features(mx, tops, P).where(F.col("weeks_obs") >= F.col("step_k") + 1).withColumn("label", F.col("survived").cast("double"))
+    out = None
+    for c in ("step_bin", "media_source"):
+        cells = cut(z.groupBy(c, "label").agg(F.count(F.lit(1)).cast("double").alias("w"), F.count(F.lit(1)).alias("n")))
+        one = M.survive(M._fit_cells(cells, 0, [c], [], 0.0), cells.groupBy(c).agg(F.sum("n").alias("n")))
+        one = one.select(F.lit(c).alias("feature"), F.col(c).alias("category"), "n", F.round("p", 4).alias("p"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("equal_app_logistic", "H16")
 def equal_app_logistic(spark, d):
     mx = cut(M.equal_app_weight(orders_mx(spark, d).where(F.col("weeks_obs") >= F.col("step_k") + 1)))

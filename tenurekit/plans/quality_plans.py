@@ -66,7 +66,10 @@ def snapshot_integrity(spark, d):
     return Z.snapshot_integrity(webhooks_a(spark, d), F.lit("2024-03-01").cast("timestamp")).drop("last")
 
 
-@query("duplicate_classes", "Q9 A9", "SELECT 2::BIGINT AS copies, 'within a minute' AS span_class, count(*) AS ids FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0")
+@query("duplicate_classes", "Q9 A9", """WITH raw AS (SELECT 'evt_' || event_id AS id, ts FROM events UNION ALL SELECT 'evl_' || event_id, ts FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT 'evt_' || event_id, ts + INTERVAL 60 SECOND FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0),
+ g AS (SELECT id, count(*) AS copies, count(DISTINCT ts) AS times, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS span FROM raw GROUP BY 1 HAVING count(*) > 1)
+ SELECT copies, CASE WHEN times = 1 THEN 'same time' WHEN span <= 60 THEN 'within a minute' WHEN span <= 86400 THEN 'within a day' ELSE 'later' END AS span_class, count(*) AS ids FROM g GROUP BY 1, 2""")
 def duplicate_classes(spark, d):
     return Z.duplicate_classes(webhooks_a(spark, d))
 

@@ -187,8 +187,9 @@ def monthly_starts(spark, d):
     return M.monthly_starts(curve_parts(spark, d)[0])
 
 
-@query("month_reconciliation", "B2 E15", f"""{MO}, qa AS (SELECT sub_id FROM pa GROUP BY 1 HAVING count(*) > 14) SELECT media_source AS provider, round(sum(amount), 3) AS gross, round(coalesce(sum(amount) FILTER (sub_id IN (SELECT sub_id FROM qa)), 0), 3) AS excluded,
- count(DISTINCT strftime(ts, '%Y-%m')) FILTER (sub_id NOT IN (SELECT sub_id FROM qa)) AS months, true AS ok FROM pa GROUP BY 1""")
+@query("month_reconciliation", "B2 E15", f"""{MO}, qa AS (SELECT sub_id FROM pa GROUP BY 1 HAVING count(*) > 14), mm AS (SELECT media_source, strftime(ts, '%Y-%m') AS month, sum(amount) AS m FROM pa WHERE sub_id NOT IN (SELECT sub_id FROM qa) GROUP BY 1, 2),
+ ms AS (SELECT media_source, sum(m) AS total, count(*) AS months FROM mm GROUP BY 1), gr AS (SELECT media_source, sum(amount) AS gross, coalesce(sum(amount) FILTER (sub_id IN (SELECT sub_id FROM qa)), 0) AS excluded FROM pa GROUP BY 1)
+ SELECT media_source AS provider, round(gross, 3) AS gross, round(excluded, 3) AS excluded, months, abs(coalesce(total, 0) - (gross - excluded)) <= 0.01 AS ok FROM gr LEFT JOIN ms USING (media_source)""")
 def month_reconciliation(spark, d):
     p = pays(spark, d)
     qa = p.groupBy("sub_id").agg(F.count(F.lit(1)).alias("n")).where("n > 14").select("sub_id")
