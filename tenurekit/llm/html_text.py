@@ -1,10 +1,11 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
-A leaf block is a maximal stretch of text without a block-level tag inside. Its features are the tags, classes and ids of
-its ancestors, its own tag, its length, its share of link text, its last character and its place. The field has two
-labels (article, other); it is trained on labelled pages that `labelled_pages` makes from a fixed seed (PAGES of them:
-layouts with menus, headers, footers, side bars, notices, adverts, forms and comments before, after and inside the
-article), by Adam on the exact likelihood (forward-backward), and a page is decoded by Viterbi.
+A leaf block is a maximal stretch of text without a block-level tag inside. Its features are the tags, classes, ids and roles of
+its ancestors, its own tag, its length, sentences, share of link text, last character and place, and lengths and link shares of its
+neighbours. The field has two labels (article, other); it is trained on labelled pages that `labelled_pages` makes from a fixed
+seed (PAGES of them: layouts with menus, headers, footers, side bars, notices, adverts, forms and comments before, after and inside
+the article; half of them name nothing, name things in other words, by roles or by opaque names, or are laid out by divisions or
+tables alone), by Adam on the exact likelihood (forward-backward), and a page is decoded by Viterbi.
 
 Scripts, styles, comments and other text that is never shown are dropped by the parser; character references are decoded.
 White space inside a block becomes one space, blocks are joined by one space in page order. Null and empty pages give an
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-PAGES = 600  # labelled pages
+PAGES = 900  # labelled pages
 SIZE = 1 << 13  # hashed features
 # fixed values: tags that begin a new block, that never show text, and that hold nothing
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -33,9 +34,11 @@ HIDDEN = frozenset("script style noscript template svg math iframe object canvas
 IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template".split())  # anything else ends the head
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCK - frozenset("button caption label legend option select summary textarea title td th tr tbody thead tfoot".split())
+LEAVES_SVG = BLOCK - frozenset("title desc".split()) | frozenset("b big br center code em font i img s small span strong sub sup tt u".split())  # ends svg and math
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table select html body div article section main aside nav form".split())
 _TOKEN = re.compile("[a-z]+")
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
 class Block:
@@ -98,6 +101,8 @@ class _Leaves(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in IN_HEAD:
             self._end_head()
+        if tag in LEAVES_SVG and (self.count.get("t=svg") or self.count.get("t=math")) and not self.count.get("t=foreignobject"):
+            self._close({"svg", "math"}, frozenset())
         if tag in BLOCK:
             self.flush()
             if tag in ENDS_P and self.count.get("t=p"):
@@ -146,6 +151,8 @@ class _Leaves(HTMLParser):
 def leaf_blocks(page: str) -> list[Block]:
     p = _Leaves()
     p.feed(page)
+    if p.rawdata.startswith("<!--"):  # a comment that never ends
+        p.rawdata = ""
     p.close()
     p.flush()
     return p.blocks
@@ -153,12 +160,17 @@ def leaf_blocks(page: str) -> list[Block]:
 
 def features(blocks: list[Block]) -> list[np.ndarray]:
     """Hashed features of each block of one page."""
+    words = [min(6, (b.text.count(" ") + 1).bit_length()) for b in blocks]
+    link = [min(4, 4 * b.link // max(1, len(b.text))) for b in blocks]
     out = []
     for k, b in enumerate(blocks):
-        n = b.text.count(" ") + 1
-        names = ["bias", f"l={b.tag}", f"n={min(6, n.bit_length())}", f"a={min(4, 4 * b.link // max(1, len(b.text)))}", f"e={b.text[-1] in '.!?…'}",
-                 f"first={k == 0}", f"last={k == len(blocks) - 1}", f"o={b.text[0] in '©|»›'}", *b.around]
-        names += [f"l={b.tag} n={min(6, n.bit_length())}"]
+        n, a = words[k], link[k]
+        ends = b.text[-1] in ".!?…\"”»"
+        sentences = min(3, len(_SENTENCE.findall(b.text)))
+        near = [(words[j], link[j]) if 0 <= j < len(blocks) else (0, 9) for j in (k - 1, k + 1)]
+        names = ["bias", f"l={b.tag}", f"n={n}", f"a={a}", f"e={ends}", f"s={sentences}", f"first={k == 0}", f"last={k == len(blocks) - 1}", f"o={b.text[0] in '©|»›'}", *b.around]
+        names += [f"l={b.tag} n={n}", f"n={n} e={ends} a={a}", f"s={sentences} a={a > 1}"]
+        names += [f"{side}n={x}" for side, (x, _) in zip("pq", near)] + [f"{side}a={y} a={a}" for side, (_, y) in zip("pq", near)]
         out.append(np.fromiter(dict.fromkeys(zlib.crc32(x.encode()) % SIZE for x in names), dtype=np.int64))
     return out
 
@@ -206,7 +218,7 @@ class Field:
             np.add.at(g["pair"], (y[:-1], y[1:]), -1)
         return g
 
-    def train(self, pages: list[tuple[list[np.ndarray], np.ndarray]], epochs: int = 4, rate: float = 0.05, ridge: float = 1e-4, seed: int = 5) -> None:
+    def train(self, pages: list[tuple[list[np.ndarray], np.ndarray]], epochs: int = 3, rate: float = 0.05, ridge: float = 1e-4, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(w) for k, w in self.w.items()} for _ in range(2))
         t = 0
@@ -279,6 +291,60 @@ def labelled_pages(n: int = PAGES, seed: int = 17) -> Iterator[str]:
             return f"<script>var t='<p>{words(2, 6)}</p>';</script><style>p{{margin:0}}</style><!-- {words(1, 4)} -->"
         return f"<ul>{''.join(f'<li><a href=#>{word()}</a></li>' for _ in range(4))}</ul>"
 
+    # what is made of a page's names: kept, other words, roles, opaque names, no names
+    groups = {
+        "menu": ("menu nav navbar main-menu topnav breadcrumb breadcrumbs share social tags pagination", "navigation topbar links linklist toolbar subnav menubar crumbs", "navigation"),
+        "main": ("content post entry-content article-body story main-content post-body text", "main maincontent primary page body article center wrap copy entry col-main document", "main"),
+        "foot": ("footer site-footer copyright legal disclaimer", "bottom foot colophon credits imprint subfooter", "contentinfo"),
+        "head": ("header site-header masthead", "top banner brand logo title-bar hero", "banner"),
+        "side": ("sidebar related side widget see-also", "rail right left secondary extra aside col-side", "complementary"),
+    }
+    group_of = {old: g for g, (names, _, _) in groups.items() for old in names.split()} | {"nav": "menu", "article": "main", "footer": "foot", "aside": "side"}
+    shells = ("nav", "article", "main", "footer", "header", "aside", "section")
+
+    def renamed(page: str) -> str:
+        """The page with its telling names and tags replaced."""
+        way = pick("words", "words", "roles", "opaque", "none")
+        opaque: dict[str, str] = {}
+
+        def call(group: str | None) -> str:
+            if way == "words" and group:
+                return f' {pick("id", "id", "class")}="{pick(*groups[group][1].split())}"'
+            if way == "roles" and group:
+                return f' role="{groups[group][2]}"'
+            if way == "opaque" or (way == "words" and maybe(0.3)):
+                name = opaque.setdefault(group or "", "".join(pick(*"abcdefghjkmnpqrstvwxyz") for _ in range(rng.integers(1, 7))) + pick("", "-1", "_x", "9"))
+                return f' class="{name}"'
+            return ""
+
+        page = re.sub(r' (?:class|id)="([^"]*)"', lambda m: call(group_of.get(m[1])), page)
+        for tag in shells:
+            g = "main" if tag in ("article", "main") else group_of.get(tag) or ("head" if tag == "header" else None)
+            page = re.sub(rf"<{tag}>", lambda m: f"<div{call(g)}>", re.sub(rf"</{tag}>", "</div>", re.sub(rf"<{tag} ", "<div ", page)))
+        return page
+
+    def plain_other() -> str:
+        """Parts that can be told without names: links, short lines, forms, footers."""
+        kind = rng.integers(8)
+        if kind <= 1:
+            a, b = pick(("<nav>", "</nav>"), box(tuple(groups["menu"][0].split()), ("div", "ul", "div")))
+            return a + pick(links(rng.integers(2, 9)), " ".join(f'<a href="/{word()}">{words(1, 3)}</a>' for _ in range(rng.integers(2, 7))),
+                            " | ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(rng.integers(3, 7)))) + b
+        if kind == 2:
+            a, b = pick(("<footer>", "</footer>"), box(tuple(groups["foot"][0].split()), ("div",)))
+            return a + pick("&copy; ", "Copyright ", "") + words(1, 5) + pick("", " 20" + str(rng.integers(10, 30)), links(3)) + b
+        if kind == 3:
+            a, b = pick(("<header>", "</header>"), box(tuple(groups["head"][0].split()), ("div",)))
+            return a + pick(f"<a href='/'>{words(1, 3)}</a>", f"<h1><a href='/'>{words(1, 3)}</a></h1>", words(1, 3), links(4)) + b
+        if kind == 4:
+            a, b = pick(("<aside>", "</aside>"), box(tuple(groups["side"][0].split()), ("div",)))
+            return a + pick(f"<h3>{words(1, 3)}</h3>", "") + links(rng.integers(2, 7)) + b
+        if kind == 5:
+            return f"<form action='/{word()}'><label>{words(1, 3)} <input name='{word()}'></label><button>{words(1, 2)}</button></form>"
+        if kind == 6:
+            return f"<div><a href='/{word()}'>{words(1, 4)}</a></div>"
+        return f"<script>var t='<p>{words(2, 6)}</p>';</script><style>p{{margin:0}}</style><!-- {words(1, 4)} -->"
+
     for _ in range(n):
         def keep(text: str) -> str:
             return MARK + html.escape(text, quote=False)
@@ -299,6 +365,22 @@ def labelled_pages(n: int = PAGES, seed: int = 17) -> Iterator[str]:
                             f"<p>{keep(words(1, 5))} <a href='/x'>{html.escape(words(1, 3))}</a></p>")
             return other() if maybe(deep) else f"<p>{keep(prose())}</p>"
 
+        if maybe(0.5):  # a page without telling names, or laid out by a table
+            sentences = lambda: " ".join(words(5, 18).capitalize() + pick(".", ".", ".", "!", "?") for _ in range(rng.integers(1, 6)))
+            text = "".join(pick(f"<p>{keep(sentences())}</p>", f"<p>{keep(sentences())}", f"<p>{keep(sentences())}</p>", f"<p>{keep(sentences())} <a href='/x'>{words(1, 3)}</a></p>" + f"<p>{keep(sentences())}</p>",
+                                f"<h2>{keep(words(2, 7))}</h2><p>{keep(sentences())}</p>", f"<div>{keep(sentences())}</div>",
+                                "<ul>" + "".join(f"<li>{keep(words(4, 12).capitalize() + '.')}</li>" for _ in range(rng.integers(2, 5))) + f"</ul><p>{keep(sentences())}</p>")
+                           for _ in range(rng.integers(1, 9)))
+            title = pick(f"<h1>{keep(words(2, 9))}</h1>", "")
+            some = lambda a, b: "".join(plain_other() for _ in range(rng.integers(a, b)))
+            if maybe(0.2):
+                left, right = pick((some(1, 3), ""), (some(1, 3), some(0, 2)), ("", some(1, 3)))
+                body = "<table>" + pick("", f"<tr><td>{some(1, 2)}</td></tr>") + f"<tr><td>{left}</td><td>{title}{text}</td><td>{right}</td></tr></table>" + some(0, 2)
+            else:
+                a, b = pick(("<article>", "</article>"), ("<main>", "</main>"), box(tuple(groups["main"][0].split()), ("div",)), ("<div>", "</div>"), ("", ""))
+                body = pick("", "<div>") + some(0, 4) + a + title + text + b + some(0, 4)
+            yield f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title></head><body>{renamed(body)}" + pick("</body></html>", "")
+            continue
         before = "".join(other() for _ in range(rng.integers(0, 4)))
         a, b = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
                     box(("content", "post", "entry-content", "article-body", "story", "main-content", "post-body", "text"), ("div", "section", "div")))

@@ -100,3 +100,48 @@ def test_head_and_body_tags_may_be_left_out():
     for page in ht.labelled_pages(50, seed=99):
         short = page.replace("</head><body>", "")
         assert ht.main_text(short, ht.trained()) == ht.main_text(page, ht.trained())
+
+
+A, B, C = ("The harbour was closed on Monday after the storm.", "Fishermen waited for two days before the boats could leave again.", "No one was hurt, and the market opened as usual on Wednesday.")
+P3 = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>News</a></li><li><a href='/about'>About us</a></li></ul>"
+#: layouts written by hand, none of which labelled_pages makes; each holds the three sentences and nothing else of the article
+LAYOUTS = {
+    "ids": f'<div id="nav">{MENU}</div><div id="main">{P3}</div><div id="footer">Copyright 2024 Harbour News</div>',
+    "opaque": f'<div class="x7f">{MENU}</div><div class="q2">{P3}</div>',
+    "roles": f'<div role="navigation">{MENU}</div><div role="main">{P3}</div><div role="contentinfo">Harbour News 2024</div>',
+    "nothing": f"<html><body>{P3}</body></html>",
+    "bare": P3,
+    "menu and text": f"{MENU}{P3}",
+    "links in a row": f'<div><a href="/">Home</a> | <a href="/n">News</a> | <a href="/a">About</a></div>{P3}',
+    "grid": f'<div class="container"><div class="row"><div class="col-md-3">{MENU}</div><div class="col-md-9">{P3}</div></div></div>',
+    "table": f"<table><tr><td width=150>{MENU}</td><td>{P3}</td></tr></table>",
+    "nested tables": f"<table><tr><td><table><tr><td>{MENU}</td></tr></table></td></tr><tr><td><table><tr><td>{P3}</td></tr></table></td></tr></table>",
+    "center": f"<center><a href='/'>Home</a> <a href='/x'>Index</a></center><hr>{P3}<hr><center><a href='/next'>Next</a></center>",
+    "utility classes": f'<div class="flex px-4 mt-2">{MENU}</div><div class="mx-auto max-w-prose">{P3}</div><div class="text-xs py-8">Harbour News 2024</div>',
+    "modules": f'<div class="Layout_nav__3xKf">{MENU}</div><div class="Layout_root__9aQ"><div class="Body_b__1">{P3}</div></div>',
+    "footer links": f"<div>{P3}</div><div>{MENU}</div>",
+    "form before": f'<div><form action="/s"><input name=q><button>Search</button></form></div><div class="zz">{P3}</div>',
+    "logo": f'<div class="logo"><a href="/">Harbour News</a></div><div class="wrap">{P3}</div>',
+    "divs for paragraphs": f"<div id=w><div>{MENU}</div><div><div>{A}</div><div>{B}</div><div>{C}</div></div></div>",
+    "unclosed paragraphs": f"<div class=k1>{MENU}</div><p>{A}<p>{B}<p>{C}",
+    "section": f'<section class="c-a">{MENU}</section><section class="c-b">{P3}</section>',
+    "menu after": f'<div class="one">{P3}</div><div class="two">{MENU}</div><div class="three">Copyright 2024</div>',
+    "header and footer tags": f"<header><a href='/'>Harbour News</a></header><div>{P3}</div><footer>Copyright 2024</footer>",
+    "language menu": f'<div><a href="/de">Deutsch</a> <a href="/fr">Francais</a></div><div id="pagebody">{P3}</div>',
+}
+
+
+def test_layouts_it_was_not_taught():
+    assert len(LAYOUTS) >= 20
+    wrong = {k: ht.main_text(page, ht.trained()) for k, page in LAYOUTS.items() if ht.main_text(page, ht.trained()) != " ".join((A, B, C))}
+    assert not wrong, wrong
+
+
+def test_foreign_content_and_comments_that_never_end():
+    text = " ".join((A, B, C))
+    assert ht.main_text(f"<svg><path d='M0'>{P3}", ht.trained()) == text  # as browsers do, a paragraph ends svg
+    assert ht.main_text(f"<svg><title>icon</title><g><text>hidden</text></g></svg>{P3}", ht.trained()) == text
+    assert ht.main_text(f"{P3}<!-- oops <p>more", ht.trained()) == text
+    assert ht.leaf_blocks("<!-- oops <p>The text") == []
+    assert [b.text for b in ht.leaf_blocks("<p>a<math><mi>x</mi><p>b")] == ["a", "b"]
