@@ -5,11 +5,15 @@ address of its payload. Reading joins the two, checks both digests against the b
 byte for byte and parses them. Of records with equal payloads of at least `min_revisit` bytes the one with the largest
 id is the response, the others are revisits that carry no block; smaller ones are all responses.
 
+Every record has an id of its own (of its page and of its row) and a date, of its page or of the run.
+
 Null or empty payloads are zero bytes. Null ids and URLs are written as empty fields and read back as null. Rows equal in
 id and payload give as many records; one of them is the response of a large payload.
 """
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenurekit.llm.store import new_folder, written
@@ -23,8 +27,8 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(name + ": "), value, F.lit(_CRLF))
 
 
-def _record_id(id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("")), F.lit(">"))
+def _record_id(id: Column, row: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
 def _one_line(c: Column) -> Column:
@@ -38,26 +42,31 @@ def _plain(c: Column) -> Column:
 
 
 def write_archive(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html",
-                  min_revisit: int = MIN_REVISIT, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tables (headers, payloads): a header block per row of `pages`, and each distinct payload once."""
+                  min_revisit: int = MIN_REVISIT, folder: str | None = None, date: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tables (headers, payloads): a header block per row of `pages`, and each distinct payload once. `date`: column of the time of
+    each record; without one, or where it is null, the time of the run."""
+    now = F.lit(datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    when = F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), now) if date else now
     folder = folder or new_folder(pages.sparkSession, "warc")
     body = F.encode(F.coalesce(F.col(payload).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), body.alias("body"))
-    named = rows.select("id", "url", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("address"),
+    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), when.alias("date"), body.alias("body"))
+    named = rows.select("id", "url", "date", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("address"),
                         F.sha1("body").alias("sha1"))
     named = written(named.withColumn("row", F.monotonically_increasing_id()), "", f"{folder}/named")  # written, so that a row keeps its number
     large = named.where(F.col("bytes") >= min_revisit)
     # one row of each payload is the response: of the largest id (null is the least), then of the largest URL
     owner = large.groupBy("address", "bytes").agg(F.max(F.struct("id", "url", "row")).alias("top")) \
         .select("address", "bytes", F.col("top.id").alias("owner"), F.col("top.row").alias("bearer"))
-    small = named.where(F.col("bytes") < min_revisit).drop("row").withColumns({"owner": F.col("id"), "kind": F.lit("response")})
-    owned = (large.join(owner, ["address", "bytes"]).withColumn("kind", F.when(F.col("row") == F.col("bearer"), "response").otherwise("revisit"))
-             .select("id", "url", "bytes", "address", "sha1", "owner", "kind"))
+    small = named.where(F.col("bytes") < min_revisit).withColumns({"owner": F.col("id"), "bearer": F.col("row"), "kind": F.lit("response")})
+    # the records of one payload are dealt to COPIES keys
+    dealt = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    owned = (large.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(COPIES)).cast("int")).join(dealt, ["address", "bytes", "salt"])
+             .withColumn("kind", F.when(F.col("row") == F.col("bearer"), "response").otherwise("revisit")).select(*small.columns))
     revisit = F.col("kind") == "revisit"
     head = F.concat(
-        F.lit("WARC/1.1" + _CRLF), _field("WARC-Type", F.col("kind")), _field("WARC-Record-ID", _record_id(F.col("id"))),
+        F.lit("WARC/1.1" + _CRLF), _field("WARC-Type", F.col("kind")), _field("WARC-Record-ID", _record_id(F.col("id"), F.col("row"))), _field("WARC-Date", F.col("date")),
         _field("WARC-Target-URI", _one_line(F.col("url"))), _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(_field("WARC-Refers-To", _record_id(F.col("owner"))), _field("WARC-Profile", F.lit(
+        F.when(revisit, F.concat(_field("WARC-Refers-To", _record_id(F.col("owner"), F.col("bearer"))), _field("WARC-Profile", F.lit(
             "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         _field("Content-Type", F.lit("text/html; charset=utf-8")),
         _field("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))), F.lit(_CRLF))
@@ -93,9 +102,9 @@ def read_archive(headers: DataFrame, payloads: DataFrame, min_revisit: int = MIN
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))))
     revisit = lines.where("record_type = 'revisit'").join(known, ["address", "salt"])
     block = F.coalesce(F.col("body"), F.lit(b""))
-    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*)>$", 1), F.lit(""))
+    page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:page:(.*):[0-9]+>$", 1), F.lit(""))
     out = response.unionByName(revisit).select(
-        page(value("WARC-Record-ID")).alias("id"), F.nullif(_plain(value("WARC-Target-URI")), F.lit("")).alias("url"),
+        page(value("WARC-Record-ID")).alias("id"), value("WARC-Record-ID").alias("record_id"), value("WARC-Date").alias("date"), F.nullif(_plain(value("WARC-Target-URI")), F.lit("")).alias("url"),
         "record_type", page(value("WARC-Refers-To")).alias("refers_to"),
         F.regexp_extract(value("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
         F.col("stored_bytes").alias("payload_bytes"), "stored_sha1", "sound",

@@ -60,3 +60,23 @@ def test_equal_rows_without_id(spark):
     assert Counter((r.id, r.url, r.payload_bytes) for r in got) == Counter((None if i is None else str(i), u, len(t.encode())) for i, u, t in rows)
     assert sorted((r.id or "", r.url) for r in got if r.record_type == "response") == [("", "u/2"), ("4", "v")]
     assert Counter(r.refers_to for r in got if r.record_type == "revisit") == {None: 3, "4": 3}
+
+
+def test_required_fields_and_unique_ids(spark):
+    """What WARC/1.1 makes mandatory for every record, and a revisit that names exactly one record."""
+    import re
+
+    rows = [(8, "u/8", "y" * 1000, "2024-03-01 10:00:00"), (8, "u/8", "y" * 1000, None), (8, "u/8b", "y" * 1000, "2024-03-02 00:00:00"), (None, None, "", None), (None, None, "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string")
+    got = warc.read_archive(*warc.write_archive(pages, date="at")).collect()
+    heads = [bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n") for r in got]
+    fields = [dict(x.split(": ", 1) for x in h[1:]) for h in heads]
+    assert all(h[0] == "WARC/1.1" for h in heads)
+    for f in fields:
+        assert {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"} <= set(f)
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) and re.fullmatch("<urn:page:[0-9]*:[0-9]+>", f["WARC-Record-ID"])
+    ids = Counter(f["WARC-Record-ID"] for f in fields)
+    assert len(ids) == 5 and set(ids.values()) == {1}
+    assert "2024-03-01T10:00:00Z" in {f["WARC-Date"] for f in fields}
+    answers = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    assert [f["WARC-Refers-To"] in answers for f in fields if f["WARC-Type"] == "revisit"] == [True, True]
