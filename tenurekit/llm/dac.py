@@ -17,6 +17,7 @@ import functools
 import hashlib
 import operator
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ SEGMENT_TOKENS = 1 << 20  # a segment ends with the document that reaches so man
 KEPT_WORDS = 800_000  # stretches in the table of ids that a Python worker keeps
 LONG_WORD = 256  # bytes
 JOINED = 100  # stretches that the library reads in one call
+_LETTERS_SIGNS = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)\Z")  # ASCII signs but the apostrophe
 _MAGIC = b"DAC1"
 _BLOCK = 512
 
@@ -130,11 +132,15 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.library.no_truncation()
         self.library.no_padding()
-        self._know(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.kind))
-
-    def _know(self, word: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """The table: hash of a stretch, its number of ids, and where these begin."""
-        self.word, self.size, self.ids = word, size, ids
+        self._know(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, self.kind), np.zeros(0, np.int64))
+        self._forget()
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        # whether letters end before other signs, and case folds, so that "Word," is "word" and ","
+        self.splits = all(ids(a + b) == ids(a.lower()) + ids(b) for a in ("Word", "EXAMPLES", "iPhone", "s", "Ll") for b in (",", ".", "!!", "***", '")', "-", "$%&", ""))
+
+    def _know(self, word: np.ndarray, size: np.ndarray, ids: np.ndarray, hits: np.ndarray) -> None:
+        """The table: hash of a stretch, its number of ids, where these begin, and how often it was seen."""
+        self.word, self.size, self.ids, self.hits = word, size, ids, hits
         self.begin = np.cumsum(size) - size
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +155,29 @@ class WordEncoder:
             ids.append(np.array(x.ids, self.kind))
         return np.concatenate(sizes), np.concatenate(ids)
 
+    def _forget(self) -> None:
+        """Empties the table of pieces: letters and signs that stretches are made of."""
+        self.pieces: dict[str, int] = {}
+        self.piece_size, self.piece_ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of stretches, and the ids. Of letters followed by signs, the library is asked for the letters in lower case
+        and for the signs, each once."""
+        if not self.splits:
+            return self._ask(words)
+        found = [_LETTERS_SIGNS.match(w) for w in words]
+        parts = [p for w, m in zip(words, found) for p in ((m[1].lower(), m[2]) if m else (w, ""))]
+        if len(self.pieces) > self.kept // 2:
+            self._forget()
+        ask = [p for p in dict.fromkeys(parts) if p not in self.pieces]
+        size, ids = self._ask(ask)
+        self.pieces.update(zip(ask, range(len(self.pieces), len(self.pieces) + len(ask))))
+        self.piece_size, self.piece_ids = np.concatenate([self.piece_size, size]), np.concatenate([self.piece_ids, ids])
+        place = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+        size = self.piece_size[place]
+        begin = np.cumsum(self.piece_size) - self.piece_size
+        return size[::2] + size[1::2], self.piece_ids[_spread(begin[place], size)]
+
     def _places(self, w: tx.Words, raw: np.ndarray) -> np.ndarray:
         """Place in the table of every stretch; those that are missing are asked for."""
         key = w.hash
@@ -160,12 +189,19 @@ class WordEncoder:
         if len(missing):
             new, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
             here = missing[first]
-            size, ids = self._ask([raw[s:e].tobytes().decode() for s, e in zip(w.start[here].tolist(), w.end[here].tolist())])
+            size, ids = self._new([raw[s:e].tobytes().decode() for s, e in zip(w.start[here].tolist(), w.end[here].tolist())])
             place[missing] = len(self.word) + which
-            self._know(np.concatenate([self.word, new]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids]))
-        if len(self.word) > self.kept:  # those of these texts stay
-            used, place = np.unique(place, return_inverse=True)
-            self._know(self.word[used], self.size[used], self.ids[_spread(self.begin[used], self.size[used])])
+            self._know(np.concatenate([self.word, new]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids]),
+                       np.concatenate([self.hits, np.zeros(len(new), np.int64)]))
+        now = np.bincount(place, minlength=len(self.word))
+        self.hits += now
+        if len(self.word) > self.kept:  # those of these texts stay, and those seen more than once, the most frequent ones if these are many
+            least = max(2, int(np.partition(self.hits, -self.kept // 2)[-self.kept // 2]))
+            stays = np.flatnonzero((now > 0) | (self.hits >= least))
+            moved = np.zeros(len(self.word), np.int64)
+            moved[stays] = np.arange(len(stays))
+            place = moved[place]
+            self._know(self.word[stays], self.size[stays], self.ids[_spread(self.begin[stays], self.size[stays])], self.hits[stays] // 2)
         return place
 
     def encode(self, data: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
