@@ -128,3 +128,16 @@ def test_correction_shape(spark):
     import math
     e = math.exp(0.1)
     assert got == pytest.approx([1.0, e, e * 0.75 + 0.25, e * 0.5 + 0.5, e * 0.25 + 0.75, 1.0, 1.0])
+
+
+def test_splice_by_a_ladder_of_donors(spark):
+    """Own steps to k_max; then the near donor scaled to meet there, then the wide one; a group without votes follows its donors as they are."""
+    own = spark.createDataFrame([("a", 1, 0.4, 9), ("a", 2, 0.2, 9), ("a", 3, 0.9, 1), ("b", 1, 0.8, 1)], "geo string, step_k long, h double, votes long")
+    near = spark.createDataFrame([("r", 1, 0.3), ("r", 2, 0.1), ("r", 3, 0.3)], "region string, step_k long, h double")
+    wide = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.2), (4, 0.1)], "step_k long, h double")
+    groups = spark.createDataFrame([("a", "r"), ("a", "r"), ("b", "s"), ("c", "r")], "geo string, region string")
+    out = H.splice_hazard(own, replace(MOBILE, h_ext=5, hmax=4), by=["geo"], donors=[(near, ["region"]), (wide, [])], groups=groups)
+    got = {(r.geo, r.step_k): (r.h, r.k_max) for r in out.collect()}
+    want = {"a": [0.4, 0.2, 0.6, 0.05, 0.05], "b": [0.5, 0.4, 0.2, 0.1, 0.1], "c": [0.3, 0.1, 0.3, 0.1, 0.1]}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx({(g, k + 1): h for g, hs in want.items() for k, h in enumerate(hs)})
+    assert {g: m for (g, _), (_, m) in got.items()} == {"a": 2, "b": 0, "c": 0}
