@@ -440,8 +440,9 @@ def json_leaves(raw: DataFrame, keys: Sequence[str], column: str = "data",
     spark = raw.sparkSession
     for limit in ("Level", "Row"):
         spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
-    rows = raw.select(F.struct(*keys, F.col(column).cast("string").alias("_text")).alias("k"))
-    texts = rows.withColumn("v", F.try_parse_json("k._text"))
+    rows = raw.select(*keys, F.col(column).cast("string").alias("_text")).withColumn("v", F.try_parse_json("_text"))
+    # only what can't be read takes its text along
+    texts = rows.select(F.struct(*keys, F.when(F.col("v").isNull(), F.col("_text")).alias("_text")).alias("k"), "v")
     found = spark.sql(_LEAVES, {"dynamic": dynamic}, texts=texts)
     bad = F.col("unread") & F.col("k._text").isNotNull()
     return found.select(*[F.col("k")[c].alias(c) for c in keys], "path", F.when(bad, F.col("k._text")).otherwise(F.col("value")).alias("value"), (~bad).alias("readable"))
