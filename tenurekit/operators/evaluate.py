@@ -507,15 +507,23 @@ def vintage_forecasts(mx: DataFrame, state: H.State, facts: DataFrame, p: Params
 
 def walk_forward(web: V.Web, state: H.State, p: Params, dims: Sequence[str], weeks: Sequence[int], horizons: Sequence[int]) -> DataFrame:
     """Per cell: the value at fixed horizons as forecast from each number of visible weeks, and the
-    fact. `state` has a fold column holding the cohort left out."""
+    fact. `state` has a fold column holding the cohort left out.
+
+    People are counted by the number of visible weeks they are old enough for, money by cell and week is summed up to every week that is
+    asked for, in one row per cell; weeks and horizons given twice count once."""
     pop = web.pop
+    weeks, horizons = sorted({int(w) for w in weeks}), sorted({int(h) for h in horizons})
     cells, mix = _visible_cells(web.mx, p, weeks, p.levers)
     hr = H.hazard_ratio(cells.withColumnRenamed("app_id", "fold"), state, p, ["fold", "weeks"], None, ["fold"]).select("fold", "weeks", "hr")
     people = pop.where("has_base").select(F.col("session_id").alias("sub_id"), *dims)
     first = [(lv, "billday_first" if lv == "billday_bin" else lv) for lv in p.levers]
     per = H.lever_columns(web.mx, p).groupBy("sub_id", "app_id").agg(F.max("weeks_obs").alias("weeks_obs"), *[F.min_by(c, "step_k").alias(f"l_{lv}") for lv, c in first])
-    m = per.join(people, "sub_id").withColumn("weeks", weeks_array(weeks)).where(F.col("weeks_obs") >= F.col("weeks"))
-    m = m.groupBy(F.col("app_id").alias("fold"), *[F.col(c).alias(f"d_{c}") for c in dims], "weeks", *[F.col(f"l_{lv}").alias(lv) for lv in p.levers]).agg(F.count(F.lit(1)).alias("w"))
+    points = [F.lit(w).cast("bigint") for w in weeks]
+    group = ["fold", *[f"d_{c}" for c in dims], *p.levers]
+    m = per.where(F.col("weeks_obs").isNotNull()).join(people, "sub_id").select(
+        F.col("app_id").alias("fold"), *[F.col(c).alias(f"d_{c}") for c in dims], *[F.col(f"l_{lv}").alias(lv) for lv in p.levers],
+        F.lit(0).alias("_from"), VW.first_point(points, lambda w: F.col("weeks_obs") < w).alias("_gone"), F.lit(1).alias("w"))
+    m = VW.in_force(m, points, "weeks", group, ["w"], "_from", "_gone")
     m = H.personal_multiplier(m, state.mult, p, ["fold"]).join(hr, ["fold", "weeks"], "left").withColumn("hr", F.coalesce("hr", F.lit(1.0)))
     by = ["fold", *[f"d_{c}" for c in dims], "weeks"]
     c = H.mixture_curve(m, state.hazard, p, by, p.h_ext, ["fold"])
@@ -523,16 +531,18 @@ def walk_forward(web: V.Web, state: H.State, p: Params, dims: Sequence[str], wee
     ladder = V.base_ladder(web.events, p)
     rate = V.attach_rates(V.checkpoint_observations(web.events, pop, ladder, p), pop, p, dims).select(*dims, "share_ups")
     size = pop.groupBy(*dims).agg(F.count_if("has_base").alias("n"), F.floor(F.avg("age_weeks_now")).alias("age")).withColumn("max_week", web.max_week)
-    net = R.weekly_net(web.events, pop.where("has_base"), p, [*dims]).join(size, [*dims])
-    hz = weeks_array(horizons)
-    inc = c.join(rate, [*dims], "left").withColumn("horizon", hz).where((F.col("k") > F.col("weeks")) & (F.col("k") <= F.col("horizon")))
-    inc = inc.groupBy(*dims, "weeks", "horizon").agg(F.sum(V.expected_payment(p, F.lit(1.0), F.col("share_ups"))).alias("inc"))
-    grid = c.select(*dims, "weeks").distinct().withColumn("horizon", hz).join(size, [*dims]).where(F.col("weeks") <= F.col("age"))
-    lim = F.least(F.least("weeks", "horizon"), F.col("max_week"))
-    seen = grid.join(net.select(*dims, "week", "net"), [*dims], "left").groupBy(*dims, "weeks", "horizon", "n", "age", "max_week").agg(
-        F.sum(F.when(F.col("week") <= lim, F.col("net")).otherwise(0.0)).alias("seen"),
-        F.sum(F.when(F.col("week") <= F.col("horizon"), F.col("net")).otherwise(0.0)).alias("all"))
-    out = seen.join(inc, [*dims, "weeks", "horizon"], "left")
-    value = F.col("seen") / F.col("n") + F.when(F.col("horizon") > F.col("weeks"), F.coalesce("inc", F.lit(0.0))).otherwise(0.0)
+    net = R.weekly_net(web.events, pop.where("has_base"), p, [*dims]).withColumn("max_week", web.max_week)
+    asked = sorted({*weeks, *horizons})
+    zero, week = F.lit(0.0), F.col("week")
+    money = net.groupBy(*dims).agg(*[F.sum(F.when(week <= F.least(F.lit(x), "max_week"), F.col("net")).otherwise(zero)).alias(f"_to_{x}") for x in asked])
+    pay, k = V.expected_payment(p, F.lit(1.0), F.col("share_ups")), F.col("k")
+    inc = c.join(rate, [*dims], "left").groupBy(*dims, "weeks").agg(
+        *[F.sum(F.when((k > F.col("weeks")) & (k <= h), pay)).alias(f"_inc_{h}") for h in horizons])
+    upto = F.create_map(*[x for w in asked for x in (F.lit(w).cast("bigint"), F.coalesce(f"_to_{w}", zero))])
+    per_horizon = [F.struct(F.lit(h).cast("bigint").alias("horizon"), upto[F.least("weeks", F.lit(h).cast("bigint"))].alias("seen"),
+                            F.coalesce(f"_to_{h}", zero).alias("all"), F.coalesce(f"_inc_{h}", zero).alias("inc")) for h in horizons]
+    out = inc.join(size, [*dims]).where(F.col("weeks") <= F.col("age")).join(money, [*dims], "left")
+    out = out.select(*dims, "weeks", "n", "age", "max_week", F.explode(F.array(*per_horizon)).alias("_e")).select("*", "_e.*")
+    value = F.col("seen") / F.col("n") + F.col("inc")
     fact = F.when((F.col("horizon") <= F.col("age")) & (F.col("horizon") <= F.col("max_week")), F.col("all") / F.col("n"))
     return out.select(*dims, "weeks", "horizon", "n", value.alias("ltv"), fact.alias("fact"))

@@ -15,6 +15,7 @@ from tenurekit.operators import hazard as H
 from tenurekit.operators import ladder as L
 from tenurekit.operators import population as N
 from tenurekit.operators import revenue as R
+from tenurekit.operators import views as VW
 from tenurekit.params import Params
 
 
@@ -260,7 +261,9 @@ def ratio_table(pop: DataFrame, weekly: DataFrame, shape: DataFrame, p: Params,
     """Earlier form of the cell table, one row per cell and horizon: the mean over members old
     enough, else the current value times the growth ratio of the pooled shape.
 
-    weekly: session_id, week, net_base, net_ups. shape: k, value, ups_value (k from 0)."""
+    Money is summed by cell, by the first horizon that counts its week and by the number of horizons its member is old enough for;
+    no row with a member's key is repeated per horizon. Horizons given twice count once; members without an age are attributed but
+    never mature. weekly: session_id, week, net_base, net_ups. shape: k, value, ups_value (k from 0)."""
     m = pop.select("session_id", *dims, "age_weeks_now", "base_net", "total_net")
     payer = F.col("total_net") > 0
     cells = m.groupBy(*dims).agg(
@@ -269,15 +272,18 @@ def ratio_table(pop: DataFrame, weekly: DataFrame, shape: DataFrame, p: Params,
         F.avg("total_net").alias("cur_ups"), F.coalesce(F.avg(F.when(payer, F.col("base_net"))), F.lit(0.0)).alias("cur_p"),
         F.coalesce(F.avg(F.when(payer, F.col("total_net"))), F.lit(0.0)).alias("cur_p_ups"))
     cells = cells.withColumn("low_n", F.col("n_payers") < p.low_n)
-    hz = F.explode(F.array(*[F.lit(int(n)).cast("bigint") for n in horizons]))
-    old = m.withColumn("horizon", hz).where(F.col("age_weeks_now") >= F.col("horizon"))
-    count = old.groupBy(*dims, "horizon").agg(F.count(F.lit(1)).alias("n_mature"), F.count_if(payer).alias("n_mature_p"))
-    lim = F.least(F.col("horizon"), max_week)
-    money = old.join(weekly, "session_id").where(F.col("week") <= lim).groupBy(*dims, "horizon").agg(
-        F.sum("net_base").alias("b"), F.sum(F.when(payer, F.col("net_base"))).alias("bp"),
-        F.sum(F.col("net_base") + F.col("net_ups")).alias("t"), F.sum(F.when(payer, F.col("net_base") + F.col("net_ups"))).alias("tp"))
+    points = [F.lit(n).cast("bigint") for n in sorted({int(n) for n in horizons})]
+    m = m.where(F.col("age_weeks_now").isNotNull()).withColumns({
+        "_from": F.lit(0), "_gone": VW.first_point(points, lambda h: F.col("age_weeks_now") < h), "_payer": payer})
+    count = VW.in_force(m.select(*dims, "_from", "_gone", F.lit(1).alias("n_mature"), F.coalesce("_payer", F.lit(False)).cast("int").alias("n_mature_p")),
+                        points, "horizon", dims, ["n_mature", "n_mature_p"], "_from", "_gone")
+    net = F.col("net_base") + F.col("net_ups")
+    paid = m.join(weekly.withColumn("_last", max_week), "session_id").select(
+        *dims, "_gone", VW.first_point(points, lambda h: F.col("week") <= F.least(h, "_last")).alias("_paid"),
+        F.col("net_base").alias("b"), F.when(F.col("_payer"), F.col("net_base")).alias("bp"), net.alias("t"), F.when(F.col("_payer"), net).alias("tp"))
+    money = VW.in_force(paid, points, "horizon", dims, ["b", "bp", "t", "tp"], "_paid", "_gone")
     sh = shape.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("value", "ups_value"))))).scalar()
-    c = cells.withColumn("horizon", hz).withColumn("_sh", sh)
+    c = cells.withColumn("horizon", F.explode(F.array(*points))).withColumn("_sh", sh)
     c = c.join(count, [*dims, "horizon"], "left").join(money, [*dims, "horizon"], "left")
     age, h = F.greatest("avg_age_weeks", F.lit(1)), F.col("horizon")
     top = F.lit(p.h_ext).cast("bigint")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenurekit.operators import evaluate as E
 from tenurekit.operators import hazard as H
 from tenurekit.operators import ladder as L
+from tenurekit.operators import ltv as V
 from tenurekit.operators import survival as S
 from tenurekit.operators import views as VW
 from tenurekit.params import ORDERS
@@ -117,3 +118,74 @@ def test_frozen_backtest_by_a_foreign_state_per_group(spark):
     want = [x for a, st in (("a2", one), ("a3", two))
             for x in counts(E.frozen_backtest(mx.where(F.col("app_id") == a), st, CUTS, P, ["app_id"]).withColumn("p", F.round("predicted", 9)), *cols)]
     assert got == sorted(want) and len(got) > 4
+
+
+def people(spark, n=70, seed=11):
+    """Members of three cells with ages from none to 14 weeks, and what they paid by week (before entry and after the last week too)."""
+    rng = random.Random(seed)
+    weekly = [(s, w, rng.choice([0.0, 3.5, 9.25, -2.0]), rng.choice([0.0, 1.75])) for s in range(n) for w in rng.sample(range(-1, 16), rng.randrange(6))]
+    pop = []
+    for s in range(n):
+        mine = [x for x in weekly if x[0] == s]
+        pop.append((s, rng.choice("abc"), rng.choice([None, *range(15)]), sum((x[2] for x in mine), 0.0), sum((x[2] + x[3] for x in mine), 0.0)))
+    return pop, weekly
+
+
+def ratio_rows(spark, pop, weekly, horizons, last=9):
+    left = spark.createDataFrame(pop, "session_id long, cell string, age_weeks_now long, base_net double, total_net double")
+    right = spark.createDataFrame(weekly, "session_id long, week long, net_base double, net_ups double")
+    shape = spark.createDataFrame([(k, 1.0 + k, 2.0 + k) for k in range(P.h_ext + 1)], "k long, value double, ups_value double")
+    return V.ratio_table(left, right, shape, P, ["cell"], horizons, F.lit(last).cast("bigint"))
+
+
+def test_ratio_table_against_members_one_by_one(spark):
+    pop, weekly = people(spark)
+    rows = {(r.cell, r.horizon): r for r in ratio_rows(spark, pop, weekly, (12, 4, 8, 4, 14, 30)).collect()}
+    assert len(rows) == 3 * 5 and {r.source for r in rows.values()} == {"fact", "model"}
+    for (cell, h), r in rows.items():
+        mine = [x for x in pop if x[1] == cell]
+        old = {x[0]: x[4] > 0 for x in mine if x[2] is not None and x[2] >= h}
+        assert (r.n_attributed, r.n_payers, r.n_mature) == (len(mine), sum(x[4] > 0 for x in mine), len(old))
+        paid = [(s, b, u) for s, w, b, u in weekly if s in old and w <= min(h, 9)]
+        if old:
+            payers = sum(old.values())
+            want = (sum(b for _, b, _ in paid) / len(old), sum(b for s, b, _ in paid if old[s]) / payers if payers else 0.0,
+                    sum(b + u for _, b, u in paid) / len(old), sum(b + u for s, b, u in paid if old[s]) / payers if payers else 0.0)
+            got = (r.ltv_per_attributed, r.ltv_per_payer, r.ltv_per_attributed_ups_factonly, r.ltv_per_payer_ups_factonly)
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got, want)) and r.source == "fact"
+        else:
+            age = max(1, sum(x[2] for x in mine if x[2] is not None) // sum(x[2] is not None for x in mine))
+            grown = sum(x[3] for x in mine) / len(mine) * (1.0 + min(h, P.h_ext)) / (1.0 + min(age, P.h_ext))
+            assert abs(r.ltv_per_attributed - grown) < 1e-9 and r.source == "model"
+
+
+def test_ratio_table_of_nobody_and_of_cells_without_money(spark):
+    pop, weekly = people(spark)
+    assert ratio_rows(spark, pop[:0], weekly, (4,)).count() == 0
+    free = ratio_rows(spark, pop, weekly[:0], (0,)).collect()
+    assert {(r.source, r.ltv_per_attributed, r.ltv_per_payer) for r in free} == {("fact", 0.0, 0.0)}
+
+
+def test_no_member_is_repeated_per_horizon(spark):
+    """Below every explode over horizons the rows are already counts."""
+    pop, weekly = people(spark)
+    plan = ratio_rows(spark, pop, weekly, (4, 8))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i, line in enumerate(lines):
+        if "Generate" in line:
+            below = lines[i + 1:]
+            end = next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))
+            assert any("Aggregate" in x for x in below[:end])
+
+
+def test_parts_in_force_are_added_up(spark):
+    rng = random.Random(2)
+    cells = [(rng.choice("ab"), rng.randrange(5), rng.randrange(5), rng.randrange(1, 100) / 8) for _ in range(60)]
+    points = [F.lit(x).cast("bigint") for x in (3, 5, 8, 13)]
+    got = VW.in_force(spark.createDataFrame(cells, "g string, a int, b int, x double"), points, "at", ["g"], ["x"], "a", "b").collect()
+    want = {}
+    for g, a, b, x in cells:
+        for i in range(a, min(b, 4)):
+            want[g, (3, 5, 8, 13)[i]] = want.get((g, (3, 5, 8, 13)[i]), 0) + x
+    assert {(r.g, r["at"]): r.x for r in got} == want
