@@ -1,32 +1,38 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
 The training words of a run of whole texts form a shard; its suffix array orders all positions by the words that follow
-them (doubling: ranks of 1, 2, 4, ... words). Every suffix of every test item is then looked up by binary search, one
-word deeper at a time, for all suffixes of a block at once; what is left at the window's depth are its occurrences, and
-chains of them along a diagonal give the longest verbatim match and its place.
+them (doubling: ranks of 1, 2, 4, ... words). Every suffix of the test items is then looked up by binary search, one word
+deeper at a time, for all suffixes of a block at once; suffixes that begin with the same window are looked up once. What is
+left at the window's depth is a range of the suffix array: its places are marked in the texts, never paired with the
+items' places. Longest verbatim matches are common runs of windows, read from one more suffix array over the places hit.
+
+Test items are split and hashed in tasks, dealt to blocks of about `block_words` words and written to the shared folder. The
+driver sends one written block after the other; PASS_BLOCKS of them are searched in one pass, in which each shard is built once.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lowered, compared by 64-bit hashes. A window is `window` words of an
 item, or the whole item if it has fewer. Null and empty texts have no words: such documents have no hits, such items no
-window. Repeated documents are judged each by itself; equal items count one by one. Test items are searched in blocks of
-at most BLOCK_WORDS words; every block is broadcast, a further block is one more pass in the same stage.
+window. Repeated documents are judged each by itself. Rows of one item id are one item; an item without id is named ''. A match
+longer than half a block may be told in parts.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
 from tenurekit.llm import text as tx
+from tenurekit.llm.store import remove, written
 
 WINDOW = 10
-BLOCK_WORDS = 1 << 20  # 8 MB of hashes
+BLOCK_WORDS = 1 << 20  # with its windows at most some 50 MB
+PASS_BLOCKS = 4
 _END = np.uint64(0)  # stands after each text; words have hashes from 1 on
-HIT = "array<struct<item:string,start:bigint,length:bigint>>"
-_HIT = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+HITS = "array<struct<start:bigint,length:bigint>>"
+_HITS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
 
 def _hash(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,20 +41,65 @@ def _hash(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(w.hash, np.uint64(1)), w.first
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _pairs(rank: np.ndarray, step: int) -> np.ndarray:
+    """Class of the pair of ranks at each place and `step` places further on."""
+    after = np.zeros(len(rank), dtype=np.int64)
+    after[:-step] = rank[step:] + 1
+    return np.unique(rank << 32 | after, return_inverse=True)[1]
+
+
+def _classes(rank: np.ndarray, k: int) -> np.ndarray:
+    """Class of the k values from each place on; places nearer to the end than k are compared by what is left."""
+    have = 1
+    while have < k:
+        step = min(have, k - have)
+        rank = _pairs(rank, step)
+        have += step
+    return rank
+
+
 class Block(NamedTuple):
-    """Test suffixes of one block: item j has the words flat[first[j]:first[j + 1]]."""
+    """Different windows of some test items, each with the set of items that hold it."""
     items: list[str]
-    flat: np.ndarray
+    flat: np.ndarray  # word hashes of the items, each item followed by _END
+    start: np.ndarray  # of each window: a place in flat, its words, its set
+    depth: np.ndarray
+    group: np.ndarray
+    held: np.ndarray  # items of all sets; set g is held[first[g]:first[g + 1]]
     first: np.ndarray
-
-    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, depth and item of every window."""
-        n = np.diff(self.first)
-        depth = np.minimum(n, window)
-        count = np.where(n > 0, n - depth + 1, 0)
-        item = np.repeat(np.arange(len(n)), count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return self.first[item] + place, depth[item], item
+    chain: np.ndarray  # per place of flat: the full window that begins there, or -1
+
+
+def pack(names: list[str], parts: list[np.ndarray], window: int) -> Block:
+    n = np.array([len(x) for x in parts], dtype=np.int64)
+    flat = np.concatenate([y for x in parts for y in (x, [_END])]).astype(np.uint64)
+    begin = np.cumsum(n + 1) - n - 1
+    labels, label = np.unique(np.array(names, dtype=object), return_inverse=True)
+    depth = np.minimum(n, window)
+    count = np.where(n > 0, n - depth + 1, 0)
+    start, depth, item = _spread(begin, count), np.repeat(depth, count), np.repeat(label, count)
+    rank, of, known = np.unique(flat, return_inverse=True)[1], np.zeros(len(start), dtype=np.int64), 0
+    for d in np.unique(depth):
+        here = depth == d
+        which = np.unique(_classes(rank, int(d))[start[here]], return_inverse=True)[1]
+        of[here] = known + which
+        known += int(which.max()) + 1
+    seen = np.unique(of, return_index=True)[1]
+    pairs = np.unique(of * len(labels) + item)
+    window_of, items = pairs // len(labels), pairs % len(labels)
+    bounds = np.searchsorted(window_of, np.arange(known + 1))
+    sets: dict[bytes, int] = {}
+    group = np.array([sets.setdefault(items[a:b].tobytes(), len(sets)) for a, b in zip(bounds[:-1], bounds[1:])], dtype=np.int64)
+    chain = np.full(len(flat), -1, dtype=np.int64)
+    chain[start[depth == window]] = of[depth == window]
+    held = [np.frombuffer(x, dtype=items.dtype) for x in sets]
+    return Block(list(labels), flat, start[seen], depth[seen], group, np.concatenate([np.zeros(0, np.int64), *held]),
+                 np.cumsum([0, *map(len, held)]), chain)
 
 
 class Shard:
@@ -86,149 +137,226 @@ class Shard:
             hi = np.where(below | ~open_, hi, mid)
         return lo
 
-    def find(self, block: Block, start: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For windows of a block: (index of the window, place in the shard) of every occurrence."""
-        rank = np.searchsorted(self.known, block.flat)
-        rank = np.where(self.known[np.minimum(rank, len(self.known) - 1)] == block.flat, rank, -1)
+    def find(self, flat: np.ndarray, start: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the windows flat[start:start + depth]: (index of the window, place in the shard) of every occurrence."""
+        rank = np.searchsorted(self.known, flat)
+        rank = np.where(self.known[np.minimum(rank, len(self.known) - 1)] == flat, rank, -1)
         live = np.arange(len(start))
         lo, hi = np.zeros(len(start), dtype=np.int64), np.full(len(start), len(self.word), dtype=np.int64)
-        out = []
+        out = [(live[:0], lo[:0], hi[:0])]
         for d in range(int(depth.max(initial=0))):
             wanted = rank[start[live] + d]
             live, lo, hi, wanted = (x[wanted >= 0] for x in (live, lo, hi, wanted))
             lo, hi = self._bound(lo, hi, d, wanted, False), self._bound(lo, hi, d, wanted, True)
             some = lo < hi
             done = some & (depth[live] == d + 1)
-            for i, a, b in zip(live[done], lo[done], hi[done]):
-                places = self.order[a:b]
-                out.append((np.full(b - a, i), places))
+            out.append((live[done], lo[done], hi[done]))
             live, lo, hi = (x[some & ~done] for x in (live, lo, hi))
             if not len(live):
                 break
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-
-
-def matches(shard: Shard, block: Block, window: int) -> list[tuple[int, str, int, int]]:
-    """Longest verbatim matches: (text, item, first word in the text, words)."""
-    start, depth, item = block.windows(window)
-    which, place = shard.find(block, start, depth)
+        which, lo, hi = (np.concatenate(x) for x in zip(*out))
+        return np.repeat(which, hi - lo), self.order[_spread(lo, hi - lo)]
+
+
+def _runs(at: np.ndarray, value: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Values at neighbouring places side by side, `end` behind each run; the values' new places; the longest run."""
+    fresh = np.append(True, np.diff(at) != 1)
+    new = np.arange(len(at)) + np.cumsum(fresh) - 1
+    out = np.full(len(at) + fresh.sum(), end, dtype=np.int64)
+    out[new] = value
+    return out, new, int(np.diff(np.append(np.flatnonzero(fresh), len(at))).max())
+
+
+def common_runs(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For every left place the longest run of values from it on that is a run on the right too. Sides are (ascending places,
+    values from 0); a run goes over neighbouring places. Work follows the number of places, however often values repeat."""
+    (a, new, m), (b, _, k) = _runs(*left, -2), _runs(*right, -1)
+    both, longest = np.concatenate([a, b]), min(m, k)
+    levels = [np.unique(both, return_inverse=True)[1]]  # classes of 1, 2, 4, ... values
+    while 1 << (len(levels) - 1) <= longest:
+        levels.append(_pairs(levels[-1], 1 << (len(levels) - 1)))
+    order = np.argsort(levels[-1], kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    from_right = order >= len(a)
+    before = np.maximum.accumulate(np.where(from_right, np.arange(len(order)), -1))
+    after = np.minimum.accumulate(np.where(from_right, np.arange(len(order)), len(order))[::-1])[::-1]
+    best = np.zeros(len(new), dtype=np.int64)
+    for near in (before[place[new]], after[place[new]]):
+        there = (near >= 0) & (near < len(order))
+        x, y = new[there], order[near[there]]
+        size, last = np.zeros(len(x), dtype=np.int64), len(both) - 1
+        for j in range(len(levels) - 2, -1, -1):
+            same = levels[j][np.minimum(x + size, last)] == levels[j][np.minimum(y + size, last)]
+            size += same.astype(np.int64) << j
+        best[there] = np.maximum(best[there], size)
+    return best
+
+
+class Hits(NamedTuple):
+    """What a document shares with the items: their names, intervals of words (start, length), the longest match and its place."""
+    items: set[str]
+    parts: list[tuple[int, int]]
+    longest: int
+    at: int | None
+
+    def joined(self, other: Hits) -> Hits:
+        longest, at = max((self.longest, self.at), (other.longest, other.at), key=lambda x: (x[0], -(x[1] or 0)))
+        parts: list[tuple[int, int]] = []
+        for a, n in sorted(self.parts + other.parts):
+            if parts and a <= sum(parts[-1]):
+                parts[-1] = (parts[-1][0], max(sum(parts[-1]), a + n) - parts[-1][0])
+            else:
+                parts.append((a, n))
+        return Hits(self.items | other.items, parts, longest, at)
+
+
+def matches(shard: Shard, block: Block, window: int) -> dict[int, Hits]:
+    """Per text of the shard that holds a window of the block: its hits."""
+    which, place = shard.find(block.flat, block.start, block.depth)
     if not len(which):
-        return []
-    text, offset = shard.text[place], start[which] - block.first[item[which]]
-    diagonal = place - offset
-    order = np.lexsort((offset, diagonal, item[which]))
-    which, place, text, offset, diagonal = (x[order] for x in (which, place, text, offset, diagonal))
-    fresh = np.ones(len(which), dtype=bool)
-    fresh[1:] = (item[which][1:] != item[which][:-1]) | (diagonal[1:] != diagonal[:-1]) | (offset[1:] != offset[:-1] + 1)
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(which)) - 1
-    length = place[end] + depth[which[end]] - place[begin]
-    return [(int(text[b]), block.items[item[which[b]]], int(place[b] - shard.first[text[b]]), int(n)) for b, n in zip(begin, length)]
+        return {}
+    n, depth = len(shard.word), block.depth[which]
+    marks = np.bincount(place, minlength=n + 1) - np.bincount(place + depth, minlength=n + 1)
+    edge = np.diff(np.append(0, np.cumsum(marks) > 0).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    found: dict[int, Hits] = {}
+    length = np.zeros(n, dtype=np.int64)
+    np.maximum.at(length, place, depth)
+    full = depth == window
+    if full.any():
+        at, value = place[full], which[full]
+        order = np.argsort(at)
+        wanted = np.zeros(len(block.start), dtype=bool)
+        wanted[value] = True
+        right = np.flatnonzero((block.chain >= 0) & wanted[block.chain])
+        length[at[order]] = common_runs((at[order], value[order]), (right, block.chain[right])) + window - 1
+    hit = np.flatnonzero(length)
+    hit = hit[np.lexsort((hit, -length[hit], shard.text[hit]))]
+    text, best = np.unique(shard.text[hit], return_index=True)
+    for t, p in zip(text.tolist(), hit[best].tolist()):
+        found[t] = Hits(set(), [], int(length[p]), p - int(shard.first[t]))
+    for t, a, e in zip(shard.text[begin].tolist(), begin.tolist(), end.tolist()):
+        found[t].parts.append((a - int(shard.first[t]), e - a))
+    sets = len(block.first) - 1
+    pairs = np.unique(shard.text[place] * sets + block.group[which])
+    size = np.diff(block.first)[pairs % sets]
+    named = np.unique(np.repeat(pairs // sets, size) * len(block.items) + block.held[_spread(block.first[pairs % sets], size)])
+    for t, i in zip((named // len(block.items)).tolist(), (named % len(block.items)).tolist()):
+        found[t].items.add(block.items[i])
+    return found
 
 
 def test_blocks(items: DataFrame, id: str, text: str, window: int, limit: int) -> Iterator[Block]:
-    """Blocks of at most `limit` words; a longer item goes on in the next block, `window` - 1 words back."""
-    names: list[str] = []
-    parts: list[np.ndarray] = []
-    for row in items.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).toLocalIterator():
-        data, at = tx.utf8(pa.array([row.text], pa.string()))
-        h, _ = _hash(data, at)
-        step = max(1, limit - window)
-        for k in range(0, max(1, len(h) - window + 1), step):
-            piece = h[k:k + step + window - 1]
-            if sum(map(len, parts)) + len(piece) > limit and parts:
-                yield _block(names, parts)
-                names, parts = [], []
-            names.append(row.id or "")
-            parts.append(piece)
-    if parts:
-        yield _block(names, parts)
+    """The items' windows in blocks of about `limit` words, made by tasks and read one at a time. An item longer than half a block
+    is cut into pieces that share `window` - 1 words."""
+    piece = max(1, limit // 2 - window + 1)
 
-
-def _block(names: list[str], parts: list[np.ndarray]) -> Block:
-    return Block(names, np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
-
-
-def _hits(batch: pa.RecordBatch, block: Block, window: int) -> tuple[list[list[dict]], np.ndarray]:
-    """Per row of the batch the matches with one block, and the number of words."""
-    data, at = tx.utf8(batch.column("text"))
-    found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-    count = np.zeros(batch.num_rows, dtype=np.int64)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = tx.utf8(b.column("text"))
+            for i, j in tx.runs(at):
+                h, first = _hash(data, at[i:j + 1])
+                names, parts = [], []
+                for name, x, y in zip(b.column("item").slice(i, j - i).to_pylist(), first[:-1], first[1:]):
+                    for k in range(x, max(x + (y > x), y - window + 1), piece):
+                        names.append(name)
+                        parts.append(h[k:min(y, k + piece + window - 1)].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], ["item", "words"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        b = pack(table["item"].to_pylist(), [np.frombuffer(x, dtype=np.uint64) for x in table["words"].to_pylist()], window)
+        return pa.table({"block": table["block"][:1], "items": pa.array([b.items], pa.list_(pa.string())),
+                         **{c: pa.array([getattr(b, c).tobytes()], pa.binary()) for c in Block._fields[1:]}})
+
+    rows = items.select(F.coalesce(F.col(id).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
+    pieces = written(rows.mapInArrow(split, "item string, words binary").distinct(), "test-words")
+    words = pieces.agg(F.sum(F.length("words")) / 8).first()[0] or 0
+    count = int(-(-2 * words // limit))
+    if count:
+        schema = "block int, items array<string>, " + ", ".join(f"{c} binary" for c in Block._fields[1:])
+        dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count)).cast("int"))
+        blocks = written(dealt.groupBy("block").applyInArrow(packed, schema), "test-blocks")
+        for k in range(count):
+            for r in blocks.where(F.col("block") == k).collect():
+                yield Block(r["items"], np.frombuffer(r["flat"], np.uint64), *(np.frombuffer(r[c], np.int64) for c in Block._fields[2:]))
+        remove(blocks)
+    remove(pieces)
+
+
+def _passes(items: DataFrame, id: str, text: str, window: int, limit: int) -> list[list[Broadcast]]:
+    """Blocks as sent to the workers, by pass. The driver holds one of them at a time."""
+    context = items.sparkSession.sparkContext
+    sent = [context.broadcast(b) for b in test_blocks(items, id, text, window, limit)]
+    return [sent[k:k + PASS_BLOCKS] for k in range(0, len(sent), PASS_BLOCKS)]
+
+
+def _shards(column: pa.Array, window: int) -> Iterator[tuple[int, np.ndarray, Shard | None]]:
+    """Runs of texts: index of the first text, words per text, suffix array (none without words)."""
+    data, at = tx.utf8(column)
     for i, j in tx.runs(at):
         h, first = _hash(data, at[i:j + 1])
-        count[i:j] = np.diff(first)
-        if len(h):
-            for t, item, a, n in matches(Shard(h, first, window), block, window):
-                found[i + t].append({"item": item, "start": a, "length": n})
-    return found, count
+        yield i, np.diff(first), Shard(h, first, window) if len(h) else None
 
 
 def find_matches(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: id, n_words and `hits`, its longest verbatim matches (item, first word, words)."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"),
-                       F.lit(0).cast("long").alias("n_words"), F.array().cast(HIT).alias("hits"))
-    context = docs.sparkSession.sparkContext
-    empty = Block([], np.zeros(0, np.uint64), np.zeros(1, np.int64))
-    for block in [*test_blocks(items, item_id, item_text, window, block_words)] or [empty]:
-        sent = context.broadcast(block)
+    """Per document: id, n_words, `items` (sorted names of those with a window in it), `hits` (intervals of words inside windows, apart
+    from each other), `longest` (words of the longest verbatim match, 0 if none) and `longest_at` (its first word, the first if several)."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
+                       F.array().cast("array<string>").alias("items"), F.array().cast(HITS).alias("hits"),
+                       F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_at"))
+    for sent in _passes(items, item_id, item_text, window, block_words) or [[]]:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    found, count = _hits(b, sent.value, window)
-                    before = b.column("hits").to_pylist()
-                    hits = pa.array([x + y for x, y in zip(before, found)], _HIT)
-                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(count), hits], ["id", "text", "n_words", "hits"])
+                    yield _searched(b, [s.value for s in sent], window)
             tx.trim()
 
         rows = rows.mapInArrow(run, rows.schema)
-    return rows.select(F.col("id").alias(id), "n_words", "hits")
-
-
-def contamination(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    return rows.drop("text").withColumnRenamed("id", id)
+
+
+def _searched(b: pa.RecordBatch, blocks: list[Block], window: int) -> pa.RecordBatch:
+    """The batch with what its texts share with the blocks added to what is known."""
+    before = zip(b.column("items").to_pylist(), b.column("hits").to_pylist(), b.column("longest").to_pylist(), b.column("longest_at").to_pylist())
+    rows = [Hits(set(names), [(h["start"], h["length"]) for h in hits], *best) for names, hits, *best in before]
+    words = np.zeros(b.num_rows, dtype=np.int64)
+    for i, count, shard in _shards(b.column("text"), window):
+        words[i:i + len(count)] = count
+        for block in blocks if shard else ():
+            for t, hits in matches(shard, block, window).items():
+                rows[i + t] = rows[i + t].joined(hits)
+    cols = [b.column("id"), b.column("text"), pa.array(words), pa.array([sorted(r.items) for r in rows], pa.list_(pa.string())),
+            pa.array([[{"start": a, "length": n} for a, n in r.parts] for r in rows], _HITS),
+            pa.array([r.longest for r in rows], pa.int64()), pa.array([r.at for r in rows], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+
+def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", **names) -> DataFrame:
     """Per document: id, n_words, n_hit (words inside matches), n_items, items_sha256, longest, longest_at, contaminated."""
-    found = find_matches(docs, items, **names)
-    id = found.columns[0]
-    schema = T.StructType([found.schema[0], *(T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "n_items")),
-                           T.StructField("items_sha256", T.StringType()), T.StructField("longest", T.LongType()),
-                           T.StructField("longest_at", T.LongType()), T.StructField("contaminated", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = hashlib.sha256(b"").hexdigest()
-        for b in batches:
-            out = [(0, 0, none, 0, None, False) if not hits else _summary(hits) for hits in b.column("hits").to_pylist()]
-            cols = list(zip(*out)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(id), b.column("n_words"), *(pa.array(c, t) for c, t in zip(cols, types))], schema.names)
-
-    return found.mapInArrow(run, schema)
-
-
-def _summary(hits: list[dict]) -> tuple[int, int, str, int, int, bool]:
-    end = n = 0
-    for a, m in sorted((h["start"], h["length"]) for h in hits):
-        n += max(0, a + m - max(a, end))
-        end = max(end, a + m)
-    items = sorted({h["item"] for h in hits})
-    best = max(hits, key=lambda h: (h["length"], -h["start"]))
-    return n, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), best["length"], best["start"], True
+    found = find_matches(docs, items, id, **names)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["length"])
+    return found.select(
+        id, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "longest", "longest_at", (F.size("hits") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                         window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any window of a test item, with all their columns as they were."""
-    context, rows = docs.sparkSession.sparkContext, docs
-    for block in test_blocks(items, item_id, item_text, window, block_words):
-        sent = context.broadcast(block)
+    rows = docs
+    for sent in _passes(items, item_id, item_text, window, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    found, _ = _hits(pa.RecordBatch.from_arrays([b.column(text)], ["text"]), sent.value, window)
-                    yield b.filter(pa.array([not x for x in found], pa.bool_()))
+                    clean = np.ones(b.num_rows, dtype=bool)
+                    for i, _, shard in _shards(b.column(text), window):
+                        for block in (s.value for s in sent if shard):
+                            clean[i + shard.text[shard.find(block.flat, block.start, block.depth)[1]]] = False
+                    yield b.filter(pa.array(clean))
             tx.trim()
 
         rows = rows.mapInArrow(run, docs.schema)

@@ -66,3 +66,60 @@ def test_order_of_suffixes():
     flat = np.concatenate([h[:120], [0], [0], h[120:], [0]]).tolist()
     keys = [tuple(flat[i:i + 8]) for i in shard.order]
     assert keys == sorted(keys) and sorted(shard.order.tolist()) == list(range(303))
+
+
+def test_longest_common_runs():
+    rng = random.Random(9)
+    for _ in range(60):
+        sides = []
+        for n in (30, 25):
+            at = sorted(rng.sample(range(40), rng.randrange(1, n)))
+            sides.append((np.array(at), np.array([rng.randrange(2) for _ in at])))
+        left, right = (dict(zip(at.tolist(), value.tolist())) for at, value in sides)
+
+        def reach(p, q):
+            k = 0
+            while p + k in left and left[p + k] == right.get(q + k):
+                k += 1
+            return k
+
+        assert dc.common_runs(*sides).tolist() == [max(reach(p, q) for q in right) for p in left]
+
+
+def test_windows_of_a_block():
+    """Every window of every item once, with the names of all items that hold it; equal items and names given twice."""
+    parts = [[5, 6, 7, 5, 6, 7], [5, 6], [6, 7, 5, 9], [], [5, 6], [7], [5, 6, 7]]
+    names = ["a", "b", "c", "d", "e", "a", "b"]
+    block = dc.pack(names, [np.array(x, dtype=np.uint64) for x in parts], 3)
+    want = {}
+    for name, x in zip(names, parts):
+        for k in range(max(1, len(x) - 2) if x else 0):
+            want.setdefault(tuple(x[k:k + 3]), set()).add(name)
+    got = {tuple(block.flat[a:a + n].tolist()): {block.items[i] for i in block.held[block.first[g]:block.first[g + 1]]}
+           for a, n, g in zip(block.start, block.depth, block.group)}
+    assert got == want and len(block.start) == len(want)
+
+
+def test_equal_words_over_and_over(spark):
+    """A text and an item of 100,000 equal words: marked by ranges, not pair by pair."""
+    import time
+    docs = spark.createDataFrame([(1, "z " * 100_000), (2, "q z " * 9), (3, "z " * 9 + "y")], "doc_id int, text string")
+    items = spark.createDataFrame([(k, "z " * n + "w") for k, n in enumerate((100_000, 12, 9))], "item_id int, text string")
+    begin = time.time()
+    rows = {r.doc_id: r for r in dc.contamination(docs, items).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].longest, rows[1].longest_at) == (100_000, 2, 100_000, 0)
+    assert [(rows[k].n_hit, rows[k].n_items, rows[k].longest, rows[k].longest_at) for k in (2, 3)] == [(0, 0, 0, None)] * 2
+    assert time.time() - begin < 30  # a few seconds; pairs would need 80 GB
+
+
+def test_many_blocks_in_several_passes(spark):
+    """More blocks than one pass takes give what one block gives; items of one text in a third of all rows."""
+    rng = random.Random(1)
+    draw = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    texts = [draw(40) for _ in range(60)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(k, texts[0]) for k in (None, 7, 7, *range(100, 130))], "item_id int, text string")
+    docs = spark.createDataFrame([(k, f"{draw(5)} {' '.join(texts[k % 60].split()[:30])} {draw(5)} {texts[0] if k % 3 else ''}") for k in range(90)], "doc_id int, text string")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "longest", "longest_at", "contaminated"]
+    one, many = (sorted(map(tuple, dc.contamination(docs, items, block_words=n).select(*cols).collect())) for n in (1 << 20, 300))
+    assert len(dc._passes(items, "item_id", "text", dc.WINDOW, 300)) > 1
+    assert one == many and all(r[2] >= 30 for r in one)
