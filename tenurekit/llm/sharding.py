@@ -2,7 +2,7 @@
 
 Rows are ordered by (hash of the text, hash of the id), so equal texts stand side by side. Keys are sampled in
 proportion to bytes, quantiles of the sample split the order into ranges, ranges that turn out overfull are split again
-by a denser sample of their own keys, and the exact bytes before each row (bytes of earlier ranges plus a window inside
+by ever denser samples of their own keys until none is left but such of one key, and the exact bytes before each row (bytes of earlier ranges plus a window inside
 its range) give its shard. Sizes of shards are equal to within one document; a group of equal texts is split only
 where the border of a shard falls into it. Rows equal in id and text are counted before any shuffle by range.
 
@@ -18,7 +18,6 @@ ROW_BYTES = 8  # what a row takes besides its text
 ROWS_A_RANGE = 100_000
 SAMPLES_A_RANGE = 16
 OVERFULL = 2.0  # times the mean bytes of a range
-SPLIT_ROUNDS = 3  # a range that stays overfull makes a longer task, not another result
 
 
 def _hex(c: Column) -> Column:
@@ -46,28 +45,32 @@ def _drawn(rows: DataFrame, rate: float, seed: int) -> DataFrame:
 
 
 def _quantiles(drawn: DataFrame, wanted: DataFrame | int) -> list[str]:
-    """Keys that cut each range's sample into `pieces` of equal weight; `wanted` has a row per range to cut, or is one number."""
+    """Keys that cut each range's sample into `pieces` of equal weight; `wanted` has a row per range to cut, or is one number.
+
+    A key that fills a piece is cut off behind as well: its successor is the key with one more character."""
     order = Window.partitionBy("range").orderBy("key")
-    piece = F.floor((F.sum("w").over(order) - F.col("w") / 2) * F.col("pieces") / F.sum("w").over(Window.partitionBy("range")))
+    place = lambda upto: F.floor(upto * F.col("pieces") / F.sum("w").over(Window.partitionBy("range")))
     cuts = (drawn.join(F.broadcast(wanted), "range") if isinstance(wanted, DataFrame) else drawn.withColumn("pieces", F.lit(wanted)))
-    cuts = (cuts.withColumn("piece", piece)
-            .groupBy("range", "piece").agg(F.min("key").alias("key")).where("piece > 0"))
-    return [r.key for r in cuts.select("key").collect()]  # at most `pieces` of each range
+    upto = F.sum("w").over(order)
+    cuts = cuts.withColumns({"piece": place(upto - F.col("w") / 2), "alone": place(upto) - place(upto - F.col("w")) > 1})
+    cuts = (cuts.groupBy("range", "piece").agg(F.min("key").alias("key"), F.max(F.when(F.col("alone"), F.col("key"))).alias("full"))
+            .select(F.explode(F.array(F.when(F.col("piece") > 0, F.col("key")), F.col("full"), F.concat("full", F.lit("0")))).alias("cut")))
+    return [r.cut for r in cuts.where("cut is not null").collect()]  # at most three of each piece
 
 
 def _splitters(keyed: DataFrame, total: int, n: int) -> list[str]:
-    whole = keyed.withColumn("range", F.lit(0))
-    bounds = sorted(set(_quantiles(_drawn(whole, n * SAMPLES_A_RANGE / total, 1), n)))
-    for k in range(SPLIT_ROUNDS):
+    whole, rate = keyed.withColumn("range", F.lit(0)), n * SAMPLES_A_RANGE / total
+    bounds, k = sorted(set(_quantiles(_drawn(whole, rate, 1), n))), 1
+    while True:  # once all keys of a range are drawn, each round cuts it
         ranged = keyed.withColumn("range", _range_of(F.col("key"), bounds))
         full = [r for r in ranged.groupBy("range").agg(F.sum("bytes").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi"))
                 .where((F.col("b") > OVERFULL * total / n) & (F.col("lo") < F.col("hi"))).collect()]
         if not full:
-            break
+            return bounds
+        k, rate = k + 1, 4 * rate
         pieces = keyed.sparkSession.createDataFrame([(r["range"], 1 + int(2 * r.b * n / total)) for r in full], "range int, pieces int")
         again = ranged.where(F.col("range").isin([r["range"] for r in full]))
-        bounds = sorted({*bounds, *_quantiles(_drawn(again, (k + 2) * n * SAMPLES_A_RANGE / total, k + 2), pieces)})
-    return bounds
+        bounds = sorted({*bounds, *_quantiles(_drawn(again, rate, k), pieces)})
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,6 +1,9 @@
+import hashlib
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tenurekit.llm import sharding
 
 
@@ -41,3 +44,15 @@ def test_few_rows(spark):
     docs = spark.createDataFrame([], "doc_id int, text string")
     assert sharding.assign_shards(docs).count() == 0
     assert [r.slot for r in sharding.assign_shards(spark.createDataFrame([(1, None)], "doc_id int, text string")).collect()] == [0]
+
+
+def test_no_range_stays_overfull(spark):
+    """Keys of very unequal weight, two of them with nearly all bytes: only ranges of one key may be left above the limit."""
+    weights = [1] * 3000 + [10] * 200 + [400_000, 600_000, 9_000, 9_000]
+    keyed = spark.createDataFrame([(w, hashlib.md5(str(k).encode()).hexdigest()) for k, w in enumerate(weights)], "bytes long, key string")
+    total, n = sum(weights), 50
+    bounds = sharding._splitters(keyed, total, n)
+    ranged = keyed.withColumn("range", sharding._range_of(F.col("key"), bounds)).groupBy("range").agg(F.sum("bytes").alias("b"), F.countDistinct("key").alias("keys"))
+    rows = ranged.collect()
+    assert not [r for r in rows if r.b > sharding.OVERFULL * total / n and r["keys"] > 1]
+    assert sum(r["keys"] for r in rows) == len(weights) and len(bounds) == len(set(bounds))
