@@ -85,6 +85,31 @@ def cohort_facts(numbered: DataFrame, members: DataFrame, now: Column, p: Params
         (cum / F.col("payers")).alias("payer_ltv"))
 
 
+def fact_totals(facts: DataFrame, anchor: int = 3) -> DataFrame:
+    """Totals of the cohort facts in long form: first payers, payments, revenue, value per payer at the anchor rebill (if reached)."""
+    last = F.max_by("cumulative_revenue", "rebill_number")
+    at = F.max(F.when(F.col("rebill_number") == anchor, F.col("payer_ltv")))
+    g = facts.groupBy("cohort").agg(F.max("payers").alias("payers"), F.sum("active_users").alias("payments"), last.alias("revenue"), at.alias("anchor"))
+    return _long(g)
+
+
+def payment_totals(numbered: DataFrame, members: DataFrame, now: Column, p: Params, anchor: int = 3, key: str = "sub_id") -> DataFrame:
+    """The same totals straight from the payments of each key, without facts, grids or running sums."""
+    age = F.floor(whole_days(F.col("cohort").cast("timestamp"), now) / F.lit(float(p.period_days)))
+    j = numbered.join(members.select(key, "cohort"), key).where(F.col("rebill_number") <= F.greatest(F.lit(0).cast("bigint"), age - 2))
+    per = j.groupBy("cohort", key).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("m"), F.max("rebill_number").alias("last"),
+                                       F.sum(F.when(F.col("rebill_number") <= anchor, F.col("amount"))).alias("to_anchor"))
+    g = per.groupBy("cohort").agg(F.count(F.lit(1)).alias("payers"), F.sum("n").alias("payments"), F.sum("m").alias("revenue"),
+                                  F.when(F.max("last") >= anchor, F.sum("to_anchor") / F.count(F.lit(1))).alias("anchor"))
+    return _long(g)
+
+
+def _long(totals: DataFrame) -> DataFrame:
+    names = ("payers", "payments", "revenue", "anchor")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))
+    return totals.select("cohort", each.alias("_m")).select("cohort", "_m.*").where("value is not null")
+
+
 def admitted(facts: DataFrame, min_payers: int = 15, min_mature: int = 3) -> DataFrame:
     """Facts of cohorts with enough first payers and enough mature rebills."""
     return facts.where((F.col("payers") >= min_payers) & (F.col("max_mature") >= min_mature))

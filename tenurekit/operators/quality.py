@@ -138,6 +138,16 @@ def reconcile(metrics: DataFrame, expected: Mapping[str, float], tol: float = 1e
     return out.withColumn("ok", F.coalesce(F.abs(F.col("value") - F.col("expected")) <= tol, F.lit(False)))
 
 
+def reconcile_tables(metrics: DataFrame, expected: DataFrame, keys: Sequence[str] = (), rel: float = 1e-9) -> DataFrame:
+    """Metrics of two computations of the same data, per key. Both tables: keys, metric, value; one row each. A metric that only one
+    side has, or whose value is null on one side, is not ok; null keys are keys. The tolerance is relative, and absolute below 1."""
+    by = [*keys, "metric"]
+    both = metrics.select(*by, "value", F.lit(True).alias("_got")).unionByName(expected.select(*by, "value", F.lit(False).alias("_got")))
+    out = both.groupBy(*by).agg(F.max(F.when(F.col("_got"), F.col("value"))).alias("value"), F.max(F.when(~F.col("_got"), F.col("value"))).alias("expected"))
+    near = F.abs(F.col("value") - F.col("expected")) <= rel * F.greatest(F.lit(1.0), F.abs("expected"))
+    return out.withColumn("ok", F.coalesce(near, F.lit(False)))
+
+
 def source_gap(a: DataFrame, b: DataFrame, key: str, gate_pct: float = 1.5) -> DataFrame:
     """Net of two sources over the keys of the first, and the mean per payer.
 

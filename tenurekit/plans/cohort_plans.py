@@ -8,6 +8,7 @@ from tenurekit.operators import calibrate as C
 from tenurekit.operators import cohorts as K
 from tenurekit.operators import hazard as H
 from tenurekit.operators import ladder as L
+from tenurekit.operators import quality as Z
 from tenurekit.params import ORDERS
 from tenurekit.params import ORDERS_WEB as P
 from tenurekit.plans import sql as Q
@@ -171,6 +172,23 @@ def pooled_curve(spark, d):
     return K.pooled_curve(facts(spark, d)).withColumn("payer_ltv", r6("payer_ltv"))
 
 
+FACT_TOTALS = f"""{GO}, fv AS (SELECT cohort, max(payers) AS payers, sum(active_users) AS payments, arg_max(cumr, rebill_number) AS revenue, max(cumr / payers) FILTER (rebill_number = 3) AS anchor FROM cf GROUP BY 1),
+ fk AS (SELECT cohort, sub_id, count(*) AS n, sum(amount) AS m, max(rebill_number) AS last, sum(amount) FILTER (rebill_number <= 3) AS t FROM pr JOIN cz USING (cohort) WHERE rebill_number <= max_mature GROUP BY 1, 2),
+ fe AS (SELECT cohort, count(*) AS payers, sum(n) AS payments, sum(m) AS revenue, CASE WHEN max(last) >= 3 THEN sum(t) / count(*) END AS anchor FROM fk GROUP BY 1),
+ fa AS (SELECT * FROM (SELECT cohort, payers::DOUBLE AS payers, payments::DOUBLE AS payments, revenue::DOUBLE AS revenue, anchor::DOUBLE AS anchor FROM fv) UNPIVOT (value FOR metric IN (payers, payments, revenue, anchor))),
+ fb AS (SELECT * FROM (SELECT cohort, payers::DOUBLE AS payers, payments::DOUBLE AS payments, revenue::DOUBLE AS revenue, anchor::DOUBLE AS anchor FROM fe) UNPIVOT (expected FOR metric IN (payers, payments, revenue, anchor)))
+ SELECT cohort, metric, round(value, 4) AS value, round(expected, 4) AS expected, coalesce(abs(value - expected) <= 1e-9 * greatest(1, abs(expected)), false) AS ok FROM fa FULL JOIN fb USING (cohort, metric)"""
+
+
+@query("facts_reconciliation", "Q5 P10", FACT_TOTALS)
+def facts_reconciliation(spark, d):
+    """The cohort facts against the payments themselves, at any scale."""
+    e = golden(spark, d)
+    plain = K.payment_totals(K.numbered_payments(e, BASE, PRICE, TOL, P), members(spark, d, e), L.snapshot(e), P)
+    out = Z.reconcile_tables(K.fact_totals(facts(spark, d)), plain, ["cohort"])
+    return out.withColumns({"value": F.round("value", 4), "expected": F.round("expected", 4)})
+
+
 # ------------------------------------------------------------------ calibration
 POOL = f"""{GO}, ad AS (SELECT * FROM cf WHERE payers >= 15 AND max_mature >= 3),
  ph0 AS (SELECT cohort, rebill_number AS k, active_users AS cur, lag(active_users) OVER (PARTITION BY cohort ORDER BY rebill_number) AS prv FROM ad),
