@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import add_unit, interval_word, lookup, null_token
-from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.ordered import Ordered, cut
 from tenurekit.functions.ranks import percentiles
 from tenurekit.params import Params
 
@@ -418,6 +418,7 @@ def canonical_starts(created: DataFrame, converted: DataFrame, activated: DataFr
 
 
 # ------------------------------------------------------------------ payload profiles
+# what the recursive query still has to open of a text that the fixed levels below don't exhaust
 _LEAVES = """
 WITH RECURSIVE t(k, path, v, done) AS (
   SELECT k, '' AS path, v, false AS done FROM {texts}
@@ -427,23 +428,55 @@ WITH RECURSIVE t(k, path, v, done) AS (
     CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END, e.pos IS NULL
   FROM t, LATERAL variant_explode_outer(t.v) e WHERE NOT t.done)
 SELECT k, path, CAST(v AS STRING) AS value, v IS NULL AS unread FROM t WHERE done"""
+# one level more of every open value; a leaf stays as it is
+_LEVEL = """
+SELECT t.k, CASE WHEN e.pos IS NULL THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[]')
+  ELSE concat(t.path, CASE WHEN t.path = '' THEN '' ELSE '.' END, regexp_replace(e.key, :dynamic, '*')) END AS path,
+  CASE WHEN e.pos IS NULL THEN t.v ELSE e.value END AS v, e.pos IS NULL AS done
+FROM {t} t, LATERAL variant_explode_outer(CASE WHEN t.done THEN NULL ELSE t.v END) e"""
+LEVELS = 12  # levels opened by one pass without a shuffle; deeper texts go through the recursive query
+
+
+def _depth(text: Column, most: int) -> Column:
+    """How deep objects and lists of a JSON text are nested, `most` + 1 for all that are deeper. Of the text only brackets outside of
+    strings are left; taking out all empty pairs lowers the depth by one."""
+    whole = F.when(F.instr(text, "\\") > 0, F.regexp_replace(text, r"(?s)\\.", "")).otherwise(text)
+    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r'[^\[\]{}"]+', ""), '"[^"]*"', ""), '"', "")
+    start = F.struct(left.alias("left"), F.lit(0).alias("n"))
+    deeper = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, i: F.when(s["left"] == "", s).otherwise(
+        F.struct(F.regexp_replace(s["left"], r"\[\]|\{\}", "").alias("left"), (s["n"] + 1).alias("n"))),
+        lambda s: F.when(s["left"] == "", s["n"]).otherwise(most + 1))
+    return F.when(text.isNull(), 0).otherwise(deeper)
 
 
 def json_leaves(raw: DataFrame, keys: Sequence[str], column: str = "data",
                 dynamic: str = "^[A-Za-z]*_?[0-9][0-9-]*$") -> DataFrame:
     """(keys, path, value, readable) for every leaf of a JSON text; key names that look like ids become `*`, list items add `[]`.
 
-    A recursive query opens one level of all texts at a time and ends with the data. Values are the text of the leaf as a variant writes
-    it (2.50 is 2.5, 1e3 is 1000.0), null for null; an empty object or list is one leaf. A null text is one leaf without value at the
-    empty path; so is a text that no variant can hold, with the text as value and `readable` false: no JSON, a key twice in an object, or
-    nested more than 1,000 deep. Takes the limits off the session's recursive queries."""
+    The texts are written once and their depth is counted; then as many levels are opened as the deepest text has, in one pass without a
+    shuffle. Texts of more than LEVELS levels go through a recursive query, which ends with the data. Values are the text of the leaf as
+    a variant writes it (2.50 is 2.5, 1e3 is 1000.0), null for null; an empty object or list is one leaf. A null text is one leaf without
+    value at the empty path; so is a text that no variant can hold, with the text as value and `readable` false: no JSON, a key twice in
+    an object, or nested more than 1,000 deep. Takes the limits off the session's recursive queries."""
     spark = raw.sparkSession
-    for limit in ("Level", "Row"):
-        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
-    rows = raw.select(*keys, F.col(column).cast("string").alias("_text")).withColumn("v", F.try_parse_json("_text"))
-    # only what can't be read takes its text along
-    texts = rows.select(F.struct(*keys, F.when(F.col("v").isNull(), F.col("_text")).alias("_text")).alias("k"), "v")
-    found = spark.sql(_LEAVES, {"dynamic": dynamic}, texts=texts)
+    rows = cut(raw.select(*keys, F.col(column).cast("string").alias("_text")))
+    levels = rows.agg(F.max(_depth(F.col("_text"), LEVELS))).first()[0] or 0
+
+    def opened(texts: DataFrame) -> DataFrame:
+        r = texts.withColumn("v", F.try_parse_json("_text"))
+        # only what can't be read takes its text along
+        return r.select(F.struct(*keys, F.when(F.col("v").isNull(), F.col("_text")).alias("_text")).alias("k"), "v")
+
+    shallow = rows if levels <= LEVELS else rows.where(_depth(F.col("_text"), LEVELS) <= LEVELS)
+    t = opened(shallow).select("k", F.lit("").alias("path"), "v", F.lit(False).alias("done"))
+    for _ in range(min(levels, LEVELS)):
+        t = spark.sql(_LEVEL, {"dynamic": dynamic}, t=t)
+    found = t.select("k", "path", F.col("v").cast("string").alias("value"), F.col("v").isNull().alias("unread"))
+    if levels > LEVELS:
+        for limit in ("Level", "Row"):
+            spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
+        deep = rows.where(_depth(F.col("_text"), LEVELS) > LEVELS)
+        found = found.unionByName(spark.sql(_LEAVES, {"dynamic": dynamic}, texts=opened(deep)))
     bad = F.col("unread") & F.col("k._text").isNotNull()
     return found.select(*[F.col("k")[c].alias(c) for c in keys], "path", F.when(bad, F.col("k._text")).otherwise(F.col("value")).alias("value"), (~bad).alias("readable"))
 

@@ -23,6 +23,18 @@ def test_leaves_of_any_depth_and_in_lists(spark):
         (6, "", '{"q": 1}', True), (7, "[]", "1", True), (7, "[][]", "2", True), (7, "[][]", "x", True), (8, "", "None", True), (9, "", '{"a": 1, "a": 2}', False), (10, "", "", False)])
 
 
+def test_leaves_need_no_shuffle_and_deep_texts_keep_theirs(spark):
+    quoted = '{"a": "[{[{", "b\\\\": "\\"}}]", "c": [{"d": "\\\\"}]}'
+    df = spark.createDataFrame([(0, quoted)], "event_id int, data string")
+    found = C.json_leaves(df, ["event_id"])
+    assert sorted((r.path, r.value) for r in found.collect()) == [("a", "[{[{"), ("b\\", '"}}]'), ("c[].d", "\\")]
+    plan = found._jdf.queryExecution().toString()
+    assert "UnionLoop" not in plan and "Exchange" not in plan
+    both = leaves(spark, '{"d":' * 30 + "5" + "}" * 30, quoted, "[" * 13 + "7" + "]" * 13, "}{", "{" * 20)
+    assert both == sorted([(0, ".".join("d" * 30), "5", True), (1, "a", "[{[{", True), (1, "b\\", '"}}]', True), (1, "c[].d", "\\", True), (2, "[]" * 13, "7", True),
+                           (3, "", "}{", False), (4, "", "{" * 20, False)])
+
+
 @pytest.mark.parametrize("a,b,same", [
     ('{"x":{"p":1,"q":[2,3]},"n":1}', '{"n":9,"x":{"q":[2,3],"p":1}}', True),  # order of keys, and the volatile key
     ('{"x":{"n":1}}', '{"x":{"n":2}}', False),  # the volatile key counts at the top only
