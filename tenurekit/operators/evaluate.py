@@ -99,10 +99,11 @@ def loo_hazard(rates: DataFrame, folds: DataFrame) -> DataFrame:
 def loo_fit(mx: DataFrame, p: Params, folds: DataFrame, crash: DataFrame | None = None,
             donor: DataFrame | None = None, splice: bool = False, levers: Sequence[str] | None = None) -> H.State:
     """One state per fold, each without that fold's application."""
-    h = loo_hazard(H.app_step_rates(mx, p), folds)
+    h = loo_hazard(V.cut(H.app_step_rates(mx, p)), folds)
     if splice:
-        h = H.splice_hazard(h, p, donor, ["fold"])
-    cells = without_own(H.clean_cells(mx, p, crash, keep=["app_id"]), folds, ["n", "died"])
+        h = H.splice_hazard(V.cut(h), p, donor, ["fold"])
+    h = V.cut(h)
+    cells = without_own(V.cut(H.clean_cells(mx, p, crash, keep=["app_id"])), folds, ["n", "died"])
     return H.State(h, H.residual_multipliers(cells, h, p, ["fold"], levers))
 
 
@@ -155,27 +156,28 @@ def _curves(cells: DataFrame, mix: DataFrame, state: H.State, p: Params, levers,
 
 def cohort_folds(web: V.Web, p: Params, donor: DataFrame, weeks: Sequence[int], offsets: Sequence[int],
                  min_subs: int = 100, min_mature: int = 30, levers: Sequence[str] | None = None) -> DataFrame:
-    """Leave-one-cohort-out: pooled curve against the cohort's own curve, in survival and money."""
+    """Leave-one-cohort-out: pooled curve against the cohort's own curve, in survival and money. What
+    is used more than once is written, so that no plan holds another step's plan several times."""
     mx, train = web.mx, L.training_rows(web.mx)
-    folds = S.payers(mx).where(F.col("payers") >= min_subs)
+    folds = V.cut(S.payers(mx).where(F.col("payers") >= min_subs))
     state = loo_fit(train, p, folds, donor=donor, splice=True, levers=levers)
-    state = H.State(V.cut(state.hazard), V.cut(state.mult))
-    cells, mix = _visible_cells(mx, p, weeks, p.levers)
+    state = H.State(state.hazard, V.cut(state.mult))
+    cells, mix = (V.cut(x) for x in _visible_cells(mx, p, weeks, p.levers))
     own = folds.select("app_id")
     mix_own = mix.join(own, "app_id", "left_semi").withColumnRenamed("app_id", "fold")
     enough = mix_own.groupBy("fold", "weeks").agg(F.sum("w").alias("subs")).where(F.col("subs") >= min_subs // 2)
     cells_own = cells.join(own, "app_id", "left_semi").withColumnRenamed("app_id", "fold")
-    v3 = _curves(cells_own, mix_own, state, p, levers, "v3")
-    pc, pm = _visible_cells(train, p, weeks, p.levers)
-    v2 = _curves(without_own(pc, folds, ["n", "died"]), without_own(pm, folds, ["w"]), state, p, levers, "v2")
+    v3 = V.cut(_curves(cells_own, mix_own, state, p, levers, "v3"))
+    pc, pm = (V.cut(x) for x in _visible_cells(train, p, weeks, p.levers))
+    v2 = V.cut(_curves(V.cut(without_own(pc, folds, ["n", "died"])), V.cut(without_own(pm, folds, ["w"])), state, p, levers, "v2"))
     act = S.direct_survival(mx, p, offset=p.return_periods).withColumnRenamed("app_id", "fold")
     act = act.where((F.col("mature") >= min_mature) & (F.col("fact") > 0)).select("fold", "k", F.col("mature").alias("n_mature"), F.col("fact").alias("actual"))
     t = enough.select("fold", "weeks").withColumn("horizon_offset", weeks_array(offsets)).withColumn("k", F.col("weeks") + F.col("horizon_offset"))
     t = t.join(act, ["fold", "k"]).join(v3, ["fold", "weeks", "k"], "left").join(v2, ["fold", "weeks", "k"], "left")
     # money on the same folds
-    people = web.pop.join(mx.select(F.col("sub_id").alias("session_id"), "app_id").distinct(), "session_id").withColumnRenamed("app_id", "fold")
-    pair = ltv_pairs(web, people, p, weeks, offsets, min_mature)
-    obs = V.checkpoint_observations(web.events, web.pop, V.base_ladder(web.events, p), p)
+    people = V.cut(web.pop.join(mx.select(F.col("sub_id").alias("session_id"), "app_id").distinct(), "session_id").withColumnRenamed("app_id", "fold"))
+    pair = V.cut(ltv_pairs(web, people, p, weeks, offsets, min_mature))
+    obs = V.cut(V.checkpoint_observations(web.events, web.pop, V.base_ladder(web.events, p), p))
     rate = V.attach_rates(obs, people.withColumn("has_base", F.lit(True)), p, ["fold"]).select("fold", "share_ups")
     share = people.groupBy("fold").agg(F.avg(F.col("has_base").cast("double")).alias("share_base"))
     both = v3.join(v2, ["fold", "weeks", "k"]).join(rate, "fold").join(share, "fold").where(F.col("k") > F.col("weeks"))

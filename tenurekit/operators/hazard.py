@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import billday_bin, clip
+from tenurekit.functions.ordered import cut
 from tenurekit.params import Params
 
 
@@ -108,22 +108,24 @@ def residual_multipliers(cells: DataFrame, hazard: DataFrame, p: Params, by: Seq
     then folded into the expectation of the next lever. Rare categories share `other`.
 
     Per lever the cells are summed to one row per raw category, which combines before the shuffle; the
-    small table of multipliers is joined back. The result has one row per raw category."""
+    small table of multipliers is joined back. The result has one row per raw category. The cells and
+    the multipliers of every lever are written, so that a lever's plan does not hold those before it."""
     levers = list(levers if levers is not None else p.levers)
     c = cells.join(hazard.select(*by, "step_k", "h"), [*by, "step_k"], "left")
     c = c.withColumn("_exp", F.col("n") * F.col("h")).withColumn("_en", F.when(F.col("h").isNotNull(), F.col("n")))
     c = c.select(*by, *dict.fromkeys(levers), "n", "died", "_exp", "_en")
+    c = cut(c) if levers else c
     out = None
     for lever in levers:
         raw = c.groupBy(*by, lever).agg(*[F.sum(m).alias(m) for m in ("n", "died", "_exp", "_en")])
         raw = raw.withColumn("cat", F.when(F.col("n") < p.min_rows, "other").otherwise(F.col(lever)))
         cat = raw.groupBy(*by, "cat").agg(clip(F.try_divide(
             F.sum("died") / F.sum("n"), F.try_divide(F.sum("_exp"), F.sum("_en"))), *p.clip).alias("mult"))
-        raw = match(raw, cat, [*by, "cat"]).select(*by, F.lit(lever).alias("lever"), F.col(lever).alias("raw"), "cat", "mult", "n").persist(StorageLevel.DISK_ONLY)
+        raw = cut(match(raw, cat, [*by, "cat"]).select(*by, F.lit(lever).alias("lever"), F.col(lever).alias("raw"), "cat", "mult", "n"))
         out = raw if out is None else out.unionByName(raw)
         if lever != levers[-1]:
             c = match(c, raw.select(*by, F.col("raw").alias(lever), "mult"), [*by, lever])
-            c = c.withColumn("_exp", F.col("_exp") * F.coalesce("mult", F.lit(1.0))).drop("mult").persist(StorageLevel.DISK_ONLY)
+            c = cut(c.withColumn("_exp", F.col("_exp") * F.coalesce("mult", F.lit(1.0))).drop("mult"))
     if out is None:
         return cells.sparkSession.createDataFrame([], "lever string, raw string, cat string, mult double, n bigint")
     return out
