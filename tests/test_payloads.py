@@ -35,6 +35,13 @@ def test_leaves_need_no_shuffle_and_deep_texts_keep_theirs(spark):
                            (3, "", "}{", False), (4, "", "{" * 20, False)])
 
 
+def test_exact_copies_by_hash(spark):
+    got = C.dedup_exact(spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (2, None), (2, None), (3, "z")], "event_id int, data string"))
+    assert sorted((r.event_id, str(r.data)) for r in got.collect()) == [(1, "x"), (1, "y"), (2, "None"), (3, "z")]
+    plain = C.dedup_exact(spark.createDataFrame([(1, "x"), (2, "x")], "event_id int, data string"))
+    assert plain.count() == 2 and "Aggregate" not in plain._jdf.queryExecution().toString()  # rows without a copy are not grouped
+
+
 @pytest.mark.parametrize("a,b,same", [
     ('{"x":{"p":1,"q":[2,3]},"n":1}', '{"n":9,"x":{"q":[2,3],"p":1}}', True),  # order of keys, and the volatile key
     ('{"x":{"n":1}}', '{"x":{"n":2}}', False),  # the volatile key counts at the top only
