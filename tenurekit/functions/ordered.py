@@ -1,11 +1,12 @@
 """Ordered scans per key that survive a key holding a large share of all rows.
 
-A window partitioned by key puts a whole key into one task. `Ordered` range-partitions the rows by
-key, time and tie-break, so that a key, a day or an instant with very many rows spans several
-partitions. The window runs per (key, partition); one summary row for each carries counts, sums and
-edge values forward, and is joined back. Null keys are keys like any other, null times come first.
-Nothing runs before the result is used. The partitioned rows are persisted on disk, so all readers
-see one partitioning; a lost part is made again from the same range bounds.
+A window partitioned by key puts a whole key into one task. `Ordered` cuts the keys that hold more than
+one of `slices` equal parts of the rows into slices by time and tie-break, so that a key, a day or an
+instant with very many rows spans several tasks; all other keys are one slice, numbered 0. The window
+runs per (key, slice), which is one shuffle of the rows; one summary row for each slice of a key that
+was cut carries counts, sums and edge values forward, and is joined back. Null keys are keys like any
+other, null times come first. Nothing runs before the result is used. The rows are persisted on disk,
+so that all readers see the same ones; where a key is cut follows from the rows alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 
 BLOCK, LEVELS = 32, 3  # rows of a block of an affine scan, levels of blocks
+BINS, PICKS = 4096, 16  # bins of keys in the search for large ones, sampled rows in a slice of such a key
 _LOCAL_DIR: str | None = None
 
 
@@ -55,7 +57,8 @@ def until_exit(spark, path: str) -> None:
 class Ordered:
     """Window columns over rows of one key in time order; ties are broken by `order`.
 
-    `slices` is the number of range partitions; left out, `default_slices` or the session decides."""
+    `slices` is the number of parts of the rows of which a key may hold one uncut; left out, `default_slices` or the
+    session's number of shuffle partitions."""
 
     default_slices: int | None = None
 
@@ -64,10 +67,31 @@ class Ordered:
 
     def open(self, df: DataFrame) -> DataFrame:
         """The rows dealt into slices; several `add` calls on them share one partitioning."""
-        by = [F.col(c) for c in (*self.keys, *self.order)]
-        dealt = df.repartitionByRange(self.slices, *by) if self.slices else df.repartitionByRange(*by)
+        rows = df.persist(StorageLevel.DISK_ONLY)
+        cuts = F.broadcast(self._cuts(rows))
+        at = F.struct(*[F.col(c) for c in self.order])
+        before = F.size(F.filter("_at", lambda x: x <= at)) + 1
+        dealt = rows.join(cuts, F.struct(*self.keys) == F.col("_of"), "left")
         # a struct is never null itself, and two structs are equal where their fields are null together
-        return dealt.withColumns({"_key": F.struct(*self.keys), "_slice": F.spark_partition_id()}).persist(StorageLevel.DISK_ONLY)
+        return dealt.select(*df.columns, F.struct(*self.keys).alias("_key"), F.when(F.col("_at").isNull(), 0).otherwise(before).alias("_slice"))
+
+    def _cuts(self, rows: DataFrame) -> DataFrame:
+        """Of each key above its part of the rows (at most `slices` keys): `_of`, and in `_at` the first place of every slice but one.
+
+        Keys are counted in bins first; of bins above the part, rows picked by a hash are collected, some PICKS for a slice."""
+        slices = self.slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = F.struct(*[F.col(c) for c in self.order])
+        bins = rows.groupBy(F.pmod(F.xxhash64(*self.keys), F.lit(BINS)).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        part = F.ceil(F.sum("_n") / slices)
+        found = bins.agg(part.alias("part"), F.collect_list(F.struct("_b", "_n")).alias("all"))
+        found = found.select(F.struct("part", F.greatest(F.lit(1), F.floor(F.col("part") / PICKS)).alias("every"), F.transform(
+            F.filter("all", lambda x: x["_n"] > F.col("part")), lambda x: x["_b"]).alias("large")).alias("f")).scalar()
+        picked = rows.select(F.struct(*self.keys).alias("_of"), at.alias("_p"), F.xxhash64(*self.keys).alias("_h"), found.alias("_f")).where(
+            F.array_contains("_f.large", F.pmod("_h", F.lit(BINS))))
+        picked = picked.where(F.pmod(F.xxhash64("_p"), F.col("_f.every")) == 0)
+        each = picked.groupBy("_of").agg(F.sort_array(F.collect_list("_p")).alias("_s"), F.first(F.floor(F.col("_f.part") / F.col("_f.every"))).alias("_m"))
+        first = F.filter("_s", lambda x, i: (i > 0) & (i % F.col("_m") == 0))
+        return each.where(F.size("_s") > F.col("_m")).select("_of", first.alias("_at"))
 
     def close(self, df: DataFrame) -> DataFrame:
         return df.drop("_key", "_slice")
@@ -86,14 +110,14 @@ class Ordered:
         for group in (prev, next, last_before, running_sum, running_min):
             src |= {f"_v_{n}": c for n, c in group.items()}
         opened = "_slice" in df.columns
-        rows = df.withColumns(src).persist(StorageLevel.DISK_ONLY) if opened else self.open(df.withColumns(src))
+        rows = df.withColumns(src) if opened else self.open(df.withColumns(src))
         part = ["_key", "_slice"]
         order = F.struct(*[F.col(c) for c in self.order])
 
         def v(n):
             return F.col(f"_v_{n}")
 
-        # one summary row per key and slice
+        # one summary row per slice of a key that was cut
         edge = [F.lit(1).alias("_one")]
         edge += [F.max_by(F.struct(v(n).alias("x")), order).alias(f"_e_{n}") for n in prev]
         edge += [F.min_by(F.struct(v(n).alias("x")), order).alias(f"_e_{n}") for n in next]
@@ -108,7 +132,7 @@ class Ordered:
         carried |= {f"_c_{n}": F.last(f"_e_{n}", ignorenulls=True).over(earlier) for n in last_before}
         carried |= {f"_c_{n}": F.sum(f"_e_{n}").over(earlier) for n in running_sum}
         carried |= {f"_c_{n}": F.min(f"_e_{n}").over(earlier) for n in running_min}
-        edges = rows.groupBy(*part).agg(*edge[1:] or edge).withColumns(carried).select(*part, *carried)
+        edges = rows.where("_slice > 0").groupBy(*part).agg(*edge[1:] or edge).withColumns(carried).select(*part, *carried)
 
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,7 +143,8 @@ class Ordered:
         local |= {f"_l_{n}": F.last(v(n), ignorenulls=True).over(before) for n in last_before}
         local |= {f"_l_{n}": F.sum(v(n)).over(upto) for n in running_sum}
         local |= {f"_l_{n}": F.min(v(n)).over(upto) for n in running_min}
-        out = rows.withColumns(local).join(edges, part)
+        # at most two or so for each of `slices`, which bounds the broadcast
+        out = rows.withColumns(local).join(F.broadcast(edges), part, "left")
 
         def both(n):
             return F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}"))

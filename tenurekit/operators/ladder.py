@@ -21,9 +21,9 @@ def payment_ladder(pays: DataFrame, p: Params, key: str = "sub_id") -> DataFrame
     """Kept payments with step_k, next_ts and days_to_next. A payment is dropped when the payment
     just before it, kept or not, is at most `dedup_days` older."""
     scan = Ordered([key], "ts", ["tie"])
-    gap = scan.add(pays, prev={"_prev_ts": F.col("ts")})
+    gap = scan.add(scan.open(pays), prev={"_prev_ts": F.col("ts")})
     kept = gap.where(F.col("_prev_ts").isNull() | (days_between("_prev_ts", "ts") > p.dedup_days)).drop("_prev_ts")
-    out = scan.add(kept, row_no="step_k", next={"next_ts": F.col("ts")})
+    out = scan.close(scan.add(kept, row_no="step_k", next={"next_ts": F.col("ts")}))
     return out.withColumn("days_to_next", days_between("ts", "next_ts"))
 
 
@@ -39,7 +39,7 @@ def step_flags(events: DataFrame, p: Params, key: str = "sub_id", carry: Sequenc
           .select(key, "ts", "tie", "kind", *carry)
           .withColumn("_rank", F.when(is_pay, 1).otherwise(0)))
     scan = Ordered([key], "ts", ["_rank", "tie"])
-    ev = scan.add(ev, last_before={"_prev_pay": F.when(is_pay, F.col("ts"))})
+    ev = scan.add(scan.open(ev), last_before={"_prev_pay": F.when(is_pay, F.col("ts"))})
     kept = is_pay & (F.col("_prev_pay").isNull() | (days_between("_prev_pay", "ts") > p.dedup_days))
     ev = ev.withColumn("_kept", kept).where(~is_pay | F.col("_kept"))
     ev = scan.add(ev, running_sum={"step_k": F.col("_kept").cast("bigint")}).where("step_k >= 1")
