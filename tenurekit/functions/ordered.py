@@ -68,7 +68,7 @@ class Ordered:
     def open(self, df: DataFrame) -> DataFrame:
         """The rows dealt into slices; several `add` calls on them share one partitioning."""
         rows = df.persist(StorageLevel.DISK_ONLY)
-        cuts = F.broadcast(self._cuts(rows))
+        cuts = F.broadcast(self._cuts(rows).persist(StorageLevel.DISK_ONLY))
         at = F.struct(*[F.col(c) for c in self.order])
         before = F.size(F.filter("_at", lambda x: x <= at)) + 1
         dealt = rows.join(cuts, F.struct(*self.keys) == F.col("_of"), "left")
@@ -133,6 +133,7 @@ class Ordered:
         carried |= {f"_c_{n}": F.sum(f"_e_{n}").over(earlier) for n in running_sum}
         carried |= {f"_c_{n}": F.min(f"_e_{n}").over(earlier) for n in running_min}
         edges = rows.where("_slice > 0").groupBy(*part).agg(*edge[1:] or edge).withColumns(carried).select(*part, *carried)
+        edges = edges.persist(StorageLevel.DISK_ONLY)  # small, and the plan does not hold the rows' plan twice
 
         w = Window.partitionBy(*part).orderBy(*self.order)
         upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

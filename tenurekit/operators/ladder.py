@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,16 @@ def step_flags(events: DataFrame, p: Params, key: str = "sub_id", carry: Sequenc
     ev = ev.withColumn("_kept", kept).where(~is_pay | F.col("_kept"))
     ev = scan.add(ev, running_sum={"step_k": F.col("_kept").cast("bigint")}).where("step_k >= 1")
     pay_row = F.struct("ts", "tie", *carry)
-    steps = ev.groupBy(key, "step_k").agg(
-        F.max(F.when(F.col("_kept"), pay_row)).alias("p"),
-        F.max(F.col("kind") == "issue").alias("had_issue"),
-        F.max(F.col("kind") == "vol").alias("had_vol"))
-    steps = steps.select(key, "step_k", "had_issue", "had_vol", "p.*")
-    out = Ordered([key], "ts", ["tie"]).add(
-        steps, next={"next_ts": F.col("ts")}, running_min={"first_pay": F.col("ts")})
+    flags = [F.col("kind") == "issue", F.col("kind") == "vol"]
+    steps = ev.groupBy(key, "step_k", "_key", "_slice").agg(
+        F.max(F.when(F.col("_kept"), pay_row)).alias("p"), F.max(flags[0]).alias("_issue"), F.max(flags[1]).alias("_vol"))
+    # a step may go on in later slices of a key that was cut: at most one such row for each slice
+    more = steps.where("_slice > 0 and p is null").groupBy(F.struct(key, "step_k").alias("_step")).agg(
+        F.max("_issue").alias("_issue_on"), F.max("_vol").alias("_vol_on")).persist(StorageLevel.DISK_ONLY)
+    steps = steps.where("p is not null").join(F.broadcast(more), F.struct(key, "step_k") == F.col("_step"), "left").select(
+        key, "step_k", *[(F.col(c) | F.coalesce(f"{c}_on", F.lit(False))).alias(f"had{c}") for c in ("_issue", "_vol")], "p.*", "_key", "_slice")
+    out = scan.close(Ordered([key], "ts", ["tie"]).add(
+        steps, next={"next_ts": F.col("ts")}, running_min={"first_pay": F.col("ts")}))
     return out.withColumn("days_to_next", days_between("ts", "next_ts"))
 
 
@@ -148,7 +152,7 @@ MATRIX_COLUMNS = (
 def mobile_matrix(events: DataFrame, p: Params) -> DataFrame:
     """Payment-step matrix of a mobile log: app, geo and media from the first event that has them,
     age from the first event of any kind."""
-    steps = step_flags(events, p).withColumn("outcome", outcome(p))
+    steps = step_flags(events, p).withColumn("outcome", outcome(p)).persist(StorageLevel.DISK_ONLY)  # read by the matrix and the gaps
     # everything known per key in one pass over the log
     attrs = events.groupBy("sub_id").agg(
         *[first_value(c) for c in ("app_id", "geo", "media_source")], F.min("ts").alias("first_ts"),
@@ -174,7 +178,7 @@ def web_matrix(events: DataFrame, pop: DataFrame, p: Params, key: str = "session
     runs from the first base payment, and `evaluable` marks steps old enough to be judged."""
     members = events.join(pop.select(key), key, "left_semi").withColumn("kind", web_kind(p))
     now = snapshot(events)
-    steps = step_flags(members, p, key).withColumn("outcome", outcome(p))
+    steps = step_flags(members, p, key).withColumn("outcome", outcome(p)).persist(StorageLevel.DISK_ONLY)  # read by the matrix and the gaps
     trial = members.where("event_type = 'trial_started'").groupBy(key).agg(F.min("ts").alias("first_trial"))
     attrs = (pop.join(trial, key, "left")
              .join(plan_interval(steps, key).drop("median_gap"), key, "left"))

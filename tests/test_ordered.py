@@ -144,3 +144,35 @@ def test_net_events_agree_on_whole_tables(spark):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-3 and abs(x[4] - y[4]) < 1e-3
+
+
+def test_scans_of_a_ladder_share_one_shuffle_of_the_rows(spark, skewed):
+    """No range shuffle, no summary row of a key that is one slice, and slices that stay as they are from scan to scan."""
+    o = Ordered(["sub_id"], "ts", ["tie"], slices=4)
+    dealt = o.open(skewed)
+    found = {r["sub_id"]: r["n"] for r in dealt.groupBy("sub_id").agg(F.count_distinct("_slice").alias("n")).collect()}
+    assert found.pop(0) > 1 and set(found.values()) == {1}  # the one key above a quarter of the rows is cut
+    assert dealt.where("sub_id > 0 and _slice > 0").count() == 0
+    first = o.add(dealt, row_no="a")
+    assert "rangepartitioning" not in first._jdf.queryExecution().executedPlan().toString()
+    second = o.add(first.where("kind <> 'other'"), row_no="b")
+    w = Window.partitionBy("sub_id").orderBy("ts", "tie")
+    want = skewed.withColumn("a", F.row_number().over(w).cast("bigint")).where("kind <> 'other'").withColumn("b", F.row_number().over(w).cast("bigint"))
+    same(o.close(second), want)
+
+
+def test_a_step_goes_on_in_later_slices(spark):
+    """One payment, then states over many slices, then a second payment: flags and next payment are found across them."""
+    data = [(1, 0, "pay", 0), *[(1, 1 + i // 9, "vol" if i == 250 else "issue" if i == 290 else "other", i + 1) for i in range(300)], (1, 60 * 86400, "pay", 999), (2, 5, "pay", 1000)]
+    df = spark.createDataFrame(data, "sub_id long, s long, kind string, tie long").selectExpr("sub_id", "timestamp_seconds(s) ts", "kind", "tie")
+    df = df.withColumn("kind", F.when((F.col("kind") == "other") & (F.col("tie") < 240), "issue").otherwise(F.col("kind")))
+    for drop_issue in (False, True):
+        d = df.where("kind <> 'issue'") if drop_issue else df
+        got = []
+        for slices in (1, 40):
+            Ordered.default_slices = slices
+            try:
+                got.append(sorted(tuple(map(str, r)) for r in L.step_flags(d, USERS).select("sub_id", "step_k", "had_issue", "had_vol", "next_ts", "first_pay").collect()))
+            finally:
+                Ordered.default_slices = None
+        assert got[0] == got[1] and [g[:4] for g in got[0]] == [("1", "1", str(not drop_issue), "True"), ("1", "2", "False", "False"), ("2", "1", "False", "False")]
