@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenurekit.functions.exprs import days_between, near, whole_days
-from tenurekit.functions.ordered import Ordered
+from tenurekit.functions.ordered import Ordered, cut
 from tenurekit.operators.survival import compress, direct_survival, grid
 from tenurekit.params import Params
 
@@ -68,7 +68,8 @@ def cohort_facts(numbered: DataFrame, members: DataFrame, now: Column, p: Params
 
     members: key, cohort (a date)."""
     j = numbered.join(members.select(key, "cohort"), key)
-    per = j.groupBy("cohort", "rebill_number").agg(F.count(F.lit(1)).alias("active_users"), F.sum("amount").alias("revenue"))
+    # a few rows, read three times; written, so that payments are numbered once
+    per = cut(j.groupBy("cohort", "rebill_number").agg(F.count(F.lit(1)).alias("active_users"), F.sum("amount").alias("revenue")))
     age = F.floor(whole_days(F.col("cohort").cast("timestamp"), now) / F.lit(float(p.period_days)))
     size = per.groupBy("cohort").agg(
         F.max(F.when(F.col("rebill_number") == 0, F.col("active_users"))).alias("payers"),
