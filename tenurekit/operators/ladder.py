@@ -44,15 +44,17 @@ def step_flags(events: DataFrame, p: Params, key: str = "sub_id", carry: Sequenc
     kept = is_pay & (F.col("_prev_pay").isNull() | (days_between("_prev_pay", "ts") > p.dedup_days))
     ev = ev.withColumn("_kept", kept).where(~is_pay | F.col("_kept"))
     ev = scan.add(ev, running_sum={"step_k": F.col("_kept").cast("bigint")}).where("step_k >= 1")
-    pay_row = F.struct("ts", "tie", *carry)
+    # a step has one kept payment; its columns one by one, since times and numbers are aggregated without a sort, structs are not
+    pay_row = ["ts", "tie", *carry]
     flags = [F.col("kind") == "issue", F.col("kind") == "vol"]
     steps = ev.groupBy(key, "step_k", "_key", "_slice").agg(
-        F.max(F.when(F.col("_kept"), pay_row)).alias("p"), F.max(flags[0]).alias("_issue"), F.max(flags[1]).alias("_vol"))
+        *[F.max(F.when(F.col("_kept"), F.col(c))).alias(c) for c in pay_row], F.coalesce(F.max("_kept"), F.lit(False)).alias("_paid"),
+        F.max(flags[0]).alias("_issue"), F.max(flags[1]).alias("_vol"))
     # a step may go on in later slices of a key that was cut: at most one such row for each slice
-    more = steps.where("_slice > 0 and p is null").groupBy(F.struct(key, "step_k").alias("_step")).agg(
+    more = steps.where("_slice > 0 and not _paid").groupBy(F.struct(key, "step_k").alias("_step")).agg(
         F.max("_issue").alias("_issue_on"), F.max("_vol").alias("_vol_on")).persist(StorageLevel.DISK_ONLY)
-    steps = steps.where("p is not null").join(F.broadcast(more), F.struct(key, "step_k") == F.col("_step"), "left").select(
-        key, "step_k", *[(F.col(c) | F.coalesce(f"{c}_on", F.lit(False))).alias(f"had{c}") for c in ("_issue", "_vol")], "p.*", "_key", "_slice")
+    steps = steps.where("_paid").join(F.broadcast(more), F.struct(key, "step_k") == F.col("_step"), "left").select(
+        key, "step_k", *[(F.col(c) | F.coalesce(f"{c}_on", F.lit(False))).alias(f"had{c}") for c in ("_issue", "_vol")], *pay_row, "_key", "_slice")
     out = scan.close(Ordered([key], "ts", ["tie"]).add(
         steps, next={"next_ts": F.col("ts")}, running_min={"first_pay": F.col("ts")}))
     return out.withColumn("days_to_next", days_between("ts", "next_ts"))
@@ -153,11 +155,12 @@ def mobile_matrix(events: DataFrame, p: Params) -> DataFrame:
     """Payment-step matrix of a mobile log: app, geo and media from the first event that has them,
     age from the first event of any kind."""
     steps = step_flags(events, p).withColumn("outcome", outcome(p)).persist(StorageLevel.DISK_ONLY)  # read by the matrix and the gaps
-    # everything known per key in one pass over the log
-    attrs = events.groupBy("sub_id").agg(
-        *[first_value(c) for c in ("app_id", "geo", "media_source")], F.min("ts").alias("first_ts"),
-        F.min(F.when(F.col("event_name") == "trial_started", F.col("ts"))).alias("_t0"),
+    # times of all rows are aggregated without a sort; first values, which need one, come from the rows that have any
+    times = events.groupBy("sub_id").agg(
+        F.min("ts").alias("first_ts"), F.min(F.when(F.col("event_name") == "trial_started", F.col("ts"))).alias("_t0"),
         F.min(F.when(F.col("event_name") == "subscription_renewed", F.col("ts"))).alias("_p0"))
+    named = ("app_id", "geo", "media_source")
+    attrs = times.join(first_values(events.where(F.coalesce(*named).isNotNull()), "sub_id", named), "sub_id", "left")
     attrs = attrs.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")) for c in ("geo", "media_source")})
     attrs = attrs.withColumns({"trial_days": whole_days("_t0", "_p0"),
                                "weeks_obs": periods_between(F.col("first_ts"), snapshot(events), p.period_days)})

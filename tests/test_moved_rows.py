@@ -1,9 +1,12 @@
 """Rows that a step reads, sorts or shuffles: once, and not more columns than it needs."""
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from tenurekit.operators import cohorts as K
+from tenurekit.operators import ladder as L
+from tenurekit.params import ORDERS as P
 from tenurekit.params import ORDERS_WEB as PW
 
 
@@ -18,3 +21,18 @@ def test_payments_are_numbered_once_for_all_parts_of_the_facts(spark):
     assert "rebill_number" in plan(pays) and "sub_id" in plan(pays) and "sub_id" not in plan(f)
     got = {r.rebill_number: (r.payers, r.active_users, r.revenue, r.cumulative_revenue) for r in f.collect()}
     assert got[0] == (6, 6, 120.0, 120.0) and got[2] == (6, 4, 88.0, 120.0 + 105.0 + 88.0)
+
+
+def at(s):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=s)
+
+
+def test_steps_and_attributes_of_a_log_without_structs_per_row(spark):
+    rows = [(1, at(0), "pay", "subscription_renewed", 1, "a", None, "m"), (1, at(3), "vol", "x", 2, None, None, None), (1, at(40), "pay", "subscription_renewed", 3, "b", "g", None),
+            (2, at(5), "pay", "subscription_renewed", 4, None, None, None), (2, at(6), "issue", "y", 5, None, None, None)]
+    log = spark.createDataFrame(rows, "sub_id long, ts timestamp, kind string, event_name string, tie long, app_id string, geo string, media_source string")
+    s = L.step_flags(log, P)
+    assert not re.search(r"_kept#\d+ THEN struct", plan(s))
+    assert sorted((r.sub_id, r.step_k, r.tie, r.had_issue, r.had_vol) for r in s.collect()) == [(1, 1, 1, False, True), (1, 2, 3, False, False), (2, 1, 4, True, False)]
+    got = {(r.sub_id, r.step_k): (r.app_id, r.geo, r.media_source) for r in L.mobile_matrix(log, P).collect()}
+    assert got == {(1, 1): ("a", "g", "m"), (1, 2): ("a", "g", "m"), (2, 1): (None, "(none)", "(none)")}
