@@ -50,9 +50,9 @@ def frozen(raw: DataFrame, snapshot: Column) -> DataFrame:
 
 def dedup_by_id(raw: DataFrame) -> DataFrame:
     """At-least-once delivery: the earliest copy of each event id."""
-    rest = [c for c in raw.columns if c != "event_id"]
-    pick = F.min_by(F.struct(*rest), F.struct("created", "data"))
-    return raw.groupBy("event_id").agg(pick.alias("r")).select("event_id", "r.*")
+    rest = [c for c in raw.columns if c not in ("event_id", "created", "data")]
+    pick = F.min(F.struct("created", "data", *rest))  # the payload once, not again as the order
+    return raw.groupBy("event_id").agg(pick.alias("r")).select("event_id", "r.*").select(*raw.columns)
 
 
 def dedup_exact(raw: DataFrame) -> DataFrame:
@@ -208,19 +208,22 @@ def orders_b(parsed: DataFrame) -> DataFrame:
     """One row per order of the nested invoices; payloads are cumulative, so the latest snapshot wins."""
     inv = parsed.select("event_id", "created", F.col("p.subscription.id").alias("subscription_id"), F.explode("p.invoices").alias("invoice_id", "i"))
     o = inv.select("event_id", "created", "subscription_id", "invoice_id", F.explode("i.orders").alias("order_id", "o"))
-    last = F.max_by(F.struct("subscription_id", "invoice_id", "o", "created"), F.struct("created", "event_id"))
-    r = o.groupBy("order_id").agg(last.alias("r"))
-    f = "r.o."
-    return r.select(
-        "order_id", "r.subscription_id", "r.invoice_id", F.col(f + "status").alias("status"), big(f + "amount").alias("amount_cents"),
+    f = "o."
+    # figures and times are read before the rows are sorted and shuffled, and fields that nobody reads stay behind
+    o = o.select(
+        "event_id", "order_id", "subscription_id", "invoice_id", F.col(f + "status").alias("status"), big(f + "amount").alias("amount_cents"),
         F.try_to_timestamp(f + "processed_at").alias("processed_at"), big(f + "retry_attempt").alias("retry_attempt"),
-        F.col(f + "failed_reason").alias("failed_reason"), F.col("r.created").alias("seen_at"))
+        F.col(f + "failed_reason").alias("failed_reason"), F.col("created").alias("seen_at"))
+    rest = [c for c in o.columns if c not in ("seen_at", "event_id", "order_id")]
+    last = F.max(F.struct("seen_at", "event_id", *rest))
+    return o.groupBy("order_id").agg(last.alias("r")).select("order_id", *[f"r.{c}" for c in (*rest, "seen_at")])
 
 
 def order_outcomes(orders: DataFrame, p: Params) -> DataFrame:
     """Settled money converts or renews, failed authorisations are issues, refunds are refunds; other
     states and orders without a processing time give nothing."""
-    o = orders.where("subscription_id is not null and processed_at is not null")
+    o = orders.where("subscription_id is not null and processed_at is not null").select(
+        "subscription_id", "processed_at", "retry_attempt", "order_id", "status", "amount_cents")
     ok = (F.col("status") == "settle_ok") & (F.coalesce("amount_cents", F.lit(0)) > 0)
     o = o.withColumn("_retry", F.coalesce("retry_attempt", F.lit(2**62)))
     scan = Ordered(["subscription_id"], "processed_at", ["_retry", "order_id"])

@@ -324,7 +324,7 @@ def _full_silver(spark, d):
     db = g.select("subscription_id", F.lit("provider_b").alias("payment_provider"), "customer_user_id", F.split("email", "@")[0].alias("email"), none.alias("account"),
                   none.alias("own_media"), none.alias("own_campaign"), none.alias("own_app"), none.alias("plan_interval"), "plan_name", F.col("product_id").alias("price_id"), "product_id",
                   F.when(F.col("_t").isNotNull(), "paid").otherwise("free").alias("trial_type"), "started_at")
-    gaps = C.cadence(C.order_outcomes(nested(spark, d), P), P)
+    gaps = C.cadence(events.where("payment_provider = 'provider_b'"), P)  # its successes are those of the orders
     att = cut(C.subscription_attributes(da.unionByName(db), events, attribution(spark, d)[1], gaps, "app_main", ACCOUNT_APPS))
     return C.silver_table(events, att)
 

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tenurekit.operators import clean as C
 from tenurekit.operators import cohorts as K
 from tenurekit.operators import ladder as L
 from tenurekit.params import ORDERS as P
@@ -36,3 +37,15 @@ def test_steps_and_attributes_of_a_log_without_structs_per_row(spark):
     assert sorted((r.sub_id, r.step_k, r.tie, r.had_issue, r.had_vol) for r in s.collect()) == [(1, 1, 1, False, True), (1, 2, 3, False, False), (2, 1, 4, True, False)]
     got = {(r.sub_id, r.step_k): (r.app_id, r.geo, r.media_source) for r in L.mobile_matrix(log, P).collect()}
     assert got == {(1, 1): ("a", "g", "m"), (1, 2): ("a", "g", "m"), (2, 1): (None, "(none)", "(none)")}
+
+
+def test_the_earliest_copy_and_the_latest_snapshot_move_their_texts_once(spark):
+    raw = spark.createDataFrame([("e", "t", at(1), "b"), ("e", "u", at(1), "a"), ("e", "v", at(2), "0"), ("f", "t", None, None)], "event_id string, event_type string, created timestamp, data string")
+    d = C.dedup_by_id(raw)
+    assert d.columns == raw.columns and "min_by" not in plan(d)
+    assert sorted((r.event_id, r.event_type, r.data) for r in d.collect()) == [("e", "u", "a"), ("f", "t", None)]
+    order = '{"subscription": {"id": "s"}, "invoices": {"i": {"orders": {"o": {"status": "%s", "amount": "%s", "processed_at": "%s"}}}}}'
+    b = spark.createDataFrame([(1, "x", at(1), order % ("new", "5", "")), (2, "x", at(1), order % ("done", "7", "2024-01-02 00:00:00"))], "event_id long, event_type string, created timestamp, data string")
+    o = C.orders_b(C.parse_b(b))
+    assert "max_by" not in plan(o)
+    assert [(r.order_id, r.subscription_id, r.invoice_id, r.status, r.amount_cents, r.processed_at, r.seen_at) for r in o.collect()] == [("o", "s", "i", "done", 7, at(1), at(1))]
