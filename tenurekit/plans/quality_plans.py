@@ -243,7 +243,7 @@ def long_pauses(spark, d):
 def resurrections(spark, d):
     from tenurekit.functions.exprs import interval_word
     b = flat(spark, d)
-    ev = C.order_outcomes(nested(spark, d), MOBILE).where("event_name in ('trial_converted', 'subscription_renewed')").select("subscription_id", F.col("event_datetime").alias("ts"), F.col("order_id").alias("tie"))
+    ev = C.order_outcomes(nested(spark, d), MOBILE, stored=True).where("event_name in ('trial_converted', 'subscription_renewed')").select("subscription_id", F.col("event_datetime").alias("ts"), F.col("order_id").alias("tie"))
     u = b.groupBy("subscription_id").agg(F.min("product_name").alias("pn")).select("subscription_id", interval_word("pn").alias("interval_unit"))
     return Z.resurrections(ev, u, MOBILE).withColumn("gap", r6("gap"))
 
