@@ -45,12 +45,17 @@ def covered(w: tx.Words, n: int) -> np.ndarray:
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if not len(twice):
         return out
+    low = np.uint64(0xFFFF)
+    listed = np.zeros(1 << 16, dtype=bool)
+    listed[twice & low] = True
+    may = np.flatnonzero(listed[gram & low])  # only these are looked up
+    gram = gram[may]
     place = np.minimum(np.searchsorted(twice, gram), len(twice) - 1)
-    begin = np.flatnonzero(inside)[twice[place] == gram]
-    step = np.zeros(len(out) + 1, dtype=np.int32)
-    np.add.at(step, begin, 1)
-    np.add.at(step, begin + n, -1)
-    return np.cumsum(step)[:-1] > 0
+    begin = np.flatnonzero(inside)[may[twice[place] == gram]]
+    step = np.zeros(len(out) + 1, dtype=np.int8)
+    step[begin] = 1  # a window begins at a word once
+    step[begin + n] -= 1
+    return np.cumsum(step, dtype=np.int32)[:-1] > 0
 
 
 def _lines(raw: bytes) -> tuple[int, int]:

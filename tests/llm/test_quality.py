@@ -53,3 +53,24 @@ def test_rows(spark):
     clean = quality.keep_clean(docs, rules=RULES)
     assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["6", "None"]
     assert quality.repetition(docs.limit(0)).count() == 0
+
+
+def test_only_windows_that_may_repeat_are_looked_up(monkeypatch):
+    import numpy as np
+
+    from tenurekit.llm import quality, text as tx
+
+    ws = [f"w{k}" for k in range(6000)]
+    ws[100:106] = ws[4000:4006] = ws[4003:4009] = list("abcabc")  # windows that overlap their own copy
+    data, at = np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))])
+    w = tx.words(data, at, tx.SPACED)
+    sizes, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (sizes.append(np.size(v)), search(a, v, *x, **y))[1])
+    for n in (3, 4, 6):
+        windows = [tuple(ws[k:k + n]) for k in range(len(ws) - n + 1)]
+        places = {}
+        for k, x in enumerate(windows):
+            places.setdefault(x, []).append(k)
+        want = {k + i for x, at in places.items() if len(at) > 1 for k in at for i in range(n)}
+        assert set(np.flatnonzero(quality.covered(w, n)).tolist()) == want
+    assert max(sizes) < 100
